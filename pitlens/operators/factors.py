@@ -31,15 +31,15 @@ INSTANTS = ("assets", "liabilities", "cash", "equity", "shares_outstanding")
 
 @dataclass(frozen=True)
 class Factor:
-    """One entry makes a factor: its key, the good direction, a column over the wide row."""
+    """One entry makes a factor: its key, the good direction, an SQL expression over the wide row."""
     key: str
     higher_is_better: bool
-    value: Column
-    inputs: dict[str, Column]
+    value: str
+    inputs: dict[str, str]
 
 
-def safe_ratio(top: Column, bottom: Column) -> Column:
-    return F.when(F.abs(bottom) >= MIN_DENOMINATOR, top / bottom)
+def safe_ratio(top: str, bottom: str) -> str:
+    return f"(CASE WHEN abs({bottom}) >= {MIN_DENOMINATOR} THEN ({top}) / ({bottom}) END)"
 
 
 def packed_facts(facts: DataFrame) -> DataFrame:
@@ -48,153 +48,127 @@ def packed_facts(facts: DataFrame) -> DataFrame:
         F.struct("period_end", "filed_on", "metric", "period", "value"))).alias("filed"))
 
 
-def _resolved(h: str) -> Column:
+def _resolved(h: str) -> str:
     """Keep the last filed version of each period of a (period_end, filed_on) sorted array."""
-    c = F.col(h)
-    return F.transform(
-        F.filter(c, lambda x, i: F.coalesce(F.get(c, i + 1)["period_end"] != x["period_end"], F.lit(True))),
-        lambda x: F.struct(x["period_end"].alias("at"), x["value"].alias("value")))
+    last = f"filter({h}, (x, i) -> i + 1 = size({h}) OR get({h}, i + 1).period_end <> x.period_end)"
+    return f"transform({last}, x -> struct(x.period_end AS at, x.value AS value))"
 
 
-def _nearest(h: Column, target: Column, tolerance: int) -> Column:
-    best = F.array_min(F.transform(h, lambda r: F.struct(
-        F.abs(F.datediff(r["at"], target)).alias("gap"), r["at"].alias("at"), r["value"].alias("value"))))
-    return F.when(best["gap"] <= tolerance, best)
+def _nearest(h: str, target: str, tolerance: int) -> str:
+    """Closest entry within the tolerance; the older one wins a tie."""
+    near = f"filter({h}, r -> abs(datediff(r.at, {target})) <= {tolerance})"
+    return f"array_min(transform({near}, r -> struct(abs(datediff(r.at, {target})) AS gap, r.at AS at, r.value AS value)))"
 
 
-def _year_before(h: Column, current: Column) -> Column:
-    return _nearest(F.filter(h, lambda r: r["at"] < current), F.date_sub(current, 365), YEAR_TOLERANCE_DAYS)
+def _year_before(h: str, current: str) -> str:
+    return _nearest(f"filter({h}, e -> e.at < {current})", f"date_sub({current}, 365)", YEAR_TOLERANCE_DAYS)
 
 
-def _back(h: Column, back: int) -> Column:
-    return F.try_element_at(h, F.lit(-1 - back))
+def _paired(a: str, b: str) -> str:
+    """Periods both metrics report, with both values, oldest first."""
+    match = f"get(filter({b}, y -> y.at = x.at), 0).value"
+    return f"filter(transform({a}, x -> struct(x.at AS at, x.value AS a, {match} AS b)), x -> x.b IS NOT NULL)"
 
 
-def _paired(a: str, b: str) -> Column:
-    """Periods both metrics report, with both values, oldest first."""
-    both = F.transform(F.col(a), lambda x: F.struct(
-        x["at"].alias("at"), x["value"].alias("a"),
-        F.get(F.filter(F.col(b), lambda y: y["at"] == x["at"]), F.lit(0))["value"].alias("b")))
-    return F.filter(both, lambda x: x["b"].isNotNull())
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{e} AS {n}" for n, e in columns.items()])
 
 
 def company_view(facts: DataFrame, dates: Sequence[str]) -> DataFrame:
     """(as_of, entity) rows with resolved histories and the period picks the factors read."""
-    day = F.array(*[F.lit(d).cast("date") for d in dates])
-    d = packed_facts(facts).select("entity_id", F.explode(day).alias("as_of"), "filed")
-    d = d.withColumn("filed", F.filter("filed", lambda x: x["filed_on"] <= F.col("as_of")))
-    d = d.filter(F.size("filed") > 0).withColumn(
-        "newest_filing", F.array_max(F.transform("filed", lambda x: x["filed_on"])))
-
-    def only(metric: str, period: str) -> Column:
-        return F.filter("filed", lambda x: (x["metric"] == metric) & (x["period"] == period))
-
-    d = d.select("entity_id", "as_of", "newest_filing",
-                 *[only(m, "year").alias(f"_y_{m}") for m in YEARLY],
-                 *[only(m, "instant").alias(f"_i_{m}") for m in INSTANTS],
-                 only("shares_diluted", "quarter").alias("_q_shares"))
-    d = d.select("entity_id", "as_of", "newest_filing",
-                 *[_resolved(f"_y_{m}").alias(f"y_{m}") for m in YEARLY],
-                 *[_resolved(f"_i_{m}").alias(f"i_{m}") for m in INSTANTS],
-                 _resolved("_q_shares").alias("q_shares"))
-    d = d.withColumns({"ni_ocf": _paired("y_net_income", "y_operating_cash_flow"),
-                       "rev_op": _paired("y_revenue", "y_operating_income")})
-
-    def fresh(at: Column, value: Column) -> Column:
-        return F.when(F.datediff("newest_filing", at) <= MAX_PERIOD_AGE_DAYS, value)
-
-    def annual(h: str, back: int = 0) -> Column:
-        x = _back(F.col(h), back)
-        return fresh(x["at"], x)
+    days = ", ".join(f"DATE'{d}'" for d in dates)
+    d = packed_facts(facts).selectExpr("entity_id", f"explode(array({days})) AS as_of", "filed")
+    d = d.selectExpr("entity_id", "as_of", "filter(filed, x -> x.filed_on <= as_of) AS filed").filter("size(filed) > 0")
+    only = lambda m, p: f"filter(filed, x -> x.metric = '{m}' AND x.period = '{p}')"
+    packs = {**{f"y_{m}": only(m, "year") for m in YEARLY}, **{f"i_{m}": only(m, "instant") for m in INSTANTS},
+             "q_shares": only("shares_diluted", "quarter")}
+    d = d.selectExpr("entity_id", "as_of", "array_max(transform(filed, x -> x.filed_on)) AS newest_filing",
+                     *[f"{e} AS _{n}" for n, e in packs.items()])
+    d = d.selectExpr("entity_id", "as_of", "newest_filing", *[f"{_resolved('_' + n)} AS {n}" for n in packs])
+    d = _with(d, {"ni_ocf": _paired("y_net_income", "y_operating_cash_flow"),
+                  "rev_op": _paired("y_revenue", "y_operating_income")})
+
+    def annual(h: str, back: int = 0) -> str:
+        x = f"try_element_at({h}, {-1 - back})"
+        return f"CASE WHEN datediff(newest_filing, {x}.at) <= {MAX_PERIOD_AGE_DAYS} THEN {x} END"
 
     picks = {f"{h}_{b}": annual(h, b) for h, b in (
         ("ni_ocf", 0), ("rev_op", 0), ("rev_op", 1), ("y_revenue", 0), ("y_revenue", 1), ("y_net_income", 0),
         ("y_gross_profit", 0), ("y_operating_cash_flow", 0), ("y_shares_diluted", 0), ("y_shares_diluted", 1),
         ("y_rnd_expense", 0))}
-    for m in ("assets", "liabilities", "cash", "equity"):
-        picks[f"{m}_now"] = annual(f"i_{m}")
-    share = F.coalesce(_back(F.col("i_shares_outstanding"), 0), _back(F.col("q_shares"), 0),
-                       _back(F.col("y_shares_diluted"), 0))
-    picks["shares"] = share
-    d = d.withColumns(picks)
-    assets = F.col("i_assets")
-    at = lambda pick: F.col(f"{pick}.at")
-    d = d.withColumns({
-        "assets_prior": _year_before(assets, at("assets_now")),
-        "liabilities_prior": _year_before(F.col("i_liabilities"), at("liabilities_now")),
-        **{f"assets_at_{p}": _nearest(assets, at(p), INSTANT_TOLERANCE_DAYS)
-           for p in ("ni_ocf_0", "y_gross_profit_0", "y_net_income_0", "y_revenue_0", "y_revenue_1",
-                     "liabilities_now", "cash_now")}})
-    d = d.withColumn("assets_at_liabilities_prior", _nearest(assets, at("liabilities_prior"), INSTANT_TOLERANCE_DAYS))
-
-    def average(p: str) -> Column:
-        close = F.col(f"assets_at_{p}")
-        before = _year_before(assets, close["at"])
-        return F.coalesce((close["value"] + before["value"]) / 2, close["value"])
-
-    return d.withColumns({f"avg_assets_{p}": average(p) for p in ("ni_ocf_0", "y_gross_profit_0", "y_net_income_0")})
+    picks.update({f"{m}_now": annual(f"i_{m}") for m in ("assets", "liabilities", "cash", "equity")})
+    picks["shares"] = ("coalesce(try_element_at(i_shares_outstanding, -1), try_element_at(q_shares, -1),"
+                       " try_element_at(y_shares_diluted, -1))")
+    d = _with(d, picks)
+    anchors = ("ni_ocf_0", "y_gross_profit_0", "y_net_income_0", "y_revenue_0", "y_revenue_1", "liabilities_now", "cash_now")
+    d = _with(d, {"assets_prior": _year_before("i_assets", "assets_now.at"),
+                  "liabilities_prior": _year_before("i_liabilities", "liabilities_now.at"),
+                  **{f"assets_at_{p}": _nearest("i_assets", f"{p}.at", INSTANT_TOLERANCE_DAYS) for p in anchors}})
+    profits = ("ni_ocf_0", "y_gross_profit_0", "y_net_income_0")
+    d = _with(d, {"assets_at_liabilities_prior": _nearest("i_assets", "liabilities_prior.at", INSTANT_TOLERANCE_DAYS),
+                  **{f"before_{p}": _year_before("i_assets", f"assets_at_{p}.at") for p in profits}})
+    return _with(d, {f"avg_assets_{p}": f"coalesce((assets_at_{p}.value + before_{p}.value) / 2, assets_at_{p}.value)"
+                     for p in profits})
 
 
 def price_panel(bars: DataFrame, dates: Sequence[str]) -> DataFrame:
     """(brand, as_of): raw close, skip-month momentum and one-year volatility."""
-    day = F.array(*[F.lit(d).cast("date") for d in dates])
-    p = bars.select("brand").distinct().withColumn("as_of", F.explode(day))
+    days = ", ".join(f"DATE'{d}'" for d in dates)
+    p = bars.select("brand").distinct().selectExpr("brand", f"explode(array({days})) AS as_of")
     p = prices.price_on_or_before(p, bars, "as_of", "last")
-    p = p.withColumns({"_from": F.date_sub("as_of", 395), "_to": F.date_sub("as_of", 30)})
+    p = _with(p, {"_from": "date_sub(as_of, 395)", "_to": "date_sub(as_of, 30)"})
     p = prices.total_return(p, bars, "_from", "_to", "momentum")
     p = nearby(p, prices.session_returns(bars), ["brand"], "as_of", "session_date", 365, 0, ["prev_date", "ret"], "_near")
-    inside = F.filter("_near", lambda r: F.datediff(F.col("as_of"), r["prev_date"]) <= 365)
-    p = p.withColumn("_r", F.transform(inside, lambda r: r["ret"])).withColumn("_n", F.size("_r"))
-    p = p.withColumn("_mean", F.aggregate("_r", F.lit(0.0), lambda a, x: a + x) / F.col("_n"))
-    ss = F.aggregate("_r", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean")))
-    vol = F.when(F.col("_n") >= MIN_VOLATILITY_SESSIONS, F.sqrt(ss / (F.col("_n") - 1)) * F.sqrt(F.lit(252.0)))
-    return p.select("brand", "as_of", F.col("last.close").alias("price"), "momentum", vol.alias("volatility"))
+    p = _with(p, {"_r": "transform(filter(_near, r -> datediff(as_of, r.prev_date) <= 365), r -> r.ret)"})
+    p = _with(p, {"_mean": "aggregate(_r, 0D, (a, x) -> a + x) / size(_r)"})
+    vol = ("CASE WHEN size(_r) >= %d THEN sqrt(aggregate(_r, 0D, (a, x) -> a + (x - _mean) * (x - _mean))"
+           " / (size(_r) - 1)) * sqrt(252D) END" % MIN_VOLATILITY_SESSIONS)
+    return p.selectExpr("brand", "as_of", "last.close AS price", "momentum", f"{vol} AS volatility")
 
 
 def factor_registry() -> list[Factor]:
-    c = F.col
-    v = lambda pick: c(f"{pick}.value")
-    cap = F.when((c("shares.value") > 0) & (F.datediff("as_of", "shares.at") <= MAX_SHARE_COUNT_AGE_DAYS)
-                 & (c("price") > 0), c("price") * c("shares.value"))
-    growth = lambda now, before: safe_ratio(now - before, F.abs(before))
-    margin = lambda p: safe_ratio(c(f"{p}.b"), c(f"{p}.a"))
-    ni_ocf = {"net_income": c("ni_ocf_0.a"), "operating_cash_flow": c("ni_ocf_0.b")}
-    out = [
-        ("accruals", False, safe_ratio(c("ni_ocf_0.a") - c("ni_ocf_0.b"), c("avg_assets_ni_ocf_0")),
-         {**ni_ocf, "avg_assets": c("avg_assets_ni_ocf_0")}),
-        ("cash_conversion", True, F.when(c("ni_ocf_0.a") > 0, safe_ratio(c("ni_ocf_0.b"), c("ni_ocf_0.a"))), ni_ocf),
+    v = lambda pick: f"{pick}.value"
+    growth = lambda now, before: safe_ratio(f"{now} - {before}", f"abs({before})")
+    margin = lambda p: safe_ratio(f"{p}.b", f"{p}.a")
+    ni_ocf = {"net_income": "ni_ocf_0.a", "operating_cash_flow": "ni_ocf_0.b"}
+    on_assets = lambda p: safe_ratio(v(p), f"avg_assets_{p}")
+    paid = lambda top: safe_ratio(top, "market_cap")
+    cap = {"market_cap": "market_cap"}
+    turned = lambda p, a: safe_ratio(v(p), v(a))
+    return [Factor(*row) for row in (
+        ("accruals", False, safe_ratio("ni_ocf_0.a - ni_ocf_0.b", "avg_assets_ni_ocf_0"),
+         {**ni_ocf, "avg_assets": "avg_assets_ni_ocf_0"}),
+        ("cash_conversion", True, f"CASE WHEN ni_ocf_0.a > 0 THEN {safe_ratio('ni_ocf_0.b', 'ni_ocf_0.a')} END", ni_ocf),
         ("asset_growth", False, growth(v("assets_now"), v("assets_prior")),
          {"assets": v("assets_now"), "assets_prior": v("assets_prior")}),
         ("net_share_issuance", False, growth(v("y_shares_diluted_0"), v("y_shares_diluted_1")),
          {"shares_diluted": v("y_shares_diluted_0"), "shares_diluted_prior": v("y_shares_diluted_1")}),
-        ("gross_profitability", True, safe_ratio(v("y_gross_profit_0"), c("avg_assets_y_gross_profit_0")),
-         {"gross_profit": v("y_gross_profit_0"), "avg_assets": c("avg_assets_y_gross_profit_0")}),
-        ("return_on_assets", True, safe_ratio(v("y_net_income_0"), c("avg_assets_y_net_income_0")),
-         {"net_income": v("y_net_income_0"), "avg_assets": c("avg_assets_y_net_income_0")}),
-        ("operating_margin_change", True, margin("rev_op_0") - margin("rev_op_1"),
+        ("gross_profitability", True, on_assets("y_gross_profit_0"), {"gross_profit": v("y_gross_profit_0")}),
+        ("return_on_assets", True, on_assets("y_net_income_0"), {"net_income": v("y_net_income_0")}),
+        ("operating_margin_change", True, f"{margin('rev_op_0')} - {margin('rev_op_1')}",
          {"margin": margin("rev_op_0"), "margin_prior": margin("rev_op_1")}),
         ("revenue_growth", True, growth(v("y_revenue_0"), v("y_revenue_1")),
          {"revenue": v("y_revenue_0"), "revenue_prior": v("y_revenue_1")}),
-        ("asset_turnover_change", True, safe_ratio(v("y_revenue_0"), v("assets_at_y_revenue_0"))
-         - safe_ratio(v("y_revenue_1"), v("assets_at_y_revenue_1")), {"revenue": v("y_revenue_0")}),
-        ("leverage_change", False, safe_ratio(v("liabilities_now"), v("assets_at_liabilities_now"))
-         - safe_ratio(v("liabilities_prior"), v("assets_at_liabilities_prior")), {"liabilities": v("liabilities_now")}),
-        ("earnings_yield", True, safe_ratio(v("y_net_income_0"), cap), {"market_cap": cap}),
-        ("cash_flow_yield", True, safe_ratio(v("y_operating_cash_flow_0"), cap), {"market_cap": cap}),
-        ("sales_yield", True, safe_ratio(v("y_revenue_0"), cap), {"market_cap": cap}),
-        ("book_to_price", True, F.when(v("equity_now") > 0, safe_ratio(v("equity_now"), cap)), {"market_cap": cap}),
-        ("momentum", True, c("momentum"), {}),
-        ("volatility", False, c("volatility"), {}),
-        ("cash_to_assets", True, safe_ratio(v("cash_now"), v("assets_at_cash_now")), {"cash": v("cash_now")}),
-    ]
-    return [Factor(*row) for row in out]
+        ("asset_turnover_change", True, f"{turned('y_revenue_0', 'assets_at_y_revenue_0')} - "
+         f"{turned('y_revenue_1', 'assets_at_y_revenue_1')}", {"revenue": v("y_revenue_0")}),
+        ("leverage_change", False, f"{turned('liabilities_now', 'assets_at_liabilities_now')} - "
+         f"{turned('liabilities_prior', 'assets_at_liabilities_prior')}", {"liabilities": v("liabilities_now")}),
+        ("earnings_yield", True, paid(v("y_net_income_0")), cap),
+        ("cash_flow_yield", True, paid(v("y_operating_cash_flow_0")), cap),
+        ("sales_yield", True, paid(v("y_revenue_0")), cap),
+        ("book_to_price", True, f"CASE WHEN equity_now.value > 0 THEN {paid(v('equity_now'))} END", cap),
+        ("momentum", True, "momentum", {}),
+        ("volatility", False, "volatility", {}),
+        ("cash_to_assets", True, turned("cash_now", "assets_at_cash_now"), {"cash": v("cash_now")}))]
 
 
 def wide_panel(facts: DataFrame, bars: DataFrame, entities: DataFrame, dates: Sequence[str]) -> DataFrame:
-    """The row every factor column reads: filings, prices and the entity's sector."""
+    """The row every factor expression reads: filings, prices, market cap and the entity's sector."""
     d = company_view(facts, dates)
     d = d.join(entities.select("entity_id", "sector", "brand", "size"), "entity_id")
-    return d.join(price_panel(bars, dates), ["brand", "as_of"], "left")
+    d = d.join(price_panel(bars, dates), ["brand", "as_of"], "left")
+    usable = f"shares.value > 0 AND price > 0 AND datediff(as_of, shares.at) <= {MAX_SHARE_COUNT_AGE_DAYS}"
+    return _with(d, {"market_cap": f"CASE WHEN {usable} THEN price * shares.value END"})
 
 
 def factor_rows(panel: DataFrame, registry: Sequence[Factor] | None = None) -> DataFrame:
@@ -202,13 +176,10 @@ def factor_rows(panel: DataFrame, registry: Sequence[Factor] | None = None) -> D
     registry = registry or factor_registry()
     live = panel.filter(F.datediff("as_of", "newest_filing") <= MAX_STALENESS_DAYS)
 
-    def entry(f: Factor) -> Column:
-        return F.struct(F.lit(f.key).alias("key"), F.lit(f.higher_is_better).alias("higher_is_better"),
-                        f.value.alias("value"))
-
-    rows = live.select("as_of", "entity_id", "sector", "size",
-                       F.array(*[entry(f) for f in registry]).alias("vals"))
-    return rows.withColumn("vals", F.filter("vals", lambda x: x["value"].isNotNull())).filter(F.size("vals") > 0)
+    entry = lambda f: f"struct('{f.key}' AS key, {str(f.higher_is_better).lower()} AS higher_is_better, {f.value} AS value)"
+    rows = live.selectExpr("as_of", "entity_id", "sector", "size",
+                           f"array({', '.join(map(entry, registry))}) AS vals")
+    return rows.withColumn("vals", F.expr("filter(vals, x -> x.value IS NOT NULL)")).filter("size(vals) > 0")
 
 
 def factor_values(panel: DataFrame, registry: Sequence[Factor] | None = None) -> DataFrame:
@@ -220,9 +191,9 @@ def factor_inputs(panel: DataFrame, registry: Sequence[Factor] | None = None) ->
     """The filed figures behind each computed factor, one row per (as_of, entity, key, input)."""
     registry = registry or factor_registry()
     live = panel.filter(F.datediff("as_of", "newest_filing") <= MAX_STALENESS_DAYS)
-    entries = [F.struct(F.lit(f.key).alias("key"), F.lit(k).alias("input"), c.cast("double").alias("amount"),
-                        f.value.isNotNull().alias("_kept")) for f in registry for k, c in f.inputs.items()]
-    return live.select("as_of", "entity_id", F.inline(F.array(*entries))).filter("_kept").drop("_kept")
+    entries = ", ".join(f"struct('{f.key}' AS key, '{k}' AS input, double({c}) AS amount, ({f.value}) IS NOT NULL AS kept)"
+                        for f in registry for k, c in f.inputs.items())
+    return live.selectExpr("as_of", "entity_id", f"inline(array({entries}))").filter("kept").drop("kept")
 
 
 def score(rows: DataFrame, slices: int | None = None) -> DataFrame:

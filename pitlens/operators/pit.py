@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,42 +46,34 @@ def aligned(history: DataFrame, metrics: Sequence[str], back: int = 0) -> DataFr
             .filter(F.col("rn") == back + 1).drop("rn"))
 
 
-def _day(c: Column) -> Column:
-    return F.datediff(c, F.lit("1970-01-01").cast("date"))
-
-
 def nearby(probes: DataFrame, history: DataFrame, keys: Sequence[str], probe_date: str,
            hist_date: str, back: int, ahead: int, payload: Sequence[str], out: str = "nearby") -> DataFrame:
     """Attach, oldest first, the history rows within [probe - back, probe + ahead] days."""
     width = back + ahead + 1
-    h = _day(F.col(hist_date))
-    first = F.ceil((h - (width - 1) - ahead) / width)
-    last = F.floor((h + back) / width)
-    packed = history.select(
-        *keys, F.explode(F.sequence(first, last)).alias("_block"),
-        F.struct(F.col(hist_date).alias("at"), *payload).alias("_row"),
-    ).groupBy(*keys, "_block").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
-    at = F.col(probe_date)
-    joined = probes.withColumn("_block", F.floor(_day(at) / width)).join(packed, [*keys, "_block"], "left")
-    inside = F.filter("_rows", lambda r: (F.datediff(at, r["at"]) <= back) & (F.datediff(r["at"], at) <= ahead))
-    return joined.withColumn(out, inside).drop("_block", "_rows")
+    first = f"ceil((unix_date({hist_date}) - {width - 1 + ahead}) / {width})"
+    last = f"floor((unix_date({hist_date}) + {back}) / {width})"
+    packed = history.selectExpr(
+        *keys, f"explode(sequence({first}, {last})) AS _block", f"struct({hist_date} AS at, {', '.join(payload)}) AS _row",
+    ).groupBy(*keys, "_block").agg(F.expr("sort_array(collect_list(_row)) AS _rows"))
+    joined = probes.selectExpr("*", f"floor(unix_date({probe_date}) / {width}) AS _block").join(packed, [*keys, "_block"], "left")
+    inside = (f"filter(_rows, r -> datediff({probe_date}, r.at) <= {back} AND datediff(r.at, {probe_date}) <= {ahead})")
+    return joined.selectExpr(*[f"`{c}`" for c in probes.columns], f"{inside} AS {out}")
 
 
 def on_or_before(probes: DataFrame, history: DataFrame, keys: Sequence[str], probe_date: str,
                  hist_date: str, payload: Sequence[str], max_back: int, out: str) -> DataFrame:
     """As-of backward: the last history row at or before the probe, null past `max_back` days."""
     got = nearby(probes, history, keys, probe_date, hist_date, max_back, 0, payload, "_near")
-    return got.withColumn(out, F.try_element_at("_near", F.lit(-1))).drop("_near")
+    return got.withColumn(out, F.expr("try_element_at(_near, -1)")).drop("_near")
 
 
 def nearest(probes: DataFrame, history: DataFrame, keys: Sequence[str], probe_date: str,
             hist_date: str, payload: Sequence[str], tolerance: int, out: str) -> DataFrame:
     """Nearest history row within the tolerance; the older one wins a tie."""
     got = nearby(probes, history, keys, probe_date, hist_date, tolerance, tolerance, payload, "_near")
-    ranked = F.transform("_near", lambda r: F.struct(
-        F.abs(F.datediff(r["at"], F.col(probe_date))).alias("gap"), r["at"].alias("at"),
-        *[r[p].alias(p) for p in payload]))
-    return got.withColumn(out, F.array_min(ranked)).drop("_near")
+    fields = ", ".join(f"r.{p} AS {p}" for p in payload)
+    ranked = f"transform(_near, r -> struct(abs(datediff(r.at, {probe_date})) AS gap, r.at AS at, {fields}))"
+    return got.withColumn(out, F.expr(f"array_min({ranked})")).drop("_near")
 
 
 def year_apart(anchors: DataFrame, history: DataFrame, keys: Sequence[str], anchor: str, hist_date: str,

@@ -6,7 +6,7 @@ trading calendar no matter how many trades stand behind the bars.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlens.operators.pit import nearby, on_or_before
@@ -62,27 +62,18 @@ def abnormal_daily(bars: DataFrame, market: DataFrame) -> DataFrame:
         (F.col("ret") - F.col("market_ret")).alias("abnormal"))
 
 
-def _moments(values: Column) -> Column:
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    return F.aggregate(values, zero, lambda a, x: F.struct(
-        (a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
-
-
 def typical_move(probes: DataFrame, abnormal: DataFrame, date_col: str, out: str) -> DataFrame:
     """Normal ten-session move: population sd of abnormal returns strictly before the date."""
     back = VOLATILITY_LOOKBACK_DAYS
     got = nearby(probes, abnormal, ["brand"], date_col, "session_date", back, 0, ["prev_date", "abnormal"], "_near")
-    at = F.col(date_col)
-    inside = F.filter("_near", lambda r: (r["at"] < at) & (F.datediff(at, r["prev_date"]) <= back))
-    values = F.transform(inside, lambda r: r["abnormal"])
+    inside = f"filter(_near, r -> r.at < {date_col} AND datediff({date_col}, r.prev_date) <= {back})"
+    got = got.selectExpr("*", f"transform({inside}, r -> r.abnormal) AS _v")
+    got = got.selectExpr("*", "aggregate(_v, 0D, (a, x) -> a + x) / size(_v) AS _mean")
     # two passes keep the variance free of cancellation
-    mean = F.col("_m.s") / F.col("_m.n")
-    centred = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    sd = F.sqrt(centred / F.col("_m.n"))
-    return (got.withColumn("_v", values).withColumn("_m", _moments(F.col("_v")))
-            .withColumn("_sd", F.when(F.col("_m.n") >= MIN_VOLATILITY_OBSERVATIONS, sd))
-            .withColumn(out, F.when(F.col("_sd") > 0, F.col("_sd") * F.sqrt(F.lit(float(REACTION_SESSIONS)))))
-            .drop("_near", "_v", "_m", "_sd"))
+    sd = "sqrt(aggregate(_v, 0D, (a, x) -> a + (x - _mean) * (x - _mean)) / size(_v))"
+    got = got.selectExpr("*", f"CASE WHEN size(_v) >= {MIN_VOLATILITY_OBSERVATIONS} THEN {sd} END AS _sd")
+    return got.selectExpr(*[f"`{c}`" for c in probes.columns],
+                          f"CASE WHEN _sd > 0 THEN _sd * sqrt({REACTION_SESSIONS}D) END AS {out}")
 
 
 def move_after(probes: DataFrame, bars: DataFrame, market: DataFrame, date_col: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The invented vocabulary the finding summaries are built from.
@@ -93,30 +93,23 @@ class Tables:
              "operating_cash_flow", "shares_diluted", "rnd_expense"]
 
     def _long(self, quarters: DataFrame, extra_lag: int) -> DataFrame:
-        run = Window.partitionBy("entity_id").orderBy("y", "q").rowsBetween(Window.unboundedPreceding, 0)
-        year = Window.partitionBy("entity_id", "y")
-        wide = quarters.select(
-            "entity_id", "y", "q", *self.FLOWS,
-            F.sum("ext").over(run).alias("assets"), F.sum("ext_tax").over(run).alias("liabilities"),
-            F.sum("ext_disc").over(run).alias("cash"), F.sum("shares_diluted").over(run).alias("shares_outstanding"),
-            *[F.sum(m).over(year).alias(f"{m}_y") for m in self.FLOWS],
-            (F.col("q") == F.max("q").over(year)).alias("closes_year"))
-        q_end = F.last_day(F.make_date("y", F.col("q") * 3, F.lit(1)))
-        y_end = F.make_date("y", F.lit(12), F.lit(31))
-        rows = [F.struct(F.lit(m).alias("metric"), F.lit("quarter").alias("period"),
-                         q_end.alias("period_end"), F.col(m).alias("value")) for m in ("revenue", "shares_diluted")]
-        instants = {"assets": F.col("assets"), "liabilities": F.col("liabilities"), "cash": F.col("cash"),
-                    "equity": F.col("assets") - F.col("liabilities"),
-                    "shares_outstanding": F.col("shares_outstanding")}
-        rows += [F.struct(F.lit(m).alias("metric"), F.lit("instant").alias("period"),
-                          q_end.alias("period_end"), c.alias("value")) for m, c in instants.items()]
-        annual = [F.struct(F.lit(m).alias("metric"), F.lit("year").alias("period"),
-                           y_end.alias("period_end"), F.col(f"{m}_y").alias("value")) for m in self.FLOWS]
-        packed = F.when(F.col("closes_year"), F.array(*rows, *annual)).otherwise(F.array(*rows))
-        lag = (F.lit(FILING_LAG_DAYS + extra_lag) + F.col("entity_id") % FILING_SPREAD).cast("int")
-        return wide.select("entity_id", F.inline(packed)).select(
-            "entity_id", "metric", "period", "period_end",
-            F.date_add("period_end", lag).alias("filed_on"), "value")
+        run = "OVER (PARTITION BY entity_id ORDER BY y, q ROWS UNBOUNDED PRECEDING)"
+        year = "OVER (PARTITION BY entity_id, y)"
+        wide = quarters.selectExpr(
+            "entity_id", "y", "q", *self.FLOWS, f"sum(ext) {run} AS assets", f"sum(ext_tax) {run} AS liabilities",
+            f"sum(ext_disc) {run} AS cash", f"sum(shares_diluted) {run} AS shares_outstanding",
+            *[f"sum({m}) {year} AS {m}_y" for m in self.FLOWS], f"q = max(q) {year} AS closes_year")
+        q_end, y_end = "last_day(make_date(y, q * 3, 1))", "make_date(y, 12, 31)"
+        entry = lambda metric, period, end, value: f"struct('{metric}' AS metric, '{period}' AS period, {end} AS period_end, {value} AS value)"
+        instants = {"assets": "assets", "liabilities": "liabilities", "cash": "cash",
+                    "equity": "assets - liabilities", "shares_outstanding": "shares_outstanding"}
+        rows = [entry(m, "quarter", q_end, m) for m in ("revenue", "shares_diluted")]
+        rows += [entry(m, "instant", q_end, e) for m, e in instants.items()]
+        annual = [entry(m, "year", y_end, f"{m}_y") for m in self.FLOWS]
+        packed = f"CASE WHEN closes_year THEN array({', '.join(rows + annual)}) ELSE array({', '.join(rows)}) END"
+        lag = f"int({FILING_LAG_DAYS + extra_lag} + entity_id % {FILING_SPREAD})"
+        return wide.selectExpr("entity_id", f"inline({packed})").selectExpr(
+            "entity_id", "metric", "period", "period_end", f"date_add(period_end, {lag}) AS filed_on", "value")
 
     @cached_property
     def facts(self) -> DataFrame:
