@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from pitlens.plans import point_in_time, price_queries, scoring, aggregate_queries  # noqa: F401
+from pitlens.plans import point_in_time, price_queries, scoring, aggregate_queries, finding_queries  # noqa: F401
 from pitlens.plans.registry import QUERIES  # noqa: F401
