@@ -49,13 +49,13 @@ def risk_ratios(df: DataFrame, keys: Sequence[str], r: str, periods: int, popula
         F.expr(f"{sd} * {year} AS annualised"), F.expr(f"{down} AS downside"),
         F.expr(f"avg({r}) / nullif({sd}, 0) * {year} AS sharpe"),
         F.expr(f"avg({r}) / nullif({down}, 0) * {year} AS sortino"),
-        F.expr(f"exp(sum(ln(1 + {r}))) - 1 AS compound"))
+        (F.product(1 + F.col(r)) - 1).alias("compound"))
 
 
 def max_drawdown(df: DataFrame, keys: Sequence[str], order: str, r: str) -> DataFrame:
     """Deepest fall from the running peak, the peak starting at one."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    level = df.withColumn("_level", F.exp(F.sum(F.log1p(r)).over(w)))
+    level = df.withColumn("_level", F.product(1 + F.col(r)).over(w))
     peak = level.withColumn("_peak", F.greatest(F.lit(1.0), F.max("_level").over(w)))
     return peak.groupBy(*keys).agg(F.least(F.lit(0.0), F.min(F.col("_level") / F.col("_peak") - 1)).alias("max_drawdown"))
 

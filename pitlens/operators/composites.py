@@ -25,6 +25,8 @@ IRRELEVANT = {
 HEALTH_TESTS = (("return_on_assets", ">", 0.0), ("cash_conversion", ">", 1.0), ("accruals", "<", 0.0),
                 ("leverage_change", "<=", 0.0), ("operating_margin_change", ">", 0.0),
                 ("asset_turnover_change", ">", 0.0), ("net_share_issuance", "<=", 0.0))
+# Scores keep guard digits: means of four-digit percentiles end within eight.
+SCORE_DIGITS = 8
 MIN_FACTORS = 4
 MIN_THEMES = 3
 RND_INTENSITY, REDUCED = 0.10, 0.4
@@ -54,7 +56,7 @@ def flat_composite(scored: DataFrame) -> DataFrame:
     g = scored.groupBy("as_of", "entity_id").agg(
         F.avg("percentile").alias("score"), F.count(F.lit(1)).alias("factor_count"),
         F.array_sort(F.collect_list(F.when((p <= 0.1) | (p >= 0.9), F.col("key")))).alias("extremes"))
-    return g.filter(F.col("factor_count") >= MIN_FACTORS).withColumn("score", F.round("score", 4))
+    return g.filter(F.col("factor_count") >= MIN_FACTORS).withColumn("score", F.round("score", SCORE_DIGITS))
 
 
 def theme_scores(scored: DataFrame, rnd_intensity: Column | None = None) -> DataFrame:
@@ -69,7 +71,7 @@ def weighted_composite(scored: DataFrame, rnd_intensity: Column | None = None) -
     """Mean within a theme, then across at least three themes, so a crowded theme weighs no more."""
     g = theme_scores(scored, rnd_intensity).groupBy("as_of", "entity_id").agg(
         F.avg("theme_score").alias("score"), F.sum("n").alias("factor_count"), F.count(F.lit(1)).alias("themes"))
-    return g.filter(F.col("themes") >= MIN_THEMES).withColumn("score", F.round("score", 4))
+    return g.filter(F.col("themes") >= MIN_THEMES).withColumn("score", F.round("score", SCORE_DIGITS))
 
 
 def health_score(values: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlens.functions import stats
 from pitlens.operators import prices
 
 MIN_SAMPLE_FOR_VERDICT = 30
+POSITIVE, NEGATIVE = "direction = 'positive'", "direction = 'negative'"
 
 
 def abnormal_outcomes(events: DataFrame, bars: DataFrame, market: DataFrame, date_col: str, sessions: int) -> DataFrame:
@@ -32,7 +33,7 @@ def cluster_by_event(outcomes: DataFrame, extra: Sequence[str] = ()) -> DataFram
     w = "greatest(strength, 0.05D)"
     sign = "CASE direction WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END"
     g = outcomes.groupBy(*extra, "entity_id", "day").agg(
-        F.expr(f"sum({w} * ({sign})) AS vote"), F.expr(f"sum({w}) AS total"), F.first("abnormal_pct").alias("abnormal_pct"))
+        F.expr(f"sum({w} * ({sign})) AS vote"), F.expr(f"sum({w}) AS total"), F.max("abnormal_pct").alias("abnormal_pct"))
     return g.selectExpr(*extra, "entity_id", "day", "abnormal_pct", "round(abs(vote) / total, 4) AS strength",
                         "CASE WHEN vote > 1e-12 THEN 'positive' WHEN vote < -1e-12 THEN 'negative' ELSE 'neutral' END AS direction")
 
@@ -51,7 +52,7 @@ def summarise(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.expr(f"round(count_if({right}) / nullif(count_if({directional}), 0), 4) AS hit_rate"),
         F.expr(f"round(greatest({down}, 1 - {down}), 4) AS baseline"),
         *[F.expr(f"round({mean(x)}, 4) AS mean_{x}") for x in ("positive", "negative", "neutral")],
-        F.expr(f"round({stats.welch_t('a', chr(100) + 'irection = ' + repr('positive'), 'direction = ' + repr('negative'))}, 3) AS t"))
+        F.expr(f"round({stats.welch_t('a', POSITIVE, NEGATIVE)}, 3) AS t"))
     ic = stats.spearman(d, keys, "signed", "a", "ic", digits=4).drop("n")
     return g.join(ic, list(keys), "left").withColumn("spread", F.round(F.col("mean_positive") - F.col("mean_negative"), 4)).withColumn(
         "verdict", F.expr(f"CASE WHEN directional < {MIN_SAMPLE_FOR_VERDICT} THEN 'too few' WHEN spread IS NULL THEN 'no spread'"
@@ -68,45 +69,55 @@ def survives(reports: DataFrame, trials: int) -> DataFrame:
     return reports.filter(F.abs("t") >= stats.multiple_testing_threshold(trials))
 
 
-def precedents(cases: DataFrame) -> DataFrame:
-    """Outcome record per (topic, sector) and (topic, all), each entity left out in turn.
+def sector_move_after(probes: DataFrame, bars: DataFrame, market: DataFrame, members: DataFrame, date_col: str,
+                      minimum_peers: int = 5) -> DataFrame:
+    """Peers' mean move against the market, and the series' own move against its peers.
 
-    Percent moves carry two decimals, so a group is its distinct values with counts:
-    cells are per (topic, sector, entity, move), and leaving an entity out subtracts
-    its own cells from the topic totals instead of re-joining every other case.
+    Every member of a sector is measured once per date; a series' peers are the
+    sector totals less itself, so no series-by-series pairs are formed.
     """
-    scopes = cases.selectExpr("topic", "ticker", "move", "inline(array(struct(sector AS scope), struct('*' AS scope)))").filter("scope IS NOT NULL")
-    cell = scopes.groupBy("topic", "scope", "ticker", "move").agg(F.count(F.lit(1)).alias("n"))
-    return cell
+    days = probes.select("brand", F.col(date_col).alias("at_date")).distinct().join(members, "brand")
+    grid = days.select("sector", "at_date").distinct().join(members, "sector").withColumn(
+        "until", F.date_add("at_date", prices.REACTION_DAYS))
+    r = prices.total_return(grid, bars, "at_date", "until", "own")
+    tot = r.groupBy("sector", "at_date").agg(F.sum("own").alias("s"), F.count("own").alias("n"))
+    mine = r.filter("own IS NOT NULL").join(days.select("brand", "at_date"), ["brand", "at_date"]).join(tot, ["sector", "at_date"])
+    mine = prices.market_return(mine, market, "at_date", "until", "market").withColumn("peers", F.col("n") - 1)
+    mine = mine.filter(f"market IS NOT NULL AND peers >= {minimum_peers}").withColumn("grp", (F.col("s") - F.col("own")) / F.col("peers"))
+    return mine.selectExpr("brand", "at_date", "peers", "round((grp - market) * 100, 2) AS peers_percent",
+                           "round((own - grp) * 100, 2) AS versus_peers_percent").withColumn(
+        "moved_together", F.abs("peers_percent") >= F.abs("versus_peers_percent"))
 
 
 def precedent_lookup(cases: DataFrame, min_cases: int = 12, min_companies: int = 8, min_sector: int = 20) -> DataFrame:
-    """For each (topic, entity): the record of everyone else, in its sector when large enough."""
+    """For each (topic, entity) the record of everyone else: its sector's when large enough, else all.
+
+    Counts, sums and shares leave an entity out by subtraction.  The order statistics
+    do too: with m own cases removed, the value at position i lies among positions
+    i .. i + m of the whole sorted record, so only those positions are looked up.
+    Moves carry two decimals, so a record is its distinct values with counts.
+    """
     keys = ["topic", "scope"]
-    cell = precedents(cases)
-    total = cell.groupBy(*keys, "move").agg(F.sum("n").alias("all_n"))
-    asked = cases.select("topic", "ticker", "sector").distinct().selectExpr(
-        "topic", "ticker", "inline(array(struct(sector AS scope), struct('*' AS scope)))").filter("scope IS NOT NULL").distinct()
-    # moves are bounded to 0.01% steps, so this join is (topic, scope) x distinct moves
-    own = cell.select("topic", "scope", "ticker", "move", F.col("n").alias("own_n"))
-    left = asked.join(total, keys).join(own, [*keys, "ticker", "move"], "left").withColumn(
-        "n", F.col("all_n") - F.coalesce("own_n", F.lit(0))).filter("n > 0")
-    companies = cell.groupBy(*keys).agg(F.countDistinct("ticker").alias("companies"))
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys, "ticker")
-    run = left.withColumn("upto", F.sum("n").over(w.orderBy("move"))).withColumn("cases", F.sum("n").over(w))
-    at = lambda i: f"min(CASE WHEN upto > {i} THEN move END)"
-    g = run.groupBy(*keys, "ticker").agg(
-        F.max("cases").alias("cases"), F.expr(f"({at('(cases - 1) DIV 2')} + {at('cases DIV 2')}) / 2 AS med"),
-        F.expr("sum(CASE WHEN move < 0 THEN n ELSE 0 END) / sum(n) AS share_negative"),
-        F.expr(f"round({at('floor(cases * 0.1)')}, 1) AS low"), F.expr(f"round({at('floor(cases * 0.9)')}, 1) AS high"),
-        F.expr("sum(move * n) / sum(n) AS mean"), F.expr("sqrt(greatest(sum(move * move * n) / sum(n) - power(sum(move * n) / sum(n), 2), 0D)) AS sd"))
-    g = g.join(companies, keys).withColumn("companies", F.col("companies") - 1)
-    ok = g.filter(f"cases >= {min_cases} AND companies >= {min_companies}").selectExpr(
-        "topic", "ticker", "scope", "cases", "companies", "round(med, 2) AS median_percent", "round(share_negative, 3) AS share_negative",
-        "low", "high", "round(CASE WHEN sd > 0 THEN mean / (sd / sqrt(cases)) END, 2) AS t")
-    usable = ok.filter(f"scope = '*' OR cases >= {min_sector}")
-    best = usable.withColumn("_r", F.row_number().over(Window.partitionBy("topic", "ticker").orderBy(F.col("scope") == "*")))
+    scoped = cases.selectExpr("topic", "ticker", "move", "inline(array(struct(sector AS scope), struct('*' AS scope)))").filter("scope IS NOT NULL")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("move").alias("s"), F.sum(F.expr("move * move")).alias("q"), F.count_if(F.col("move") < 0).alias("neg")]
+    own = scoped.groupBy(*keys, "ticker").agg(*sums, F.sort_array(F.collect_list("move")).alias("mine"))
+    total = own.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "s", "q", "neg")], F.count(F.lit(1)).alias("entities"))
+    cells = scoped.groupBy(*keys, "move").agg(F.count(F.lit(1)).alias("c")).withColumn(
+        "upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("move")))
+    positions = cells.selectExpr(*keys, "move AS at_move", "upto", "explode(sequence(upto - c, upto - 1)) AS pos")
+    left = own.join(total, keys).selectExpr(
+        *keys, "ticker", "mine", "n AS own_n", "t_n - n AS cases", "entities - 1 AS companies", "t_s - s AS s", "t_q - q AS q", "t_neg - neg AS neg")
+    left = left.filter(f"cases >= {min_cases} AND companies >= {min_companies} AND (scope = '*' OR cases >= {min_sector})")
+    wanted = left.selectExpr(*keys, "ticker", "mine", "own_n", "inline(array(struct('m1' AS what, (cases - 1) DIV 2 AS i), struct('m2' AS what, cases DIV 2 AS i),"
+                             " struct('low' AS what, bigint(floor(cases * 0.1)) AS i), struct('high' AS what, bigint(floor(cases * 0.9)) AS i)))")
+    probes = wanted.selectExpr(*keys, "ticker", "mine", "what", "i", "explode(sequence(i, i + own_n)) AS pos").join(positions, [*keys, "pos"])
+    hit = probes.filter("upto - size(filter(mine, x -> x <= at_move)) > i").groupBy(*keys, "ticker").agg(
+        *[F.min(F.expr(f"CASE WHEN what = '{w}' THEN at_move END")).alias(w) for w in ("m1", "m2", "low", "high")])
+    g = left.join(hit, [*keys, "ticker"])
+    sd = "sqrt(greatest(q / cases - power(s / cases, 2), 0D))"
+    ok = g.selectExpr("topic", "ticker", "scope", "cases", "companies", "round((m1 + m2) / 2, 3) AS median_percent", "round(neg / cases, 3) AS share_negative",
+                      "round(low, 1) AS low", "round(high, 1) AS high", f"round(CASE WHEN {sd} > 0 THEN (s / cases) / ({sd} / sqrt(cases)) END, 2) AS t")
+    best = ok.withColumn("_r", F.row_number().over(Window.partitionBy("topic", "ticker").orderBy(F.col("scope") == "*")))
     one_sided = "greatest(share_negative, 1 - share_negative) >= 0.70"
     return best.filter("_r = 1").drop("_r").withColumn("is_directional", F.expr(
         f"{one_sided} AND CASE WHEN t IS NULL THEN abs(median_percent) >= 1.0 ELSE abs(t) >= 2.9 END"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pitlens.operators import prices
 from pitlens.operators.pit import nearby
-from pitlens.operators.ranks import comparable_pool, percentile_rank, rank_slices
+from pitlens.operators.ranks import comparable_pool, percentile_rank
 from pitlens.session import cut_lineage
 
 MIN_DENOMINATOR = 1.0
@@ -202,9 +202,8 @@ def score(rows: DataFrame, slices: int | None = None) -> DataFrame:
     `rows` is `factor_rows` output: pools are counted and joined before the factors
     are unpacked, so the join carries one row per entity.
     """
-    slices = rank_slices(rows) if slices is None else slices
-    if slices > 1:
-        rows = cut_lineage(rows)
+    # counted and joined below: compute the panel once, and survive a lost executor cheaply
+    rows = cut_lineage(rows)
     members = rows.filter(F.col("sector").isNotNull()).groupBy("as_of", "sector").agg(F.count(F.lit(1)).alias("members"))
     pooled = rows.join(members, ["as_of", "sector"], "left").withColumn(
         "pool", comparable_pool(F.col("sector"), F.col("members"))).filter(F.col("pool").isNotNull())

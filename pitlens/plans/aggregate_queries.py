@@ -173,14 +173,14 @@ _DOWN = "sqrt(sum(pow(least(0.0, ret), 2)) / (count(*) - 1))"
 
 
 @query("risk_ratios", "AGG-24 AGG-25", f"""select brand, {R('stddev_samp(ret) * sqrt(12)')} annualised, {R(_DOWN)} downside, {R('avg(ret) / stddev_samp(ret) * sqrt(12)')} sharpe,
- {R(f'avg(ret) / {_DOWN} * sqrt(12)')} sortino, {R('exp(sum(ln(1 + ret))) - 1')} compound from monthly group by 1""", "monthly")
+ {R(f'avg(ret) / {_DOWN} * sqrt(12)')} sortino, {R('product(1 + ret) - 1')} compound from monthly group by 1""", "monthly")
 def _(t):
     d = agg.risk_ratios(agg.monthly_returns(t.bars), ["brand"], "ret", 12)
     return d.select("brand", *[F.round(c, 6).alias(c) for c in d.columns[1:]])
 
 
 @query("max_drawdown", "WIN-15", f"""select brand, {R('least(0, min(level / greatest(1, peak) - 1))', 6)} max_drawdown from (select *, max(level) over (partition by brand order by month rows unbounded preceding) peak from (
- select brand, month, exp(sum(ln(1 + ret)) over (partition by brand order by month rows unbounded preceding)) level from monthly)) group by 1""", "monthly")
+ select brand, month, (product(1 + ret) over (partition by brand order by month rows unbounded preceding)) level from monthly)) group by 1""", "monthly")
 def _(t):
     return agg.max_drawdown(agg.monthly_returns(t.bars), ["brand"], "month", "ret").withColumn("max_drawdown", F.round("max_drawdown", 6))
 

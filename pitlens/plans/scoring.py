@@ -85,11 +85,11 @@ def factor_views(tag: str, dates: list[str]) -> None:
  (rank() over (partition by as_of, key, pool order by value) - 1 + (count(*) over (partition by as_of, key, pool, value) - 1) / 2.0)
   / greatest(count(*) over (partition by as_of, key, pool) - 1, 1) p
  from {T}_raw join {T}_pools using (as_of, entity_id)) where universe_size >= 8""", f"{T}_raw {T}_pools")
-    v("flat", f"""select as_of, entity_id, (round(avg(percentile), 4) + 0.0) score, count(*) factor_count,
+    v("flat", f"""select as_of, entity_id, (round(avg(percentile), 8) + 0.0) score, count(*) factor_count,
  coalesce(array_to_string(list_sort(list(key) filter (percentile <= 0.1 or percentile >= 0.9)), ','), '') extremes from {T}_scored group by 1,2 having count(*) >= 4""", f"{T}_scored")
     theme = "case " + " ".join(f"when key in ({', '.join(repr(k) for k in ks)}) then '{th}'" for th, ks in composites.THEMES.items()) + " end"
     v("themes", f"select as_of, entity_id, {theme} theme, avg(percentile) theme_score, count(*) n from {T}_scored group by 1,2,3", f"{T}_scored")
-    v("cond", f"select as_of, entity_id, (round(avg(theme_score), 4) + 0.0) score, sum(n)::bigint factor_count, count(*) themes from {T}_themes group by 1,2 having count(*) >= 3", f"{T}_themes")
+    v("cond", f"select as_of, entity_id, (round(avg(theme_score), 8) + 0.0) score, sum(n)::bigint factor_count, count(*) themes from {T}_themes group by 1,2 having count(*) >= 3", f"{T}_themes")
 
 
 factor_views("one", [AS_OF])
@@ -172,7 +172,7 @@ def _(t):
 _adj = "0.5 + (percentile - 0.5) * case when key='book_to_price' and rnd >= 0.1 then 0.4 else 1.0 end"
 view("one_rnd", """select r.entity_id, d.value / r.value rnd from (select * from one_yr where metric='revenue' and back=0 and fresh) r
  join (select * from one_yr where metric='rnd_expense' and back=0 and fresh) d using (entity_id)""", "one_yr")
-view("one_cond_rnd", f"""select entity_id, (round(avg(ts), 4) + 0.0) score, sum(n)::bigint factor_count, count(*) themes from (
+view("one_cond_rnd", f"""select entity_id, (round(avg(ts), 8) + 0.0) score, sum(n)::bigint factor_count, count(*) themes from (
  select entity_id, case """ + " ".join(f"when key in ({', '.join(repr(k) for k in ks)}) then '{th}'" for th, ks in composites.THEMES.items()) +
      f""" end theme, avg({_adj}) ts, count(*) n from one_scored left join one_rnd using (entity_id) group by 1,2) group by 1 having count(*) >= 3""", "one_scored one_rnd")
 
