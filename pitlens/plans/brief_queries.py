@@ -277,9 +277,9 @@ def entity_summary(t):
     return g.join(tones, "entity_id", "left")
 
 
-@query("entity_summaries", "BRF-06 WIN-19", f"select entity_id, findings, risks, bearish, bullish, major, {R('avg_confidence', 9)} avg_confidence, top_finding, {R('sentiment', 6)} sentiment, {R('trend', 6)} trend, length(sparkline) - length(replace(sparkline, ' ', '')) + 1 as readings from entity_summary", "entity_summary")
+@query("entity_summaries", "BRF-06 WIN-19", f"select entity_id, findings, risks, bearish, bullish, major, {R('avg_confidence + 1e-12', 9)} avg_confidence, top_finding, {R('sentiment', 6)} sentiment, {R('trend', 6)} trend, length(sparkline) - length(replace(sparkline, ' ', '')) + 1 as readings from entity_summary", "entity_summary")
 def _(t):
-    return entity_summary(t).selectExpr("entity_id", "findings", "risks", "bearish", "bullish", "major", "round(avg_confidence, 9) AS avg_confidence", "top_finding", "round(sentiment, 6) AS sentiment", "round(trend, 6) AS trend",
+    return entity_summary(t).selectExpr("entity_id", "findings", "risks", "bearish", "bullish", "major", "round(avg_confidence + 1e-12, 9) AS avg_confidence", "top_finding", "round(sentiment, 6) AS sentiment", "round(trend, 6) AS trend",
                                         "bigint(size(split(sparkline, ' '))) AS readings").withColumn("readings", F.when(F.col("sentiment").isNotNull(), F.col("readings")))
 
 
