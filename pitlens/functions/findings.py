@@ -93,3 +93,20 @@ def effective_age_days(occurred: str, quote: str, now: str) -> str:
     days = lambda at: f"floor((unix_micros({now}) - unix_micros({at})) / 86400000000D)"
     ends = f"timestamp(make_date({newest_quoted_year(quote)}, 12, 31))"
     return f"greatest({days(occurred)}, {days(ends)})"
+
+
+# Bounds of believable figures and the words of an earnings release.
+EPS_BOUNDS, MIN_REVENUE = (-100, 100), 1_000_000
+EARNINGS_WORDS = "earnings per|diluted eps|\\\\bEPS\\\\b|net revenue|total revenue"
+
+
+def plausible_eps(value: str) -> str:
+    return f"CASE WHEN {value} BETWEEN {EPS_BOUNDS[0]} AND {EPS_BOUNDS[1]} THEN {value} END"
+
+
+def plausible_revenue(value: str) -> str:
+    return f"CASE WHEN {value} >= {MIN_REVENUE} THEN {value} END"
+
+
+def looks_like_earnings(text: str) -> str:
+    return f"coalesce({text} RLIKE '(?i)({EARNINGS_WORDS})', false)"

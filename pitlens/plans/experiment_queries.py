@@ -156,13 +156,13 @@ def _(t):
     return d.withColumn("place", F.row_number().over(w).cast("long"))
 
 
-@query("parsed_decisions", "FN-32", f"""select user_id, ticker, {R("case when action='buy' then weight else -weight end / greatest(1.0, sum(weight) over (partition by user_id)) * 1.000000001", 8)} w from (select user_id, brand ticker, case when shares % 3 = 0 then 'short' when shares % 7 = 0 then 'pass' else 'buy' end action, (round(shares / 500, 4) + 0.0) weight from positions) where action in ('buy','short') and weight > 0""", "positions")
+@query("parsed_decisions", "FN-32", f"""select user_id, ticker, {R("case when action='buy' then weight else -weight end / greatest(1.0, sum(weight) over (partition by user_id))", 10)} w from (select user_id, brand ticker, case when shares % 3 = 0 then 'short' when shares % 7 = 0 then 'pass' else 'buy' end action, (round(shares / 500, 4) + 0.0) weight from positions) where action in ('buy','short') and weight > 0""", "positions")
 def _(t):
     p = t.positions.selectExpr("user_id", "brand AS ticker", "CASE WHEN shares % 3 = 0 THEN 'short' WHEN shares % 7 = 0 THEN 'pass' ELSE 'buy' END AS action", "round(shares / 500, 4) AS weight")
     # a book is at most one position per brand
     texts = p.groupBy("user_id").agg(F.expr("concat('Here is the book: ', to_json(struct(collect_list(struct(ticker, action, weight)) AS positions)), ' Thank you.') AS reply"))
     d = ex.normalise_decisions(ex.parse_decisions(texts, ["user_id"], "reply"), ["user_id"])
-    return d.select("user_id", "ticker", F.round(F.col("w") * 1.000000001, 8).alias("w"))
+    return d.select("user_id", "ticker", F.round("w", 10).alias("w"))
 
 
 # ---- audits ------------------------------------------------------------------
