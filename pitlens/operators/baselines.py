@@ -18,7 +18,7 @@ def counts_before(df: DataFrame, keys: Sequence[str], row_id: str, ts: str, flag
     """Sum each 0/1 flag over rows of the same key in [t - window, t), the row itself left out.
 
     A range frame over (key) would put a whole hot key in one task.  Instead counts
-    are pre-aggregated per (key, unit of time) and framed over units, and only the
+    are pre-aggregated per (key, unit of time) and summed over units, and only the
     two edge units are ordered row by row: the unit holding t, and the unit one
     window earlier, whose rows visit this one as negative entries.
     """
@@ -33,9 +33,12 @@ def counts_before(df: DataFrame, keys: Sequence[str], row_id: str, ts: str, flag
     edge = Window.partitionBy(*keys, "_u").orderBy("_off").rangeBetween(Window.unboundedPreceding, -1)
     inside = own.unionByName(expiring).select(
         *keys, row_id, "_u", "_own", *[F.coalesce(F.sum(f).over(edge), F.lit(0)).alias(f"_e_{f}") for f in flags]).filter("_own")
-    units = d.groupBy(*keys, "_u").agg(*[F.sum(f).alias(f) for f in flags])
-    frame = Window.partitionBy(*keys).orderBy("_u").rangeBetween(-span, -1)
-    units = units.select(*keys, "_u", *[F.coalesce(F.sum(f).over(frame), F.lit(0)).alias(f"_w_{f}") for f in flags])
+    # whole units inside the window: a running sum in which each unit leaves again one window later
+    unit_sums = d.groupBy(*keys, "_u").agg(*[F.sum(f).alias(f) for f in flags])
+    leaving = unit_sums.select(*keys, (F.col("_u") + span).alias("_u"), *[(-F.col(f)).alias(f) for f in flags], F.lit(False).alias("_own"))
+    earlier = Window.partitionBy(*keys).orderBy("_u").rangeBetween(Window.unboundedPreceding, -1)
+    units = unit_sums.withColumn("_own", F.lit(True)).unionByName(leaving).select(
+        *keys, "_u", "_own", *[F.coalesce(F.sum(f).over(earlier), F.lit(0)).alias(f"_w_{f}") for f in flags]).filter("_own").drop("_own")
     got = inside.join(units, [*keys, "_u"]).select(
         row_id, *[(F.col(f"_e_{f}") + F.col(f"_w_{f}")).alias(f"{prefix}{f}") for f in flags])
     return df.join(got, row_id)

@@ -202,9 +202,9 @@ def _(t):
                                  "substring(sha2(summary, 256), 1, 16) AS fingerprint")
 
 
-@query("plausible_figures", "FN-28", r"""select o_orderkey, case when o_totalprice / 2000 - 60 between -100 and 100 then (round(o_totalprice / 2000 - 60, 4) + 0.0) end eps, case when o_totalprice * 4 >= 1000000 then (round(o_totalprice * 4, 2) + 0.0) end revenue,
+@query("plausible_figures", "FN-28", r"""select o_orderkey, case when o_totalprice / 2000 - 60 between -100 and 100 then (round(o_totalprice / 2000 - 60, 6) + 0.0) end eps, case when o_totalprice * 4 >= 1000000 then (round(o_totalprice * 4, 2) + 0.0) end revenue,
  o_orderkey % 3 = 0 or o_orderkey % 3 = 1 looks from orders""")
 def _(t):
     words = "element_at(array('Diluted EPS of one', 'NET REVENUE grew', 'Steps taken'), int(o_orderkey % 3) + 1)"
-    return t.orders.selectExpr("o_orderkey", f"round({fx.plausible_eps('(o_totalprice / 2000 - 60)')}, 4) AS eps", f"round({fx.plausible_revenue('(o_totalprice * 4)')}, 2) AS revenue",
+    return t.orders.selectExpr("o_orderkey", f"round({fx.plausible_eps('(o_totalprice / 2000 - 60)')}, 6) AS eps", f"round({fx.plausible_revenue('(o_totalprice * 4)')}, 2) AS revenue",
                                f"{fx.looks_like_earnings(words)} AS looks")

@@ -26,7 +26,7 @@ HORIZONS = ["near_term", "multi_quarter", "structural"]
 # Events happen in 2024, prices end in 2001: findings are read 24 years earlier.
 PRICE_SHIFT_DAYS = 8766
 NOW = "2024-01-31 00:00:00"
-FILING_LAG_DAYS, FILING_SPREAD, RESTATEMENT_LAG = 30, 45, 180
+FILING_LAG_DAYS, FILING_SPREAD, RESTATEMENT_LAG_DAYS = 30, 45, 180
 
 
 def pick(options: list[str], index: Column) -> Column:
@@ -70,56 +70,58 @@ class Tables:
             F.col("c_acctbal").alias("size"), F.col("c_mktsegment").alias("tier"))
 
     # -- filed figures ----------------------------------------------------
-    def _quarters(self, original: bool) -> DataFrame:
-        li = self.lineitem
-        if original:
-            li = li.filter(F.col("l_returnflag") != "R")
-        ext, disc, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
-        cash = F.when(F.col("l_linestatus") == "F", ext * (disc - tax)).otherwise(0.0)
-        return li.groupBy(
-            F.col("l_suppkey").alias("entity_id"), F.year("l_shipdate").alias("y"),
-            F.quarter("l_shipdate").alias("q"),
-        ).agg(
-            F.sum(ext * (1 - disc)).alias("revenue"),
-            F.sum(ext * (1 - disc - tax)).alias("gross_profit"),
-            F.sum(ext * (disc - tax)).alias("net_income"),
-            F.sum(ext * (disc - tax / 2)).alias("operating_income"),
-            F.sum(cash).alias("operating_cash_flow"),
-            F.sum("l_quantity").alias("shares_diluted"),
-            F.sum(ext * tax * 2.4).alias("rnd_expense"),
-            F.sum(ext).alias("ext"), F.sum(ext * tax).alias("ext_tax"), F.sum(ext * disc).alias("ext_disc"))
-
     FLOWS = ["revenue", "gross_profit", "net_income", "operating_income",
              "operating_cash_flow", "shares_diluted", "rnd_expense"]
 
-    def _long(self, quarters: DataFrame, extra_lag: int) -> DataFrame:
+    def _quarters(self, versions: list[str]) -> DataFrame:
+        """Quarterly sums per filer; `_o` columns leave returned lines out. One scan serves every version."""
+        ext, disc, tax = "l_extendedprice", "l_discount", "l_tax"
+        amounts = {"revenue": f"{ext} * (1 - {disc})", "gross_profit": f"{ext} * (1 - {disc} - {tax})", "net_income": f"{ext} * ({disc} - {tax})",
+                   "operating_income": f"{ext} * ({disc} - {tax} / 2)",
+                   "operating_cash_flow": f"CASE WHEN l_linestatus = 'F' THEN {ext} * ({disc} - {tax}) ELSE 0D END",
+                   "shares_diluted": "l_quantity", "rnd_expense": f"{ext} * {tax} * 2.4D",
+                   "ext": ext, "ext_tax": f"{ext} * {tax}", "ext_disc": f"{ext} * {disc}"}
+        keep = {"": "true", "_o": "l_returnflag <> 'R'"}
+        aggs = [F.expr(f"sum(CASE WHEN {keep[v]} THEN {a} END) AS {n}{v}") for v in versions for n, a in amounts.items()]
+        return self.lineitem.groupBy(F.col("l_suppkey").alias("entity_id"), F.year("l_shipdate").alias("y"),
+                                     F.quarter("l_shipdate").alias("q")).agg(*aggs)
+
+    def _long(self, versions: dict[str, int]) -> DataFrame:
+        """Filed figures from the quarters: per version its columns' suffix and extra filing lag in days."""
         run = "OVER (PARTITION BY entity_id ORDER BY y, q ROWS UNBOUNDED PRECEDING)"
         year = "OVER (PARTITION BY entity_id, y)"
-        wide = quarters.selectExpr(
-            "entity_id", "y", "q", *self.FLOWS, f"sum(ext) {run} AS assets", f"sum(ext_tax) {run} AS liabilities",
-            f"sum(ext_disc) {run} AS cash", f"sum(shares_diluted) {run} AS shares_outstanding",
-            *[f"sum({m}) {year} AS {m}_y" for m in self.FLOWS], f"q = max(q) {year} AS closes_year")
+        stock = {"assets": "ext", "liabilities": "ext_tax", "cash": "ext_disc", "shares_outstanding": "shares_diluted"}
+        columns = ["entity_id", "y", "q"]
+        for v in versions:
+            columns += [f"{m}{v}" for m in self.FLOWS]
+            columns += [f"sum({src}{v}) {run} AS {m}{v}" for m, src in stock.items()]
+            columns += [f"sum({m}{v}) {year} AS {m}_y{v}" for m in self.FLOWS]
+            columns += [f"ext{v} IS NOT NULL AS filed{v}", f"q = max(CASE WHEN ext{v} IS NOT NULL THEN q END) {year} AS closes_year{v}"]
+        wide = self._quarters(list(versions)).selectExpr(*columns)
         q_end, y_end = "last_day(make_date(y, q * 3, 1))", "make_date(y, 12, 31)"
-        entry = lambda metric, period, end, value: f"struct('{metric}' AS metric, '{period}' AS period, {end} AS period_end, {value} AS value)"
-        instants = {"assets": "assets", "liabilities": "liabilities", "cash": "cash",
-                    "equity": "assets - liabilities", "shares_outstanding": "shares_outstanding"}
-        rows = [entry(m, "quarter", q_end, m) for m in ("revenue", "shares_diluted")]
-        rows += [entry(m, "instant", q_end, e) for m, e in instants.items()]
-        annual = [entry(m, "year", y_end, f"{m}_y") for m in self.FLOWS]
-        packed = f"CASE WHEN closes_year THEN array({', '.join(rows + annual)}) ELSE array({', '.join(rows)}) END"
-        lag = f"int({FILING_LAG_DAYS + extra_lag} + entity_id % {FILING_SPREAD})"
+        parts = []
+        for v, extra in versions.items():
+            entry = lambda metric, period, end, value: (f"struct('{metric}' AS metric, '{period}' AS period, {end} AS period_end,"
+                                                        f" {value} AS value, {extra} AS extra)")
+            instants = {m: f"{m}{v}" for m in ("assets", "liabilities", "cash")}
+            instants |= {"equity": f"assets{v} - liabilities{v}", "shares_outstanding": f"shares_outstanding{v}"}
+            rows = [entry(m, "quarter", q_end, f"{m}{v}") for m in ("revenue", "shares_diluted")]
+            rows += [entry(m, "instant", q_end, e) for m, e in instants.items()]
+            annual = [entry(m, "year", y_end, f"{m}_y{v}") for m in self.FLOWS]
+            parts.append(f"CASE WHEN closes_year{v} THEN array({', '.join(rows + annual)}) WHEN filed{v} THEN array({', '.join(rows)}) END")
+        packed = parts[0] if len(parts) == 1 else f"flatten(filter(array({', '.join(parts)}), a -> a IS NOT NULL))"
+        lag = f"int({FILING_LAG_DAYS} + extra + entity_id % {FILING_SPREAD})"
         return wide.selectExpr("entity_id", f"inline({packed})").selectExpr(
             "entity_id", "metric", "period", "period_end", f"date_add(period_end, {lag}) AS filed_on", "value")
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self._long(self._quarters(original=False), 0)
+        return self._long({"": 0})
 
     @cached_property
     def facts_restated(self) -> DataFrame:
         """Each period filed twice: without returned lines, then in full 180 days later."""
-        return self._long(self._quarters(original=True), 0).unionByName(
-            self._long(self._quarters(original=False), RESTATEMENT_LAG))
+        return self._long({"_o": 0, "": RESTATEMENT_LAG_DAYS})
 
     # -- prices -----------------------------------------------------------
     @cached_property
