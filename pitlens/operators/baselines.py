@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlens.functions.stats import shrunk_rate
+from pitlens.session import cut_lineage
 
 MIN_SAMPLES, PRIOR_WEIGHT, ANOMALY_RATE = 10, 10.0, 0.10
 LABELS = ("minor", "moderate", "major")
@@ -26,22 +27,22 @@ def counts_before(df: DataFrame, keys: Sequence[str], row_id: str, ts: str, flag
     unit = unit_seconds * 1_000_000
     span = window_days * 86400 // unit_seconds
     d = df.withColumn("_us", F.unix_micros(ts)).withColumn("_u", F.floor(F.col("_us") / unit)).withColumn(
-        "_off", F.col("_us") - F.col("_u") * unit)
-    own = d.select(*keys, row_id, "_u", "_off", *flags, F.lit(True).alias("_own"))
-    expiring = d.select(*keys, row_id, (F.col("_u") + span).alias("_u"), "_off",
-                        *[(-F.col(f)).alias(f) for f in flags], F.lit(False).alias("_own"))
-    edge = Window.partitionBy(*keys, "_u").orderBy("_off").rangeBetween(Window.unboundedPreceding, -1)
-    inside = own.unionByName(expiring).select(
-        *keys, row_id, "_u", "_own", *[F.coalesce(F.sum(f).over(edge), F.lit(0)).alias(f"_e_{f}") for f in flags]).filter("_own")
-    # whole units inside the window: a running sum in which each unit leaves again one window later
-    unit_sums = d.groupBy(*keys, "_u").agg(*[F.sum(f).alias(f) for f in flags])
-    leaving = unit_sums.select(*keys, (F.col("_u") + span).alias("_u"), *[(-F.col(f)).alias(f) for f in flags], F.lit(False).alias("_own"))
-    earlier = Window.partitionBy(*keys).orderBy("_u").rangeBetween(Window.unboundedPreceding, -1)
-    units = unit_sums.withColumn("_own", F.lit(True)).unionByName(leaving).select(
-        *keys, "_u", "_own", *[F.coalesce(F.sum(f).over(earlier), F.lit(0)).alias(f"_w_{f}") for f in flags]).filter("_own").drop("_own")
-    got = inside.join(units, [*keys, "_u"]).select(
-        row_id, *[(F.col(f"_e_{f}") + F.col(f"_w_{f}")).alias(f"{prefix}{f}") for f in flags])
-    return df.join(got, row_id)
+        "_off", F.col("_us") - F.col("_u") * unit).drop("_us")
+    # every row enters at its unit and leaves again one window later
+    both = F.explode(F.array(F.lit(0), F.lit(span)))
+    signed = lambda f: F.when(F.col("_shift") == 0, F.col(f)).otherwise(-F.col(f))
+    before = Window.unboundedPreceding
+
+    def sums(rows: DataFrame, order: str, within: list[str], tag: str) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(order).rangeBetween(before, -1)
+        moved = rows.withColumn("_shift", both).withColumn("_u", F.col("_u") + F.col("_shift"))
+        summed = moved.select("*", *[F.coalesce(F.sum(signed(f)).over(w), F.lit(0)).alias(f"{tag}{f}") for f in flags])
+        return summed.filter("_shift = 0").drop("_shift")
+
+    inside = sums(d, "_off", [*keys, "_u"], "_e_")
+    units = sums(d.groupBy(*keys, "_u").agg(*[F.sum(f).alias(f) for f in flags]), "_u", keys, "_w_").drop(*flags)
+    got = inside.join(units, [*keys, "_u"])
+    return got.select(*df.columns, *[(F.col(f"_e_{f}") + F.col(f"_w_{f}")).alias(f"{prefix}{f}") for f in flags])
 
 
 def evidence_scores(findings: DataFrame, window_days: int) -> DataFrame:
@@ -52,6 +53,7 @@ def evidence_scores(findings: DataFrame, window_days: int) -> DataFrame:
     d = findings.select("finding_id", "entity_id", "event_type", "occurred_at", "magnitude",
                         *[F.when(F.col("magnitude") == l, 1).otherwise(0).alias(l) for l in LABELS])
     d = counts_before(d, ["entity_id", "event_type"], "finding_id", "occurred_at", LABELS, window_days, "own_")
+    d = cut_lineage(d)
     d = counts_before(d, ["event_type"], "finding_id", "occurred_at", LABELS, window_days, "all_", unit_seconds=60)
     pick = lambda p: "CASE magnitude " + " ".join(f"WHEN '{l}' THEN {p}{l}" for l in LABELS) + " END"
     d = d.selectExpr("finding_id", "entity_id", "event_type", "magnitude",

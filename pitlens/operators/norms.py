@@ -115,9 +115,9 @@ def restated(findings: DataFrame, scope: tuple[str, ...] = ("entity_id",)) -> Da
     d = findings.selectExpr("finding_id", "document_id", "occurred_at", *keys,
                             f"array_sort({tokens('summary')}) AS toks", f"array_sort({figures('summary')}) AS figs").filter("size(toks) > 0")
     stmt = f"sha2(concat_ws('|', {', '.join(f'string({k})' for k in keys)}, array_join(toks, ' '), array_join(figs, ' ')), 256)"
-    d = d.withColumn("stmt", F.expr(stmt))
+    d = cut_lineage(d.withColumn("stmt", F.expr(stmt)))
     first = _first_two_documents(d, "stmt")
-    shapes = d.select("stmt", *keys, "toks", "figs").dropDuplicates(["stmt"])
+    shapes = cut_lineage(d.select("stmt", *keys, "toks", "figs").dropDuplicates(["stmt"]))
     df = shapes.select(*keys, F.explode("toks").alias("tok")).groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("df"))
     ranked = shapes.select("stmt", *keys, "toks", "figs", F.explode("toks").alias("tok")).join(df, [*keys, "tok"]).groupBy(
         "stmt", *keys, "toks", "figs").agg(F.expr("transform(array_sort(collect_list(struct(df, tok))), r -> r.tok) AS rare"))

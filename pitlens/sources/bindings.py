@@ -1,6 +1,6 @@
 """Domain views over the landed star-schema tables.
 
-Every view is a DataFrame; nothing is materialised here.  Each aggregation that
+Every view is a DataFrame; only the daily bars are materialised.  Each aggregation that
 builds a view has a map-side partial step, so a hot entity, brand or day costs
 one row per map task in the shuffle, and what is left per entity afterwards is
 bounded by the calendar (quarters of filings, sessions of prices).
@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitlens.session import cut_lineage
+
 # The invented vocabulary the finding summaries are built from.
 WORDS_A = ["supplier", "regulation", "lawsuit", "deficiency", "backlog",
            "inflation", "capex", "refinancing", "resignation", "competition"]
@@ -126,18 +128,20 @@ class Tables:
     # -- prices -----------------------------------------------------------
     @cached_property
     def bars(self) -> DataFrame:
+        """Daily bars, at most one row per series and day; written once because every price
+        operator reads them several times and the trades behind them are the largest table."""
         price = F.col("l_extendedprice") / F.col("l_quantity")
         lines = self.lineitem.join(self.part.select("p_partkey", "p_brand"),
                                    F.col("l_partkey") == F.col("p_partkey"))
-        return lines.groupBy(F.col("p_brand").alias("brand"), F.to_date("l_shipdate").alias("session_date")).agg(
+        return cut_lineage(lines.groupBy(F.col("p_brand").alias("brand"), F.to_date("l_shipdate").alias("session_date")).agg(
             F.avg(price).alias("close"), F.avg(price * (1 - F.col("l_discount"))).alias("adjusted_close"),
-            F.sum("l_quantity").alias("volume"))
+            F.sum("l_quantity").alias("volume")))
 
     @cached_property
     def benchmark_bars(self) -> DataFrame:
         price = F.col("l_extendedprice") / F.col("l_quantity")
-        return self.lineitem.groupBy(F.to_date("l_shipdate").alias("session_date")).agg(
-            F.avg(price).alias("close"), F.avg(price * (1 - F.col("l_discount"))).alias("adjusted_close"))
+        return cut_lineage(self.lineitem.groupBy(F.to_date("l_shipdate").alias("session_date")).agg(
+            F.avg(price).alias("close"), F.avg(price * (1 - F.col("l_discount"))).alias("adjusted_close")))
 
     # -- findings ---------------------------------------------------------
     @cached_property
