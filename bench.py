@@ -17,7 +17,7 @@ HEADLINE = [
     "revenue_growth_ranked", "factor_library", "score_universe", "score_panel_many_dates", "restatements_resolved",
     "price_on_or_before", "typical_move", "move_after_disclosure", "evidence_baseline", "norms_by_hierarchy",
     "incidence_excess", "restated_findings", "evaluate_findings", "precedents", "backtest_factor_results",
-    "measured_arm_books", "newey_west_t", "bootstrap_interval", "portfolio_totals", "build_briefs", "paragraphs_new_word_for_word",
+    "measured_arm_books", "newey_west_t", "bootstrap_interval", "portfolio_totals", "build_briefs", "extract_section",
     "quotes_in_source", "text_search", "score_events",
 ]
 

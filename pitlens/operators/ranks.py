@@ -40,9 +40,9 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, rank: str, size
     cuts = base.groupBy(*keys).agg(F.percentile_approx(value, F.array(*map(F.lit, steps)), F.lit(1000)).alias("_cuts"))
     cut = base.join(cuts, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     below = Window.partitionBy(*keys).orderBy("_slice")
-    counts = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_before", F.sum("_n").over(below) - F.col("_n")).withColumn(
-        size, F.sum("_n").over(Window.partitionBy(*keys))).drop("_n")
+    counts = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_held"))
+    counts = counts.withColumn("_before", F.sum("_held").over(below) - F.col("_held")).withColumn(
+        size, F.sum("_held").over(Window.partitionBy(*keys))).drop("_held")
     w = Window.partitionBy(*keys, "_slice").orderBy(value)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_slice", value)) - 1
     return (cut.withColumn(rank, F.rank().over(w) - 1 + ties / 2).join(counts, [*keys, "_slice"])

@@ -344,7 +344,7 @@ view("word_counts", f"select entity, subtype, w, count(*) n from (select entity,
 @query("multiset_divergence", "SET-05", f"""select entity, {R('1 - sum(least(a, b)) / greatest(sum(greatest(a, b)), 1)::double', 6)} divergence from (select entity, w, coalesce(sum(n) filter (subtype='en'), 0) a,
  coalesce(sum(n) filter (subtype='fr'), 0) b from word_counts where subtype in ('en','fr') group by 1,2) group by 1""", "word_counts")
 def _(t):
-    w = t.filings.filter(F.col("subtype").isin("en", "fr")).selectExpr("entity", "subtype", r"explode(filter(split(lower(text), '\\s+'), w -> length(w) > 3)) AS w")
+    w = t.filing_texts.filter(F.col("subtype").isin("en", "fr")).selectExpr("entity", "subtype", r"explode(filter(split(lower(text), '\\s+'), w -> length(w) > 3)) AS w")
     g = w.groupBy("entity", "w").agg(F.count_if(F.col("subtype") == "en").alias("a"), F.count_if(F.col("subtype") == "fr").alias("b"))
     return g.groupBy("entity").agg(F.expr("round(1 - sum(least(a, b)) / greatest(sum(greatest(a, b)), 1), 6) AS divergence"))
 

@@ -10,7 +10,7 @@ from pitlens.plans.brief_queries import earnings
 from pitlens.plans.registry import query
 from pitlens.plans.scoring import QUARTERLY, scored
 from pitlens.plans.views import R, view
-from pitlens.session import checkpoint_dir, cut_lineage
+from pitlens.session import checkpoint_dir, cut_lineage, spread
 from pitlens.sources import html, landed, sinks
 
 
@@ -86,12 +86,12 @@ def _(t):
 
 @query("page_texts", "SRC-09")
 def _(t):
-    return t.pages.select("page_id", html.html_to_text("html").alias("text")).selectExpr("page_id", "length(text) AS chars", "md5(text) AS digest")
+    return spread(t.pages).select("page_id", html.html_to_text("html").alias("text")).selectExpr("page_id", "length(text) AS chars", "md5(text) AS digest")
 
 
 @query("article_bodies", "SRC-19")
 def _(t):
-    return t.pages.select("page_id", html.article_body.asNondeterministic()("html").alias("a")).selectExpr("page_id", "a.outcome AS outcome", "length(a.text) AS chars")
+    return spread(t.pages).select("page_id", html.article_body.asNondeterministic()("html").alias("a")).selectExpr("page_id", "a.outcome AS outcome", "length(a.text) AS chars")
 
 
 @query("assembled_exhibits", "SRC-10", "select conv_id, count(*) exhibits, md5(string_agg(text, chr(10) || chr(10) order by turn)) digest from (select *, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) run from conversations where role <> 'system') where run <= 1500 group by 1")

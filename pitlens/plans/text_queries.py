@@ -11,7 +11,7 @@ from pitlens.session import cut_lineage
 
 def filed(t):
     """Filings laid out as items: the text, one sentence per line, between two item headers."""
-    return t.filings.withColumn("text", F.expr(
+    return t.filing_texts.withColumn("text", F.expr(
         r"concat('Item 1A. Risk Factors\nTable of contents 3\n', replace(text, '. ', '.\n'), '\n12\nItem 2. Properties\nnone.')"))
 
 
@@ -120,7 +120,7 @@ view("postings", f"""select term, doc_id, entity, subtype, field, count(*) tf fr
 
 
 def index(t):
-    return search.postings(t.filings.withColumn("title", F.expr(r"substring_index(text, '\n', 1)")), "title", "text")
+    return search.postings(t.filing_texts.withColumn("title", F.expr(r"substring_index(text, '\n', 1)")), "title", "text")
 
 
 @query("postings_by_document", "TXT-10", "select doc_id, field, count(*) terms, sum(tf)::bigint words from postings group by 1,2", "postings")
@@ -143,7 +143,7 @@ def _(t):
 
 @query("quotes_in_source", "TXT-13", "select item_id quote_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
 def _(t):
-    return search.quotes_in_source(t.benchmark.selectExpr("item_id AS quote_id", "text AS quote"), t.filings)
+    return search.quotes_in_source(t.benchmark.selectExpr("item_id AS quote_id", "text AS quote"), t.filing_texts)
 
 
 view("host_names", r"select distinct regexp_extract(url, '//(?:www\.|m\.)?([a-z]+)\.example', 1) entity_name from pages where regexp_extract(url, '//(?:www\.|m\.)?([a-z]+)\.example', 1) <> ''")
@@ -153,14 +153,14 @@ view("host_names", r"select distinct regexp_extract(url, '//(?:www\.|m\.)?([a-z]
  select doc_id, entity, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) w from filings) on w=entity_name) group by 1,2""", "host_names filings")
 def _(t):
     names = t.pages.selectExpr(r"regexp_extract(url, '//(?:www\\.|m\\.)?([a-z]+)\\.example', 1) AS entity_name").filter("entity_name <> ''").distinct()
-    return search.mentions(names, t.filings).groupBy("entity_name", "filer").agg(F.count(F.lit(1)).alias("documents"))
+    return search.mentions(names, t.filing_texts).groupBy("entity_name", "filer").agg(F.count(F.lit(1)).alias("documents"))
 
 
 # ---- quotes cited by documents -------------------------------------------------
 def cited(t):
     """A quote per filing: its longest line, every third one altered, every third one taken from the filing before."""
     longest = r"array_max(transform(split(text, '\n'), x -> struct(length(x) AS n, x AS x))).x"
-    d = t.filings.selectExpr("doc_id", "entity", "subtype", "published", "text", f"{longest} AS line")
+    d = t.filing_texts.selectExpr("doc_id", "entity", "subtype", "published", "text", f"{longest} AS line")
     prior = sections.filing_pairs(t.filings).selectExpr("current_id AS doc_id", "prior_id")
     back = d.selectExpr("doc_id AS prior_id", "line AS prior_line", "text AS prior_text")
     d = d.join(prior, "doc_id", "left").join(back, "prior_id", "left")

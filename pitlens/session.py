@@ -47,3 +47,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor costs one stage and not the whole history."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan too coarse for the cluster before heavy per-row work; leaves a fine one alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 4)

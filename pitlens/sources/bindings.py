@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlens.session import cut_lineage
+from pitlens.session import cut_lineage, spread
 
 # The invented vocabulary the finding summaries are built from.
 WORDS_A = ["supplier", "regulation", "lawsuit", "deficiency", "backlog",
@@ -176,6 +176,11 @@ class Tables:
             F.col("doc_id"), F.col("source").alias("entity"), F.col("lang").alias("subtype"),
             F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")).alias("published"), "text")
 
+    @cached_property
+    def filing_texts(self) -> DataFrame:
+        """Filings spread over the cluster for per-text work; texts differ a thousandfold in length."""
+        return spread(self.filings)
+
     @cached_property
     def positions(self) -> DataFrame:
         """What a customer holds: units and average unit cost by brand."""
