@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlens.llm import byte_pair, chat, token_counts
+from pitlens.llm import byte_pair, chat, fingerprints, mixing, token_counts
 
 CONTEXT_TOKENS = 4_096
 
@@ -15,6 +15,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.over_limit(counted, CONTEXT_TOKENS)
@@ -56,5 +64,5 @@ def op10_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op9_chat_formatting, op10_byte_pair_encoding)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_document_fingerprints, op6_token_counts, op9_chat_formatting, op10_byte_pair_encoding)}
 ORACLE_SQL = {"op9_chat_formatting": OP9_SQL}
