@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlens.llm import byte_pair, chat, fingerprints, mixing, token_counts
+from pitlens.llm import byte_pair, chat, fingerprints, language, mixing, quality, token_counts
 
 CONTEXT_TOKENS = 4_096
 
@@ -28,6 +28,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit(counted, CONTEXT_TOKENS)
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """Rows kept from learning; a null id is in no fold and is not learned from either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False)).alias("held_out")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = language.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    return language.predict(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    return quality.score(docs, model).select("doc_id", _held_out(3, 1), F.col("quality_score").alias("score"),
+                                             (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -64,5 +82,6 @@ def op10_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_document_fingerprints, op6_token_counts, op9_chat_formatting, op10_byte_pair_encoding)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_document_fingerprints, op6_token_counts, op7_language_id,
+                                   op8_quality_classifier, op9_chat_formatting, op10_byte_pair_encoding)}
 ORACLE_SQL = {"op9_chat_formatting": OP9_SQL}

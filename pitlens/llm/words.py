@@ -16,11 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2_000_000
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SAME = np.arange(256, dtype=np.uint8)
-_LOWER = _SAME.copy()
-_LOWER[65:91] += 32
+LOWER = _SAME.copy()
+LOWER[65:91] += 32
 _RNG = np.random.default_rng(20_240_229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(int(_RNG.integers(2**62, 2**63)) | 1)
@@ -104,7 +104,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE) -> Words:
     """The words between the bytes that `space` marks; `lower` takes A-Z as a-z in their hashes."""
     inside = ~space[data]
     after = np.zeros(len(data) + 1, bool)
@@ -120,7 +120,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.
     begin = np.cumsum(length) - length
     if len(start):
         rel = np.arange(begin[-1] + length[-1], dtype=np.int64) - np.repeat(begin, length)
-        terms = _BYTE[(_LOWER if lower else _SAME)[data[inside]]]
+        terms = _BYTE[(LOWER if lower else _SAME)[data[inside]]]
         terms *= _powers(int(length.max()))[rel]
         hashed = mix(np.add.reduceat(terms, begin) + length.astype(np.uint64) * _PLACE[-1])
     else:
