@@ -24,7 +24,7 @@ LOWER[65:91] += 32
 _RNG = np.random.default_rng(20_240_229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(int(_RNG.integers(2**62, 2**63)) | 1)
-_PLACE = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
+PLACE = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _power = np.ones(1, np.uint64)
 
 
@@ -70,11 +70,11 @@ class Words:
         out = np.zeros(len(at), np.uint64)
         padded = np.concatenate([self.hash, np.zeros(width, np.uint64)])
         for k in range(width):
-            out += padded[at + k] * _PLACE[k]
+            out += padded[at + k] * PLACE[k]
         few = np.flatnonzero((count > 0) & (count < width))
         for t in few:
             own = self.hash[self.first[t]:self.first[t + 1]]
-            out[first[t]] = np.uint64(len(own)) + (own * _PLACE[:len(own)]).sum(dtype=np.uint64)
+            out[first[t]] = np.uint64(len(own)) + (own * PLACE[:len(own)]).sum(dtype=np.uint64)
         return mix(out), first
 
 
@@ -122,7 +122,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.
         rel = np.arange(begin[-1] + length[-1], dtype=np.int64) - np.repeat(begin, length)
         terms = _BYTE[(LOWER if lower else _SAME)[data[inside]]]
         terms *= _powers(int(length.max()))[rel]
-        hashed = mix(np.add.reduceat(terms, begin) + length.astype(np.uint64) * _PLACE[-1])
+        hashed = mix(np.add.reduceat(terms, begin) + length.astype(np.uint64) * PLACE[-1])
     else:
         hashed = np.zeros(0, np.uint64)
     return Words(data, first, start, end, hashed)
