@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlens.llm import byte_pair, chat, fingerprints, language, mixing, quality, substrings, token_counts
+from pitlens.llm import byte_pair, chat, fingerprints, language, mixing, near_duplicates, quality, substrings, token_counts
 
 CONTEXT_TOKENS = 4_096
 
@@ -15,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_read(spark, sf_dir, "documents"), width=3, threshold=(85, 100)).drop("first")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -87,6 +91,6 @@ def op10_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_document_fingerprints, op4_substring_dedup, op6_token_counts,
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_document_fingerprints, op4_substring_dedup, op6_token_counts,
                                    op7_language_id, op8_quality_classifier, op9_chat_formatting, op10_byte_pair_encoding)}
 ORACLE_SQL = {"op9_chat_formatting": OP9_SQL}
