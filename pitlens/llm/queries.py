@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlens.llm import byte_pair, chat, fingerprints, language, mixing, near_duplicates, quality, substrings, token_counts
+from pitlens.llm import byte_pair, chat, fingerprints, language, mixing, near_duplicates, neighbours, quality, substrings, token_counts
 
 CONTEXT_TOKENS = 4_096
 
@@ -32,6 +32,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), "embedding", F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.over_limit(counted, CONTEXT_TOKENS)
@@ -91,6 +95,7 @@ def op10_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_document_fingerprints, op4_substring_dedup, op6_token_counts,
-                                   op7_language_id, op8_quality_classifier, op9_chat_formatting, op10_byte_pair_encoding)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_document_fingerprints, op4_substring_dedup,
+                                   op5_nearest_neighbours, op6_token_counts, op7_language_id, op8_quality_classifier,
+                                   op9_chat_formatting, op10_byte_pair_encoding)}
 ORACLE_SQL = {"op9_chat_formatting": OP9_SQL}
