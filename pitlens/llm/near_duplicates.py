@@ -155,17 +155,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), rows: int = HALF_ROWS,
-                    block: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, first: a row per row of `docs`.
-
-    Linked: texts whose shingle sets (of `width` words, A-Z as a-z) meet `threshold`, as a fraction
-    of their union. component_id is the least doc_id reachable, kept whether that is the row's own,
-    and `first` marks one row of each component (of rows alike in doc_id and set). Texts without
-    words, null included, are linked with nothing. Null ids come last; a component of nothing
-    else has a null id. Equal sets are one class from the start, and only classes are compared, so a
-    group of copies costs its size. Columns other than doc_id and text are not read; no rows give none.
-    """
+def grouped(docs: DataFrame, width: int, threshold: tuple[int, int], rows: int = HALF_ROWS, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """What near_duplicates says, with id (a null doc_id as the last) and mark (a hash of the text)."""
     inner, outer = threshold
     m = halves(inner / outer, rows)
     signed = cut_lineage(signatures(docs, width, m, rows))
@@ -188,9 +179,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("s1", "s2", "root", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("root").alias("component"))
     whose = named.join(least, "label").select("s1", "s2", "component")
-    out = signed.select("doc_id", "id", "n", "s1", "s2").join(whose, ["s1", "s2"], "left").withColumn(
+    out = signed.select("doc_id", "id", "mark", "n", "s1", "s2").join(whose, ["s1", "s2"], "left").withColumn(
         "component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    alike = Window.partitionBy("s1", "s2", "id").orderBy("n")
+    alike = Window.partitionBy("s1", "s2", "id").orderBy("mark")
     return out.withColumn("kept", F.col("id") == F.col("component")).withColumn(
         "first", F.col("kept") & ((F.col("n") == 0) | (F.row_number().over(alike) == 1))).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") < _LAST, F.col("component")).alias("component_id"), "kept", "first")
+        "doc_id", "id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("component") < _LAST, F.col("component")).alias("component_id"), "kept", "first")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), rows: int = HALF_ROWS,
+                    block: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, first: a row per row of `docs`.
+
+    Linked: texts whose shingle sets (of `width` words, A-Z as a-z) meet `threshold`, as a fraction
+    of their union. component_id is the least doc_id reachable, kept whether that is the row's own,
+    and `first` marks one row of each component (of rows alike in doc_id and set). Texts without
+    words, null included, are linked with nothing. Null ids come last; a component of nothing
+    else has a null id. Equal sets are one class from the start, and only classes are compared, so a
+    group of copies costs its size. Columns other than doc_id and text are not read; no rows give none.
+    """
+    return grouped(docs, width, threshold, rows, block).drop("id", "mark")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The first document of each near-duplicate group, columns as given.
+
+    Rows alike in doc_id and text are one document; of those the least in its other columns stays.
+    Different ids without words all stay.
+    """
+    names = docs.columns
+    stay = grouped(docs, width, threshold).where("first").groupBy(F.col("id").alias("_stay_id"), F.col("mark").alias("_stay_mark")).agg(F.lit(1).alias("_stay"))
+    keyed = docs.withColumn("_stay_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_stay_mark", F.xxhash64("text"))
+    own = Window.partitionBy("_stay_id", "_stay_mark").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    return keyed.join(stay.drop("_stay"), ["_stay_id", "_stay_mark"], "left_semi").withColumn("_stay_at", F.row_number().over(own)).where("_stay_at = 1").select(
+        *[F.col(f"`{c}`") for c in names])

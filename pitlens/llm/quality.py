@@ -176,3 +176,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "quality_score")
     return docs.drop("quality_score").mapInArrow(run, fields + ", quality_score double")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents that score at least `least` under a model of the labels; columns as given."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return score(docs, fit(docs, labels)).where(F.col("quality_score") >= least).select(*names)

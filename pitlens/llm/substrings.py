@@ -268,6 +268,14 @@ def deduplicate(docs: DataFrame, width: int = WINDOW, anchor: int = ANCHOR, grou
     return parts.join(repeats, same, "left").drop("_found_id", "_found_mark").mapInArrow(remove, fields + ", n_words long, n_removed long, kept string")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """`docs` less their repeated passages, n_chars to match; texts that lose nothing stay as they are."""
+    out = deduplicate(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return out.select(*[changed.get(c, F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 def kept_texts(w: Words, stays: np.ndarray) -> pa.Array:
     """Each text's staying words joined by one space."""
     length, at = (w.end - w.start)[stays], w.start[stays]
