@@ -1,8 +1,64 @@
-"""The corpus pipeline; its stages follow as their operators do."""
+"""From raw documents to token ids: quality, near-duplicates, repeated passages, mixture, encoding.
 
-STAGES: list = []
+Every stage takes the whole of what the one before kept, written as Parquet and read again. Null and
+empty texts pass as texts without words; repeated rows are one document to the second stage; no
+documents give no rows.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pitlens.llm import byte_pair, mixing, near_duplicates, quality, substrings
+from pitlens.session import checkpoint_dir
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, does not reject."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_duplicates.deduplicate(docs, width=5, threshold=(80, 100))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less every passage of 20 words or more that also begins earlier; a text may end empty, its row stays."""
+    return substrings.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (packed little-endian), decoded_sha256 of each document of the mixture."""
+    out = byte_pair.encode_and_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality classifier", keep_quality), ("near-duplicates", drop_near_duplicates), ("repeated passages", drop_repeated_passages),
+          ("source mixture", mix_sources), ("byte-pair encoding", encode_texts)]
+#: A trained classifier and merges by rank are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`; what is between them lies in the shared checkpoint folder while it is needed."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return docs
