@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlens.functions import stats
-from pitlens.operators import aggregates, composites, prices
+from pitlens.operators import aggregates, composites, prices, ranks
 
 QUANTILES, MIN_LEG = 5, 5
 
@@ -53,8 +53,7 @@ def months(keys: DataFrame, forward: DataFrame, market: DataFrame, step: int) ->
     bench = universe.select("as_of").withColumn("until", F.date_add("as_of", step))
     bench = prices.market_return(bench, market, "as_of", "until", "benchmark").select("as_of", "benchmark")
     d = keys.join(forward, ["as_of", "entity_id"]).join(universe.select("as_of"), "as_of", "left_semi")
-    w = Window.partitionBy("as_of", "key")
-    d = d.withColumn("pos", F.row_number().over(w.orderBy("score", "entity_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    d = ranks.position(d, ["as_of", "key"], "score", ["entity_id"], "pos", "n")
     d = d.filter(f"n >= {floor}").withColumn("leg", F.expr(f"n DIV {QUANTILES}"))
     legs = d.groupBy("as_of", "key").agg(
         F.expr("avg(CASE WHEN pos <= leg THEN forward END) AS short_return"), F.expr("avg(CASE WHEN pos > n - leg THEN forward END) AS long_return"),
@@ -129,10 +128,9 @@ def equal_weights(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def quintile_arms(scores: DataFrame, keys: Sequence[str], quintile: float = 0.2) -> DataFrame:
     """Weights of four arms per key group: equal, top quintile, long-short, sized by tilt."""
-    w = Window.partitionBy(*keys)
-    d = scores.withColumn("n", F.count(F.lit(1)).over(w)).withColumn(
-        "down", F.row_number().over(w.orderBy(F.col("score").desc(), "entity_id")))
-    d = d.withColumn("cut", F.expr(f"greatest(5, int(n * {quintile}))")).withColumn("tilt", F.sum(F.abs(F.col("score") - 0.5)).over(w))
+    d = ranks.position(scores, keys, "score", ["entity_id"], "down", "n", descending=True)
+    tilts = d.groupBy(*keys).agg(F.sum(F.abs(F.col("score") - 0.5)).alias("tilt"))
+    d = d.join(tilts, list(keys)).withColumn("cut", F.expr(f"greatest(5, int(n * {quintile}))"))
     top, bottom = "down <= cut", "down > n - cut"
     arms = ("array(struct('control_equal' AS arm, 1D / n AS w), struct('long' AS arm, CASE WHEN " + top + " THEN 1D / cut ELSE 0D END AS w),"
             f" struct('long_short' AS arm, (CASE WHEN {top} THEN 0.5D / cut ELSE 0D END) - (CASE WHEN {bottom} THEN 0.5D / cut ELSE 0D END) AS w),"

@@ -11,42 +11,56 @@ from pitlens.session import cut_lineage
 
 MIN_UNIVERSE = 8
 MIN_SECTOR_MEMBERS = 8
+ROWS_PER_SLICE = 100_000
 # Sectors whose statements cannot be compared with operating companies.
 STRUCTURALLY_DIFFERENT = ("Financials", "Utilities")
 
 
-def rank_slices(df: DataFrame) -> int:
-    """How many value ranges to cut a pool into: one per 64 shuffle partitions."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 64)
+def _sliced(df: DataFrame, keys: Sequence[str], value: str, size: str, descending: bool, slices: int | None) -> DataFrame:
+    """Rows with the value range of their pool that they fall in and the rows of the ranges before it.
+
+    A pool is cut into ranges of about ROWS_PER_SLICE rows (approximate cut points, exact
+    counts: equal values always share a range), so no task orders a whole pool. Nulls come
+    first ascending and last descending.
+    """
+    base = cut_lineage(df)
+    if slices is None:
+        largest = base.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        slices = max(1, -(-largest // ROWS_PER_SLICE))
+    steps = F.array(*[F.lit(i / slices) for i in range(slices)])
+    cuts = base.groupBy(*keys).agg(F.percentile_approx(value, steps, F.lit(1000)).alias("_cuts"))
+    v = F.col(value)
+    place = F.when(v.isNull(), F.lit(slices)).otherwise(F.size(F.filter("_cuts", lambda c: c > v))) if descending else F.size(F.filter("_cuts", lambda c: c < v))
+    cut = base.join(cuts, list(keys)).withColumn("_slice", F.coalesce(place, F.lit(0))).drop("_cuts")
+    counts = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_held"))
+    counts = counts.withColumn("_before", F.sum("_held").over(Window.partitionBy(*keys).orderBy("_slice")) - F.col("_held")).withColumn(
+        size, F.sum("_held").over(Window.partitionBy(*keys))).drop("_held")
+    return cut.join(counts, [*keys, "_slice"])
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, rank: str, size: str,
-                 slices: int | None = None) -> DataFrame:
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, rank: str, size: str, slices: int | None = None) -> DataFrame:
     """Positions 0..n-1 inside each key group, ties sharing the mean of their span.
 
-    With several slices a group is cut into value ranges first (approximate cut
-    points, exact ranks: equal values always share a range), so no task has to
-    order a whole pool.
+    Equal values are counted before anything is ordered, so a popular value costs a row.
     """
-    slices = rank_slices(df) if slices is None else slices
     keys = list(keys)
-    if slices <= 1:
-        w = Window.partitionBy(*keys)
-        base = F.rank().over(w.orderBy(value)) - 1
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1
-        return df.withColumn(rank, base + ties / 2).withColumn(size, F.count(F.lit(1)).over(w))
-    base = cut_lineage(df)
-    steps = [i / slices for i in range(1, slices)]
-    cuts = base.groupBy(*keys).agg(F.percentile_approx(value, F.array(*map(F.lit, steps)), F.lit(1000)).alias("_cuts"))
-    cut = base.join(cuts, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    below = Window.partitionBy(*keys).orderBy("_slice")
-    counts = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_held"))
-    counts = counts.withColumn("_before", F.sum("_held").over(below) - F.col("_held")).withColumn(
-        size, F.sum("_held").over(Window.partitionBy(*keys))).drop("_held")
-    w = Window.partitionBy(*keys, "_slice").orderBy(value)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_slice", value)) - 1
-    return (cut.withColumn(rank, F.rank().over(w) - 1 + ties / 2).join(counts, [*keys, "_slice"])
-            .withColumn(rank, F.col(rank) + F.col("_before")).drop("_slice", "_before"))
+    d = _sliced(df, keys, value, size, False, slices)
+    spans = d.groupBy(*keys, "_slice", "_before", value).agg(F.count(F.lit(1)).alias("_ties"))
+    below = F.sum("_ties").over(Window.partitionBy(*keys, "_slice").orderBy(value)) - F.col("_ties")
+    spans = spans.withColumn(rank, F.col("_before") + below + (F.col("_ties") - 1) / 2).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v"), rank)
+    same = F.col(value).eqNullSafe(F.col("_v"))
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    return d.drop("_slice", "_before").join(spans, same).drop("_v", *[f"_k{i}" for i in range(len(keys))])
+
+
+def position(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], out: str, size: str = "_size",
+             descending: bool = False, slices: int | None = None) -> DataFrame:
+    """1-based position inside each key group by `value`, then by the tie columns; `size` holds the group's rows."""
+    d = _sliced(df, keys, value, size, descending, slices)
+    w = Window.partitionBy(*keys, "_slice").orderBy(F.col(value).desc() if descending else F.col(value), *tie)
+    return d.withColumn(out, (F.row_number().over(w) + F.col("_before")).cast("long")).drop("_slice", "_before", *(["_size"] if size == "_size" else []))
 
 
 def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, higher_is_better: Column,
@@ -64,15 +78,11 @@ def comparable_pool(sector: Column, members: Column) -> Column:
             .when(sector.isin(*STRUCTURALLY_DIFFERENT), F.lit(None)).otherwise("universe"))
 
 
-def position_in_order(df: DataFrame, bucket: Column, order: Sequence[Column], out: str) -> DataFrame:
-    """1-based position in one global order without a single-task sort.
-
-    `bucket` must be monotone in the order; counts per bucket give each bucket its
-    offset and the rows are ordered inside their bucket only.
-    """
-    d = df.withColumn("_bucket", bucket)
-    counts = d.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    w = Window.partitionBy("_bucket").orderBy(*order)
-    return (d.withColumn("_in", F.row_number().over(w)).join(offsets, "_bucket")
-            .withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_bucket", "_in", "_before"))
+def position_in_order(df: DataFrame, value: str, tie: Sequence[str], out: str, lead: str | None = None,
+                      descending: bool = False, slices: int | None = None) -> DataFrame:
+    """1-based position in one global order: `lead` (a column of few values) ascending, `value`, then the tie columns."""
+    d = df.withColumn("_lead", F.col(lead) if lead else F.lit(0))
+    d = position(d, ["_lead"], value, tie, "_in", "_of", descending, slices)
+    groups = d.select("_lead", "_of").distinct()
+    before = groups.select("_lead", (F.sum("_of").over(Window.orderBy("_lead")) - F.col("_of")).alias("_earlier"))
+    return d.join(before, "_lead").withColumn(out, F.col("_in") + F.col("_earlier")).drop("_lead", "_in", "_of", "_earlier")

@@ -1,11 +1,10 @@
 """Back-tests over formation dates, studies over monthly sessions, books."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitlens.functions import stats
 from pitlens.operators import backtest as bt
-from pitlens.operators import composites
+from pitlens.operators import composites, ranks
 from pitlens.plans.price_queries import _ret
 from pitlens.plans.registry import query
 from pitlens.plans.scoring import PANEL, factor_views, scored
@@ -110,9 +109,8 @@ def _(t):
 
 @query("score_deciles", "WIN-20", f"select decile, count(*) n, {R('avg(excess)', 8)} mean_excess from (select excess, least(9, (row_number() over (partition by as_of order by score, entity_id) - 1) * 10 // count(*) over (partition by as_of)) decile from study where key='composite_conditional') group by 1", "study")
 def _(t):
-    w = Window.partitionBy("as_of")
-    d = study(t).filter("key = 'composite_conditional'").withColumn("i", F.row_number().over(w.orderBy("score", "entity_id")) - 1).withColumn("m", F.count(F.lit(1)).over(w))
-    return d.groupBy(F.expr("least(9, i * 10 DIV m) AS decile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("excess"), 8).alias("mean_excess"))
+    d = ranks.position(study(t).filter("key = 'composite_conditional'"), ["as_of"], "score", ["entity_id"], "i", "m")
+    return d.groupBy(F.expr("least(9, (i - 1) * 10 DIV m) AS decile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("excess"), 8).alias("mean_excess"))
 
 
 @query("sector_information_coefficients", "BT-05", f"select sector, count(*) dates, {R('avg(ic)', 6)} mean_ic from (" + _ric("sector").format(src="(select * from study where key='composite')", least=10) + ") group by 1", "study")
@@ -191,8 +189,7 @@ def _(t):
  select excess, down <= cut held, ((case when down <= cut then 1.0::double / cut else 0 end) - 1.0::double / n) * excess c from arm_base join (select as_of, entity_id, excess from study where key='composite_conditional') using (as_of, entity_id))) group by 1""", "arm_base study")
 def _(t):
     s = study(t).filter("key = 'composite_conditional'")
-    w = Window.partitionBy("as_of")
-    d = s.withColumn("m", F.count(F.lit(1)).over(w)).withColumn("down", F.row_number().over(w.orderBy(F.col("score").desc(), "entity_id"))).withColumn("cut", F.expr("greatest(5, int(m * 0.2))"))
+    d = ranks.position(s, ["as_of"], "score", ["entity_id"], "down", "m", descending=True).withColumn("cut", F.expr("greatest(5, int(m * 0.2))"))
     d = d.selectExpr("excess", "down <= cut AS held", "((CASE WHEN down <= cut THEN 1D / cut ELSE 0D END) - 1D / m) * excess AS c")
     d = d.withColumn("effect", F.expr("CASE WHEN held AND excess > 0 THEN 'captured_upside' WHEN held THEN 'added_loss' WHEN excess > 0 THEN 'missed_upside' ELSE 'avoided_loss' END"))
     return d.groupBy("effect").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c"), 8).alias("total"))

@@ -89,11 +89,11 @@ def _(t):
                         "concat_ws(' · ', concat('Reports ', next_date, ', ', hour_label), CASE WHEN reports_seen >= 3 THEN concat('ahead of consensus ', beats, ' of the last ', reports_seen) END) AS detail")
 
 
-@query("earnings_upcoming", "RUL-07", f"select entity_id, (next_date - date '{TODAY}')::int days_until from outlook join holders using (entity_id) where tier='MACHINERY' order by days_until nulls last, entity_id limit 40", "outlook holders")
+@query("earnings_upcoming", "RUL-07", f"select entity_id, (next_date - date '{TODAY}')::int days_until from outlook join holders using (entity_id) where tier='MACHINERY'", "outlook holders")
 def _(t):
     watch = t.holders.filter("tier = 'MACHINERY'").select("entity_id")
     d = rules.earnings_outlook(per_date(t), TODAY).join(watch, "entity_id")
-    return d.orderBy(F.col("days_until").asc_nulls_last(), "entity_id").limit(40).select("entity_id", "days_until")
+    return d.select("entity_id", "days_until")
 
 
 @query("last_report_move", "WIN-22", f"""select entity_id, report_date::varchar report_date, {R('(x.adjusted_close / i.adjusted_close - 1) * 100', 4)} change_percent from (select entity_id, max(report_date) report_date, 'Brand#' || (entity_id % 25 + 1) brand from earnings where reported group by 1) e

@@ -169,13 +169,12 @@ def _(t):
 
 @query("never_read_in_read_order", "JON-10 TOP-05", """select h.entity_id, coalesce(r.n, 0) sector_reads, row_number() over (order by coalesce(r.n, 0), size desc, h.entity_id) pos from holders h
  left join (select sector, count(distinct entity_id) n from findings join holders using (entity_id) group by 1) r using (sector)
- where tier='MACHINERY' and entity_id not in (select entity_id from findings) order by pos limit 40""", "holders findings")
+ where tier='MACHINERY' and entity_id not in (select entity_id from findings) order by pos""", "holders findings")
 def _(t):
     read = t.findings.select("entity_id").distinct()
     counts = t.holders.join(read, "entity_id", "left_semi").groupBy("sector").agg(F.count(F.lit(1)).alias("n"))
     d = t.holders.filter("tier = 'MACHINERY'").join(read, "entity_id", "left_anti").join(counts, "sector", "left").withColumn("sector_reads", F.coalesce("n", F.lit(0)))
-    top = d.orderBy("sector_reads", F.col("size").desc_nulls_last(), "entity_id").limit(40)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy("sector_reads", F.col("size").desc_nulls_last(), "entity_id")).cast("long")).select("entity_id", "sector_reads", "pos")
+    return ranks.position_in_order(d, "size", ["entity_id"], "pos", "sector_reads", descending=True).select("entity_id", "sector_reads", "pos")
 
 
 @query("unanalysed_filing", "JON-11", """select entity, arg_max(doc_id, published) doc_id from filings where subtype in ('en','fr') and doc_id not in (select doc_id from labels) group by 1""", "filings")
@@ -206,7 +205,7 @@ def _(t):
 
 @query("placebo_rotation", "JON-20", """select entity_id, lead(entity_id, 1, (select min(entity_id) from findings)) over (order by entity_id) receives_from from (select distinct entity_id from findings)""", "findings")
 def _(t):
-    covered = ranks.position_in_order(t.findings.select("entity_id").distinct(), F.floor(F.col("entity_id") / 1000), [F.col("entity_id")], "pos")
+    covered = ranks.position_in_order(t.findings.select("entity_id").distinct(), "entity_id", [], "pos")
     n = covered.agg(F.count(F.lit(1)).alias("n"))
     nxt = covered.select(F.col("entity_id").alias("receives_from"), F.col("pos").alias("_p"))
     d = covered.join(F.broadcast(n)).withColumn("_p", F.col("pos") % F.col("n") + 1)
@@ -263,6 +262,7 @@ def _(t):
     return g.filter("docs >= 4").orderBy("newest", "entity_id").limit(50)
 
 
+QUOTA = 40
 view("q_held", "select entity_id, row_number() over (order by size desc, entity_id) pos from holders where tier='BUILDING'", "holders")
 view("q_reach", "select entity_id, row_number() over (order by docs desc, entity_id) pos from doc_counts", "doc_counts")
 view("q_breadth", "select entity_id, row_number() over (order by entity_id) pos from holders where tier='MACHINERY'", "holders")
@@ -274,11 +274,12 @@ view("q_c", """select entity_id, 2 claim, row_number() over (order by pos) turn
 
 @query("share_quota", "TOP-09", "select * from q_a union all select * from q_b union all select * from q_c", "q_a q_b q_c")
 def _(t):
-    place = lambda d, *order: d.orderBy(*order).limit(160).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+    # a claim is filled within its own share and what the claims before it already name, so 4 times the quota is never short
+    place = lambda d, *order: d.orderBy(*order).limit(4 * QUOTA).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
     held = place(t.holders.filter("tier = 'BUILDING'"), F.col("size").desc(), F.col("entity_id"))
     reach = place(doc_counts(t), F.col("docs").desc(), F.col("entity_id"))
     breadth = place(t.holders.filter("tier = 'MACHINERY'"), F.col("entity_id"))
-    return feeds.share_quota([(held, 20), (reach, 10), (breadth, 40)], "entity_id", 40).selectExpr("entity_id", "claim", "bigint(turn) AS turn")
+    return feeds.share_quota([(held, 20), (reach, 10), (breadth, QUOTA)], "entity_id", QUOTA).selectExpr("entity_id", "claim", "bigint(turn) AS turn")
 
 
 @query("rotate_stalest", "TOP-10", "select entity_id, max(day)::varchar analysed from holders left join findings using (entity_id) group by 1 order by max(day) nulls first, entity_id limit 8", "holders findings")
@@ -295,14 +296,14 @@ def _(t):
 
 @query("stratified_sample", "TOP-12")
 def _(t):
-    d = ranks.position_in_order(t.holders, F.floor(-F.col("size") / 100), [F.col("size").desc(), F.col("entity_id")], "rank")
+    d = ranks.position_in_order(t.holders, "size", ["entity_id"], "rank", descending=True)
     d = d.withColumn("stratum", F.expr("CASE WHEN rank <= 150 THEN 'mega' WHEN rank <= 450 THEN 'mid' ELSE 'small' END"))
     return feeds.newest_per_key(d, ["stratum"], [F.xxhash64("entity_id", F.lit(17)), F.col("entity_id")], 20).select("stratum", "entity_id")
 
 
 @query("size_positions", "TOP-12", "select entity_id, row_number() over (order by size desc, entity_id) as rank from holders", "holders")
 def _(t):
-    return ranks.position_in_order(t.holders, F.floor(-F.col("size") / 100), [F.col("size").desc(), F.col("entity_id")], "rank").select("entity_id", "rank")
+    return ranks.position_in_order(t.holders, "size", ["entity_id"], "rank", descending=True).select("entity_id", "rank")
 
 
 @query("covered_and_uncovered", "TOP-13", """(select 'covered' side, entity_id from findings join holders using (entity_id) group by entity_id, size having count(*) >= 3 order by count(*) desc, size desc, entity_id limit 28)
@@ -315,11 +316,11 @@ def _(t):
 
 
 @query("brief_order", "TOP-14", """select entity_id, stance, row_number() over (order by case stance when 'strong_negative' then 0 when 'strong_positive' then 1 when 'negative' then 2 when 'positive' then 3 else 4 end, confidence desc, entity_id) pos
- from (select * from briefs qualify row_number() over (partition by entity_id order by generated_on desc) = 1) order by pos limit 100""", "briefs")
+ from (select * from briefs qualify row_number() over (partition by entity_id order by generated_on desc) = 1) order by pos""", "briefs")
 def _(t):
     d = feeds.latest(briefs(t), ["entity_id"], "generated_on", ["stance", "confidence"])
-    order = [F.expr("CASE stance WHEN 'strong_negative' THEN 0 WHEN 'strong_positive' THEN 1 WHEN 'negative' THEN 2 WHEN 'positive' THEN 3 ELSE 4 END"), F.col("confidence").desc(), F.col("entity_id")]
-    return d.orderBy(*order).limit(100).withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long")).select("entity_id", "stance", "pos")
+    d = d.withColumn("urgency", F.expr("CASE stance WHEN 'strong_negative' THEN 0 WHEN 'strong_positive' THEN 1 WHEN 'negative' THEN 2 WHEN 'positive' THEN 3 ELSE 4 END"))
+    return ranks.position_in_order(d, "confidence", ["entity_id"], "pos", "urgency", descending=True).select("entity_id", "stance", "pos")
 
 
 @query("derived_tiers", "TOP-20", "select entity_id, case when entity_id in (select user_id from positions where shares > 100) then 'focus' else tier end tier from holders", "holders positions")
