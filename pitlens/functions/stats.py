@@ -144,14 +144,20 @@ def block_bootstrap(series: DataFrame, keys: Sequence[str], order: str, x: str,
                                   F.percentile("draw", F.lit(hi)).alias("high"), F.count("draw").alias("draws"))
 
 
-def sign_flip(df: DataFrame, keys: Sequence[str], row: str, x: str, flips: int, seed: int = 11) -> DataFrame:
-    """Share of random sign flips whose |mean| reaches the observed one."""
-    each = df.selectExpr(*keys, row, x, f"explode(sequence(1, {flips})) AS r")
-    sign = f"CASE WHEN pmod(xxhash64({', '.join([*keys, row, 'r'])}, {seed}), 2) = 0 THEN 1 ELSE -1 END"
-    means = each.groupBy(*keys, "r").agg(F.expr(f"abs(avg({x} * ({sign})))").alias("flipped"),
-                                         F.avg(x).alias("observed"), F.count(x).alias("n"))
-    return means.groupBy(*keys).agg(F.first("n").alias("n"), F.first("observed").alias("mean"),
-                                    F.avg(F.expr("CASE WHEN flipped >= abs(observed) - 1e-12 THEN 1D ELSE 0D END")).alias("p"))
+def sign_flip(df: DataFrame, keys: Sequence[str], row: str, x: str, flips: int, seed: int = 11, lanes: int = 250) -> DataFrame:
+    """Share of random sign flips whose |mean| reaches the observed one.
+
+    Sums of all flips ride in arrays, `lanes` of them a key, so a value meets its flips where
+    it lies and a task passes on one array a key and lane, however many rows a key has.
+    """
+    each = (flips + lanes - 1) // lanes
+    spread = df.selectExpr(*keys, row, x, f"explode(sequence(0, {lanes - 1})) AS _lane")
+    sign = lambda r: f"CASE WHEN pmod(xxhash64({', '.join([*keys, row])}, _lane * {each} + {r}, {seed}), 2) = 0 THEN {x} ELSE -{x} END"
+    sums = spread.groupBy(*keys, "_lane").agg(*[F.expr(f"sum({sign(r)}) AS _s{r}") for r in range(each)], F.sum(x).alias("_sum"), F.count(x).alias("n"))
+    kept = f"slice(array({', '.join(f'_s{r}' for r in range(each))}), 1, greatest(0, least({each}, {flips} - _lane * {each})))"
+    reached = f"size(filter({kept}, s -> abs(s / n) >= abs(_sum / n) - 1e-12))"
+    got = sums.selectExpr(*keys, "n", "_sum / n AS mean", f"{reached} AS hit")
+    return got.groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), (F.sum("hit") / F.lit(float(flips))).alias("p"))
 
 
 def stationary_lags(horizon: int) -> int:

@@ -19,7 +19,7 @@ from pitlens.operators.feeds import previous_in_order
 
 SIMILARITY_THRESHOLD = 0.75
 MIN_LENGTH_RATIO = SIMILARITY_THRESHOLD / (2 - SIMILARITY_THRESHOLD)
-MAX_PARAGRAPHS, MIN_SECTION_LINES, MIN_PARAGRAPH = 45, 20, 120
+MIN_SECTION_LINES, MIN_PARAGRAPH = 20, 120
 RARITY_WEIGHT, RAREST_TERMS, MIN_VOCABULARY_ENTITIES = 0.5, 5, 20
 
 # Line patterns of filings.
@@ -138,7 +138,7 @@ def diff_filings(paragraphs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def changed_paragraphs(diffs: DataFrame, rarity: DataFrame | None = None) -> DataFrame:
-    """Unmatched paragraphs, newest language and rarest words first, 45 per side as in the report."""
+    """Unmatched paragraphs with their place on their side: newest language and rarest words first."""
     d = diffs.filter(F.col("similarity") < SIMILARITY_THRESHOLD)
     if rarity is not None:
         d = d.join(rarity, ["doc_id", "pos"], "left")
@@ -146,4 +146,4 @@ def changed_paragraphs(diffs: DataFrame, rarity: DataFrame | None = None) -> Dat
         d = d.withColumn("rarity", F.lit(None).cast("double"))
     d = d.withColumn("rank_score", 1 - F.col("similarity") + F.coalesce(F.col("rarity") * RARITY_WEIGHT, F.lit(0.0)))
     w = Window.partitionBy("current_id", "side").orderBy(F.col("rank_score").desc(), "pos")
-    return d.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= MAX_PARAGRAPHS)
+    return d.withColumn("place", F.row_number().over(w))

@@ -278,11 +278,11 @@ def _(t):
 
 @query("bootstrap_interval", "AGG-19 UDF-04")
 def _(t):
-    d = stats.block_bootstrap(agg.monthly_returns(t.bars), ["brand"], "month", "ret", resamples=1000)
+    d = stats.block_bootstrap(agg.monthly_returns(t.bars), ["brand"], "month", "ret", resamples=10_000)
     return d.select("brand", *[F.round(c, 8).alias(c) for c in ("point", "low", "high")], "draws")
 
 
 @query("sign_flip_permutation", "AGG-20")
 def _(t):
-    d = stats.sign_flip(agg.monthly_returns(t.bars), ["brand"], "month", "ret", flips=500)
+    d = stats.sign_flip(agg.monthly_returns(t.bars), ["brand"], "month", "ret", flips=10_000)
     return d.select("brand", "n", F.round("mean", 8).alias("mean"), F.round("p", 6).alias("p"))

@@ -1,6 +1,7 @@
 """Landed payloads rebuilt from the tables, flattened again; sinks shown by their final state."""
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -94,10 +95,10 @@ def _(t):
     return spread(t.pages).select("page_id", html.article_body.asNondeterministic()("html").alias("a")).selectExpr("page_id", "a.outcome AS outcome", "length(a.text) AS chars")
 
 
-@query("assembled_exhibits", "SRC-10", "select conv_id, count(*) exhibits, md5(string_agg(text, chr(10) || chr(10) order by turn)) digest from (select *, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) run from conversations where role <> 'system') where run <= 1500 group by 1")
+@query("assembled_exhibits", "SRC-10", "select conv_id, count(*) exhibits, md5(string_agg(substring(text, 1, greatest(0, 150000 - run + length(text))::int), chr(10) || chr(10) order by turn)) digest from (select *, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) run from conversations where role <> 'system') where run - length(text) < 150000 group by 1")
 def _(t):
     d = t.conversations.selectExpr("conv_id", "int(turn) AS seq", "CASE role WHEN 'user' THEN 'EX-99.1' WHEN 'assistant' THEN 'EX-99' ELSE 'EX-101.INS' END AS type", "text")
-    return landed.assemble_exhibits(d, "conv_id", 1500).select("conv_id", "exhibits", F.md5("body").alias("digest"))
+    return landed.assemble_exhibits(d, "conv_id").select("conv_id", "exhibits", F.md5("body").alias("digest"))
 
 
 @query("filing_items", "SRC-10 SRC-11", "select doc_id, (doc_id % 3 + 1)::varchar || '.02|9.01' items, doc_id % 3 = 1 is_results, 'EX-99.' || doc_id % 4 exhibit from filings", "filings")
@@ -107,13 +108,13 @@ def _(t):
     return d.selectExpr("doc_id", "array_join(items, '|') AS items", "array_contains(items, '2.02') AS is_results", "entries[0].type AS exhibit")
 
 
-@query("acceptance_notices", "SRC-12", "select 'acc' || (finding_id // 2) accession, lpad(min(entity_id)::varchar, 10, '0') cik, min(case when finding_id % 2 = 0 then '10-K' else '8-K/A' end) form from findings where finding_id // 2 in (select finding_id // 2 from findings group by 1 having count(distinct entity_id) = 1) group by 1", "findings")
+@query("acceptance_notices", "SRC-12", "select 'acc' || (finding_id // 2) accession, lpad(min(entity_id)::varchar, 10, '0') cik, arg_max(case when finding_id % 2 = 0 then '10-K' else '8-K/A' end, finding_id) form from findings where finding_id // 2 in (select finding_id // 2 from findings group by 1 having count(distinct entity_id) = 1) group by 1", "findings")
 def _(t):
     one = t.findings.withColumn("g", F.expr("finding_id DIV 2"))
     keep = one.groupBy("g").agg(F.countDistinct("entity_id").alias("n")).filter("n = 1").select("g")
     d = one.join(keep, "g", "left_semi").selectExpr("concat(CASE WHEN finding_id % 2 = 0 THEN '10-K' ELSE '8-K/A' END, ' - Customer ', entity_id, ' (', lpad(string(entity_id), 10, '0'), ') (Filer)') AS title",
-                                                    "concat('/Archives/', entity_id, '/acc', g, '-index.htm') AS link", "string(occurred_at) AS updated")
-    return landed.acceptance_notices(d, "title", "link", "updated").select("accession", "cik", "form")
+                                                    "concat('/Archives/', entity_id, '/acc', g, '-index.htm') AS link", "string(occurred_at) AS updated", "-finding_id AS at")
+    return landed.acceptance_notices(d, "title", "link", "updated", "at").select("accession", "cik", "form")
 
 
 @query("news_items", "SRC-13 FN-06 FN-07", "select doc_id from filings where n > 0 and length(text) >= 120".replace("n > 0 and ", "doc_id % 4 <> 3 and "), "filings")
@@ -136,14 +137,13 @@ def _(t):
     return landed.search_hits(d, "payload").select("accession", "cik", "path")
 
 
-@query("seeded_universe", "SRC-17", "select entity_id::varchar cik, 'T' || entity_id ticker from entities where entity_id % 3 <> 2 and length('T' || entity_id || case when entity_id % 10 = 7 then '-W' else '' end) <= 6 and entity_id % 10 <> 7 order by entity_id limit 200", "entities")
+@query("seeded_universe", "SRC-17", "select entity_id::varchar cik, 'T' || entity_id ticker from entities where entity_id % 3 <> 2 and length('T' || entity_id || case when entity_id % 10 = 7 then '-W' else '' end) <= 6 and entity_id % 10 <> 7", "entities")
 def _(t):
     # a directory page holds a thousand filers, so the listing is many documents
     row = "array(string(entity_id), name, concat('T', entity_id, CASE WHEN entity_id % 10 = 7 THEN '-W' ELSE '' END), element_at(array('NYSE', 'Nasdaq', 'OTC'), int(entity_id % 3) + 1))"
     d = t.entities.groupBy(F.floor(F.col("entity_id") / 1000).alias("page")).agg(F.expr(f"array_sort(collect_list(struct(entity_id, {row} AS r))) AS rows")).selectExpr(
         "page", "to_json(struct(array('cik', 'name', 'ticker', 'exchange') AS fields, transform(rows, x -> x.r) AS data)) AS payload")
-    got = landed.seed_universe(d, "payload", ("NYSE", "Nasdaq"), 10 ** 6)
-    return got.orderBy(F.col("cik").cast("long")).limit(200).select("cik", "ticker")
+    return landed.seed_universe(d, "page", "payload", ("NYSE", "Nasdaq")).select("cik", "ticker")
 
 
 _sic = "case " + " ".join(f"when sic between {a} and {b} then '{s}'" for a, b, s in landed.SIC_RANGES) + " end"
@@ -171,14 +171,15 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("metric").agg(F.count(F.lit(1)).alias("stored"))
 
 
-@query("documents_appended_once", "SNK-02 SNK-05", "select entity, count(distinct md5(text)) stored from filings group by 1", "filings")
+@query("documents_appended_once", "SNK-02 SNK-05", "select entity, md5(text) as hash, 'u' || min(doc_id) url, min(published)::varchar published from filings group by 1, 2", "filings")
 def _(t):
     path = scratch(t)
     docs = t.filings.selectExpr("doc_id", "entity", "concat('u', doc_id) AS url", "md5(text) AS hash", "published")
-    sinks.append_absent_keys(docs.filter("published < date'2021-06-01'"), path, [("entity", "url"), ("entity", "hash")])
+    keys, arrival = [("entity", "url"), ("entity", "hash")], ("published", "doc_id")
+    sinks.append_absent_keys(docs.filter("published < date'2021-06-01'"), path, keys, arrival)
     later = sinks.incremental_since(docs, t.spark.read.parquet(path), "entity", "published")
-    sinks.append_absent_keys(later, path, [("entity", "url"), ("entity", "hash")])
-    return t.spark.read.parquet(path).groupBy("entity").agg(F.count(F.lit(1)).alias("stored"))
+    sinks.append_absent_keys(later, path, keys, arrival)
+    return t.spark.read.parquet(path).select("entity", "hash", "url", "published")
 
 
 @query("scores_replaced_by_date", "SNK-03", "select as_of::varchar as_of, count(*) as rows from qtr_scored group by 1", "qtr_scored")
@@ -198,16 +199,23 @@ def _(t):
     return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("stored"), F.count_if("touched").alias("kept"))
 
 
-@query("tables_exported_and_imported", "SNK-06", "select 'region' tbl, count(*) as rows from region union all select 'nation', count(*) from nation union all select 'supplier', count(*) from supplier")
+# every landed table, with a column whose values are summed to compare contents
+EXPORTED = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey",
+            "lineitem": "l_orderkey * 8 + l_linenumber", "events": "event_id", "documents": "doc_id + length(text)", "embeddings": "vec_id", "pages": "page_id + length(html)",
+            "benchmark": "item_id + length(text)", "labels": "doc_id * 4 + quality * 2 + toxic", "conversations": "conv_id * 64 + turn + length(text)"}
+
+
+@query("tables_exported_and_imported", "SNK-06", " union all ".join(f"select '{n}' tbl, count(*) as rows, sum({c})::bigint as total from {n}" for n, c in EXPORTED.items()))
 def _(t):
     root, target = scratch(t), scratch(t)
-    tables = {n: t.read(n) for n in ("region", "nation", "supplier")}
+    tables = {n: t.read(n) for n in EXPORTED}
     sinks.export_tables(tables, root)
     schemas = {n: ", ".join(f"{c} {ty}" for c, ty in d.dtypes) for n, d in tables.items()}
     sinks.import_tables(t.spark, root, target, schemas)
     sinks.import_tables(t.spark, root, target, schemas)
-    parts = [t.spark.read.parquet(f"{target}/{n}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("tbl"), "rows") for n in schemas]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [t.spark.read.parquet(f"{target}/{n}").agg(F.count(F.lit(1)).alias("rows"), F.expr(f"bigint(sum({c}))").alias("total")).select(F.lit(n).alias("tbl"), "rows", "total")
+             for n, c in EXPORTED.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("assessments_recorded_once", "SNK-07 FN-26", "select kind, count(*) stored from (select distinct doc_id, kind from (select doc_id, 'quality' kind from labels union all select doc_id, 'toxic' from labels)) group by 1")
@@ -226,9 +234,10 @@ def _(t):
     return sinks.upsert(e, changed, ["hub", "dependent"], "version").select("hub", "dependent", "mention_count")
 
 
-@query("prices_refreshed", "SNK-09", "select brand, count(*) sessions from bars group by 1", "bars")
+@query("prices_refreshed", "SNK-09", f"select brand, count(*) sessions, min(session_date)::varchar as first_session, max(session_date)::varchar as last_session, {R('sum(close)', 4)} as total_close from bars group by 1", "bars")
 def _(t):
     path, bars = scratch(t), cut_lineage(t.bars)
-    sinks.append_absent_keys(bars.filter("session_date < date'2000-01-01'"), path, [("brand", "session_date")])
-    sinks.append_absent_keys(bars.filter("session_date >= date'1999-12-01'"), path, [("brand", "session_date")])
-    return t.spark.read.parquet(path).groupBy("brand").agg(F.count(F.lit(1)).alias("sessions"))
+    sinks.append_absent_keys(bars.filter("session_date < date'2000-01-01'"), path, [("brand", "session_date")], ("session_date",))
+    sinks.append_absent_keys(bars.filter("session_date >= date'1999-12-01'"), path, [("brand", "session_date")], ("session_date",))
+    return t.spark.read.parquet(path).groupBy("brand").agg(F.count(F.lit(1)).alias("sessions"), F.min("session_date").alias("first_session"),
+                                                           F.max("session_date").alias("last_session"), F.round(F.sum("close"), 4).alias("total_close"))

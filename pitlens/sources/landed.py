@@ -149,12 +149,15 @@ def exhibit_entries(header: str) -> str:
     return f"transform(arrays_zip({part(1)}, {part(2)}, {part(3)}), x -> struct(trim(x['0']) AS type, int(trim(x['1'])) AS seq, trim(x['2']) AS filename))"
 
 
-def assemble_exhibits(exhibits: DataFrame, key: str, budget: int) -> DataFrame:
-    """Exhibit texts in order while the running length stays inside the budget."""
+EXHIBIT_CHARS = 150_000
+
+
+def assemble_exhibits(exhibits: DataFrame, key: str, budget: int = EXHIBIT_CHARS) -> DataFrame:
+    """Exhibit texts in order up to `budget` characters, the last one cut where the budget ends."""
     from pyspark.sql import Window
     d = exhibits.filter("type RLIKE '(?i)^EX-99(\\\\.\\\\d+)?$'")
     w = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_run", F.sum(F.length("text")).over(w)).filter(F.col("_run") <= budget)
+    d = d.withColumn("_room", budget - F.sum(F.length("text")).over(w) + F.length("text")).filter("_room > 0").withColumn("text", F.expr("substring(text, 1, int(_room))"))
     return d.groupBy(key).agg(F.expr("array_join(transform(array_sort(collect_list(struct(seq, text))), x -> x.text), '\\n\\n') AS body"), F.count(F.lit(1)).alias("exhibits"))
 
 
@@ -162,13 +165,13 @@ def filing_items(header: str) -> str:
     return f"regexp_extract_all({header}, '(?m)^<ITEMS>([0-9.]+)', 1)"
 
 
-def acceptance_notices(df: DataFrame, title: str, link: str, updated: str) -> DataFrame:
-    """Form, company, cik and accession of feed entries; one per accession, the first form listed wins."""
+def acceptance_notices(df: DataFrame, title: str, link: str, updated: str, at: str) -> DataFrame:
+    """Form, company, cik and accession of feed entries; one per accession, the entry listed first (least `at`) wins."""
     rx = r"^\\s*(.+?)\\s+-\\s+(.*?)\\s+\\((\\d{10})\\)"
     d = df.selectExpr(f"regexp_extract({title}, '{rx}', 1) AS form", f"regexp_extract({title}, '{rx}', 2) AS company", f"regexp_extract({title}, '{rx}', 3) AS cik",
-                      f"regexp_replace(substring_index({link}, '/', -1), '(-index.htm|.txt)$', '') AS accession", f"try_to_timestamp({updated}) AS accepted_at")
+                      f"regexp_replace(substring_index({link}, '/', -1), '(-index.htm|.txt)$', '') AS accession", f"try_to_timestamp({updated}) AS accepted_at", f"{at} AS _at")
     d = d.filter("form <> '' AND accession <> ''").withColumn("is_amendment", F.expr("upper(form) LIKE '%/A'"))
-    return d.groupBy("accession").agg(*[F.min_by(c, "form").alias(c) for c in ("company", "cik", "accepted_at", "is_amendment")], F.min("form").alias("form"))
+    return d.groupBy("accession").agg(F.min_by(F.struct("form", "company", "cik", "accepted_at", "is_amendment"), "_at").alias("_e")).select("accession", "_e.*")
 
 
 def news_items(df: DataFrame, key: str, payload: str, name: Column, ticker: Column, minimum: int = 120) -> DataFrame:
@@ -194,14 +197,18 @@ def search_hits(df: DataFrame, payload: str) -> DataFrame:
     return d.withColumn("path", F.expr("concat_ws('/', string(bigint(cik)), replace(accession, '-', ''), document)"))
 
 
-def seed_universe(df: DataFrame, payload: str, exchanges: tuple[str, ...], limit: int) -> DataFrame:
-    """Directory rows by position: two exchanges, short tickers, no warrants or units; position is the rank."""
-    d = df.selectExpr(f"from_json({payload}, 'fields array<string>, data array<array<string>>') AS d").selectExpr("d.fields AS f", "posexplode(d.data) AS (pos, r)")
+def seed_universe(df: DataFrame, page: str, payload: str, exchanges: tuple[str, ...]) -> DataFrame:
+    """Directory rows of two exchanges with short tickers, no warrants or units; (page, pos) is their order.
+
+    A ticker listed twice keeps its first row.
+    """
+    d = df.selectExpr(page, f"from_json({payload}, 'fields array<string>, data array<array<string>>') AS d").selectExpr(page, "d.fields AS f", "posexplode(d.data) AS (pos, r)")
     col = lambda n: f"get(r, int(array_position(f, '{n}')) - 1)"
-    d = d.selectExpr("pos", f"{col('cik')} AS cik", f"{col('name')} AS name", f"{col('ticker')} AS ticker", f"{col('exchange')} AS exchange")
+    d = d.selectExpr(page, "pos", f"{col('cik')} AS cik", f"{col('name')} AS name", f"{col('ticker')} AS ticker", f"{col('exchange')} AS exchange")
     bad = " OR ".join(f"endswith(ticker, '{s}')" for s in SKIPPED_SUFFIXES)
     d = d.filter(F.col("exchange").isin(*exchanges)).filter(f"length(ticker) <= 6 AND NOT ({bad})")
-    return d.orderBy("pos").limit(limit)
+    first = d.groupBy("ticker").agg(F.min_by(F.struct(*[c for c in d.columns if c != "ticker"]), F.struct(page, "pos")).alias("_r"))
+    return first.select("ticker", "_r.*")
 
 
 def sector_for_sic(sic: str) -> str:

@@ -27,15 +27,19 @@ def append_if_absent(df: DataFrame, path: str, columns: Sequence[str], partition
     fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def append_absent_keys(df: DataFrame, path: str, key_sets: Sequence[Sequence[str]]) -> None:
-    """Append rows matching no stored row on any of the key sets, and no earlier row of the batch."""
+def append_absent_keys(df: DataFrame, path: str, key_sets: Sequence[Sequence[str]], arrival: Sequence[str]) -> None:
+    """Append rows matching no stored row on any of the key sets, and no earlier row of the batch.
+
+    `arrival` orders the batch; for each key set in turn the earliest row of a key stays.
+    """
     spark, fresh = df.sparkSession, df
-    for keys in key_sets:
-        fresh = fresh.dropDuplicates(list(keys))
     if exists(spark, path):
         stored = spark.read.parquet(path)
         for keys in key_sets:
             fresh = fresh.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+    for keys in key_sets:
+        rest = [c for c in df.columns if c not in keys]
+        fresh = fresh.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("_first")).select(*keys, "_first.*")
     fresh.select(*df.columns).write.mode("append").parquet(path)
 
 
@@ -78,7 +82,7 @@ def record_assessments(df: DataFrame, path: str) -> None:
     """Accepted and rejected judgements alike, once per (document, kind, quote)."""
     from pitlens.functions.text import fold_quotes
     hashed = df.withColumn("quote_hash", F.expr(f"sha2({fold_quotes('quote')}, 256)"))
-    append_absent_keys(hashed, path, [("doc_id", "kind", "quote_hash")])
+    append_absent_keys(hashed, path, [("doc_id", "kind", "quote_hash")], ("quote",))
 
 
 def latest_version(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

@@ -87,6 +87,9 @@ def test_thin_pool_has_no_rank_and_low_is_inverted(spark):
 
 
 def test_global_position_without_one_big_sort(spark):
-    d = spark.range(1000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(50)))
-    got = ranks.position_in_order(d, F.floor(F.col("x") / 5), [F.col("x"), F.col("id")], "pos").orderBy("x", "id").collect()
-    assert [r.pos for r in got] == list(range(1, 1001))
+    d = spark.range(1000).selectExpr("id", "nullif(pmod(xxhash64(id), 50), 7) AS x", "id % 3 AS g")
+    for slices in (1, 7, 40):
+        got = ranks.position_in_order(d, "x", ["id"], "pos", slices=slices).orderBy(F.col("x").asc_nulls_first(), "id").collect()
+        assert [r.pos for r in got] == list(range(1, 1001))
+        got = ranks.position_in_order(d, "x", ["id"], "pos", "g", True, slices).orderBy("g", F.col("x").desc_nulls_last(), "id").collect()
+        assert [r.pos for r in got] == list(range(1, 1001))

@@ -53,8 +53,9 @@ def test_annual_before_quarterly_on_one_day_and_held_skipped(spark):
 
 def test_notice_titles_and_one_row_per_accession(spark):
     rows = [("8-K - ACME CORP (0000000123) (Filer)", "/x/acc1-index.htm", "2024-01-01T10:00:00+00:00"), ("10-K/A - ACME CORP (0000000123) (Filer)", "/x/acc1-index.htm", "2024-01-01T10:00:00+00:00"), ("no form here", "/x/acc2-index.htm", None)]
-    got = landed.acceptance_notices(spark.createDataFrame(rows, "t string, l string, u string"), "t", "l", "u").collect()
-    assert [(r.accession, r.cik, r.form, r.is_amendment) for r in got] == [("acc1", "0000000123", "10-K/A", True)]
+    d = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "t string, l string, u string, k int")
+    got = landed.acceptance_notices(d, "t", "l", "u", "k").collect()
+    assert [(r.accession, r.cik, r.form, r.is_amendment) for r in got] == [("acc1", "0000000123", "8-K", False)]
 
 
 def test_sic_ranges_are_closed(spark):
@@ -65,7 +66,7 @@ def test_sic_ranges_are_closed(spark):
 def test_exhibits_stop_at_the_budget_and_skip_plumbing(spark):
     rows = [(1, 1, "EX-99.1", "a" * 10), (1, 2, "EX-101.INS", "b"), (1, 3, "EX-99", "c" * 10), (1, 4, "EX-99.2", "d" * 10)]
     got = landed.assemble_exhibits(spark.createDataFrame(rows, "k long, seq int, type string, text string"), "k", 25).first()
-    assert got.exhibits == 2 and got.body == "a" * 10 + "\n\n" + "c" * 10
+    assert got.exhibits == 3 and got.body == "a" * 10 + "\n\n" + "c" * 10 + "\n\n" + "d" * 5
 
 
 def test_page_text_and_article_outcomes(spark):
