@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitlens.functions import stats
 from pitlens.operators import prices
+from pitlens.session import cut_lineage
 
 MIN_SAMPLE_FOR_VERDICT = 30
 POSITIVE, NEGATIVE = "direction = 'positive'", "direction = 'negative'"
@@ -92,26 +93,31 @@ def sector_move_after(probes: DataFrame, bars: DataFrame, market: DataFrame, mem
 def precedent_lookup(cases: DataFrame, min_cases: int = 12, min_companies: int = 8, min_sector: int = 20) -> DataFrame:
     """For each (topic, entity) the record of everyone else: its sector's when large enough, else all.
 
-    Counts, sums and shares leave an entity out by subtraction.  The order statistics
-    do too: with m own cases removed, the value at position i lies among positions
-    i .. i + m of the whole sorted record, so only those positions are looked up.
-    Moves carry two decimals, so a record is its distinct values with counts.
+    Counts, sums and shares leave an entity out by subtraction, and so do the order
+    statistics: between two neighbours of an entity's own moves the number of own moves
+    below is fixed, k, and there the value at position i without them is the value at
+    i + k of the whole record. One of those places lies inside its own stretch. Moves
+    carry two decimals, so a record is its distinct values with counts.
     """
     keys = ["topic", "scope"]
     scoped = cases.selectExpr("topic", "ticker", "move", "inline(array(struct(sector AS scope), struct('*' AS scope)))").filter("scope IS NOT NULL")
-    sums = [F.count(F.lit(1)).alias("n"), F.sum("move").alias("s"), F.sum(F.expr("move * move")).alias("q"), F.count_if(F.col("move") < 0).alias("neg")]
-    own = scoped.groupBy(*keys, "ticker").agg(*sums, F.sort_array(F.collect_list("move")).alias("mine"))
+    held = cut_lineage(scoped.groupBy(*keys, "ticker", "move").agg(F.count(F.lit(1)).alias("c")))
+    own = held.groupBy(*keys, "ticker").agg(F.sum("c").alias("n"), F.sum(F.col("move") * F.col("c")).alias("s"), F.sum(F.expr("move * move * c")).alias("q"),
+                                            F.sum(F.expr("CASE WHEN move < 0 THEN c ELSE 0 END")).alias("neg"), F.min("move").alias("least"))
     total = own.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "s", "q", "neg")], F.count(F.lit(1)).alias("entities"))
-    cells = scoped.groupBy(*keys, "move").agg(F.count(F.lit(1)).alias("c")).withColumn(
-        "upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("move")))
-    positions = cells.selectExpr(*keys, "move AS at_move", "upto", "explode(sequence(upto - c, upto - 1)) AS pos")
+    cells = held.groupBy(*keys, "move").agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("move")))
+    positions = cells.selectExpr(*keys, "move AS at_move", "explode(sequence(upto - c, upto - 1)) AS pos")
     left = own.join(total, keys).selectExpr(
-        *keys, "ticker", "mine", "n AS own_n", "t_n - n AS cases", "entities - 1 AS companies", "t_s - s AS s", "t_q - q AS q", "t_neg - neg AS neg")
+        *keys, "ticker", "least", "t_n - n AS cases", "entities - 1 AS companies", "t_s - s AS s", "t_q - q AS q", "t_neg - neg AS neg")
     left = left.filter(f"cases >= {min_cases} AND companies >= {min_companies} AND (scope = '*' OR cases >= {min_sector})")
-    wanted = left.selectExpr(*keys, "ticker", "mine", "own_n", "inline(array(struct('m1' AS what, (cases - 1) DIV 2 AS i), struct('m2' AS what, cases DIV 2 AS i),"
-                             " struct('low' AS what, bigint(floor(cases * 0.1)) AS i), struct('high' AS what, bigint(floor(cases * 0.9)) AS i)))")
-    probes = wanted.selectExpr(*keys, "ticker", "mine", "what", "i", "explode(sequence(i, i + own_n)) AS pos").join(positions, [*keys, "pos"])
-    hit = probes.filter("upto - size(filter(mine, x -> x <= at_move)) > i").groupBy(*keys, "ticker").agg(
+    mine = Window.partitionBy(*keys, "ticker").orderBy("move")
+    stretches = held.select(*keys, "ticker", F.sum("c").over(mine).alias("k"), F.col("move").alias("low"), F.lead("move").over(mine).alias("below"))
+    stretches = left.select(*keys, "ticker", "cases").join(stretches, [*keys, "ticker"]).unionByName(
+        left.select(*keys, "ticker", "cases", F.lit(0).cast("long").alias("k"), F.lit(None).cast("double").alias("low"), F.col("least").alias("below")))
+    probes = stretches.selectExpr(*keys, "ticker", "low", "below", "k", "inline(array(struct('m1' AS what, (cases - 1) DIV 2 AS i), struct('m2' AS what, cases DIV 2 AS i),"
+                                  " struct('low' AS what, bigint(floor(cases * 0.1)) AS i), struct('high' AS what, bigint(floor(cases * 0.9)) AS i)))")
+    probes = probes.withColumn("pos", F.col("i") + F.col("k")).join(positions, [*keys, "pos"])
+    hit = probes.filter("(low IS NULL OR at_move >= low) AND (below IS NULL OR at_move < below)").groupBy(*keys, "ticker").agg(
         *[F.min(F.expr(f"CASE WHEN what = '{w}' THEN at_move END")).alias(w) for w in ("m1", "m2", "low", "high")])
     g = left.join(hit, [*keys, "ticker"])
     sd = "sqrt(greatest(q / cases - power(s / cases, 2), 0D))"

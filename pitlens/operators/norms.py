@@ -20,12 +20,11 @@ INCIDENCE_WEIGHT, MIN_DOCUMENTS = 2.0, 4
 def measure_norms(signed: DataFrame) -> dict[str, DataFrame]:
     """Expected sign by type, genre, sector and company, each shrunk to its parent.
 
-    One pass counts the finest level; every coarser level folds that table, so the
-    findings are read once and hot entities arrive pre-aggregated.
+    One pass counts the finest level; every coarser level folds that table, whose one
+    exchange they share, so the findings are read once and hot entities arrive pre-aggregated.
     """
     finest = signed.filter(F.col("sign") != 0).groupBy("entity_id", "sector", "genre", "finding_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("sign").alias("s"))
-    finest = cut_lineage(finest)
     fold = lambda *keys: finest.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     by_type = fold("finding_type").selectExpr("finding_type", "n AS type_n", f"{shrunk_mean('s', 'n', '0D', PRIOR_WEIGHT)} AS type_e")
     by_genre = fold("genre", "finding_type").join(by_type, "finding_type").selectExpr(
@@ -60,7 +59,6 @@ def measure_incidence(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Directional findings per document by genre and sector, shrunk toward the mean of all documents."""
     finest = documents.groupBy("sector", "genre").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("positive").alias("p"), F.sum("negative").alias("q"))
-    finest = cut_lineage(finest)
     root = finest.agg((F.sum("p") / F.sum("docs")).alias("root_p"), (F.sum("q") / F.sum("docs")).alias("root_q"), F.sum("docs").alias("root_docs"))
     shrink = lambda pp, qq, a, b: [f"{shrunk_mean('p', 'docs', pp, INCIDENCE_WEIGHT)} AS {a}", f"{shrunk_mean('q', 'docs', qq, INCIDENCE_WEIGHT)} AS {b}"]
     genre = finest.groupBy("genre").agg(*[F.sum(c).alias(c) for c in ("docs", "p", "q")])
