@@ -24,10 +24,9 @@ from pitlens.llm.words import PLACE, Words, mix, slices, words
 
 WINDOW, ANCHOR = 20, 8
 #: Suffixes a task holds before it sends them on, and in a group.
-FLUSH_SUFFIXES, GROUP_SUFFIXES = 1_000_000, 4_000_000
+FLUSH_SUFFIXES, GROUP_SUFFIXES = 1_000_000, 2_000_000
 _CODE_BITS = 12
 _ROWS = "target int, kind int, hash array<long>, doc array<int>, pos array<int>, ids array<long>, marks array<long>"
-_FOUND = "id long, mark long, pos array<int>"
 
 
 def windows(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,44 +113,65 @@ class Outbox:
         self.clear()
 
 
-def by_document(ids: np.ndarray, marks: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id, mark, positions) rows from parallel arrays."""
-    if not len(ids):
+def send(ids: np.ndarray, marks: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, ids, marks, pos): found positions packed by the partition their documents are gathered in."""
+    part = (mix(ids.view(np.uint64) ^ mix(marks.view(np.uint64))) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0]) if len(part) else np.zeros(0, int)
+    for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
+        at = order[a:b]
+        yield pa.RecordBatch.from_arrays([pa.array([part[at[0]]]), pa.array([ids[at]], pa.list_(pa.int64())), pa.array([marks[at]], pa.list_(pa.int64())),
+                                          pa.array([pos[at].astype(np.int32)], pa.list_(pa.int32()))], ["part", "ids", "marks", "pos"])
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (id, mark, positions) for each document of a partition."""
+    held = [tuple(batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2, 3)) for batch in batches]
+    if not held:
         return
+    ids, marks, pos = (np.concatenate(p) for p in zip(*held))
+    held.clear()
     order = np.lexsort((pos, marks, ids))
     ids, marks, pos = ids[order], marks[order], pos[order]
     cuts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]), True])
-    yield pa.RecordBatch.from_arrays([
-        pa.array(ids[cuts[:-1]]), pa.array(marks[cuts[:-1]]),
-        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(pos.astype(np.int32)))], ["id", "mark", "pos"])
+    for a in range(0, len(cuts) - 1, 10_000):
+        own = cuts[a:a + 10_001]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(ids[own[:-1]]), pa.array(marks[own[:-1]]),
+            pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(pos[own[0]:own[-1]].astype(np.int32)))], ["id", "mark", "pos"])
 
 
-def subtree(first_only: bool):
-    """Repeats of one group: all but the earliest of equal suffixes, or all of equal anchors."""
+def subtree(first_only: bool, parts: int):
+    """Repeats of one group: all but the earliest of equal suffixes, or all of equal anchors; and what was known before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        known: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             columns = [batch.column(k) for k in range(7)]
             for k, kind in enumerate(columns[1].to_pylist()):
                 hashed, doc, pos, ids, marks = (c[k].values.to_numpy(zero_copy_only=False) for c in columns[2:])
                 if kind == 1:
-                    yield from by_document(ids[doc], marks[doc], pos)
+                    known.append((ids[doc], marks[doc], pos))
                 else:
                     held.append((hashed, ids[doc], marks[doc], pos, np.full(len(pos), kind == 2)))
-        if not held:
-            return
-        hashed, ids, marks, pos, shared = (np.concatenate(p) for p in zip(*held))
-        held.clear()
-        order = np.lexsort((pos, ids, hashed)) if first_only else np.argsort(hashed, kind="stable")
-        begins = np.r_[True, np.diff(hashed[order]) != 0]
-        if first_only:
-            head = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-            found = order[(ids[order] != ids[head]) | (pos[order] != pos[head])]
-        else:
-            start = np.flatnonzero(begins)
-            many = (np.diff(np.r_[start, len(order)]) > 1) | np.logical_or.reduceat(shared[order], start)
-            found = order[many[np.cumsum(begins) - 1] & ~shared[order]]
-        yield from by_document(ids[found], marks[found], pos[found])
+            if sum(len(k[2]) for k in known) >= FLUSH_SUFFIXES:
+                yield from send(*(np.concatenate(p) for p in zip(*known)), parts)
+                known.clear()
+        if held:
+            hashed, ids, marks, pos, shared = (np.concatenate(p) for p in zip(*held))
+            held.clear()
+            order = np.lexsort((pos, ids, hashed)) if first_only else np.argsort(hashed, kind="stable")
+            begins = np.r_[True, np.diff(hashed[order]) != 0]
+            if first_only:
+                head = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+                found = order[(ids[order] != ids[head]) | (pos[order] != pos[head])]
+            else:
+                start = np.flatnonzero(begins)
+                many = (np.diff(np.r_[start, len(order)]) > 1) | np.logical_or.reduceat(shared[order], start)
+                found = order[many[np.cumsum(begins) - 1] & ~shared[order]]
+            known.append((ids[found], marks[found], pos[found]))
+        if known:
+            yield from send(*(np.concatenate(p) for p in zip(*known)), parts)
 
     return run
 
@@ -257,9 +277,9 @@ def deduplicate(docs: DataFrame, width: int = WINDOW, anchor: int = ANCHOR, grou
                                                   texts], [*names, "n_words", "n_removed", "kept"])
 
     def gathered(rows: DataFrame, n: int, first_only: bool) -> DataFrame:
-        found = rows.repartitionById(n, F.col("target")).mapInArrow(subtree(first_only), _FOUND)
-        return found.repartition(deal, "id", "mark").groupBy("id", "mark").agg(F.flatten(F.collect_list("pos")).alias("_found")).withColumnsRenamed(
-            {"id": "_found_id", "mark": "_found_mark"}).hint("shuffle_hash")
+        found = rows.repartitionById(n, F.col("target")).mapInArrow(subtree(first_only, deal), "part int, ids array<long>, marks array<long>, pos array<int>")
+        return found.repartitionById(deal, F.col("part")).mapInArrow(gather, "id long, mark long, pos array<int>").withColumnsRenamed(
+            {"id": "_found_id", "mark": "_found_mark", "pos": "_found"}).hint("shuffle_hash")
 
     shared = gathered(keyed.select("_id", "_mark", "text").mapInArrow(sparse_suffixes, _ROWS), sparse, False)
     same = (F.col("_id") == F.col("_found_id")) & (F.col("_mark") == F.col("_found_mark"))
