@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 # Words that carry no topic in a finding's summary.
 STOPWORDS = (
-    "the and for with that this from into could may would will have has are was were its their which company companys "
-    "risk risks increase increased increasing reduce reduced reducing impact material materially adverse adversely affect "
-    "affected significant significantly continue continued results operations financial condition business").split()
+    "the", "and", "for", "with", "that", "this", "from", "into", "could", "may", "would", "will", "have", "has", "are", "was", "were",
+    "its", "their", "which", "company", "companys", "risk", "risks", "increase", "increased", "increasing", "reduce", "reduced",
+    "reducing", "impact", "material", "materially", "adverse", "adversely", "affect", "affected", "significant", "significantly",
+    "continue", "continued", "results", "operations", "financial", "condition", "business")
 # Words left out of the filing vocabulary.
 VOCABULARY_STOPWORDS = (
-    "that this with from have has been were was are its their which would could may might will shall such other these those "
-    "than then there into upon any all our the and for not but his her").split()
+    "that", "this", "with", "from", "have", "has", "been", "were", "was", "are", "its", "their", "which", "would", "could", "may", "might",
+    "will", "shall", "such", "other", "these", "those", "than", "then", "there", "into", "upon", "any", "all", "our", "the", "and", "for",
+    "not", "but", "his", "her")
 # Disclosure topics and the substrings that signal them.
 TOPICS = {
     "supply_concentration": ("supplier", "supply chain", "foundry", "concentration", "single source", "sole source", "manufacturing partner"),

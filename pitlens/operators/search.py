@@ -6,18 +6,35 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAM = 4
+GRAM, CHAR_GRAM = 4, 3
 SNIPPET_RADIUS = 160
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 
 
+# English words that a full-text query leaves out.
+QUERY_STOPWORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom",
+    "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does",
+    "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on",
+    "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each",
+    "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can",
+    "will", "just", "don", "should", "now")
+# Endings and what they become, in turn: plurals, participles behind a vowel, a last e. All forms of a word end alike.
+ENDINGS = (("^(.{2,})ies$", "{1}y"), ("(ss|x|ch|sh|zz)es$", "{1}"), ("([^siu])s$", "{1}"), ("^(.*[aeiouy].+)(ing|ed)$", "{1}"), ("^(.{2,})e$", "{1}"))
+INDEX_BUCKETS = 256
+
+
 def stem(term: str) -> str:
-    """Plural and participle endings cut; enough for matching query words to text words."""
-    return f"regexp_replace(regexp_replace({term}, '(ies)$', 'y'), '(ing|ed|es|s)$', '')"
+    """One form for a word's singular, plural, participles and gerund."""
+    for pattern, put in ENDINGS:
+        term = f"regexp_replace({term}, '{pattern}', '{put.replace('{1}', '$1')}')"
+    return term
 
 
 def postings(docs: DataFrame, title: str, body: str) -> DataFrame:
@@ -29,9 +46,26 @@ def postings(docs: DataFrame, title: str, body: str) -> DataFrame:
     return terms.groupBy("term", "doc_id", "entity", "subtype", "field").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("first_at"))
 
 
+def write_postings(index: DataFrame, path: str) -> None:
+    """Stores the index by term, so that a query opens the buckets of its own terms only."""
+    index.withColumn("bucket", F.expr(f"int(pmod(xxhash64(term), {INDEX_BUCKETS}))")).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """The stored postings of a query's terms: buckets by partition, terms by a filter that reaches the scan."""
+    groups, phrases, excluded = parse_query(query)
+    words = query_words(groups, phrases, excluded)
+    terms = [r.term for r in spark.createDataFrame([(w,) for w in words], "word string").selectExpr(f"{stem('word')} AS term").collect()]
+    buckets = spark.createDataFrame([(w,) for w in terms], "term string").selectExpr(f"int(pmod(xxhash64(term), {INDEX_BUCKETS})) AS b").collect()
+    return spark.read.parquet(path).filter(F.col("bucket").isin(*{r.b for r in buckets}) & F.col("term").isin(*terms)).drop("bucket")
+
+
 def parse_query(text: str) -> tuple[list[list[str]], list[str], list[str]]:
-    """Web-style query: groups of alternatives that must each match, phrases, excluded words."""
-    phrases = [p.lower() for p in re.findall(r'"([^"]+)"', text)]
+    """Web-style query: groups of alternatives that must each match, phrases, excluded words.
+
+    Stop words ask for nothing: they leave groups and exclusions, and a phrase of nothing else goes.
+    """
+    phrases = [p for p in (x.lower() for x in re.findall(r'"([^"]+)"', text)) if set(p.split()) - set(QUERY_STOPWORDS)]
     rest = re.sub(r'"[^"]*"', " ", text).lower().split()
     groups: list[list[str]] = []
     excluded: list[str] = []
@@ -46,17 +80,22 @@ def parse_query(text: str) -> tuple[list[list[str]], list[str], list[str]]:
             joined = False
         else:
             groups.append([w])
-    return groups, phrases, excluded
+    told = lambda ws: [w for w in ws if w not in QUERY_STOPWORDS]
+    return [g for g in map(told, groups) if g], phrases, told(excluded)
+
+
+def query_words(groups: list[list[str]], phrases: list[str], excluded: list[str]) -> list[str]:
+    return sorted(({w for g in groups for w in g} | {w for p in phrases for w in p.split()} | set(excluded)) - set(QUERY_STOPWORDS))
 
 
 def search(index: DataFrame, docs: DataFrame, query: str, limit: int, entity: str | None = None, subtype: str | None = None) -> DataFrame:
     """Documents holding every group, every phrase and no excluded word, ranked by weighted tf.
 
-    Only the query's terms are read from the index (a pushed-down IN), and only the
-    surviving documents' texts are opened to check phrases.
+    Only the query's terms are kept of the index (of a stored one, see read_postings, only they
+    are read), and only the surviving documents' texts are opened to check phrases.
     """
     groups, phrases, excluded = parse_query(query)
-    words = sorted({w for g in groups for w in g} | {w for p in phrases for w in p.split()} | set(excluded))
+    words = query_words(groups, phrases, excluded)
     lookup = index.sparkSession.createDataFrame([(w,) for w in words], "word string").selectExpr("word", f"{stem('word')} AS term")
     d = index
     if entity is not None:
@@ -64,7 +103,7 @@ def search(index: DataFrame, docs: DataFrame, query: str, limit: int, entity: st
     if subtype is not None:
         d = d.filter(F.col("subtype") == subtype)
     hits = d.join(F.broadcast(lookup), "term")
-    must = [g for g in groups] + [[w] for p in phrases for w in p.split()]
+    must = groups + [[w] for p in phrases for w in p.split() if w not in QUERY_STOPWORDS]
     has = lambda ws: F.max(F.col("word").isin(*ws).cast("int")) == 1
     weight = F.when(F.col("field") == "A", TITLE_WEIGHT).otherwise(BODY_WEIGHT)
     scored = hits.groupBy("doc_id").agg(
@@ -103,12 +142,14 @@ def quotes_in_source(quotes: DataFrame, docs: DataFrame) -> DataFrame:
 
     Exact: words strictly inside a quote are whole words of any text holding it, so
     one run of inside words anchors an equi-join and `contains` decides.  Copies of a
-    text are matched once.  Quotes too short to have such a run anchor on one inside
-    word; a quote without any is left to the caller.
+    text are matched once.  Shorter quotes anchor on one inside word; a quote of one or
+    two words can begin and end inside a word, so it anchors on three of its
+    characters, or on fewer where it has no more.
     """
     words = r"filter(split(%s, '\\s+'), w -> w <> '')"
-    q = quotes.selectExpr("quote_id", "quote", f"{words % 'quote'} AS w").withColumn("inner", F.expr("slice(w, 2, greatest(size(w) - 2, 0))")).filter("size(inner) > 0")
-    q = q.selectExpr("quote_id", "quote", f"CASE WHEN size(inner) >= {GRAM} THEN {GRAM} ELSE 1 END AS n", "inner")
+    q = quotes.selectExpr("quote_id", "quote", f"{words % 'quote'} AS w").withColumn("inner", F.expr("slice(w, 2, greatest(size(w) - 2, 0))")).filter("quote <> ''")
+    bare = q.filter("size(inner) = 0").selectExpr("quote_id", "quote", f"least({CHAR_GRAM}, length(quote)) AS n").selectExpr("quote_id", "quote", "n", "substring(quote, 1, n) AS piece")
+    q = q.filter("size(inner) > 0").selectExpr("quote_id", "quote", f"CASE WHEN size(inner) >= {GRAM} THEN {GRAM} ELSE 1 END AS n", "inner")
     anchor = "array_join(slice(inner, int((size(inner) - n) DIV 2) + 1, n), ' ')"
     anchors = q.selectExpr("quote_id", "quote", f"xxhash64(n, {anchor}) AS gram")
     copies = docs.selectExpr("doc_id", "text", "sha2(text, 256) AS copy")
@@ -116,7 +157,12 @@ def quotes_in_source(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     grams = texts.selectExpr("copy", f"{words % 'text'} AS w").filter("size(w) > 0").selectExpr(
         "copy", "explode(array_distinct(concat(transform(w, x -> xxhash64(1, x)),"
         f" transform(slice(sequence(1, size(w)), 1, greatest(size(w) - {GRAM - 1}, 0)), i -> xxhash64({GRAM}, array_join(slice(w, i, {GRAM}), ' '))))) ) AS gram")
-    found = anchors.join(grams, "gram").select("quote_id", "quote", "copy").join(texts, "copy").filter(F.contains("text", F.col("quote"))).select("quote_id", "copy").distinct()
+    # every run of one to three characters of a text, once each, for the quotes of one or two words
+    lengths = bare.select("n").distinct()
+    runs = texts.join(F.broadcast(lengths)).selectExpr("copy", "n", "explode(array_distinct(transform(slice(sequence(1, greatest(length(text), 1)), 1,"
+                                                       " greatest(length(text) - n + 1, 0)), i -> substring(text, i, n)))) AS piece")
+    met = anchors.join(grams, "gram").select("quote_id", "quote", "copy").unionByName(bare.join(runs, ["n", "piece"]).select("quote_id", "quote", "copy"))
+    found = met.join(texts, "copy").filter(F.contains("text", F.col("quote"))).select("quote_id", "copy").distinct()
     return found.join(copies.select("doc_id", "copy"), "copy").select("quote_id", "doc_id")
 
 
@@ -138,10 +184,25 @@ def longest_match(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(q, t) for q, t in zip(quote, text)])
 
 
-def mentions(names: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents naming each entity as whole words: joined on the first word, then verified."""
+MENTION_DAYS, MENTION_CHARS = 30, 400
+
+
+def mentions(names: DataFrame, docs: DataFrame, as_of: str, days: int = MENTION_DAYS, min_chars: int = MENTION_CHARS) -> DataFrame:
+    """Newest document of each other filer that names an entity as whole words in the days up to `as_of`.
+
+    Names (entity_name, own: the entity's own filer or null) meet documents on their first word;
+    words travel without the text, which is opened for the documents that can match.
+    """
     word = r"regexp_extract_all(lower(%s), '[\\p{L}\\p{N}]+', 0)"
-    n = names.selectExpr("entity_name", f"get({word % 'entity_name'}, 0) AS w").filter("w IS NOT NULL")
-    d = docs.selectExpr("doc_id", "entity", "text", f"explode(array_distinct({word % 'text'})) AS w")
+    n = names.selectExpr("entity_name", "own", f"get({word % 'entity_name'}, 0) AS w").filter("w IS NOT NULL")
+    recent = docs.filter(f"published <= date'{as_of}' AND published > date_sub(date'{as_of}', {days}) AND length(text) >= {min_chars}")
+    words = recent.selectExpr("doc_id", "entity", f"explode(array_distinct({word % 'text'})) AS w")
+    meet = words.join(n, "w").filter("own IS NULL OR own <> entity").select("entity_name", "doc_id")
     whole = F.regexp_like(F.lower("text"), F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.lower("entity_name"), F.lit(r"\E(?![\p{L}\p{N}])")))
-    return d.join(n, "w").filter(whole).select("entity_name", F.col("entity").alias("filer"), "doc_id")
+    found = meet.join(recent, "doc_id").filter(whole)
+    return found.groupBy("entity_name", F.col("entity").alias("filer")).agg(F.max_by("doc_id", F.struct("published", "doc_id")).alias("doc_id"))
+
+
+def mention_counts(mentioned: DataFrame) -> DataFrame:
+    """How many filers name each entity."""
+    return mentioned.groupBy("entity_name").agg(F.count(F.lit(1)).alias("filers"))

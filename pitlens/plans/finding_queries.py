@@ -141,7 +141,7 @@ def _(t):
                                ok("expected_p").alias("expected_positive"), ok("expected_q").alias("expected_negative"), "peer_documents")
 
 
-_tok = lambda c: f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z]{{4,}}')), lambda w: not list_contains({tx.STOPWORDS!r}, w))"
+_tok = lambda c: f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z]{{4,}}')), lambda w: not list_contains({list(tx.STOPWORDS)!r}, w))"
 view("stated", f"select *, {_tok('summary')} toks, list_distinct(regexp_extract_all(summary, '[0-9]+(?:[.,][0-9]+)*')) figs from findings", "findings")
 view("restated", """select finding_id from stated a where finding_type not in ('guidance_change','qoq_anomaly') and len(toks) > 0 and exists (select 1 from stated b
  where b.entity_id=a.entity_id and b.finding_type=a.finding_type and b.occurred_at < a.occurred_at and b.document_id <> a.document_id

@@ -1,12 +1,14 @@
 """Sections, vocabulary, filing diffs, search and quotes."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pitlens.functions import text as tx
 from pitlens.operators import search, sections
 from pitlens.plans.registry import query
 from pitlens.plans.views import R, view
-from pitlens.session import cut_lineage
+from pitlens.session import checkpoint_dir, cut_lineage
 
 
 def filed(t):
@@ -47,7 +49,7 @@ def _(t):
     return sections.prepare_text(filed(t)).selectExpr("doc_id", "whole_text", "length(prepared) AS chars")
 
 
-_stop = str(tx.VOCABULARY_STOPWORDS)
+_stop = str(list(tx.VOCABULARY_STOPWORDS))
 view("para_terms", rf"""select doc_id, entity, pos, unnest(list_filter(list_distinct(regexp_extract_all(lower(paragraph), '[a-z][a-z''\-]+')), lambda w: length(w) between 4 and 32 and not list_contains({_stop}, w))) term from paras""", "paras")
 view("vocab", "select term, count(distinct entity) entities from para_terms group by 1 having count(distinct entity) >= 2", "para_terms")
 
@@ -112,8 +114,18 @@ def _(t):
 
 
 # ---- search -----------------------------------------------------------------
-QUERY = 'tion "of the" and or ndth -lyea'
-_stem = lambda w: f"regexp_replace(regexp_replace({w}, '(ies)$', 'y'), '(ing|ed|es|s)$', '')"
+QUERY = 'tion the anea or erer -thwh "the ing"'
+
+
+def _stem(w):
+    for pattern, put in search.ENDINGS:
+        w = f"regexp_replace({w}, '{pattern}', '{put.replace('{1}', chr(92) + '1')}')"
+    return w
+
+
+# Every form of a plain word, written out: what the query's words match, without the rules they are found by.
+_FORMS = ("", "s", "e", "es", "ed", "ing", "eds", "ings", "eed", "eing", "eeds", "eings")
+_any = lambda *ws: "w in (" + ", ".join(f"'{w}{f}'" for w in ws for f in _FORMS) + ")"
 _terms = lambda src: _stem("unnest(regexp_extract_all(lower(" + src + r"), '[\p{L}\p{N}]+'))")
 view("postings", f"""select term, doc_id, entity, subtype, field, count(*) tf from (select doc_id, entity, subtype, 'B' field, {_terms('text')} term from filings
  union all select doc_id, entity, subtype, 'A', {_terms('split_part(text, chr(10), 1)')} from filings) where term <> '' group by all""", "filings")
@@ -128,17 +140,21 @@ def _(t):
     return index(t).groupBy("doc_id", "field").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("words"))
 
 
-@query("text_search", "TXT-11", f"""select doc_id, {R('score', 6)} score from (select doc_id, sum(case when term <> 'lyea' then case field when 'A' then 1.0 else 0.4 end * ln(1 + tf) else 0 end) score,
- bool_or(term='tion') a, bool_or(term in ('and', 'ndth')) b, bool_or(term='of') c, bool_or(term='the') d, bool_or(term='lyea') x from postings where term in ('tion','and','ndth','of','the','lyea') group by 1)
- join filings using (doc_id) where a and b and c and d and not x and contains(lower(text), 'of the') order by score desc, published desc, doc_id limit 50""", "postings filings")
+@query("text_search", "TXT-11", f"""select doc_id, {R('score', 6)} score from (select doc_id, sum(case when base <> 'thwh' then case field when 'A' then 1.0 else 0.4 end * ln(1 + tf) else 0 end) score,
+ bool_or(base='tion') a, bool_or(base in ('anea', 'erer')) b, bool_or(base='ing') c, bool_or(base='thwh') x from (select doc_id, field, base, count(*) tf from (select doc_id, field, case when {_any('tion')} then 'tion' when {_any('anea')} then 'anea' when {_any('erer')} then 'erer' when {_any('ing')} then 'ing' else 'thwh' end base from (
+ select doc_id, 'B' field, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) w from filings union all select doc_id, 'A', unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{{L}}\\p{{N}}]+')) from filings)
+ where {_any('tion', 'anea', 'erer', 'ing', 'thwh')}) group by all) group by 1)
+ join filings using (doc_id) where a and b and c and not x and contains(lower(text), 'the ing') order by score desc, published desc, doc_id limit 50""", "filings")
 def _(t):
-    return search.search(index(t), t.filings, QUERY, 50).select("doc_id", F.round("score", 6).alias("score"))
+    path = f"{checkpoint_dir(t.spark)}/postings-{uuid.uuid4().hex}"
+    search.write_postings(index(t), path)
+    return search.search(search.read_postings(t.spark, path, QUERY), t.filings, QUERY, 50).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("search_snippets", "TXT-12")
 def _(t):
     hits = search.search(index(t), t.filings, QUERY, 50)
-    return hits.selectExpr("doc_id", f"{search.snippet('text', 'of the', ['tion', 'and', 'the'])} AS snippet")
+    return hits.selectExpr("doc_id", f"{search.snippet('text', 'the ing', ['tion', 'anea', 'erer', 'ing'])} AS snippet")
 
 
 @query("quotes_in_source", "TXT-13", "select item_id quote_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
@@ -146,14 +162,18 @@ def _(t):
     return search.quotes_in_source(t.benchmark.selectExpr("item_id AS quote_id", "text AS quote"), t.filing_texts)
 
 
-view("host_names", r"select distinct regexp_extract(url, '//(?:www\.|m\.)?([a-z]+)\.example', 1) entity_name from pages where regexp_extract(url, '//(?:www\.|m\.)?([a-z]+)\.example', 1) <> ''")
+view("host_names", r"select distinct regexp_extract(url, '//(?:www\.|m\.)?([a-z]+)\.example', 1) entity_name, 'src' || length(regexp_extract(url, '//(?:www\.|m\.)?([a-z]+)\.example', 1)) own from pages where regexp_extract(url, '//(?:www\.|m\.)?([a-z]+)\.example', 1) <> ''")
+
+
+AS_OF_MENTIONS = "2020-07-01"
 
 
-@query("mentions_by_filer", "TXT-16 SRC-16", r"""select entity_name, filer, count(*) documents from (select entity_name, entity filer, doc_id from host_names join (
- select doc_id, entity, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) w from filings) on w=entity_name) group by 1,2""", "host_names filings")
+@query("mentions_by_filer", "TXT-16 SRC-16", rf"""select entity_name, filer, arg_max(doc_id, doc_id) doc_id from (select entity_name, own, entity filer, doc_id from host_names join (
+ select doc_id, entity, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) w from filings
+ where published <= date '{AS_OF_MENTIONS}' and published > date '{AS_OF_MENTIONS}' - 30 and length(text) >= 400) on w=entity_name) where own is distinct from filer group by 1,2""", "host_names filings")
 def _(t):
     names = t.pages.selectExpr(r"regexp_extract(url, '//(?:www\\.|m\\.)?([a-z]+)\\.example', 1) AS entity_name").filter("entity_name <> ''").distinct()
-    return search.mentions(names, t.filing_texts).groupBy("entity_name", "filer").agg(F.count(F.lit(1)).alias("documents"))
+    return search.mentions(names.withColumn("own", F.expr("concat('src', length(entity_name))")), t.filing_texts, AS_OF_MENTIONS)
 
 
 # ---- quotes cited by documents -------------------------------------------------

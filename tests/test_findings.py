@@ -163,3 +163,22 @@ def test_sink_is_idempotent(spark, tmp_path):
     notices.append_once(d, path, ["entity_id", "external_id"])
     notices.append_once(d.union(spark.range(6, 7).selectExpr("id", "id")), path, ["entity_id", "external_id"])
     assert spark.read.parquet(path).count() == 6
+
+
+def test_word_forms_meet(spark):
+    same = [("price", "prices"), ("price", "pricing"), ("price", "priced"), ("loss", "losses"), ("company", "companies"), ("box", "boxes"), ("report", "reported"),
+            ("report", "reporting"), ("supply", "supplies"), ("rate", "rates"), ("use", "used")]
+    apart = [("king", "k"), ("ring", "r"), ("need", "ne"), ("bus", "bu"), ("thing", "th"), ("loss", "los")]
+    d = spark.createDataFrame(same + apart, "a string, b string").selectExpr("a", "b", f"{search.stem('a')} = {search.stem('b')} AS same")
+    assert [r.same for r in d.collect()] == [True] * len(same) + [False] * len(apart)
+
+
+def test_query_words_without_stop_words():
+    assert search.parse_query('price of "the loss" the and tax or duty -the -old "of the"') == ([["price"], ["tax", "duty"]], ["the loss"], ["old"])
+
+
+def test_short_quotes_are_found(spark):
+    quotes = spark.createDataFrame([(1, "net loss"), (2, "x"), (3, "loss"), (4, "absent"), (5, ""), (6, "a net loss of ten")], "quote_id int, quote string")
+    docs = spark.createDataFrame([(10, "a net loss of ten"), (11, "glossy x"), (12, ""), (13, "a net loss of ten")], "doc_id int, text string")
+    got = {(r.quote_id, r.doc_id) for r in search.quotes_in_source(quotes, docs).collect()}
+    assert got == {(1, 10), (1, 13), (2, 11), (3, 10), (3, 11), (3, 13), (6, 10), (6, 13)}
