@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 GRAM, CHAR_GRAM = 4, 3
 SNIPPET_RADIUS = 160
@@ -166,22 +163,31 @@ def quotes_in_source(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return found.join(copies.select("doc_id", "copy"), "copy").select("quote_id", "doc_id")
 
 
-@F.pandas_udf(T.DoubleType())
-def matched_share(quote: pd.Series, text: pd.Series) -> pd.Series:
-    """Share of the quote covered by matching blocks of the text; run on misses only."""
-    def one(q, t):
-        if not q or not t:
-            return 0.0
-        blocks = SequenceMatcher(None, q, t, autojunk=False).get_matching_blocks()
-        return sum(b.size for b in blocks) / len(q)
-    return pd.Series([one(q, t) for q, t in zip(quote, text)])
+def common_runs(pairs: DataFrame, key: str, quote: str, text: str) -> DataFrame:
+    """Maximal runs of words that a quote has in common with its text: (key, first, words).
 
-
-@F.pandas_udf(T.IntegerType())
-def longest_match(quote: pd.Series, text: pd.Series) -> pd.Series:
-    def one(q, t):
-        return SequenceMatcher(None, q, t, autojunk=False).find_longest_match(0, len(q), 0, len(t)).size
-    return pd.Series([one(q, t) for q, t in zip(quote, text)])
+    A quote's word meets the same word of the text; meetings on one diagonal that follow each
+    other are a run. Only words of the quote leave the text, and runs are counted after a shuffle
+    on (key, diagonal), so nothing grows beyond the meetings of one quote.
+    """
+    words = r"filter(split(%s, '\\s+'), w -> w <> '')"
+    d = pairs.selectExpr(key, f"{words % quote} AS q", f"{words % text} AS t").selectExpr(key, "q", "array_distinct(q) AS own", "t")
+    d = d.selectExpr(key, "q", "filter(transform(t, (w, j) -> struct(w AS w, j AS j)), x -> array_contains(own, x.w)) AS t")
+    met = d.selectExpr(key, "q", "inline(t)").selectExpr(key, "j", "w", "posexplode(q) AS (i, v)").filter("v = w").select(key, "i", (F.col("j") - F.col("i")).alias("shift"))
+    line = Window.partitionBy(key, "shift").orderBy("i")
+    return met.withColumn("run", F.col("i") - F.row_number().over(line)).groupBy(key, "shift", "run").agg(
+        F.min("i").alias("first"), F.count(F.lit(1)).alias("words")).select(key, "first", "words")
+
+
+def quote_coverage(pairs: DataFrame, key: str, quote: str, text: str, least: int = GRAM) -> DataFrame:
+    """Share of a quote's words inside runs of at least `least` words of its text, and its longest run."""
+    size = r"size(filter(split(%s, '\\s+'), w -> w <> ''))" % quote
+    runs = common_runs(pairs, key, quote, text)
+    inside = runs.filter(F.col("words") >= least).select(key, F.explode(F.sequence("first", F.col("first") + F.col("words").cast("int") - 1)).alias("i")).distinct()
+    covered = inside.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    longest = runs.groupBy(key).agg(F.max("words").alias("longest"))
+    return pairs.selectExpr(key, f"{size} AS quote_words").join(covered, key, "left").join(longest, key, "left").selectExpr(
+        key, "quote_words", "coalesce(longest, 0L) AS longest", "coalesce(_n, 0L) / greatest(quote_words, 1) AS covered")
 
 
 MENTION_DAYS, MENTION_CHARS = 30, 400

@@ -208,10 +208,20 @@ def _(t):
     return d.groupBy("kind", "chk").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok").isNull()).alias("not_applicable"))
 
 
-@query("quote_coverage_of_misses", "TXT-14")
+_ws = lambda c: rf"list_filter(string_split_regex({c}, '\s+'), lambda x: x <> '')"
+view("misses", f"select doc_id, {_ws('quote')} q, {_ws('text')} t from cited where length(quote) >= 40 and not contains(text, quote) and not coalesce(contains(prior_text, quote), false)", "cited")
+view("run_words", """select doc_id, i, count(*) over (partition by doc_id, shift, g) n from (select doc_id, i, j - i shift, i - row_number() over (partition by doc_id, j - i order by i) g from
+ (select doc_id, unnest(q) w, generate_subscripts(q, 1) i from misses) join (select doc_id, unnest(t) w, generate_subscripts(t, 1) j from misses) using (doc_id, w))""", "misses")
+
+
+def misses(t):
+    return cited(t).filter("length(quote) >= 40 AND NOT contains(text, quote) AND NOT coalesce(contains(prior_text, quote), false)")
+
+
+@query("quote_coverage_of_misses", "TXT-14", f"""select doc_id, {R('covered', 6)} covered, covered >= 0.97 accepted from (select doc_id, coalesce(n, 0) / greatest(len(q), 1)::double covered
+ from misses left join (select doc_id, count(distinct i) n from run_words where n >= 4 group by 1) using (doc_id))""", "misses run_words")
 def _(t):
-    miss = cited(t).filter("length(quote) >= 40 AND NOT contains(text, quote) AND NOT coalesce(contains(prior_text, quote), false)").repartition(tasks(t), "doc_id")
-    d = miss.withColumn("covered", search.matched_share.asNondeterministic()("quote", "text"))
+    d = search.quote_coverage(misses(t), "doc_id", "quote", "text")
     return d.select("doc_id", F.round("covered", 6).alias("covered"), (F.col("covered") >= 0.97).alias("accepted"))
 
 
@@ -227,10 +237,9 @@ def _(t):
                            " WHEN size(w) > 0 AND size(filter(w, x -> contains(lower(text), x))) >= 0.5 * size(w) THEN 'paraphrased' ELSE 'absent' END AS cause")
 
 
-@query("longest_match_of_misses", "DQ-06")
+@query("longest_match_of_misses", "DQ-06", "select doc_id, coalesce(n, 0)::bigint longest, len(q)::int quote_words from misses left join (select doc_id, max(n) n from run_words group by 1) using (doc_id)", "misses run_words")
 def _(t):
-    miss = cited(t).filter("length(quote) >= 40 AND NOT contains(text, quote) ").repartition(tasks(t), "doc_id")
-    return miss.select("doc_id", search.longest_match("quote", "text").alias("longest"), F.length("quote").alias("quote_length"))
+    return search.quote_coverage(misses(t), "doc_id", "quote", "text").select("doc_id", "longest", "quote_words")
 
 
 @query("grounded_citations", "TXT-15", r"""select entity, count(*) citations, count(*) filter (contains(body, substring(norm, 1, 80))) verbatim, count(distinct case when contains(body, substring(norm, 1, 80)) then substring(norm, 1, 80) end) unique_findings
