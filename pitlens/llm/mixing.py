@@ -17,7 +17,7 @@ from pitlens.session import cut_lineage
 
 WEIGHTS, SHARE, CAP, BLOCK_WORDS = (3.0, 1.0, 2.0), 1.5, 2.0, 512
 WORD = r"[^\x20\x09-\x0D]+"
-_BITS, _HALF, _CELLS, _CHUNK, _BUCKET_ROWS = 40, 20, 1_024, 65_536, 20_000
+_BITS, _HALF, _CELLS, _CHUNK, _BUCKET_ROWS = 40, 20, 1_024, 65_536, 2_000
 _GOLDEN = 679_535_556_991  # 2**40 times the golden ratio's fractional part, made odd
 
 
