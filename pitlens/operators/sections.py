@@ -1,8 +1,8 @@
 """Filing text: sections, paragraphs, diffs between successive filings, rare language.
 
 Sections and paragraphs of one document are array expressions over its own lines, so
-they need no shuffle.  Paragraph comparison runs once per distinct paragraph against
-the paragraphs of one other document; nothing is compared across a whole group.
+they need no shuffle.  A paragraph is compared with those paragraphs of one other document
+that share words with it; nothing is compared across a whole group.
 """
 
 from __future__ import annotations
@@ -67,25 +67,9 @@ def prepare_text(docs: DataFrame, items: tuple[str, ...] = ("1A", "7")) -> DataF
 
 
 @F.pandas_udf(T.DoubleType())
-def best_ratio(paragraph: pd.Series, candidates: pd.Series) -> pd.Series:
-    """Best matching-block ratio of a normalised paragraph over candidates of a feasible length."""
-    def one(target, others):
-        if not target:
-            return 1.0
-        matcher, best = SequenceMatcher(), 0.0
-        matcher.set_seq2(target)
-        for c in others if others is not None else ():
-            short, long = sorted((len(c), len(target)))
-            if short < MIN_LENGTH_RATIO * long:
-                continue
-            matcher.set_seq1(c)
-            if matcher.real_quick_ratio() <= best or matcher.quick_ratio() <= best:
-                continue
-            best = max(best, matcher.ratio())
-            if best >= 0.99:
-                break
-        return best
-    return pd.Series([one(p, c) for p, c in zip(paragraph, candidates)])
+def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matching-block ratio of two normalised paragraphs; nothing in SQL measures it."""
+    return pd.Series([SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
 def build_vocabulary(paragraphs: DataFrame, min_entities: int = 2) -> DataFrame:
@@ -119,21 +103,31 @@ def filing_pairs(filings: DataFrame, bucket: str = "unix_date(published) DIV 90"
 def diff_filings(paragraphs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Paragraphs of each side of a pair with their best similarity to the other side.
 
-    Paragraphs found word for word on the other side leave by equi-join first; the
-    rest meet the other document's distinct paragraphs as one bounded array.
+    Paragraphs found word for word on the other side leave by equi-join first. The rest
+    meet paragraphs of the other document that share two words in a row and whose length
+    lets the ratio reach the threshold; the ratio is taken for those pairs alone and the best
+    kept, 0 where there is none. Shingles travel without the text.
     """
     p = paragraphs.select("doc_id", "pos", "paragraph", F.expr(normalise("paragraph")).alias("norm"))
-    packed = p.groupBy(F.col("doc_id").alias("against")).agg(F.collect_set("norm").alias("others"))
     sides = pairs.selectExpr("entity", "subtype", "current_id", "prior_id", "inline(array(struct('added' AS side, current_id AS doc_id, prior_id AS against),"
                              " struct('removed' AS side, prior_id AS doc_id, current_id AS against)))")
-    rows = sides.join(p, "doc_id")
-    same = p.select(F.col("doc_id").alias("against"), "norm").distinct().withColumn("same", F.lit(True))
-    rows = rows.join(same, ["against", "norm"], "left")
-    new = rows.filter("same IS NULL").drop("same").join(packed, "against")
-    # the ratio is the cost here: spread rows over every task, and keep filters above it
+    held = p.select(F.col("doc_id").alias("against")).distinct()
+    rows = sides.join(p, "doc_id").join(held, "against", "left_semi")
+    same = p.select(F.col("doc_id").alias("against"), "norm").distinct()
+    new = rows.join(same, ["against", "norm"], "left_anti")
+    grams = lambda d, key: d.select(*key, F.length("norm").alias("size"), F.expr("split(norm, ' ')").alias("w")).selectExpr(
+        *key, "size", "explode(array_distinct(transform(slice(sequence(1, size(w)), 1, greatest(size(w) - 1, 0)), i -> xxhash64(w[i - 1], w[i])))) AS gram")
+    mine = grams(new.select("doc_id", "against", "pos", "norm").distinct(), ["doc_id", "against", "pos"])
+    theirs = grams(p, ["doc_id", "pos"]).selectExpr("doc_id AS against", "pos AS other", "size AS other_size", "gram")
+    near = mine.join(theirs, ["against", "gram"]).filter(
+        f"least(size, other_size) >= {MIN_LENGTH_RATIO} * greatest(size, other_size)").select("doc_id", "against", "pos", "other").distinct()
+    met = near.join(p.select("doc_id", "pos", F.col("norm").alias("_a")), ["doc_id", "pos"]).join(
+        p.select(F.col("doc_id").alias("against"), F.col("pos").alias("other"), F.col("norm").alias("_b")), ["against", "other"])
+    # the ratio is the cost here: pairs are dealt over every task
     tasks = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ratio = best_ratio.asNondeterministic()
-    scored = new.repartition(tasks, "doc_id", "pos").withColumn("similarity", ratio("norm", "others")).drop("others")
+    best = met.repartition(tasks, "doc_id", "pos", "other").withColumn("_r", matching_ratio.asNondeterministic()("_a", "_b")).groupBy(
+        "doc_id", "against", "pos").agg(F.max("_r").alias("_best"))
+    scored = new.join(best, ["doc_id", "against", "pos"], "left").withColumn("similarity", F.expr("CASE WHEN norm = '' THEN 1D ELSE coalesce(_best, 0D) END"))
     return scored.select("entity", "subtype", "current_id", "prior_id", "side", "doc_id", "pos", "paragraph", "similarity")
 
 

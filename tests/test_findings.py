@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pitlens.functions import stats
@@ -107,12 +108,9 @@ def test_contents_entry_is_not_a_section(spark):
 def test_paragraph_ratio_matches_difflib(spark):
     from difflib import SequenceMatcher
     a, b = "the supplier of parts closed one plant", "the supplier of parts opened one new plant"
-    d = spark.createDataFrame([(a, [b, "zzz"]), ("", [b])], "p string, c array<string>")
-    m = SequenceMatcher()
-    m.set_seq2(a)
-    m.set_seq1(b)
-    got = [r.x for r in d.select(sections.best_ratio("p", "c").alias("x")).collect()]
-    assert got == [m.ratio(), 1.0]
+    d = spark.createDataFrame([(a, b), (a, "")], "p string, c string")
+    got = [r.x for r in d.select(sections.matching_ratio("p", "c").alias("x")).collect()]
+    assert got == [SequenceMatcher(None, b, a).ratio(), 0.0]
 
 
 def test_quotes_found_at_any_offset_and_in_copies(spark):
@@ -182,3 +180,22 @@ def test_short_quotes_are_found(spark):
     docs = spark.createDataFrame([(10, "a net loss of ten"), (11, "glossy x"), (12, ""), (13, "a net loss of ten")], "doc_id int, text string")
     got = {(r.quote_id, r.doc_id) for r in search.quotes_in_source(quotes, docs).collect()}
     assert got == {(1, 10), (1, 13), (2, 11), (3, 10), (3, 11), (3, 13), (6, 10), (6, 13)}
+
+
+def test_diff_keeps_every_changed_paragraph_and_its_best_match(spark):
+    from difflib import SequenceMatcher
+    from pitlens.operators import sections
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    old = [say(30) for _ in range(60)]
+    new = [p if k % 3 == 0 else p + " " + say(6) if k % 3 == 1 else say(30) for k, p in enumerate(old)]
+    rows = [(1, k, p) for k, p in enumerate(old)] + [(2, k, p) for k, p in enumerate(new)]
+    paragraphs = spark.createDataFrame(rows, "doc_id long, pos int, paragraph string")
+    pairs = spark.createDataFrame([("e", "10-K", 2, 1), ("e", "10-K", 9, 2)], "entity string, subtype string, current_id long, prior_id long")
+    got = sections.diff_filings(paragraphs, pairs).filter("side = 'added' AND current_id = 2").collect()
+    assert {r.pos for r in got} == {k for k in range(60) if k % 3}
+    for r in got:
+        best = max(SequenceMatcher(None, o, r.paragraph).ratio() for o in old)
+        assert (r.similarity >= 0.75) == (best >= 0.75) and (best < 0.75 or abs(r.similarity - best) < 1e-12)
+    changed = sections.changed_paragraphs(sections.diff_filings(paragraphs, pairs)).filter("current_id = 2").groupBy("side").agg(F.count("*").alias("n"), F.max("place").alias("p"))
+    assert {r.side: (r.n, r.p) for r in changed.collect()} == {"added": (20, 20), "removed": (20, 20)}
