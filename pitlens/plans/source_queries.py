@@ -85,14 +85,37 @@ def _(t):
     return landed.filing_index_rows(d, "entity", "payload", "en", "fr", 5, held).select("entity", "form", "filed", "url")
 
 
-@query("page_texts", "SRC-09")
+def _without(column, elements):
+    for e in elements:
+        column = rf"regexp_replace({column}, '(?is)<{e}\b[^>]*>.*?</{e}\s*>', '<br>', 'g')"
+    for e in html.HIDEABLE:
+        column = rf"regexp_replace({column}, '(?is)<{e}\b[^>]*(?:display\s*:\s*none|\shidden\b)[^>]*>.*?</{e}\s*>', '<br>', 'g')"
+    return column
+
+
+def _plain(column):
+    for name, sign in html.NAMED.items():
+        column = f"replace({column}, '&{name};', chr({ord(sign)}))"
+    return column
+
+
+_between = lambda c: (r"list_filter(list_transform(string_split_regex(" + c + r", '(?s)<!--.*?-->|<[^>]*>'), lambda x: regexp_replace("
+                      + _plain("x") + r", '^[\s\x{00a0}]+|[\s\x{00a0}]+$', '', 'g')), lambda x: x <> '')")
+
+
+@query("page_texts", "SRC-09", f"select page_id, length(t)::int chars, md5(t) digest from (select page_id, array_to_string({_between(_without('html', html.DROPPED))}, chr(10)) t from pages)")
 def _(t):
     return spread(t.pages).select("page_id", html.html_to_text("html").alias("text")).selectExpr("page_id", "length(text) AS chars", "md5(text) AS digest")
 
 
-@query("article_bodies", "SRC-19")
+@query("article_bodies", "SRC-19", rf"""select page_id, case when paywalled then 'paywalled' when length(body) >= 600 then 'fetched' else 'too_short' end outcome,
+ case when not paywalled and length(body) >= 600 then length(body) end::int chars from (select page_id, body, {" or ".join(f"contains(lower(substring(body, 1, 1200)), '{m}')" for m in html.PAYWALL_MARKERS)} paywalled
+ from (select page_id, case when length(article) >= 600 then article else paragraphs end body from (select page_id,
+  array_to_string({_between(r"regexp_extract(clean, '(?is)<(?:article|main)\b[^>]*>(.*)</(?:article|main)\s*>', 1)")}, chr(10)) article,
+  array_to_string(list_filter(list_transform(string_split_regex(clean, '(?i)<p(?:\s[^>]*)?>')[2:], lambda p: array_to_string({_between(r"regexp_replace(p, '(?is)</p\s*>.*$', '')")}, ' ')), lambda p: length(p) > 80), chr(10)) paragraphs
+  from (select page_id, {_without('html', html.NOISE)} clean from pages))))""")
 def _(t):
-    return spread(t.pages).select("page_id", html.article_body.asNondeterministic()("html").alias("a")).selectExpr("page_id", "a.outcome AS outcome", "length(a.text) AS chars")
+    return spread(t.pages).select("page_id", html.article_body("html").alias("a")).selectExpr("page_id", "a.outcome AS outcome", "length(a.text) AS chars")
 
 
 @query("assembled_exhibits", "SRC-10", "select conv_id, count(*) exhibits, md5(string_agg(substring(text, 1, greatest(0, 150000 - run + length(text))::int), chr(10) || chr(10) order by turn)) digest from (select *, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) run from conversations where role <> 'system') where run - length(text) < 150000 group by 1")

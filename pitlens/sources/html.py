@@ -1,89 +1,65 @@
-"""Text out of web pages with the standard parser, one Arrow batch at a time."""
+"""Text out of web pages by expressions over the markup; no page leaves the JVM."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Elements that are not body text, paywall phrases and length bounds.
-DROPPED = {"script", "style", "noscript", "head", "template", "ix:header", "ix:hidden"}
-NOISE = DROPPED | {"nav", "header", "footer", "aside", "form", "iframe", "figure", "figcaption", "svg", "button"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+DROPPED = ("script", "style", "noscript", "head", "template", "ix:header", "ix:hidden")
+NOISE = (*DROPPED, "nav", "header", "footer", "aside", "form", "iframe", "figure", "figcaption", "svg", "button")
+HIDEABLE = ("div", "span", "p", "section", "table", "tr", "td", "li", "ul")
 PAYWALL_MARKERS = ("subscribe to continue", "already a subscriber", "subscribe now to read", "this article is for subscribers",
                    "create an account to read", "sign in to read", "become a member to read", "to continue reading",
                    "unlock this article", "subscription required")
 MIN_BODY, MIN_PARAGRAPH, MARKER_SPAN = 600, 80, 1200
-
-
-class _Text(HTMLParser):
-    """Collects text outside dropped or hidden elements, and apart from it articles and paragraphs."""
-
-    def __init__(self, dropped: set[str]):
-        super().__init__(convert_charrefs=True)
-        self.dropped, self.stack, self.skip = dropped, [], 0
-        self.lines: list[str] = []
-        self.article: list[str] = []
-        self.paragraphs: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "p" and "p" in self.stack:
-            self._close("p")
-        if tag in VOID:
-            return
-        style = (dict(attrs).get("style") or "").replace(" ", "").lower()
-        hidden = tag in self.dropped or "display:none" in style or "hidden" in dict(attrs)
-        self.stack.append(tag)
-        self.skip += hidden or self.skip > 0
-        if tag == "p":
-            self.paragraphs.append("")
-
-    def _close(self, tag):
-        while self.stack:
-            last = self.stack.pop()
-            self.skip -= self.skip > 0
-            if last == tag:
-                return
-
-    def handle_endtag(self, tag):
-        if tag in self.stack:
-            self._close(tag)
-
-    def handle_data(self, data):
-        text = data.strip()
-        if self.skip or not text:
-            return
-        self.lines.append(text)
-        if "article" in self.stack or "main" in self.stack:
-            self.article.append(text)
-        if "p" in self.stack and self.paragraphs:
-            self.paragraphs[-1] = f"{self.paragraphs[-1]} {text}".strip()
-
-
-def _parse(html: str, dropped: set[str]) -> _Text:
-    p = _Text(dropped)
-    p.feed(html)
-    p.close()
-    return p
-
-
-@F.pandas_udf(T.StringType())
-def html_to_text(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda h: None if h is None else "\n".join(_parse(h, DROPPED).lines))
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("outcome", T.StringType())]))
-def article_body(pages: pd.Series) -> pd.DataFrame:
-    """Body of an article with what became of it: fetched, too short, or paywalled."""
-    def one(html):
-        p = _parse(html or "", NOISE)
-        body = "\n".join(p.article)
-        if len(body) < MIN_BODY:
-            body = "\n".join(x for x in p.paragraphs if len(x) > MIN_PARAGRAPH)
-        head = body[:MARKER_SPAN].lower()
-        if any(m in head for m in PAYWALL_MARKERS):
-            return None, "paywalled"
-        return (body, "fetched") if len(body) >= MIN_BODY else (None, "too_short")
-    return pd.DataFrame([one(h) for h in pages], columns=["text", "outcome"])
+# Named characters of markup; `amp` comes last, so what it uncovers stays as it is.
+NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019",
+         "ldquo": "\u201c", "rdquo": "\u201d", "bull": "\u2022", "hellip": "\u2026", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "amp": "&"}
+TAG = r"(?s)<!--.*?-->|<[^>]*>"
+
+
+def without(markup: Column, elements: tuple[str, ...]) -> Column:
+    """The markup less the elements named, and less those hidden by style or attribute; a break stands for each."""
+    names = "|".join(elements)
+    shown = F.regexp_replace(markup, rf"(?is)<({names})\b[^>]*>.*?</\1\s*>", "<br>")
+    return F.regexp_replace(shown, rf"(?is)<({'|'.join(HIDEABLE)})\b[^>]*(?:display\s*:\s*none|\shidden\b)[^>]*>.*?</\1\s*>", "<br>")
+
+
+def unescape(text: Column) -> Column:
+    """Named characters and decimal references of the basic plane."""
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,5});"), F.lit(1)))
+    char = lambda c: F.from_json(F.concat(F.lit('["\\u'), F.lpad(F.hex(c.cast("int")), 4, "0"), F.lit('"]')), "array<string>")[0]
+    out = F.when(F.size(codes) > 0, F.aggregate(codes, text, lambda a, c: F.coalesce(F.replace(a, F.concat(F.lit("&#"), c, F.lit(";")), char(c)), a))).otherwise(text)
+    for name, sign in NAMED.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return out
+
+
+def lines(markup: Column) -> Column:
+    """What stands between tags, trimmed, in order; empty stretches left out."""
+    strip = lambda x: F.regexp_replace(unescape(x), r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+    return F.filter(F.transform(F.split(markup, TAG), strip), lambda x: x != "")
+
+
+def html_to_text(page: Column | str) -> Column:
+    """Text of a page outside dropped and hidden elements, a line a stretch; null of null."""
+    page = F.col(page) if isinstance(page, str) else page
+    return F.array_join(lines(without(page, DROPPED)), "\n")
+
+
+def article_body(page: Column | str) -> Column:
+    """(text, outcome): the article's lines, or its longer paragraphs where it has none; fetched, paywalled or too_short."""
+    page = F.col(page) if isinstance(page, str) else page
+    clean = without(F.coalesce(page, F.lit("")), NOISE)
+    article = F.array_join(lines(F.regexp_extract(clean, r"(?is)<(?:article|main)\b[^>]*>(.*)</(?:article|main)\s*>", 1)), "\n")
+    pieces = F.split(clean, r"(?i)<p(?=[\s>])[^>]*>")
+    paragraphs = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+                             lambda x: F.array_join(lines(F.regexp_replace(x, r"(?is)</p\s*>.*$", "")), " "))
+    body = F.when(F.length(article) >= MIN_BODY, article).otherwise(F.array_join(F.filter(paragraphs, lambda x: F.length(x) > MIN_PARAGRAPH), "\n"))
+    head = F.lower(F.substring(body, 1, MARKER_SPAN))
+    paywalled = F.lit(False)
+    for marker in PAYWALL_MARKERS:
+        paywalled = paywalled | F.contains(head, F.lit(marker))
+    outcome = F.when(paywalled, "paywalled").when(F.length(body) >= MIN_BODY, "fetched").otherwise("too_short")
+    return F.struct(F.when(outcome == "fetched", body).alias("text"), outcome.alias("outcome"))
