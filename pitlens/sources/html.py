@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +15,8 @@ PAYWALL_MARKERS = ("subscribe to continue", "already a subscriber", "subscribe n
                    "create an account to read", "sign in to read", "become a member to read", "to continue reading",
                    "unlock this article", "subscription required")
 MIN_BODY, MIN_PARAGRAPH, MARKER_SPAN = 600, 80, 1200
-# Named characters of markup; `amp` comes last, so what it uncovers stays as it is.
-NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ndash": "\u2013", "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019",
-         "ldquo": "\u201c", "rdquo": "\u201d", "bull": "\u2022", "hellip": "\u2026", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "amp": "&"}
+# Named characters of the markup standard; `amp` comes last, so what it uncovers stays as it is.
+NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items(), key=lambda x: x[0] == "amp")}
 TAG = r"(?s)<!--.*?-->|<[^>]*>"
 
 
@@ -31,9 +32,11 @@ def unescape(text: Column) -> Column:
     codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,5});"), F.lit(1)))
     char = lambda c: F.from_json(F.concat(F.lit('["\\u'), F.lpad(F.hex(c.cast("int")), 4, "0"), F.lit('"]')), "array<string>")[0]
     out = F.when(F.size(codes) > 0, F.aggregate(codes, text, lambda a, c: F.coalesce(F.replace(a, F.concat(F.lit("&#"), c, F.lit(";")), char(c)), a))).otherwise(text)
-    for name, sign in NAMED.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
-    return out
+    signs = F.map_from_arrays(F.array(*map(F.lit, NAMED)), F.array(*map(F.lit, NAMED.values())))
+    names = F.array_distinct(F.regexp_extract_all(out, F.lit("&([A-Za-z]+[0-9]*);"), F.lit(1)))
+    last = F.concat(F.filter(names, lambda n: n != "amp"), F.filter(names, lambda n: n == "amp"))
+    named = F.aggregate(last, out, lambda a, n: F.coalesce(F.replace(a, F.concat(F.lit("&"), n, F.lit(";")), F.element_at(signs, n)), a))
+    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
 
 
 def lines(markup: Column) -> Column:
