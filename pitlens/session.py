@@ -27,6 +27,15 @@ def local_session(cpus: int = 8, app: str = "pitlens") -> SparkSession:
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder the session was begun in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names; a private one only where unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
