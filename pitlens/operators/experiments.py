@@ -63,13 +63,17 @@ def amplification(pairs: DataFrame, metric: str) -> DataFrame:
     return pairs.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.expr(f"{stats.slope(x, y)} AS slope"), F.expr(f"{stats.pearson(x, y)} AS corr")).filter("n >= 4")
 
 
-def arm_report(pairs: DataFrame, metrics: Sequence[str], flips: int = 200) -> DataFrame:
-    """Contrast of each arm and metric with its control: mean, t, p, permutation p, BH inside the metric."""
+def arm_report(pairs: DataFrame, metrics: Sequence[str], flips: int = 0) -> DataFrame:
+    """Contrast of each arm and metric with its control: mean, t, p, BH inside the metric; with `flips` also the sign-flip p."""
     entries = ", ".join(f"struct('{m}' AS metric, {m} - control_{m} AS delta)" for m in metrics)
     long = pairs.selectExpr("cust", "y", "arm", f"inline(array({entries}))").filter("delta IS NOT NULL")
     g = long.groupBy("metric", "arm").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("estimate"), F.expr(f"{stats.t_of_mean('delta', 2)} AS t"), F.expr("count_if(delta > 0) AS positive"))
     g = g.withColumn("p", F.expr(stats.student_p("t", "n - 1")))
-    return stats.benjamini_hochberg(g, ["metric"], "p", "arm", "p_bh")
+    out = stats.benjamini_hochberg(g, ["metric"], "p", "arm", "p_bh")
+    if not flips:
+        return out
+    rows = long.select("metric", "arm", F.concat_ws(":", "cust", "y").alias("pair"), "delta")
+    return out.join(stats.sign_flip(rows, ["metric", "arm"], "pair", "delta", flips).select("metric", "arm", F.col("p").alias("p_flip")), ["metric", "arm"])
 
 
 def normalise_decisions(rows: DataFrame, key: Sequence[str]) -> DataFrame:

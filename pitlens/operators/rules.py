@@ -41,9 +41,20 @@ def short_interest_spike(readings: DataFrame, key: str) -> DataFrame:
     return g.select(key, "occurred_on", "previous", "latest", F.round(pct, 1).alias("increase_percent"), F.when(pct >= 50, "moderate").otherwise("minor").alias("magnitude"))
 
 
-def evaluate_rules(rules, *tables: DataFrame) -> list[DataFrame]:
-    """Every rule is a DataFrame function of the same inputs; adding one is adding to the list."""
-    return [rule(*tables) for rule in rules]
+def evaluate_rules(rules, *tables: DataFrame, failed: list | None = None) -> list[DataFrame]:
+    """Every rule is a DataFrame function of the same inputs; adding one is adding to the list.
+
+    With `failed`, a rule that cannot be planned is put there with its error and the others go on.
+    """
+    found = []
+    for rule in rules:
+        try:
+            found.append(rule(*tables))
+        except Exception as error:
+            if failed is None:
+                raise
+            failed.append((rule, error))
+    return found
 
 
 def build_cluster(findings: DataFrame, window_days: int, baseline_days: int) -> DataFrame:

@@ -6,15 +6,15 @@ micro-batch, so a new prior counts from the next batch on.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from pitlens.session import checkpoint_dir
+from pitlens.sources.sinks import exists
 from pitlens.streaming.scoring import score_events
 
 NOTICE_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -62,15 +62,19 @@ def append_once(batch: DataFrame, path: str, keys: list[str]) -> None:
     """Idempotent append: keys already stored are dropped, so a repeated batch adds nothing."""
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(keys)
-    if os.path.exists(path) or spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(
-            spark._jvm.org.apache.hadoop.fs.Path(path)):
+    if exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
 def run_notices(spark: SparkSession, folder: str, pattern: str, tracked: Callable[[], DataFrame], priors: Callable[[], DataFrame],
-                to_events: Callable[[DataFrame], DataFrame], dependents: Callable[[], DataFrame] | None = None, root: str | None = None) -> str:
-    """Drain what has landed through the live path and return the folder of assessments."""
+                to_events: Callable[[DataFrame], DataFrame], dependents: Callable[[], DataFrame] | None = None, hub: Column | None = None,
+                root: str | None = None, heartbeat: Heartbeat | None = None) -> str:
+    """Drain what has landed through the live path and return the folder of assessments.
+
+    `dependents` (hub, and what depends on it) joins where `hub`, an expression over the
+    assessments, names one. A heartbeat given listens while the query runs.
+    """
     root = root or f"{checkpoint_dir(spark)}/notices-{uuid.uuid4().hex}"
     out = f"{root}/assessments"
 
@@ -78,10 +82,16 @@ def run_notices(spark: SparkSession, folder: str, pattern: str, tracked: Callabl
         scored = score_events(to_events(batch), priors())
         scored = scored.withColumn("latency_seconds", F.expr("(unix_micros(current_timestamp()) - unix_micros(accepted_at)) / 1000000D"))
         if dependents is not None:
-            scored = scored.join(dependents(), F.col("entity_id") % 25 == F.col("hub"), "left").drop("hub")
+            scored = scored.withColumn("_hub", hub).join(dependents().withColumnRenamed("hub", "_of"), F.col("_hub") == F.col("_of"), "left").drop("_hub", "_of")
         append_once(scored, out, ["entity_id", "external_id"])
 
     live = track(dedupe_seen(as_notices(notice_stream(spark, folder, pattern))), tracked())
+    if heartbeat is not None:
+        spark.streams.addListener(heartbeat)
     query = (live.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        if heartbeat is not None:
+            spark.streams.removeListener(heartbeat)
     return out

@@ -199,3 +199,20 @@ def test_diff_keeps_every_changed_paragraph_and_its_best_match(spark):
         assert (r.similarity >= 0.75) == (best >= 0.75) and (best < 0.75 or abs(r.similarity - best) < 1e-12)
     changed = sections.changed_paragraphs(sections.diff_filings(paragraphs, pairs)).filter("current_id = 2").groupBy("side").agg(F.count("*").alias("n"), F.max("place").alias("p"))
     assert {r.side: (r.n, r.p) for r in changed.collect()} == {"added": (20, 20), "removed": (20, 20)}
+
+
+def test_a_failing_rule_fails_alone(spark):
+    from pitlens.operators import rules
+    failed = []
+    got = rules.evaluate_rules([lambda d: d.select("nothing"), lambda d: d.select("id")], spark.range(2), failed=failed)
+    assert len(got) == 1 and got[0].count() == 2 and len(failed) == 1
+
+
+def test_sign_flips_come_near_the_exact_share(spark):
+    from itertools import product
+    from pitlens.functions import stats
+    x = [0.5, -0.2, 0.9, 0.4, -0.1, 0.7, 0.3, 0.2]
+    d = spark.createDataFrame([("k", i, v) for i, v in enumerate(x)], "k string, i int, v double")
+    r = stats.sign_flip(d, ["k"], "i", "v", 10_000).first()
+    exact = np.mean([abs(np.dot(s, x)) >= abs(sum(x)) - 1e-12 for s in product((1, -1), repeat=len(x))])
+    assert r.n == 8 and abs(r.p - exact) < 0.01
