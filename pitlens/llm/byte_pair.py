@@ -18,14 +18,13 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pitlens.llm.chunking import CHUNK_CHARS, long_chunks, short_texts
 
 OVERLAP_CHARS = 1_024
 #: No match of the pattern looks further ahead than its own end and this many characters.
 LOOK_AHEAD = 3
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,6 +64,10 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split, self.known = ranks, regex.compile(pattern), {}
+        self.token = {i: b for b, i in ranks.items()}
+
+    def bytes(self, ids: bytes) -> bytes:
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def ids(self, piece: str) -> bytes:
         got = self.known.get(piece)
@@ -119,25 +122,28 @@ def stitch(starts: list[int], slices: list[str], ends: list[list[int]], split: C
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CHUNK_CHARS,
-           overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+           overlap_chars: int = OVERLAP_CHARS, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids: a row per row of `docs`; ids packed as little-endian unsigned 32-bit.
 
+    With `decoded` also what the ids stand for, read back from them in the same task.
+
     Null and empty texts have no tokens; repeated rows and ids give a row each; columns other
     than doc_id and text are not read. The rank file, of fixed size, goes to the tasks with the code.
     """
     with open(ranks_path, "rb") as file:
         packed = file.read()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, n_tokens long, ids binary"
+    shape = f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(packed, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 ids = [own.text(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                                                  pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                back = [pa.array([own.bytes(i) for i in ids], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), *back], names)
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(packed, pattern)
@@ -152,7 +158,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = CH
         ends = stitch(starts, slices, [list(e) for e in group["ends"]], own.chunk)
         text = "".join(s[:starts[1]] for s in slices)
         ids = b"".join([own.ids(text[a:b]) for a, b in zip([0, *ends], ends)])
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1], "n_tokens": [len(ids) // 4], "ids": [ids]})
+        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1], "n_tokens": [len(ids) // 4], "ids": [ids]} | ({"decoded": [own.bytes(ids)]} if decoded else {}))
 
     chunks = long_chunks(docs, chunk_chars, overlap_chars)
     cut = chunks.mapInArrow(bounds, f"row long, doc_id {kind}, part int, parts int, start long, text string, ends array<long>")
@@ -177,6 +183,5 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, **sizes: int) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded."""
-    return decode(encode(docs, ranks_path, pattern, **sizes), ranks_path).select(
-        "doc_id", "n_tokens", F.col("ids"), F.col("decoded"))
+    """doc_id, n_tokens, ids, decoded: encoded and read back in one pass, so a task needs one Python worker."""
+    return encode(docs, ranks_path, pattern, decoded=True, **sizes)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 4_096
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SAME = np.arange(256, dtype=np.uint8)
@@ -88,8 +88,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, bytes, offsets) of runs of texts of about `limit` bytes; a longer text comes alone."""
+def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, bytes, offsets) of runs of up to `rows` texts and about `limit` bytes; a longer text comes alone."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if isinstance(texts, pa.ChunkedArray):
@@ -99,7 +99,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
     data, offsets = text_bytes(texts)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        to = max(at + 1, min(at + rows, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1))
         yield at, to, data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
         at = to
 
