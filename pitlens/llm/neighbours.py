@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from pitlens.session import cut_lineage
 
-TREES, STRING_BITS, SHARD_ROWS, BLOCK_QUERIES, FIT_ROWS = 128, 32, 8_192, 1_024, 4_096
+TREES, STRING_BITS, SHARD_ROWS, BLOCK_QUERIES = 128, 32, 8_192, 1_024
 #: How many vectors, repeats over trees counted, the ascent gathers: this share of the shard and at least this many a neighbour.
 SHARE, LEAST = 0.5, 50
 
@@ -77,11 +77,10 @@ def gather(keys: np.ndarray, order: np.ndarray, asked: np.ndarray, least: int) -
 
 
 def build(rows: DataFrame, trees: int = TREES, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """(shard, ids, vectors, keys, order) of every row, written once, and (centre, directions), fitted on FIT_ROWS rows."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()
-    dim = len(sample[0]["vector"]) if sample else 1
-    centre = np.mean([r["vector"] for r in sample], axis=0) if sample else np.zeros(dim)
-    turns = directions(dim, trees * STRING_BITS)
+    """(shard, ids, vectors, keys, order) of every row, written once, and (centre, directions); the centre is every row's mean."""
+    means = rows.select(F.posexplode("vector").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x")).collect()
+    centre = np.array([x for _, x in sorted(map(tuple, means))] or [0.0])
+    turns = directions(len(centre), trees * STRING_BITS)
     shards = max(1, -(-rows.count() // shard_rows))
 
     def run(table: pa.Table) -> pa.Table:
