@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 32_768
+BATCH_BYTES = "8m"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Has Spark pass texts to Python in batches of bytes, not rows, so that neither side holds much at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
 
 
 def short_texts(docs: DataFrame, size: int = CHUNK_CHARS) -> DataFrame:
@@ -21,7 +28,7 @@ def long_chunks(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = 0) -> D
     of what follows, of the documents longer than one. `row` tells rows apart whatever their
     doc_id. Chunks are dealt out evenly."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    long = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(F.length("text") > size)
+    long = bound_batches(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(F.length("text") > size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlens.llm.chunking import bound_batches
 from pitlens.llm.words import slices, words
 
 SHINGLE_WORDS, BINS, BITS = 5, 256, 8
@@ -86,7 +87,7 @@ def fingerprint(docs: DataFrame, width: int = SHINGLE_WORDS, bins: int = BINS, b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.hex() for s in signatures(batch.column(1), width, bins, bits)], pa.string())],
                                              ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
 def beside_next(docs: DataFrame, shape: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -97,7 +98,7 @@ def beside_next(docs: DataFrame, shape: str, run: Callable[[Iterator[pa.RecordBa
     (`extra`) of the rows that can follow its last. Texts move once; the driver sees two ids a range.
     """
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("id"))
+    keyed = bound_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("id"))
     cuts = keyed.select(F.percentile_approx("id", [k / ranges for k in range(1, ranges)] or [0.0], 10_000)).first()[0] or []
     cuts = np.unique(np.array(cuts, np.int64))
 

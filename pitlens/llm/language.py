@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlens.llm.chunking import bound_batches
 from pitlens.llm.words import LOWER, SPACE, slices, words
 
 GRAMS, SMOOTHING, ROUNDS, PENALTY = 1 << 14, 0.5, 6, 3.0
@@ -109,7 +110,7 @@ def fit(docs: DataFrame) -> Model:
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at].astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string")).mapInArrow(
+    counts = bound_batches(docs).where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string")).mapInArrow(
         count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     table = np.full((len(languages), GRAMS), SMOOTHING)
@@ -139,5 +140,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array([[(model.languages[j], float(s[j])) for j in np.flatnonzero(s)] if k else [] for s, k in zip(share, known)],
                              pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "languages"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(
+    return bound_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(
         run, f"doc_id {kind}, lang_pred string, score double, languages map<string,double>")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pitlens.llm.chunking import bound_batches
 from pitlens.llm.words import mix, slices, words
 from pitlens.session import cut_lineage
 
@@ -76,7 +77,7 @@ def signatures(docs: DataFrame, width: int, m: int, rows: int) -> DataFrame:
                     pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).reshape(-1)), 2 * m).cast(pa.list_(pa.int64()))],
                     ["doc_id", "id", "mark", "n", "s1", "s2", "keys"])
 
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(
+    return bound_batches(docs).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(
         run, f"doc_id {kind}, id long, mark long, n long, s1 long, s2 long, keys array<long>")
 
 

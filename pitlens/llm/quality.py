@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlens.llm.chunking import bound_batches
 from pitlens.llm.words import mix, slices, words
 
 BYTE_GRAMS, SHAPE_GRAMS = 1 << 15, 1 << 13
 FEATURES = BYTE_GRAMS + SHAPE_GRAMS
 #: The classifier is fitted on at most so many labelled rows, those whose doc_id hashes lowest.
 MAX_FIT_ROWS = 8_000
+#: A slice's table of n-grams has FEATURES bytes a text.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 512
 EPOCHS, COST, FOLD_MOD = 20, 1.0, 5
 _KIND = np.full(256, 4, np.uint8)  # other signs
 _KIND[np.r_[97:123, 128:256]] = 1
@@ -142,12 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Mod
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(
+    rows = bound_batches(docs).select("doc_id", "text").join(F.broadcast(some), "doc_id").select(
         "doc_id", F.col("_quality") > 0, F.coalesce("text", F.lit("")), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLD_MOD)))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, data, offsets in slices(batch.column(2)):
+            for at, to, data, offsets in slices(batch.column(2), SLICE_BYTES, SLICE_ROWS):
                 part = batch.slice(at, to - at)
                 sets = [np.flatnonzero(s).astype(np.int32) for s in presence(data, offsets)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), part.column(3).cast(pa.int64()),
@@ -171,11 +174,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with quality_score (0 to 1, higher: label 1 likelier); null text counts as empty. Nothing but the text is read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.scores(presence(data, offsets)) for _, _, data, offsets in slices(batch.column(batch.schema.get_field_index("text")), 1_000_000)]
+            found = [model.scores(presence(data, offsets)) for _, _, data, offsets in slices(batch.column(batch.schema.get_field_index("text")), SLICE_BYTES, SLICE_ROWS)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *found]))], [*batch.schema.names, "quality_score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "quality_score")
-    return docs.drop("quality_score").mapInArrow(run, fields + ", quality_score double")
+    return bound_batches(docs).drop("quality_score").mapInArrow(run, fields + ", quality_score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

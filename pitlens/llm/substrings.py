@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlens.llm.chunking import bound_batches
 from pitlens.llm.words import PLACE, Words, mix, slices, words
 
 WINDOW, ANCHOR = 20, 8
@@ -218,7 +219,7 @@ def deduplicate(docs: DataFrame, width: int = WINDOW, anchor: int = ANCHOR, grou
     """
     docs = docs.drop("n_words", "n_removed", "kept")
     names = docs.columns
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_mark", F.xxhash64("text"))
+    keyed = bound_batches(docs).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_mark", F.xxhash64("text"))
     counts = word_counts(docs, width)
     first, split, groups = prefix_groups(counts, group)
     sparse = max(1, int(-(-counts.sum() * 2 // ((width - anchor + 2) * group))))
