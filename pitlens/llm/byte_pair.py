@@ -24,7 +24,7 @@ from pitlens.llm.chunking import CHUNK_CHARS, long_chunks, short_texts
 OVERLAP_CHARS = 1_024
 #: No match of the pattern looks further ahead than its own end and this many characters.
 LOOK_AHEAD = 3
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,9 +73,7 @@ class Encoder:
         got = self.known.get(piece)
         if got is None:
             got = np.array(merge(piece.encode("utf-8", "replace"), self.ranks), "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.known) >= KNOWN_PIECES:
-                    self.known.clear()
+            if len(piece) <= 64 and len(self.known) < KNOWN_PIECES:
                 self.known[piece] = got
         return got
 
