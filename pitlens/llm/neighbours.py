@@ -3,8 +3,10 @@
 A vector's hash string in a tree is the signs of its projections on random directions, and a
 tree is the sorted array of the strings. A query descends each tree to the strings with the
 longest common prefix, then ascends all trees together, a bit at a time, until the prefixes
-of that length hold enough vectors between them; those are measured exactly. Prefixes are
-taken whole, so vectors alike in their strings are all measured, however many they are.
+of that length hold enough vectors between them; those are measured exactly. The few vectors
+met in the most trees do not count towards enough, so a query's own copies never end the ascent
+before its k are found. Prefixes are taken whole, so vectors alike in their strings are all
+measured, however many they are.
 
 The index is split by vec_id into shards of bounded size, each a forest of its own. Queries come
 in blocks of bounded size; every block visits every shard, and a query keeps its nearest of each.
@@ -23,7 +25,7 @@ from pyspark.sql.window import Window
 from pitlens.session import cut_lineage
 
 TREES, STRING_BITS, SHARD_ROWS, BLOCK_QUERIES = 128, 32, 8_192, 1_024
-#: How many vectors, repeats over trees counted, the ascent gathers: this share of the shard and at least this many a neighbour.
+#: How many vectors, repeats over trees counted, the ascent gathers beside the k + 1 it meets most: this share of the shard and at least this many a neighbour.
 SHARE, LEAST = 0.5, 50
 
 
@@ -53,8 +55,11 @@ def strings(x: np.ndarray, centre: np.ndarray, turns: np.ndarray, trees: int) ->
     return np.ascontiguousarray(packed.view(">u4")[:, :, 0].T.astype(np.uint32))
 
 
-def gather(keys: np.ndarray, order: np.ndarray, asked: np.ndarray, least: int) -> list[np.ndarray]:
-    """Candidates of each query: rows of the sorted arrays under the longest prefixes that hold `least` between all trees."""
+def gather(keys: np.ndarray, order: np.ndarray, asked: np.ndarray, least: int, k: int) -> list[np.ndarray]:
+    """Candidates of each query: rows of the sorted arrays under the longest prefixes that hold `least` between all trees.
+
+    The k + 1 rows met most often are not counted, so there are more than k + 1 candidates, or every row.
+    """
     trees, n = keys.shape
     queries = asked.shape[1]
     low = np.zeros((STRING_BITS + 1, trees, queries), np.int32)
@@ -69,10 +74,11 @@ def gather(keys: np.ndarray, order: np.ndarray, asked: np.ndarray, least: int) -
     depth = np.where(enough.any(axis=0), depth, 0)
     out = []
     for q in range(queries):
-        seen = np.zeros(n, bool)
-        for t in range(trees):
-            seen[order[t, low[depth[q], t, q]:high[depth[q], t, q]]] = True
-        out.append(np.flatnonzero(seen))
+        for d in range(depth[q], -1, -1):
+            times = np.bincount(np.concatenate([order[t, low[d, t, q]:high[d, t, q]] for t in range(trees)]), minlength=n)
+            if n > k + 1 and np.partition(times, n - k - 1)[:n - k - 1].sum() >= least:
+                break
+        out.append(np.flatnonzero(times))
     return out
 
 
@@ -123,7 +129,7 @@ def search(index: DataFrame, fitted: tuple[np.ndarray, np.ndarray], queries: Dat
                 who = own.field("vec_id").to_numpy()
                 q = own.field("vector").flatten().to_numpy().reshape(len(who), dim)
                 for a in range(0, len(who), 64):
-                    found = gather(keys, order, strings(q[a:a + 64], centre, turns, trees), max(least * k, int(share * len(ids))))
+                    found = gather(keys, order, strings(q[a:a + 64], centre, turns, trees), max(least * k, int(share * len(ids))), k)
                     for i, rows in enumerate(found, a):
                         rows = rows[ids[rows] != who[i]]
                         score = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))

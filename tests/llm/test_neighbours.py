@@ -53,3 +53,28 @@ def test_ties_copies_and_odd_vectors(spark):
     assert found(neighbours.nearest(few, "embedding", F.col("vec_id") % 100 == 0).collect())[0] == [(7, 1.0), (100, 2**0.5)]
     assert neighbours.nearest(few.limit(0), "embedding", F.lit(True)).count() == 0
     assert neighbours.nearest(few.where("vec_id = 7"), "embedding", F.lit(True)).count() == 0
+
+
+def test_small_groups_of_copies(spark):
+    for n in (100, 500, 1200, 2500):
+        rng = np.random.default_rng(n)
+        x = rng.normal(size=(n, 64)).astype(np.float32)
+        ids, first, at = np.arange(n), [], 0
+        for g in range(2, 11):
+            x[at:at + g] = x[at]
+            first.append(at)
+            at += g
+        df = spark.createDataFrame([(int(i), v.tolist(), "x") for i, v in zip(ids, x)], SHAPE)
+        got, want = found(neighbours.nearest(df, "embedding", F.col("vec_id").isin(first)).collect()), exact(ids, x, first)
+        assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+        for g, q in enumerate(first, 2):
+            assert got[q][:g - 1] == [(q + i, 0.0) for i in range(1, g)]
+        assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_many_neighbours_beside_copies(spark):
+    x = np.random.default_rng(5).normal(size=(8000, 16)).astype(np.float32)
+    x[:34] = x[0]
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], SHAPE)
+    got = found(neighbours.nearest(df, "embedding", F.col("vec_id") == 0, k=40).collect())
+    assert len(got[0]) == 40 and got[0][:33] == [(i, 0.0) for i in range(1, 34)]
