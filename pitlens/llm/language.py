@@ -2,7 +2,8 @@
 
 A word's likelihood in a language is that of its byte trigrams, a space on either side. Each
 document is a mixture of languages; expectation-maximisation finds the proportions from
-the words' likelihoods, for its likeliest language alone, its likeliest two, and so on.
+the words' likelihoods, for its likeliest language alone, its likeliest two, and so on, as long
+as the likelihood of all languages, the most any set reaches, leaves room for a larger set.
 The set whose likelihood, less a penalty for each language, is greatest is the document's.
 """
 
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from pitlens.llm.chunking import bound_batches
 from pitlens.llm.words import LOWER, SPACE, slices, words
 
-GRAMS, SMOOTHING, ROUNDS, PENALTY = 1 << 14, 0.5, 6, 3.0
-#: Sets of up to so many languages are compared; the last of a set has more than the least share before it is.
-MAX_SET, LEAST_SHARE = 4, 0.005
+GRAMS, SMOOTHING, PENALTY = 1 << 14, 0.5, 3.0
+#: Proportions are final once no others could raise the document's log-likelihood by more than this.
+TOLERANCE = 0.001
 UNKNOWN = "und"
 
 
@@ -35,6 +36,11 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ((before | low << np.uint32(8) | after << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(32 - GRAMS.bit_length() + 1)
 
 
+def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Positions of the words of texts, text by text."""
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages in order, and the log-likelihood of each trigram in each."""
@@ -53,38 +59,48 @@ class Model:
         begin = np.cumsum(length) - length
         like = np.stack([np.add.reduceat(p[code], begin, dtype=np.float64) for p in self.log_p], 1)
         top = like.max(axis=1)
-        like = np.exp(like - top[:, None])
+        like = np.maximum(np.exp(like - top[:, None]), 1e-300)
         has = np.flatnonzero(w.count)
         first, count = w.first[:-1][has], w.count[has]
         doc = np.repeat(np.arange(len(has)), count)
-        share = self.expect(np.full((len(has), len(self.languages)), 1 / len(self.languages)), like, doc, first, count, ROUNDS)
+        share, most = self.expect(np.full((len(has), len(self.languages)), 1 / len(self.languages)), like, count)
         order = np.argsort(-share, axis=1, kind="stable")
-        best, value = np.zeros_like(share), np.add.reduceat(np.log(np.maximum(like[np.arange(len(doc)), order[doc, 0]], 1e-300)), first)
+        best, value = np.zeros_like(share), np.add.reduceat(np.log(like[np.arange(len(doc)), order[doc, 0]]), first)
         np.put_along_axis(best, order[:, :1], 1.0, axis=1)
-        for k in range(2, min(MAX_SET, len(self.languages)) + 1):
-            some = np.flatnonzero(share[np.arange(len(has)), order[:, k - 1]] > LEAST_SHARE)
+        for k in range(2, len(self.languages) + 1):
+            penalty = PENALTY * (k - 1) * (1 + np.log(count))
+            some = np.flatnonzero((share[np.arange(len(has)), order[:, k - 1]] > 0) & (most + TOLERANCE - penalty > value))
             if not len(some):
                 break
-            n = count[some]
-            begin = np.cumsum(n) - n
-            at = np.arange(n.sum()) + np.repeat(first[some] - begin, n)
-            own_doc, own_like = np.repeat(np.arange(len(some)), n), like[at]
-            own = np.zeros((len(some), share.shape[1]))
-            np.put_along_axis(own, order[some, :k], np.take_along_axis(share[some], order[some, :k], axis=1), axis=1)
-            own = self.expect(own / own.sum(axis=1, keepdims=True), own_like, own_doc, begin, n, ROUNDS)
-            fit = np.add.reduceat(np.log(np.maximum((own_like * own[own_doc]).sum(axis=1), 1e-300)), begin) - PENALTY * (k - 1) * (1 + np.log(n))
+            own, fit = self.expect(np.take_along_axis(share[some], order[some, :k], axis=1), np.take_along_axis(
+                like[spans(first[some], count[some])], np.repeat(order[some, :k], count[some], axis=0), axis=1), count[some])
+            fit -= penalty[some]
             better = fit > value[some]
-            best[some[better]], value[some[better]] = own[better], fit[better]
+            best[some[better]], value[some[better]] = 0, fit[better]
+            best[some[better, None], order[some[better], :k]] = own[better]
         out[has] = best
         return out
 
     @staticmethod
-    def expect(share: np.ndarray, like: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray, rounds: int) -> np.ndarray:
-        for _ in range(rounds):
-            part = like * share[doc]
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-            share = np.add.reduceat(part, first, axis=0) / count[:, None]
-        return share
+    def expect(share: np.ndarray, like: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Likeliest proportions and their log-likelihoods of texts whose words follow one another; each text goes on until it is final.
+
+        A round multiplies a proportion by its language's mean part of the words over that proportion;
+        the words times the logarithm of the largest factor bounds what is left to gain.
+        """
+        out, value = share / share.sum(axis=1, keepdims=True), np.zeros(len(share))
+        left, share = np.arange(len(share)), out
+        while len(left):
+            first, doc = np.cumsum(count) - count, np.repeat(np.arange(len(count)), count)
+            total = (like * share[doc]).sum(axis=1)
+            factor = np.add.reduceat(like / total[:, None], first, axis=0) / count[:, None]
+            out[left], value[left] = share, np.add.reduceat(np.log(total), first)
+            go = count * np.log(np.maximum(factor.max(axis=1), 1.0)) > TOLERANCE
+            share = (share * factor)[go]
+            share /= share.sum(axis=1, keepdims=True)
+            if not go.all():
+                like, left, count = like[np.repeat(go, count)], left[go], count[go]
+        return out, value
 
 
 def fit(docs: DataFrame) -> Model:

@@ -44,6 +44,48 @@ def test_proportions_of_a_mixture(spark):
     assert abs(share[0, at[0]] - 0.75) < 0.1 and abs(share[0, at[1]] - 0.25) < 0.1 and share[1, at[0]] == 1
 
 
+def alphabets(n):
+    """A model of n languages, each with letters of its own, and five words of each."""
+    rng = np.random.default_rng(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    told = [[letters[3 * i + a] + letters[3 * i + b] + letters[3 * i + c] for a, b, c in rng.permuted(np.tile(np.arange(3), (5, 1)), axis=1)] for i in range(n)]
+    table = np.full((n, language.GRAMS), 0.5)
+    for i, of in enumerate(told):
+        (_, _, data, offsets), = slices(pa.array([" ".join(of)]))
+        np.add.at(table[i], language.gram_codes(data, offsets)[data != 32], 50)
+    return language.Model([f"l{i}" for i in range(n)], np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)), told
+
+
+def test_more_languages_than_four():
+    model, told = alphabets(8)
+    texts = [" ".join(w for i in range(n) for w in told[i] * 40 * (i + 1)) for n in range(1, 9)]
+    (_, _, data, offsets), = slices(pa.array(texts))
+    share = model.mixtures(data, offsets)
+    for n in range(1, 9):
+        want = np.array([i + 1 if i < n else 0 for i in range(8)]) / sum(range(1, n + 1))
+        assert np.allclose(share[n - 1], want, atol=1e-3) and (share[n - 1] > 0).sum() == n
+
+
+def test_language_of_a_small_share():
+    model, told = alphabets(3)
+    (_, _, data, offsets), = slices(pa.array([" ".join(told[0] * 8_000 + told[1] * 20)]))
+    share = model.mixtures(data, offsets)[0]
+    assert np.allclose(share, [8000 / 8020, 20 / 8020, 0], atol=1e-4) and share[2] == 0
+
+
+def test_proportions_are_the_likeliest():
+    rng = np.random.default_rng(8)
+    count = np.array([1, 7, 400, 3_000])
+    like = rng.random((count.sum(), 5)) ** 2
+    share, value = language.Model.expect(np.full((4, 5), 0.2), like, count)
+    at = np.cumsum(count) - count
+    for d, (a, n) in enumerate(zip(at, count)):
+        p = np.full(5, 0.2)
+        for _ in range(20_000):
+            p = (like[a:a + n] * p / (like[a:a + n] @ p)[:, None]).mean(axis=0)
+        assert abs(value[d] - np.log(like[a:a + n] @ p).sum()) <= 0.002 and np.abs(share[d] - p).max() < 0.01
+
+
 def test_quality_accuracy_and_folds(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = QUERIES["op8_quality_classifier"](spark, SF)
