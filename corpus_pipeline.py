@@ -1,8 +1,8 @@
 """From raw documents to token ids: quality, near-duplicates, repeated passages, mixture, encoding.
 
 Every stage takes the whole of what the one before kept, written as Parquet and read again. Null and
-empty texts pass as texts without words; repeated rows are one document to the second stage; no
-documents give no rows.
+empty texts pass as texts without words as far as the mixture, which takes none of them; repeated rows
+are one document to the second stage; no documents give no rows.
 """
 
 from __future__ import annotations
