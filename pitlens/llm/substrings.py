@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ WINDOW, ANCHOR = 20, 8
 #: Suffixes a task holds before it sends them on, and in a group.
 FLUSH_SUFFIXES, GROUP_SUFFIXES = 1_000_000, 2_000_000
 _CODE_BITS = 12
+#: From a task's first group for what is known to the next task's; a prime, so that tasks take groups in turn.
+_STRIDE = 2_654_435_761
 _ROWS = "target int, kind int, hash array<long>, doc array<int>, pos array<int>, ids array<long>, marks array<long>"
 
 
@@ -62,7 +65,8 @@ class Outbox:
     """Gathers (hash, row, position) of several texts and sends them by target, equal hashes reduced."""
 
     def __init__(self, groups: int, first_only: bool):
-        self.groups, self.first_only, self.sent = groups, first_only, 0
+        task = TaskContext.get()
+        self.groups, self.first_only, self.sent = groups, first_only, task.partitionId() * _STRIDE if task else 0
         self.clear()
 
     def clear(self) -> None:

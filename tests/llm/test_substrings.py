@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from pitlens.llm.substrings import deduplicate, prefix_groups
+from pitlens.llm.substrings import _ROWS, Outbox, deduplicate, prefix_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +65,16 @@ def test_groups_are_bounded():
     for f, s, n in zip(first, split, counts):
         load[f:f + s] += n / s
     assert (first + split <= groups).all() and load.max() <= 1_000
+
+
+def test_tasks_send_known_repeats_to_groups_of_their_own(spark):
+    def run(batches):
+        out = Outbox(100, True)
+        for _ in batches:
+            pass
+        one = np.array([7, 7], np.uint64)
+        out.add(one, np.arange(2), np.arange(2), np.zeros(2, np.int64), np.arange(2), np.arange(2))
+        yield from out.flush()
+
+    sent = spark.range(0, 16, 1, 16).mapInArrow(run, _ROWS).where("kind = 1").collect()
+    assert len(sent) == 16 and len({r.target for r in sent}) == 16
