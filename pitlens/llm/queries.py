@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlens.llm import byte_pair, chat, fingerprints, importance, language, mixing, near_duplicates, neighbours, quality, spelling, substrings, token_counts
+from pitlens.llm import byte_pair, chat, fingerprints, importance, language, mixing, near_duplicates, neighbours, quality, spelling, substrings, token_counts, toxicity
 
 CONTEXT_TOKENS = 4_096
 
@@ -95,6 +95,13 @@ def op10_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    return toxicity.score(docs, model).select("doc_id", _held_out(3, 1), F.col("toxicity").alias("score"),
+                                              (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -106,5 +113,5 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_source_mixing, op3_document_fingerprints, op4_substring_dedup,
                                    op5_nearest_neighbours, op6_token_counts, op7_language_id, op8_quality_classifier,
-                                   op9_chat_formatting, op10_byte_pair_encoding, op12_spelling_variants, op13_importance_resampling)}
+                                   op9_chat_formatting, op10_byte_pair_encoding, op11_toxicity, op12_spelling_variants, op13_importance_resampling)}
 ORACLE_SQL = {"op9_chat_formatting": OP9_SQL}
