@@ -35,17 +35,17 @@ def stem(term: str) -> str:
 
 
 def postings(docs: DataFrame, title: str, body: str) -> DataFrame:
-    """(term, doc_id, field, tf, first position): the inverted index as a table."""
+    """(term, doc_id, field, tf, positions): the inverted index as a table; positions count words from 0."""
     word = r"regexp_extract_all(lower(%s), '[\\p{L}\\p{N}]+', 0)"
     d = docs.selectExpr("doc_id", "entity", "subtype", f"inline(array(struct('A' AS field, {word % title} AS words), struct('B' AS field, {word % body} AS words)))")
     terms = d.selectExpr("doc_id", "entity", "subtype", "field", "posexplode(words) AS (at, word)").selectExpr(
         "doc_id", "entity", "subtype", "field", "at", f"{stem('word')} AS term").filter("term <> ''")
-    return terms.groupBy("term", "doc_id", "entity", "subtype", "field").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("first_at"))
+    return terms.groupBy("term", "doc_id", "entity", "subtype", "field").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
 def write_postings(index: DataFrame, path: str) -> None:
     """Stores the index by term, so that a query opens the buckets of its own terms only."""
-    index.withColumn("bucket", F.expr(f"int(pmod(xxhash64(term), {INDEX_BUCKETS}))")).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    index.withColumn("bucket", F.expr(f"int(pmod(xxhash64(term), {INDEX_BUCKETS}))")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, query: str) -> DataFrame:
@@ -85,11 +85,31 @@ def query_words(groups: list[list[str]], phrases: list[str], excluded: list[str]
     return sorted(({w for g in groups for w in g} | {w for p in phrases for w in p.split()} | set(excluded)) - set(QUERY_STOPWORDS))
 
 
-def search(index: DataFrame, docs: DataFrame, query: str, limit: int, entity: str | None = None, subtype: str | None = None) -> DataFrame:
-    """Documents holding every group, every phrase and no excluded word, ranked by weighted tf.
+def phrase_terms(phrase: str) -> list[tuple[str, int]]:
+    """A phrase's words with their distances from the first; stop words ask for nothing but keep their places."""
+    words = [(w, k) for k, w in enumerate(re.findall(r"[^\W_]+", phrase)) if w not in QUERY_STOPWORDS]
+    return [(w, k - words[0][1]) for w, k in words]
 
-    Only the query's terms are kept of the index (of a stored one, see read_postings, only they
-    are read), and only the surviving documents' texts are opened to check phrases.
+
+def with_phrases(hits: DataFrame, phrases: list[str]) -> DataFrame:
+    """doc_id of the documents that hold every phrase, from the hits' positions; no text is opened.
+
+    A position less a word's distance is where its phrase would begin; where all of a phrase's words
+    agree on a beginning, the phrase stands there.
+    """
+    asked = [(p, k, w, off, len(terms)) for p, terms in enumerate(map(phrase_terms, phrases)) for k, (w, off) in enumerate(terms)]
+    places = F.broadcast(hits.sparkSession.createDataFrame(asked, "phrase int, k int, word string, off int, size int"))
+    spots = hits.join(places, "word").select("doc_id", "field", "phrase", "k", "size", "off", F.explode("positions").alias("at"))
+    begun = spots.groupBy("doc_id", "phrase", "field", (F.col("at") - F.col("off")).alias("start")).agg(F.countDistinct("k").alias("n"), F.first("size").alias("size"))
+    held = begun.filter("n = size").select("doc_id", "phrase").distinct()
+    return held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(phrases)).select("doc_id")
+
+
+def search(index: DataFrame, docs: DataFrame, query: str, limit: int | None, entity: str | None = None, subtype: str | None = None) -> DataFrame:
+    """doc_id, score, published of documents holding every group, every phrase and no excluded word, ranked by weighted tf.
+
+    `limit` is the length of the page asked for, None for all. Only the query's terms are kept of the index (of a stored one, see read_postings, only they
+    are read), and no document is opened.
     """
     groups, phrases, excluded = parse_query(query)
     words = query_words(groups, phrases, excluded)
@@ -100,7 +120,7 @@ def search(index: DataFrame, docs: DataFrame, query: str, limit: int, entity: st
     if subtype is not None:
         d = d.filter(F.col("subtype") == subtype)
     hits = d.join(F.broadcast(lookup), "term")
-    must = groups + [[w] for p in phrases for w in p.split() if w not in QUERY_STOPWORDS]
+    must = groups + [[w] for p in phrases for w, _ in phrase_terms(p)]
     has = lambda ws: F.max(F.col("word").isin(*ws).cast("int")) == 1
     weight = F.when(F.col("field") == "A", TITLE_WEIGHT).otherwise(BODY_WEIGHT)
     scored = hits.groupBy("doc_id").agg(
@@ -110,28 +130,36 @@ def search(index: DataFrame, docs: DataFrame, query: str, limit: int, entity: st
         scored = scored.filter(F.col(f"_m{i}"))
     if excluded:
         scored = scored.filter(~F.col("_x"))
-    got = scored.select("doc_id", "score").join(docs.select("doc_id", "published", "text"), "doc_id")
-    for p in phrases:
-        got = got.filter(F.contains(F.lower("text"), F.lit(p)))
-    return got.orderBy(F.col("score").desc(), F.col("published").desc(), "doc_id").limit(limit)
-
-
-def snippet(text: str, phrase: str, words: list[str]) -> str:
-    """Around the exact phrase when present, else around the densest run of query words."""
-    low = f"lower({text})"
-    at = f"locate('{phrase}', {low})"
-
-    def spots(w: str) -> str:
-        pieces = f"split({low}, '{re.escape(w)}')"
-        fold = (f"aggregate(slice({pieces}, 1, size({pieces}) - 1), struct(cast(array() AS array<int>) AS p, 1 AS at), (a, x) ->"
-                f" struct(array_append(a.p, a.at + length(x)) AS p, a.at + length(x) + {len(w)} AS at)).p")
-        return f"transform({fold}, s -> struct(s AS at, '{w}' AS word))"
-
-    starts = f"flatten(array({', '.join(spots(w) for w in words)}))"
-    near = f"filter({starts}, o -> o.at BETWEEN s.at AND s.at + {2 * SNIPPET_RADIUS})"
-    density = f"array_max(transform({starts}, s -> struct(size(array_distinct(transform({near}, o -> o.word))) AS n, -s.at AS back)))"
-    place = f"CASE WHEN {at} > 0 THEN {at} ELSE coalesce(-({density}).back, 1) END"
-    return f"substring({text}, greatest(1, int({place}) - {SNIPPET_RADIUS}), {2 * SNIPPET_RADIUS})"
+    if any(len(phrase_terms(p)) > 1 for p in phrases):
+        scored = scored.join(with_phrases(hits, phrases), "doc_id", "left_semi")
+    ranked = scored.select("doc_id", "score").join(docs.select("doc_id", "published"), "doc_id").orderBy(F.col("score").desc(), F.col("published").desc(), "doc_id")
+    return ranked if limit is None else ranked.limit(limit)
+
+
+def snippets(docs: DataFrame, query: str, radius: int = SNIPPET_RADIUS) -> DataFrame:
+    """doc_id, snippet of each document (doc_id, text): around the first phrase of the query that it holds letter by letter, else
+    around the earliest occurrence of a query word that most distinct words follow within `radius` characters; null without any.
+
+    Occurrences are rows, ordered once a document; a frame of `radius` characters slides over them.
+    """
+    phrases = [p.strip().lower() for p in re.findall(r'"([^"]+)"', query)]
+    terms = sorted({w for w in re.findall(r"\w+", query.lower()) if len(w) > 2})
+    low = F.lower("text")
+    literal = F.coalesce(*[F.nullif(F.instr(low, p), F.lit(0)) for p in phrases], F.lit(None).cast("int"))
+    d = docs.select("doc_id", "text", literal.alias("exact"))
+    pieces = d.filter("exact IS NULL").select("doc_id", F.explode(F.array(*[
+        F.struct(F.lit(w).alias("term"), F.split(low, re.escape(w)).alias("pieces")) for w in terms])).alias("t")).select("doc_id", "t.term", F.posexplode("t.pieces").alias("k", "piece"))
+    row = Window.partitionBy("doc_id", "term").orderBy("k")
+    spots = pieces.withColumn("at", F.sum(F.length("piece")).over(row) + F.col("k") * F.length("term") + 1).withColumn(
+        "last", F.lead("k").over(row).isNull()).filter("NOT last").select("doc_id", "term", F.col("at").cast("int").alias("at"))
+    ahead = Window.partitionBy("doc_id").orderBy("at").rangeBetween(0, radius)
+    near = sum((F.max(F.when(F.col("term") == w, 1).otherwise(0)).over(ahead) for w in terms), F.lit(0))
+    best = spots.withColumn("n", near).groupBy("doc_id").agg((-F.max(F.struct("n", (-F.col("at")).alias("back"))).back).alias("dense"))
+    placed = d.join(best, "doc_id", "left").withColumn("at", F.coalesce("exact", "dense") - 1).withColumn(
+        "begin", F.greatest(F.col("at") - radius, F.lit(0))).withColumn("end", F.least(F.col("at") + radius, F.length("text")))
+    body = F.trim(F.regexp_replace(F.col("text").substr(F.col("begin") + 1, F.col("end") - F.col("begin")), r"(?U)\s+", " "))
+    return placed.select("doc_id", F.when(F.col("at").isNotNull(), F.concat(
+        F.when(F.col("begin") > 0, "…").otherwise(""), body, F.when(F.col("end") < F.length("text"), "…").otherwise(""))).alias("snippet"))
 
 
 def quotes_in_source(quotes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pitlens.operators import search, sections
 from pitlens.plans.registry import query
 from pitlens.plans.views import R, view
 from pitlens.session import checkpoint_dir, cut_lineage
+from pitlens.sources.sinks import exists
 
 
 def filed(t):
@@ -124,8 +125,9 @@ def _stem(w):
 
 
 # Every form of a plain word, written out: what the query's words match, without the rules they are found by.
-_FORMS = ("", "s", "e", "es", "ed", "ing", "eds", "ings", "eed", "eing", "eeds", "eings")
-_any = lambda *ws: "w in (" + ", ".join(f"'{w}{f}'" for w in ws for f in _FORMS) + ")"
+# A word without a vowel is no stem of a participle, so its forms end in s and e alone.
+_FORMS, _BARE = ("", "s", "e", "es", "ed", "ing", "eds", "ings", "eed", "eing", "eeds", "eings"), ("", "s", "e", "es")
+_any = lambda *ws: "w in (" + ", ".join(f"'{w}{f}'" for w in ws for f in (_FORMS if set(w) & set("aeiouy") else _BARE)) + ")"
 _terms = lambda src: _stem("unnest(regexp_extract_all(lower(" + src + r"), '[\p{L}\p{N}]+'))")
 view("postings", f"""select term, doc_id, entity, subtype, field, count(*) tf from (select doc_id, entity, subtype, 'B' field, {_terms('text')} term from filings
  union all select doc_id, entity, subtype, 'A', {_terms('split_part(text, chr(10), 1)')} from filings) where term <> '' group by all""", "filings")
@@ -135,26 +137,59 @@ def index(t):
     return search.postings(t.filing_texts.withColumn("title", F.expr(r"substring_index(text, '\n', 1)")), "title", "text")
 
 
+def stored_index(t):
+    """Where the postings of a data directory lie: written by the first query of an application that asks, read by the others."""
+    path = f"{checkpoint_dir(t.spark)}/postings-{t.spark.sparkContext.applicationId}-{uuid.uuid5(uuid.NAMESPACE_URL, t.sf_dir).hex}"
+    if not exists(t.spark, f"{path}/_SUCCESS"):
+        search.write_postings(index(t), path)
+    return path
+
+
 @query("postings_by_document", "TXT-10", "select doc_id, field, count(*) terms, sum(tf)::bigint words from postings group by 1,2", "postings")
 def _(t):
     return index(t).groupBy("doc_id", "field").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("words"))
 
 
-@query("text_search", "TXT-11", f"""select doc_id, {R('score', 6)} score from (select doc_id, sum(case when base <> 'thwh' then case field when 'A' then 1.0 else 0.4 end * ln(1 + tf) else 0 end) score,
+view("found", f"""select doc_id, published, score, row_number() over (order by score desc, published desc, doc_id) place from (select doc_id, sum(case when base <> 'thwh' then case field when 'A' then 1.0 else 0.4 end * ln(1 + tf) else 0 end) score,
  bool_or(base='tion') a, bool_or(base in ('anea', 'erer')) b, bool_or(base='ing') c, bool_or(base='thwh') x from (select doc_id, field, base, count(*) tf from (select doc_id, field, case when {_any('tion')} then 'tion' when {_any('anea')} then 'anea' when {_any('erer')} then 'erer' when {_any('ing')} then 'ing' else 'thwh' end base from (
  select doc_id, 'B' field, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) w from filings union all select doc_id, 'A', unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{{L}}\\p{{N}}]+')) from filings)
  where {_any('tion', 'anea', 'erer', 'ing', 'thwh')}) group by all) group by 1)
- join filings using (doc_id) where a and b and c and not x and contains(lower(text), 'the ing') order by score desc, published desc, doc_id limit 50""", "filings")
+ join filings using (doc_id) where a and b and c and not x qualify place <= 50""", "filings")
+
+
+@query("text_search", "TXT-11", f"select doc_id, {R('score', 6)} score from found", "found")
 def _(t):
-    path = f"{checkpoint_dir(t.spark)}/postings-{uuid.uuid4().hex}"
-    search.write_postings(index(t), path)
-    return search.search(search.read_postings(t.spark, path, QUERY), t.filings, QUERY, 50).select("doc_id", F.round("score", 6).alias("score"))
+    return search.search(search.read_postings(t.spark, stored_index(t), QUERY), t.filings, QUERY, 50).select("doc_id", F.round("score", 6).alias("score"))
+
+
+# Two phrases, one over a stop word, that many documents hold as passages.
+PHRASES = '"attion to thanedble" "anea eriner" -thwh'
+
+
+def _holds(phrase):
+    """Each word of a phrase in any of its forms, one after the other, whatever separates words."""
+    forms = lambda w: "(?:" + "|".join(w + f for f in sorted(_FORMS, key=len, reverse=True)) + ")"
+    return rf"(?:^|[^\p{{L}}\p{{N}}])" + r"[^\p{L}\p{N}]+".join(r"[\p{L}\p{N}]+" if w in search.QUERY_STOPWORDS else forms(w) for w in phrase.split()) + r"(?:[^\p{L}\p{N}]|$)"
+
+
+@query("phrase_search", "TXT-11", rf"""select doc_id from filings where regexp_matches(lower(text), '{_holds('attion to thanedble')}') and regexp_matches(lower(text), '{_holds('anea eriner')}')
+ and not regexp_matches(lower(text), '(?:^|[^\p{{L}}\p{{N}}])(?:{"|".join("thwh" + f for f in _BARE)})(?:[^\p{{L}}\p{{N}}]|$)')""", "filings")
+def _(t):
+    d = search.read_postings(t.spark, stored_index(t), PHRASES)
+    return search.search(d, t.filings, PHRASES, None).select("doc_id")
+
+
+view("snippet_words", """select doc_id, term, unnest(spots) spot from (select doc_id, term, list_transform(generate_series(1, len(p) - 1), lambda i: list_sum(list_transform(p[:i], lambda x: length(x))) + (i - 1) * length(term)) spots from (
+ select doc_id, term, string_split(lower(text), term) p from (select doc_id, text, unnest(['the', 'ing', 'tion', 'anea', 'erer', 'thwh']) term from found join filings using (doc_id)) where contains(lower(text), term)))""", "found filings")
+view("snippet_spots", "select a.doc_id, a.spot, count(distinct b.term) n from snippet_words a join snippet_words b on a.doc_id=b.doc_id and b.spot between a.spot and a.spot + 160 group by 1,2", "snippet_words")
 
 
-@query("search_snippets", "TXT-12")
+@query("search_snippets", "TXT-12", r"""select doc_id, case when spot > 160 then '…' else '' end || trim(regexp_replace(substring(text, greatest(spot - 160, 0)::int + 1, (least(spot + 160, length(text)) - greatest(spot - 160, 0))::int), '\s+', ' ', 'g'))
+ || case when spot + 160 < length(text) then '…' else '' end snippet from (select doc_id, text, coalesce(nullif(instr(lower(text), 'the ing'), 0) - 1, dense) spot from found join filings using (doc_id)
+ left join (select doc_id, arg_max(spot, n * 10000000 - spot) dense from snippet_spots group by 1) using (doc_id))""", "found filings snippet_spots")
 def _(t):
-    hits = search.search(index(t), t.filings, QUERY, 50)
-    return hits.selectExpr("doc_id", f"{search.snippet('text', 'the ing', ['tion', 'anea', 'erer', 'ing'])} AS snippet")
+    hits = search.search(search.read_postings(t.spark, stored_index(t), QUERY), t.filings, QUERY, 50)
+    return search.snippets(t.filings.join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text"), QUERY)
 
 
 @query("quotes_in_source", "TXT-13", "select item_id quote_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
