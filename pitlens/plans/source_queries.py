@@ -205,6 +205,21 @@ def _(t):
     return t.spark.read.parquet(path).select("entity", "hash", "url", "published")
 
 
+# Documents offered one by one to each entity: a url or a hash that an accepted one has turns the next away.
+view("offered", "select *, row_number() over (partition by entity order by published, doc_id) k from (select doc_id, entity, published, case when doc_id % 10 < 9 then 'u' || (doc_id * 7 % 61) end url, length(text) % 37 as hash from filings)", "filings")
+view("offers_taken", """select entity, k, urls, hashes, taken from (with recursive step as (
+ select entity, 0::bigint k, []::varchar[] urls, []::bigint[] hashes, false taken from offered group by 1
+ union all select s.entity, o.k, case when ok and o.url is not null then list_append(s.urls, o.url) else s.urls end, case when ok then list_append(s.hashes, o.hash) else s.hashes end, ok
+ from (select s.*, o.url, o.hash, o.k nk, not coalesce(list_contains(s.urls, o.url), false) and not list_contains(s.hashes, o.hash) ok from step s join offered o on o.entity = s.entity and o.k = s.k + 1) x
+ , lateral (select x.entity, x.urls, x.hashes) s, lateral (select x.url, x.hash, x.nk k) o) select * from step)""", "offered")
+
+
+@query("documents_first_come", "SNK-02", "select doc_id, entity, url, hash from offered join offers_taken using (entity, k) where taken", "offered offers_taken")
+def _(t):
+    offered = t.filing_texts.selectExpr("doc_id", "entity", "published", "CASE WHEN doc_id % 10 < 9 THEN concat('u', doc_id * 7 % 61) END AS url", "bigint(length(text) % 37) AS hash")
+    return sinks.first_come(offered, [("entity", "url"), ("entity", "hash")], ("published", "doc_id")).select("doc_id", "entity", "url", "hash")
+
+
 @query("scores_replaced_by_date", "SNK-03", "select as_of::varchar as_of, count(*) as rows from qtr_scored group by 1", "qtr_scored")
 def _(t):
     path = scratch(t)

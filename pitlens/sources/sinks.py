@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pitlens.session import cut_lineage
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -27,20 +30,46 @@ def append_if_absent(df: DataFrame, path: str, columns: Sequence[str], partition
     fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def append_absent_keys(df: DataFrame, path: str, key_sets: Sequence[Sequence[str]], arrival: Sequence[str]) -> None:
-    """Append rows matching no stored row on any of the key sets, and no earlier row of the batch.
+def first_come(df: DataFrame, key_sets: Sequence[Sequence[str]], arrival: Sequence[str]) -> DataFrame:
+    """Rows that no earlier accepted row matches on any of the key sets, as if they had been offered one by one.
 
-    `arrival` orders the batch; for each key set in turn the earliest row of a key stays.
+    In a round, the row that is the earliest left on each of its keys is accepted, and whatever shares a key
+    with it is turned away; a row turned away blocks nobody. Rounds go on over what is left undecided; an
+    arrival order unrelated to the keys leaves a few rounds, whatever the number of rows, and a hot key is settled in one.
+    A key set with a null in it matches nothing. Rows alike are one row; rows alike in `arrival` go by their other columns.
     """
+    names = df.columns
+    order = [*arrival, *(c for c in names if c not in arrival)]
+    if len(key_sets) == 1:  # the earliest of each key, and nothing to turn away twice
+        keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key_sets[0]])
+        first = df.filter(keyed).groupBy(*key_sets[0]).agg(F.min(F.struct(*order)).alias("_first")).select("_first.*")
+        return first.select(*names).unionByName(df.filter(~keyed).dropDuplicates())
+    left = cut_lineage(df.dropDuplicates().withColumn("_turn", F.struct(*order)))
+    accepted = []
+    while True:
+        first = F.lit(True)
+        tried = left
+        for k, keys in enumerate(key_sets):
+            least = left.groupBy(*keys).agg(F.min("_turn").alias(f"_least{k}"))
+            tried = tried.join(least, list(keys), "left")
+            first = first & F.coalesce(F.col(f"_least{k}") == F.col("_turn"), F.lit(True))
+        taken = cut_lineage(tried.filter(first).select(*names, "_turn"))
+        accepted.append(taken.select(*names))
+        for keys in key_sets:
+            left = left.join(taken.select(*keys).distinct(), list(keys), "left_anti")
+        left = cut_lineage(left.join(taken.select("_turn"), "_turn", "left_anti").select(*names, "_turn"))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, accepted)
+
+
+def append_absent_keys(df: DataFrame, path: str, key_sets: Sequence[Sequence[str]], arrival: Sequence[str]) -> None:
+    """Append rows matching no stored row on any of the key sets, and no earlier accepted row of the batch; see first_come."""
     spark, fresh = df.sparkSession, df
     if exists(spark, path):
         stored = spark.read.parquet(path)
         for keys in key_sets:
             fresh = fresh.join(stored.select(*keys).distinct(), list(keys), "left_anti")
-    for keys in key_sets:
-        rest = [c for c in df.columns if c not in keys]
-        fresh = fresh.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*arrival)).alias("_first")).select(*keys, "_first.*")
-    fresh.select(*df.columns).write.mode("append").parquet(path)
+    first_come(fresh, key_sets, arrival).select(*df.columns).write.mode("append").parquet(path)
 
 
 def replace_as_of(df: DataFrame, path: str, partition: str = "as_of") -> None:

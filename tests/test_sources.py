@@ -1,6 +1,7 @@
 """Payload flatteners on small documents, and writes repeated on purpose."""
 
 import json
+import random
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -87,6 +88,32 @@ def test_append_if_absent_is_silent_about_repeats(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
 
 
+def accepted_one_by_one(rows):
+    urls, hashes, out = set(), set(), []
+    for at, url, content in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2])):
+        if (url is None or url not in urls) and content not in hashes:
+            out.append((at, url, content))
+            urls.add(url)
+            hashes.add(content)
+    return sorted(out, key=str)
+
+
+def test_a_row_turned_away_blocks_nobody(spark, tmp_path):
+    kind, keys = "at int, url string, hash string", [("url",), ("hash",)]
+    rows = [(1, "u1", "h1"), (2, "u2", "h1"), (3, "u2", "h3")]
+    path = str(tmp_path / "documents")
+    sinks.append_absent_keys(spark.createDataFrame(rows, kind), path, keys, ("at",))
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {rows[0], rows[2]}
+    sinks.append_absent_keys(spark.createDataFrame([(4, "u9", "h3"), (5, "u9", "h9"), (6, None, "h1"), (7, None, "h7"), (8, None, "h8"), (8, None, "h8")], kind), path, keys, ("at",))
+    assert {r.at for r in spark.read.parquet(path).collect()} == {1, 3, 5, 7, 8}
+    rng = random.Random(7)
+    many = [(rng.randrange(500), rng.choice([None, *(f"u{k}" for k in range(60))]), f"h{rng.randrange(80)}") for _ in range(600)]
+    chain = [(k, f"u{(k + 1) // 2}", f"h{k // 2}") for k in range(24)]
+    for case in (many, chain, []):
+        got = sinks.first_come(spark.createDataFrame(case, kind), keys, ("at",)).collect()
+        assert sorted(map(tuple, got), key=str) == accepted_one_by_one(set(case))
+
+
 def test_upsert_takes_the_later_version(spark):
     old = spark.createDataFrame([(1, 5, 1), (2, 6, 1)], "k int, v int, version int")
     new = spark.createDataFrame([(2, 7, 2), (3, 8, 2)], "k int, v int, version int")
