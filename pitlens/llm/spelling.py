@@ -70,8 +70,13 @@ def _both_ways(vocab: DataFrame) -> DataFrame:
     return sides.select("s.side", "s.w", "n", "m", F.when(F.col("s.side") == 0, F.floor(F.col("m") / 2)).otherwise(F.ceil(F.col("m") / 2)).cast("int").alias("half"))
 
 
+def _meeting(node: Column, says: Column) -> Column:
+    """Where states and edges meet: the side, the node and what is said there, as one number; who meets by chance is told apart later."""
+    return F.xxhash64("side", node, says)
+
+
 def edges(words: DataFrame, level: int, first: bool) -> DataFrame:
-    """The trie's edges that a state of `level` can meet: side, node, label (or first and tail), child, and the word that a label closes."""
+    """The trie's edges that a state of `level` can meet: meeting (and first, the label's first code point), child, and the word that a label closes."""
     d, whole = F.col("d"), F.col("whole")
     from_ = F.col("half") + level * STRIDE
     at = words.where(from_ <= F.col("m")).withColumn("d", F.explode(F.sequence(from_, F.col("m"))))
@@ -79,25 +84,26 @@ def edges(words: DataFrame, level: int, first: bool) -> DataFrame:
     ways = F.when(F.col("m") > LONG, F.array(F.lit(True))).when((F.col("m") == LONG) & F.lit(first), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     at = at.withColumn("whole", F.explode(ways)).where(F.lit(first) | ~whole)
     closes = whole | (d + STRIDE > F.col("m"))
-    label = [F.col("w").substr(d + 1, F.lit(1)).alias("first"), _label(d + 1, STRIDE - 1, whole).alias("tail")] if first else [_label(d, STRIDE, whole).alias("label")]
-    keys = ["side", "node", "tail"] if first else ["side", "node", "label"]
-    return at.select("side", _node(F.col("w").substr(F.lit(1), d)).alias("node"), *label,
+    says = _label(d + 1, STRIDE - 1, whole) if first else _label(d, STRIDE, whole)
+    return at.select(_meeting(_node(F.col("w").substr(F.lit(1), d)), says).alias("meeting"), *([F.col("w").substr(d + 1, F.lit(1)).alias("first")] if first else []),
                      F.when(~closes, _node(F.col("w").substr(F.lit(1), d + STRIDE))).alias("child"),
-                     F.when(closes, F.struct("w", "n")).alias("closed")).repartition(*keys).distinct()
+                     F.when(closes, F.struct("w", "n")).alias("closed")).repartition("meeting").distinct()
 
 
 def first_edits(words: DataFrame) -> DataFrame:
-    """States that leave their word's own path by one edit: side, w, n, m, pos, node, closed."""
+    """States that leave their word's own path by one edit: side, w, n, pos, node, closed."""
     d, m = F.col("d"), F.col("m")
     whole = m > LONG
     own = words.where("half < m").withColumn("d", F.explode(F.sequence(F.col("half"), m - 1)))
-    moves = own.select("side", "w", "n", "m", _node(F.col("w").substr(F.lit(1), d)).alias("node"), F.col("w").substr(d + 1, F.lit(1)).alias("here"), F.explode(F.array(
-        F.struct(F.lit(None).cast("string").alias("turn"), _label(d + 1, STRIDE - 1, whole).alias("tail"), (d + STRIDE).alias("pos")),
-        F.struct(F.col("w").substr(d + 2, F.lit(1)).alias("turn"), _label(d + 2, STRIDE - 1, whole).alias("tail"), (d + STRIDE + 1).alias("pos")))).alias("move"))
-    moves = moves.select("side", "w", "n", "m", "node", "here", "move.*")
+    here, after = F.col("w").substr(d + 1, F.lit(1)), F.col("w").substr(d + 2, F.lit(1))
+    node = _node(F.col("w").substr(F.lit(1), d))
+    replaced = F.struct(F.lit(False).alias("less"), _meeting(node, _label(d + 1, STRIDE - 1, whole)).alias("meeting"))
+    deleted = F.struct(F.lit(True).alias("less"), _meeting(node, _label(d + 2, STRIDE - 1, whole)).alias("meeting"))
+    moves = own.select("side", "w", "n", d.cast("int").alias("d"), F.explode(F.when(here == after, F.array(replaced)).otherwise(F.array(replaced, deleted))).alias("move"))
     # a replaced code point turns to any other; a deleted one to the code point after it, the word's end included
-    leaves = (F.col("first") != F.col("here")) & F.when(F.col("turn").isNull(), F.col("first") != "").otherwise(F.col("first") == F.col("turn"))
-    return moves.join(edges(words, 0, True), ["side", "node", "tail"]).where(leaves).select("side", "w", "n", "m", "pos", F.col("child").alias("node"), "closed")
+    leaves = (F.col("first") != here) & F.when(F.col("less"), F.col("first") == after).otherwise(F.col("first") != "")
+    return moves.select("side", "w", "n", "d", "move.*").join(edges(words, 0, True), "meeting").where(leaves).select(
+        "side", "w", "n", (d + STRIDE + F.col("less").cast("int")).alias("pos"), F.col("child").alias("node"), "closed")
 
 
 def near_words(vocab: DataFrame) -> DataFrame:
@@ -110,9 +116,9 @@ def near_words(vocab: DataFrame) -> DataFrame:
         open_ = frontier.where(F.col("closed").isNull())
         if open_.isEmpty():
             break
-        says = _label(F.col("pos"), STRIDE, F.lit(False)).alias("label")
-        frontier = cut_lineage(open_.select("side", "w", "n", "m", "pos", "node", says).join(edges(words, level, False), ["side", "node", "label"]).select(
-            "side", "w", "n", "m", (F.col("pos") + STRIDE).alias("pos"), F.col("child").alias("node"), "closed"))
+        says = _label(F.col("pos"), STRIDE, F.lit(False))
+        frontier = cut_lineage(open_.withColumn("m", F.length("w")).withColumn("meeting", _meeting(F.col("node"), says)).drop("m", "node", "closed").join(edges(words, level, False), "meeting").select(
+            "side", "w", "n", (F.col("pos") + STRIDE).alias("pos"), F.col("child").alias("node"), "closed"))
     found = met[0]
     for more in met[1:]:
         found = found.unionByName(more)
@@ -121,6 +127,7 @@ def near_words(vocab: DataFrame) -> DataFrame:
         "side", turned("w").alias("word"), "n", turned("v").alias("near"), F.col("v_n").alias("near_n"))
     half = F.floor(F.length("word") / 2).cast("int")
     pairs = pairs.where((F.col("side") == 0) | (F.col("word").substr(F.lit(1), half) != F.col("near").substr(F.lit(1), half)))
+    pairs = pairs.where(F.levenshtein("word", "near", 1) == 1)
     # a deletion is met from the longer word alone
     other = F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     same = F.struct("word", "n", "near", "near_n")
