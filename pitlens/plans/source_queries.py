@@ -85,37 +85,76 @@ def _(t):
     return landed.filing_index_rows(d, "entity", "payload", "en", "fr", 5, held).select("entity", "form", "filed", "url")
 
 
-def _without(column, elements):
-    for e in elements:
-        column = rf"regexp_replace({column}, '(?is)<{e}\b[^>]*>.*?</{e}\s*>', '<br>', 'g')"
-    for e in html.HIDEABLE:
-        column = rf"regexp_replace({column}, '(?is)<{e}\b[^>]*(?:display\s*:\s*none|\shidden\b)[^>]*>.*?</{e}\s*>', '<br>', 'g')"
-    return column
+def page_views(prefix, source, elements):
+    """Pages cut into tags and stretches; what an element covers comes from running depths of its name, not from a pattern."""
+    tag = html.TAG.replace("'", "''")
+    names = ", ".join(f"'{e}'" for e in elements)
+    void = ", ".join(f"'{e}'" for e in html.VOID)
+    view(f"{prefix}_tags", f"select page_id, unnest(tags) tag, generate_subscripts(tags, 1) - 1 i from (select page_id, regexp_extract_all(html, '{tag}') tags from {source})", source if source != "pages" else "")
+    view(f"{prefix}_stretches", f"select page_id, unnest(x) x, generate_subscripts(x, 1) - 1 i from (select page_id, string_split_regex(html, '{tag}') x from {source})", source if source != "pages" else "")
+    view(f"{prefix}_marks", rf"""select *, sum(kind) over (partition by page_id, name order by i) depth from (select *, case when name = '' or name in ({void}) then 0 when tag like '</%' then -1 when name in ('script', 'style') and tag like '%</' || name || '>' then 0 else 1 end kind
+ from (select page_id, i, tag, lower(regexp_extract(tag, '^</?([a-zA-Z][^\s/>]*)', 1)) name from {prefix}_tags))""", f"{prefix}_tags")
+    furniture = rf"regexp_matches(o.tag, '(?i)\s(class|id)=[^>]*({'|'.join(html.NOISE_CLASSES)})')" if elements is html.NOISE else "false"
+    view(f"{prefix}_covered", rf"""select o.page_id, o.i a, coalesce(min(c.i), max(o.top) + 1) b from (select *, max(i) over (partition by page_id) top from {prefix}_marks) o left join {prefix}_marks c on c.page_id = o.page_id and c.name = o.name and c.i > o.i and c.depth < o.depth
+ where o.kind = 1 and (o.name in ({names}) or regexp_matches(o.tag, '(?i)\s(hidden[\s=/>]|style\s*=\s*"[^"]*display\s*:\s*none)') or {furniture}) group by 1, 2""", f"{prefix}_marks")
+    view(f"{prefix}_lines", rf"""select page_id, i, x from (select page_id, i, regexp_replace({_plain("x")}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g') x from {prefix}_stretches s
+ where not exists (select 1 from {prefix}_covered c where c.page_id = s.page_id and s.i > c.a and s.i <= c.b)) where x <> ''""", f"{prefix}_stretches {prefix}_covered")
 
 
 def _plain(column):
-    for name, sign in html.NAMED.items():
-        column = f"replace({column}, '&{name};', chr({ord(sign)}))"
+    """The named characters that the pages hold, the ampersand last."""
+    for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", chr(160)), ("amp", "&")):
+        column = f"replace({column}, '&{name};', '{sign}')"
     return column
 
 
-_between = lambda c: (r"list_filter(list_transform(string_split_regex(" + c + r", '(?s)<!--.*?-->|<[^>]*>'), lambda x: regexp_replace("
-                      + _plain("x") + r", '^[\s\x{00a0}]+|[\s\x{00a0}]+$', '', 'g')), lambda x: x <> '')")
+# Blocks that hide others and references of all kinds, put before an article's text, and what shows of them.
+_HIDING = '<div hidden><div>menu <div>inner</div></div>secret</div><span style="color:red;display : none"><span>a</span>b</span>'
+_FURNITURE = '<div class="x related-links"><div>promo</div>more</div>'
+_MARKED, _SHOWN = "<p>it&#x27;s &#128512; caf&eacute; &#937;&hellip;</p>", "<p>it''s 😀 café Ω…</p>"
+view("shown_pages", f"select page_id, replace(html, '<article>', '<article>{_SHOWN}') html from pages")
+view("furnished_pages", f"select page_id, replace(html, '<article>', '{_FURNITURE}<article>{_SHOWN}') html from pages")
+for _prefix, _source, _elements in (("page", "pages", html.DROPPED), ("body", "pages", html.NOISE), ("shown", "shown_pages", html.NOISE), ("furnished", "furnished_pages", html.DROPPED)):
+    page_views(_prefix, _source, _elements)
+
+
+def marked_pages(t, opening, closing):
+    return spread(t.pages).select("page_id", F.replace(F.replace("html", F.lit("<article>"), F.lit(opening)), F.lit("</article>"), F.lit(closing)).alias("html"))
+
 
+_LINES = "select page_id, length(t)::int chars, md5(t) digest from (select page_id, coalesce(t, '') t from pages left join (select page_id, string_agg(x, chr(10) order by i) t from {} group by 1) using (page_id))"
 
-@query("page_texts", "SRC-09", f"select page_id, length(t)::int chars, md5(t) digest from (select page_id, array_to_string({_between(_without('html', html.DROPPED))}, chr(10)) t from pages)")
+
+@query("page_texts", "SRC-09", _LINES.format("page_lines"), "page_lines")
 def _(t):
     return spread(t.pages).select("page_id", html.html_to_text("html").alias("text")).selectExpr("page_id", "length(text) AS chars", "md5(text) AS digest")
 
 
-@query("article_bodies", "SRC-19", rf"""select page_id, case when paywalled then 'paywalled' when length(body) >= 600 then 'fetched' else 'too_short' end outcome,
- case when not paywalled and length(body) >= 600 then length(body) end::int chars from (select page_id, body, {" or ".join(f"contains(lower(substring(body, 1, 1200)), '{m}')" for m in html.PAYWALL_MARKERS)} paywalled
- from (select page_id, case when length(article) >= 600 then article else paragraphs end body from (select page_id,
-  array_to_string({_between(r"regexp_extract(clean, '(?is)<(?:article|main)\b[^>]*>(.*)</(?:article|main)\s*>', 1)")}, chr(10)) article,
-  array_to_string(list_filter(list_transform(string_split_regex(clean, '(?i)<p(?:\s[^>]*)?>')[2:], lambda p: array_to_string({_between(r"regexp_replace(p, '(?is)</p\s*>.*$', '')")}, ' ')), lambda p: length(p) > 80), chr(10)) paragraphs
-  from (select page_id, {_without('html', html.NOISE)} clean from pages))))""")
+@query("page_texts_nested", "SRC-09", _LINES.format("furnished_lines"), "furnished_lines")
+def _(t):
+    d = marked_pages(t, f"{_HIDING}{_FURNITURE}<article>{_MARKED}", "</article>")
+    return d.select("page_id", html.html_to_text("html").alias("text")).selectExpr("page_id", "length(text) AS chars", "md5(text) AS digest")
+
+
+def _bodies(prefix):
+    """Lines between the article's tags or, without 600 characters there, paragraphs of more than 80."""
+    return rf"""select page_id, case when paywalled then 'paywalled' when length(body) >= 600 then 'fetched' else 'too_short' end outcome, case when not paywalled and length(body) >= 600 then md5(body) end digest from (
+ select page_id, body, {" or ".join(f"contains(lower(substring(body, 1, 1200)), '{m}')" for m in html.PAYWALL_MARKERS)} paywalled from (select page_id, case when length(article) >= 600 then article else coalesce(paragraphs, '') end body from pages
+ left join (select page_id, trim(regexp_replace(string_agg(x, chr(10) order by l.i), '[ \t]+', ' ', 'g')) article from {prefix}_lines l join (
+  select o.page_id, o.i a, min(c.i) b from {prefix}_marks o join {prefix}_marks c on c.page_id=o.page_id and c.name='article' and c.i > o.i and c.depth < o.depth where o.name='article' and o.kind=1 group by 1, 2) s using (page_id) where l.i > a and l.i <= b group by 1) using (page_id)
+ left join (select page_id, string_agg(x, chr(10) || chr(10) order by p) paragraphs from (select page_id, p, trim(regexp_replace(string_agg(x, ' ' order by i), '[ \t]+', ' ', 'g')) x from (
+  select l.page_id, l.i, l.x, max(m.i) p, arg_max(m.kind, m.i) kind from {prefix}_lines l join {prefix}_marks m on m.page_id=l.page_id and m.name='p' and m.i < l.i group by 1, 2, 3) where kind = 1 group by 1, 2) where length(x) > 80 group by 1) using (page_id)))"""
+
+
+@query("article_bodies", "SRC-19", _bodies("body"), "body_lines body_marks")
+def _(t):
+    return spread(t.pages).select("page_id", html.article_body("html").alias("a")).selectExpr("page_id", "a.outcome AS outcome", "md5(a.text) AS digest")
+
+
+@query("article_bodies_by_container", "SRC-19", _bodies("shown"), "shown_lines shown_marks")
 def _(t):
-    return spread(t.pages).select("page_id", html.article_body("html").alias("a")).selectExpr("page_id", "a.outcome AS outcome", "length(a.text) AS chars")
+    d = marked_pages(t, f"<div data-x='1' itemprop='articleBody'><div>{_HIDING}{_FURNITURE}{_MARKED}", "</div></div>")
+    return d.select("page_id", html.article_body("html").alias("a")).selectExpr("page_id", "a.outcome AS outcome", "md5(a.text) AS digest")
 
 
 @query("assembled_exhibits", "SRC-10", "select conv_id, count(*) exhibits, md5(string_agg(substring(text, 1, greatest(0, 150000 - run + length(text))::int), chr(10) || chr(10) order by turn)) digest from (select *, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) run from conversations where role <> 'system') where run - length(text) < 150000 group by 1")
