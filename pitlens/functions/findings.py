@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: A reader's marks on a finding, told by its payload.
+DISMISSED, REVIEWED = "k >= 92", "k BETWEEN 83 AND 91"
+
 from pitlens.functions.text import quoted_years
 
 # Reading direction of a guided metric.

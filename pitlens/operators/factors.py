@@ -43,9 +43,11 @@ def safe_ratio(top: str, bottom: str) -> str:
 
 
 def packed_facts(facts: DataFrame) -> DataFrame:
-    """One row per entity; `collect_set` removes duplicate rows before the shuffle."""
+    """One row per entity; `collect_set` removes duplicate rows before the shuffle. Of versions filed on one day the later
+    arrival comes last, by the column `arrival` where facts have it."""
+    order = ["arrival"] if "arrival" in facts.columns else []
     return facts.groupBy("entity_id").agg(F.array_sort(F.collect_set(
-        F.struct("period_end", "filed_on", "metric", "period", "value"))).alias("filed"))
+        F.struct("period_end", "filed_on", *order, "metric", "period", "value"))).alias("filed"))
 
 
 def _resolved(h: str) -> str:

@@ -124,3 +124,20 @@ def share_quota(ranked: Sequence[tuple[DataFrame, int]], key: str, limit: int) -
             key, F.lit(i).alias("claim"), F.col("_n").alias("turn"))
         taken = got if taken is None else taken.unionByName(got)
     return taken
+
+
+def multiset_divergence(items: DataFrame, key: str, side: str, item: str) -> DataFrame:
+    """(key, one, other, divergence) of any two sides of a key: 1 less the share that their multisets of items have in common.
+
+    What two multisets have in common is counted where both hold an item; what they hold together is
+    their sizes less that, so items of one side alone meet nothing. A side holds few kinds, never items, in one row.
+    """
+    counts = items.groupBy(key, side, item).agg(F.count(F.lit(1)).alias("n"))
+    kinds = counts.groupBy(key, item).agg(F.sort_array(F.collect_list(F.struct(F.col(side).alias("side"), "n"))).alias("sides")).filter("size(sides) > 1")
+    pairs = kinds.select(key, F.explode(F.flatten(F.transform("sides", lambda a: F.transform(F.filter("sides", lambda b: b["side"] > a["side"]), lambda b: F.struct(
+        a["side"].alias("one"), b["side"].alias("other"), F.least(a["n"], b["n"]).alias("n")))))).alias("p"))
+    common = pairs.groupBy(key, "p.one", "p.other").agg(F.sum("p.n").alias("common"))
+    sizes = items.groupBy(key, side).agg(F.count(F.lit(1)).alias("n"))
+    both = sizes.select(key, F.col(side).alias("one"), F.col("n").alias("one_n")).join(sizes.select(key, F.col(side).alias("other"), F.col("n").alias("other_n")), key).filter("one < other")
+    shared = F.coalesce(F.col("common"), F.lit(0))
+    return both.join(common, [key, "one", "other"], "left").select(key, "one", "other", F.round(1 - shared / (F.col("one_n") + F.col("other_n") - shared), 6).alias("divergence"))

@@ -21,9 +21,13 @@ def as_of(df: DataFrame, when: str, column: str = "filed_on") -> DataFrame:
 
 
 def resolve_restatements(facts: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """One row per period: the version filed last among those visible."""
+    """One row per period: the version filed last among those visible.
+
+    Of versions filed on one day the one that arrived later counts, by the column `arrival` where facts
+    have it; without it, or alike in it, the larger value, so that runs agree.
+    """
     keys = [*extra, "entity_id", "metric", "period", "period_end"]
-    last = F.max(F.struct("filed_on", "value"))
+    last = F.max(F.struct("filed_on", *(["arrival"] if "arrival" in facts.columns else []), "value"))
     return facts.groupBy(*keys).agg(last.alias("v")).select(*keys, "v.filed_on", "v.value")
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pitlens.functions import findings as fx
 from pitlens.functions import stats
 from pitlens.operators import aggregates as agg
 from pitlens.plans.registry import query
@@ -29,10 +30,9 @@ def _(t):
     return agg.coverage(t.findings, AS_OF)
 
 
-@query("coverage_index", "AGG-02", f"select entity_id, count(*) findings, count(distinct document_id) documents from findings where day <= date '{AS_OF}' and finding_id % 13 <> 0 group by 1 order by 2 desc, 1 limit 50", "findings")
+@query("coverage_index", "AGG-02", f"select entity_id, count(*) findings, count(distinct document_id) documents from findings where day <= date '{AS_OF}' and not (k >= 92) group by 1 order by 2 desc, 1 limit 50", "findings")
 def _(t):
-    # every thirteenth finding stands for a dismissed one, as in the feeds
-    told = t.findings.filter(f"day <= date'{AS_OF}' AND finding_id % 13 <> 0")
+    told = t.findings.filter(f"day <= date'{AS_OF}' AND NOT ({fx.DISMISSED})")
     return told.groupBy("entity_id").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("document_id").alias("documents")).orderBy(
         F.col("findings").desc(), "entity_id").limit(50)
 

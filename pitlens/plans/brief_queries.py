@@ -33,10 +33,11 @@ def _(t):
 
 
 @query("short_interest_spikes", "RUL-02", f"""select brand, mon::varchar occurred_on, previous, latest, {R('(latest / previous - 1) * 100', 1)} increase_percent, case when (latest / previous - 1) * 100 >= 50 then 'moderate' else 'minor' end magnitude from (
- select brand, month mon, volume latest, lag(volume) over (partition by brand order by month) previous, row_number() over (partition by brand order by month desc) r from (select brand, date_trunc('month', session_date)::date as month, sum(volume) volume from bars where session_date < date '2001-06-01' group by 1,2))
+ select brand, month mon, volume latest, lag(volume) over (partition by brand order by month) previous, row_number() over (partition by brand order by month desc) r from (select brand, date_trunc('month', session_date)::date as month, arg_max(volume, session_date) volume from bars group by 1,2))
  where r = 1 and previous > 0 and latest >= previous * 1.2""", "bars")
 def _(t):
-    r = t.bars.filter("session_date < date'2001-06-01'").groupBy("brand", F.trunc("session_date", "month").alias("at")).agg(F.sum("volume").alias("value"))
+    # the position of a month is the one of its last session, the settlement
+    r = t.bars.groupBy("brand", F.trunc("session_date", "month").alias("at")).agg(F.max_by("volume", "session_date").alias("value"))
     return rules.short_interest_spike(r, "brand")
 
 
@@ -108,7 +109,7 @@ def _(t):
 # ---- briefs --------------------------------------------------------------------
 def read_findings(t):
     """Findings of the reading window with norms, parity, restatement and priority attached."""
-    s = signed(t).withColumns({"dismissed": F.expr("finding_id % 13 = 0"), "priority": F.expr(_PRIORITY),
+    s = signed(t).withColumns({"dismissed": F.expr(fx.DISMISSED), "priority": F.expr(_PRIORITY),
                                "source": F.expr("CASE WHEN finding_type = 'insider_activity' THEN 'insider' ELSE genre END")})
     live = s.filter("NOT dismissed")
     again = norms.restated(live).distinct().withColumn("is_restated", F.lit(True))
@@ -125,7 +126,7 @@ def residual(read, t):
 view("read", f"""select e.*, priority, case when e.finding_type='insider_activity' then 'insider' else e.genre end source, e.value >= 200 unusual, 1 / sqrt(count(*) over (partition by e.document_id)) parity, e.finding_id in (select finding_id from restated_live) is_restated, not near fell_back
  from expected e join ranked_findings r using (finding_id) join (select entity_id, max(day) >= date '2024-01-31' - {WINDOW} near from ranked_findings where not dismissed and day >= date '2024-01-31' - {FALLBACK} group by 1) n on n.entity_id=e.entity_id
  where not r.dismissed and e.day >= date '2024-01-31' - case when near then {WINDOW} else {FALLBACK} end""", "expected ranked_findings restated_live")
-view("restated_live", """select finding_id from stated a where finding_id % 13 <> 0 and finding_type not in ('guidance_change','qoq_anomaly') and len(toks) > 0 and exists (select 1 from stated b where b.finding_id % 13 <> 0
+view("restated_live", """select finding_id from stated a where not (k >= 92) and finding_type not in ('guidance_change','qoq_anomaly') and len(toks) > 0 and exists (select 1 from stated b where not (b.k >= 92)
  and b.entity_id=a.entity_id and b.finding_type=a.finding_type and b.occurred_at < a.occurred_at and b.document_id <> a.document_id
  and len(list_intersect(a.toks, b.toks)) >= 0.3 * len(list_distinct(list_concat(a.toks, b.toks))) and len(list_intersect(a.figs, b.figs)) = len(a.figs))""", "stated")
 view("read_residual", """select entity_id, avg(v) residual from (select entity_id, greatest(-1.0, least(1.0, ((positive - ep) - (negative - eq)) / greatest(ep + eq, 1.0))) v from (

@@ -11,13 +11,13 @@ from pitlens.plans.registry import query
 from pitlens.plans.views import R, view
 
 _PRIORITY = "round(" + fx.priority_score("finding_type", "confidence", "occurred_at", "magnitude", NOW) + ", 6)"
-view("ranked_findings", """select *, finding_id % 13 = 0 dismissed, finding_id % 11 = 0 reviewed, (round(least(greatest(confidence, 0.0), 1.0) * case finding_type when 'new_risk_factor' then 1.0
+view("ranked_findings", """select *, k >= 92 dismissed, k between 83 and 91 reviewed, (round(least(greatest(confidence, 0.0), 1.0) * case finding_type when 'new_risk_factor' then 1.0
  when 'guidance_change' then 0.9 when 'insider_activity' then 0.85 when 'sentiment_shift' then 0.7 when 'notable_quote' then 0.6 else 0.5 end * case magnitude when 'major' then 1.35 when 'minor' then 0.75 else 1.0 end
  * exp(-(epoch_us(timestamp '2024-01-31') - epoch_us(occurred_at)) / 86400000000.0 / 90.0), 6) + 0.0) priority from findings""", "findings")
 
 
 def ranked(t):
-    return t.findings.selectExpr("*", "finding_id % 13 = 0 AS dismissed", "finding_id % 11 = 0 AS reviewed", f"{_PRIORITY} AS priority")
+    return t.findings.selectExpr("*", f"{fx.DISMISSED} AS dismissed", f"{fx.REVIEWED} AS reviewed", f"{_PRIORITY} AS priority")
 
 
 @query("findings_feed", "FLT-02", """select finding_id, entity_id, priority from ranked_findings where event_type='error' and occurred_at >= timestamp '2024-01-10' and confidence >= 0.1
@@ -26,13 +26,13 @@ def _(t):
     return feeds.findings_feed(ranked(t), kind="error", since="2024-01-10", min_confidence=0.1, unreviewed=True).select("finding_id", "entity_id", "priority")
 
 
-view("held_documents", "select document_id, genre, day published, count(*) findings from findings where day > date '2024-01-03' group by 1,2,3", "findings")
+view("held_documents", "select document_id, genre, day published, count(*) findings from findings group by 1,2,3", "findings")
 
 
 @query("findings_page", "FLT-03 JON-08", """select finding_id, name, d.published::varchar published from ranked_findings f left join holders using (entity_id) left join held_documents d using (document_id)
  order by d.published desc nulls last, finding_id limit 50 offset 100""", "ranked_findings holders held_documents")
 def _(t):
-    docs = t.findings.filter("day > date'2024-01-03'").groupBy("document_id").agg(F.max("day").alias("published"))
+    docs = t.findings.groupBy("document_id").agg(F.max("day").alias("published"))
     d = t.findings.select("finding_id", "entity_id", "document_id").join(t.holders.select("entity_id", "name"), "entity_id", "left").join(docs, "document_id", "left")
     return feeds.page(d, "findings", [F.col("published").desc_nulls_last(), F.col("finding_id")], 50, 100).select("finding_id", "name", "published")
 
@@ -342,12 +342,11 @@ _words = lambda c: f"list_filter(string_split_regex(lower({c}), '\\s+'), lambda
 view("word_counts", f"select entity, subtype, w, count(*) n from (select entity, subtype, unnest({_words('text')}) w from filings) group by 1,2,3", "filings")
 
 
-@query("multiset_divergence", "SET-05", f"""select entity, {R('1 - sum(least(a, b)) / greatest(sum(greatest(a, b)), 1)::double', 6)} divergence from (select entity, w, coalesce(sum(n) filter (subtype='en'), 0) a,
- coalesce(sum(n) filter (subtype='fr'), 0) b from word_counts where subtype in ('en','fr') group by 1,2) group by 1""", "word_counts")
+@query("multiset_divergence", "SET-05", f"""select a.entity, a.subtype one, b.subtype other, {R('1 - coalesce(c.n, 0) / (a.n + b.n - coalesce(c.n, 0))::double', 6)} divergence
+ from (select entity, subtype, sum(n) n from word_counts group by 1,2) a join (select entity, subtype, sum(n) n from word_counts group by 1,2) b on a.entity=b.entity and a.subtype < b.subtype
+ left join (select x.entity, x.subtype one, y.subtype other, sum(least(x.n, y.n)) n from word_counts x join word_counts y on x.entity=y.entity and x.w=y.w and x.subtype < y.subtype group by 1,2,3) c on c.entity=a.entity and c.one=a.subtype and c.other=b.subtype""", "word_counts")
 def _(t):
-    w = t.filing_texts.filter(F.col("subtype").isin("en", "fr")).selectExpr("entity", "subtype", r"explode(filter(split(lower(text), '\\s+'), w -> length(w) > 3)) AS w")
-    g = w.groupBy("entity", "w").agg(F.count_if(F.col("subtype") == "en").alias("a"), F.count_if(F.col("subtype") == "fr").alias("b"))
-    return g.groupBy("entity").agg(F.expr("round(1 - sum(least(a, b)) / greatest(sum(greatest(a, b)), 1), 6) AS divergence"))
+    return feeds.multiset_divergence(t.filing_texts.selectExpr("entity", "subtype", r"explode(filter(split(lower(text), '\\s+'), w -> length(w) > 3)) AS item"), "entity", "subtype", "item")
 
 
 @query("event_grouping", "SET-06", """select entity_id, topics, count(*) items, max(value) lead_score, max(day)::varchar newest from (select f.*, coalesce(x.topics, '') topics from findings f

@@ -32,6 +32,16 @@ def _(t):
     return resolved(t).withColumn("value", F.round("value", 5))
 
 
+@query("same_day_restatements", "WIN-01", f"""select entity_id, metric, period, period_end::varchar period_end, filed_on::varchar filed_on, {R('case when day(period_end) % 2 = 0 then value - 5 else value end', 5)} as value
+ from resolved""", "resolved")
+def _(t):
+    # each figure is filed twice on its day; what arrives later is lower by five, or comes first and is higher
+    late = "CASE WHEN day(period_end) % 2 = 0 THEN 2L ELSE 0L END"
+    facts = pit.as_of(t.facts_restated, AS_OF).withColumn("arrival", F.lit(1).cast("long"))
+    again = facts.withColumn("arrival", F.expr(late)).withColumn("value", F.expr("CASE WHEN arrival = 2 THEN value - 5 ELSE value + 7 END"))
+    return pit.resolve_restatements(facts.unionByName(again)).withColumn("value", F.round("value", 5))
+
+
 @query("latest_value_by_metric", "WIN-02", f"""select entity_id, metric, period, max(period_end)::varchar period_end,
  {R('arg_max(value, period_end)', 5)} as value from resolved group by 1,2,3""", "resolved")
 def _(t):

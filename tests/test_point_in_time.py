@@ -4,7 +4,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from pitlens.operators import pit, prices, ranks
+from pitlens.operators import factors, pit, prices, ranks
 
 
 def facts(spark, rows):
@@ -93,3 +93,11 @@ def test_global_position_without_one_big_sort(spark):
         assert [r.pos for r in got] == list(range(1, 1001))
         got = ranks.position_in_order(d, "x", ["id"], "pos", "g", True, slices).orderBy("g", F.col("x").desc_nulls_last(), "id").collect()
         assert [r.pos for r in got] == list(range(1, 1001))
+
+
+def test_of_versions_filed_on_one_day_the_later_arrival_counts(spark):
+    rows = [(1, "assets", "instant", date(2020, 3, 31), date(2020, 5, 1), v, a) for v, a in ((9.0, 1), (7.0, 2), (8.0, 0))]
+    filed = spark.createDataFrame(rows, "entity_id long, metric string, period string, period_end date, filed_on date, value double, arrival long")
+    assert [r.value for r in pit.resolve_restatements(filed).collect()] == [7.0]
+    assert [r.value for r in pit.resolve_restatements(filed.drop("arrival")).collect()] == [9.0]
+    assert factors.packed_facts(filed).first().filed[-1].value == 7.0
