@@ -14,6 +14,8 @@ PRIOR_WEIGHT = 8.0
 MIN_SECTOR_OBSERVATIONS = 10
 UNINFORMATIVE_FLOOR = 0.10
 RECURRENCE_OVERLAP, RECURRENCE_DISCOUNT = 0.30, 0.25
+#: Sets of a side that meet in one task, for one token.
+CELL_ROWS = 1_000
 INCIDENCE_WEIGHT, MIN_DOCUMENTS = 2.0, 4
 
 
@@ -91,49 +93,75 @@ def parity_weights(findings: DataFrame) -> DataFrame:
     return findings.join(counts, "document_id")
 
 
-def _first_two_documents(df: DataFrame, key: str) -> DataFrame:
-    """Earliest sighting of a key, and the earliest in any other document."""
-    per_doc = df.groupBy(key, "document_id").agg(F.min("occurred_at").alias("t"))
-    w = Window.partitionBy(key).orderBy("t", "document_id")
-    top = per_doc.withColumn("r", F.row_number().over(w)).filter("r <= 2")
-    return top.groupBy(key).agg(
-        F.max(F.expr("CASE WHEN r = 1 THEN t END")).alias("t1"), F.max(F.expr("CASE WHEN r = 1 THEN document_id END")).alias("d1"),
-        F.max(F.expr("CASE WHEN r = 2 THEN t END")).alias("t2"))
+def _sightings(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The two earliest documents that show each key, each with its earliest time: keys, seen (an array of time and document)."""
+    per_doc = df.groupBy(*keys, "document_id").agg(F.min("occurred_at").alias("t"))
+    top = per_doc.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("t", "document_id"))).filter("r <= 2")
+    return top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", F.col("document_id").alias("doc")))).alias("seen"))
+
+
+def _prefix(rare: str) -> str:
+    """The rarest tokens of which a set as similar as asked must share one."""
+    return f"slice({rare}, 1, size({rare}) - int(ceil({RECURRENCE_OVERLAP} * size({rare}))) + 1)"
+
+
+def similar_sets(probes: DataFrame, index: DataFrame, keys: list[str], cell: int = CELL_ROWS) -> DataFrame:
+    """Rows of `probes` (this, rare) and `index` (other, rare, seen) alike in `keys` whose token sets have the overlap asked: this, seen.
+
+    `rare` is a set in one order for all, rarest first. Sets meet through the tokens of their prefixes; of these the
+    first that both hold counts, so a pair comes once. Lengths and places bound the overlap
+    before sets are compared. A token that many sets of a key share is dealt over a grid: its probes in rows of `cell`, its
+    index in columns of `cell`, so that no task meets more than `cell` with `cell`, however hot the key and the token.
+    """
+    def prefixed(d: DataFrame, name: str) -> DataFrame:
+        return d.select(*keys, name, "rare", *([] if name == "this" else ["seen"]), F.expr(f"posexplode({_prefix('rare')}) AS (place, tok)"))
+
+    p, i = prefixed(probes, "this"), prefixed(index, "other")
+    sizes = p.groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("n_p")).join(i.groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("n_i")), [*keys, "tok"])
+    grid = sizes.select(*keys, "tok", F.ceil(F.col("n_p") / cell).cast("int").alias("rows"), F.ceil(F.col("n_i") / cell).cast("int").alias("columns"))
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = p.join(grid, [*keys, "tok"]).withColumn("row", deal("this", "rows")).withColumn("column", all_of("columns")).drop("rows", "columns").withColumnsRenamed({"rare": "a", "place": "at"})
+    i = i.join(grid, [*keys, "tok"]).withColumn("column", deal("other", "columns")).withColumn("row", all_of("rows")).drop("rows", "columns").withColumnsRenamed({"rare": "b", "place": "bt"})
+    need = f"{RECURRENCE_OVERLAP} / (1 + {RECURRENCE_OVERLAP}) * (size(a) + size(b)) - 1e-9"
+    met = p.join(i, [*keys, "tok", "row", "column"]).filter(
+        f"size(b) >= {RECURRENCE_OVERLAP} * size(a) - 1e-9 AND size(a) >= {RECURRENCE_OVERLAP} * size(b) - 1e-9 AND least(size(a) - at, size(b) - bt) >= {need}")
+    return met.filter(f"{jaccard('a', 'b')} >= {RECURRENCE_OVERLAP} AND get(filter(a, x -> array_contains(b, x)), 0) = tok")
 
 
 def restated(findings: DataFrame, scope: tuple[str, ...] = ("entity_id",)) -> DataFrame:
     """Findings already said earlier, in another document, with no new figure.
 
-    Copies collapse first: a statement is a distinct (scope, type, token set, figure
-    set), known by its two earliest documents.  Statements meet through their rarest
-    tokens only: a Jaccard of 0.3 needs ceil(0.3 n) shared tokens, so one of the first
-    n - ceil(0.3 n) + 1 must be shared, and a figure when there is one.
+    What is compared are token sets, each once for a (scope, type), however many findings use its words. A finding without
+    figures asks when a similar set was seen first, one with a figure when it was seen with that figure, one with more
+    figures when with all of them; two earliest documents answer each of these, as one of them is another document.
     """
     keys = [*scope, "finding_type"]
     d = findings.selectExpr("finding_id", "document_id", "occurred_at", *keys,
                             f"array_sort({tokens('summary')}) AS toks", f"array_sort({figures('summary')}) AS figs").filter("size(toks) > 0")
-    stmt = f"sha2(concat_ws('|', {', '.join(f'string({k})' for k in keys)}, array_join(toks, ' '), array_join(figs, ' ')), 256)"
-    d = cut_lineage(d.withColumn("stmt", F.expr(stmt)))
-    first = _first_two_documents(d, "stmt")
-    shapes = cut_lineage(d.select("stmt", *keys, "toks", "figs").dropDuplicates(["stmt"]))
-    df = shapes.select(*keys, F.explode("toks").alias("tok")).groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("df"))
-    ranked = shapes.select("stmt", *keys, "toks", "figs", F.explode("toks").alias("tok")).join(df, [*keys, "tok"]).groupBy(
-        "stmt", *keys, "toks", "figs").agg(F.expr("transform(array_sort(collect_list(struct(df, tok))), r -> r.tok) AS rare"))
-    live = ranked.filter(~F.col("finding_type").isin(*ALWAYS_NEW))
-    probes = live.selectExpr("stmt AS this", *keys, "toks AS a", "figs AS fa", "coalesce(get(figs, 0), '') AS fig",
-                             f"explode(slice(rare, 1, size(rare) - int(ceil({RECURRENCE_OVERLAP} * size(rare))) + 1)) AS tok")
-    index = shapes.selectExpr("stmt AS other", *keys, "toks AS b", "figs AS fb", "explode(array_append(figs, '')) AS fig", "toks").selectExpr(
-        "other", *keys, "b", "fb", "fig", "explode(toks) AS tok")
-    pairs = probes.join(index, [*keys, "fig", "tok"]).filter(
-        F.expr(f"size(array_except(fa, fb)) = 0 AND {jaccard('a', 'b')} >= {RECURRENCE_OVERLAP}")).select("this", "other").distinct()
-    seen = pairs.join(first.withColumnRenamed("stmt", "other"), "other").select(F.col("this").alias("stmt"), "t1", "d1", "t2")
-    # one row per statement again: the earliest sighting, and the earliest outside its document
-    w = Window.partitionBy("stmt").orderBy("t1", "d1")
-    lead = seen.withColumn("r", F.row_number().over(w)).filter("r = 1").selectExpr("stmt", "d1 AS lead_doc", "t1 AS lead_at")
-    outside = seen.join(lead, "stmt").groupBy("stmt", "lead_doc", "lead_at").agg(
-        F.min(F.expr("CASE WHEN d1 <> lead_doc THEN t1 ELSE t2 END")).alias("outside_at"))
-    hit = d.join(outside, "stmt").filter("CASE WHEN lead_doc <> document_id THEN lead_at ELSE outside_at END < occurred_at")
-    return hit.select("finding_id")
+    of = lambda c: f"sha2(concat_ws('|', {', '.join(f'string({k})' for k in keys)}, array_join(toks, ' '){c}), 256)"
+    d = cut_lineage(d.withColumn("said", F.expr(of(""))).withColumn("stmt", F.expr(of(", array_join(figs, ' ')"))))
+    sets = d.select("said", *keys, "toks").dropDuplicates(["said"])
+    df = sets.select(*keys, F.explode("toks").alias("tok")).groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("df"))
+    ordered = cut_lineage(sets.select("said", *keys, F.explode("toks").alias("tok")).join(df, [*keys, "tok"]).groupBy("said", *keys).agg(
+        F.expr("transform(array_sort(collect_list(struct(df, tok))), r -> r.tok) AS rare")))
+    # what a finding asks: with no figure, with one, or with all of several
+    shown = d.select("said", "document_id", "occurred_at", "figs")
+    answers = (_sightings(shown, ["said"]).withColumn("figs", F.array().cast("array<string>"))
+               .unionByName(_sightings(shown.withColumn("fig", F.explode("figs")).withColumn("figs", F.array("fig")).drop("fig"), ["said", "figs"]))
+               .unionByName(_sightings(shown.filter("size(figs) > 1"), ["said", "figs"])))
+    asked = [*keys, "kind", "fig"]
+    kind = F.least(F.size("figs"), F.lit(2)).alias("kind")
+    index = answers.join(ordered, "said").select(*keys, F.concat_ws(" ", "said", F.array_join("figs", " ")).alias("other"), "rare", "figs", "seen", kind,
+                                                 F.explode(F.when(F.size("figs") == 0, F.array(F.lit(""))).otherwise(F.col("figs"))).alias("fig"))
+    probes = d.filter(~F.col("finding_type").isin(*ALWAYS_NEW)).select("stmt", "said", *keys, "figs").dropDuplicates(["stmt"]).join(ordered.select("said", "rare"), "said").select(
+        *keys, F.struct("stmt", "figs").alias("this"), "rare", kind, F.coalesce(F.get("figs", F.lit(0)), F.lit("")).alias("fig"))
+    met = similar_sets(probes, index.select(*asked, "other", "rare", F.struct("figs", "seen").alias("seen")), asked)
+    first = met.filter("size(array_except(this.figs, seen.figs)) = 0").select(F.col("this.stmt").alias("stmt"), F.explode("seen.seen").alias("s")).groupBy(
+        "stmt", "s.doc").agg(F.min("s.t").alias("t"))
+    two = first.withColumn("r", F.row_number().over(Window.partitionBy("stmt").orderBy("t", "doc"))).filter("r <= 2").groupBy("stmt").agg(
+        F.max(F.when(F.col("r") == 1, F.col("doc"))).alias("lead_doc"), F.max(F.when(F.col("r") == 1, F.col("t"))).alias("lead_at"), F.max(F.when(F.col("r") == 2, F.col("t"))).alias("outside_at"))
+    return d.join(two, "stmt").filter("CASE WHEN lead_doc <> document_id THEN lead_at ELSE outside_at END < occurred_at").select("finding_id")
 
 
 def finding_weight(with_norms: DataFrame, restated_ids: DataFrame) -> DataFrame:
