@@ -18,6 +18,14 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name`, or it with underscores before it, such that no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def short_texts(docs: DataFrame, size: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, text of the documents that are one chunk, null text as empty."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= size)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pitlens.llm.chunking import unused
 from pitlens.session import cut_lineage
 
 WEIGHTS, SHARE, CAP, BLOCK_WORDS = (3.0, 1.0, 2.0), 1.5, 2.0, 512
@@ -135,10 +136,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Rows alike in every column are taken alike.
     """
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.withColumn("_key", key)
-    given = keyed.select("text", F.struct("doc_id", "_key").alias("doc_id"), "source")
-    taken = mix(given, **how).groupBy(F.col("doc_id.doc_id").alias("_doc"), F.col("doc_id._key").alias("_mixed")).agg(
-        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_times"))
-    return keyed.join(taken.where("_times > 0"), (F.col("_key") == F.col("_mixed")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, doc, mixed, times, copy = (unused(docs.columns, c) for c in ("_key", "_doc", "_mixed", "_times", "_copy"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(key, F.xxhash64(*names))
+    given = keyed.select("text", F.struct("doc_id", F.col(key).alias("key")).alias("doc_id"), "source")
+    taken = mix(given, **how).groupBy(F.col("doc_id.doc_id").alias(doc), F.col("doc_id.key").alias(mixed)).agg(
+        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias(times))
+    return keyed.join(taken.where(F.col(times) > 0), (F.col(key) == F.col(mixed)) & F.col("doc_id").eqNullSafe(F.col(doc))).withColumn(
+        copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitlens.llm.chunking import bound_batches
+from pitlens.llm.chunking import bound_batches, unused
 from pitlens.llm.words import mix, slices, words
 from pitlens.session import cut_lineage
 
@@ -208,9 +208,9 @@ def deduplicate(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (8
     Rows alike in doc_id and text are one document; of those the least in its other columns stays.
     Different ids without words all stay.
     """
-    names = docs.columns
-    stay = grouped(docs, width, threshold).where("first").groupBy(F.col("id").alias("_stay_id"), F.col("mark").alias("_stay_mark")).agg(F.lit(1).alias("_stay"))
-    keyed = docs.withColumn("_stay_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_stay_mark", F.xxhash64("text"))
-    own = Window.partitionBy("_stay_id", "_stay_mark").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    return keyed.join(stay.drop("_stay"), ["_stay_id", "_stay_mark"], "left_semi").withColumn("_stay_at", F.row_number().over(own)).where("_stay_at = 1").select(
-        *[F.col(f"`{c}`") for c in names])
+    id_, mark, at = (unused(docs.columns, c) for c in ("_stay_id", "_stay_mark", "_stay_at"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    stay = grouped(docs, width, threshold).where("first").select(F.col("id").alias(id_), F.col("mark").alias(mark)).distinct()
+    keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(mark, F.xxhash64("text"))
+    own = Window.partitionBy(id_, mark).orderBy(F.xxhash64(*names))
+    return keyed.join(stay, [id_, mark], "left_semi").withColumn(at, F.row_number().over(own)).where(F.col(at) == 1).select(*names)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlens.llm.chunking import bound_batches
+from pitlens.llm.chunking import bound_batches, unused
 from pitlens.llm.words import mix, slices, words
 
 BYTE_GRAMS, SHAPE_GRAMS = 1 << 15, 1 << 13
@@ -170,18 +170,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Mod
     return Model(np.frombuffer(weight), np.frombuffer(scale), *rest)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with quality_score (0 to 1, higher: label 1 likelier); null text counts as empty. Nothing but the text is read."""
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """`docs` with the score (0 to 1, higher: label 1 likelier) as `name`; null text counts as empty. Nothing but the text is read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.scores(presence(data, offsets)) for _, _, data, offsets in slices(batch.column(batch.schema.get_field_index("text")), SLICE_BYTES, SLICE_ROWS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *found]))], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *found]))], [*batch.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "quality_score")
-    return bound_batches(docs).drop("quality_score").mapInArrow(run, fields + ", quality_score double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name)
+    return bound_batches(docs).drop(name).mapInArrow(run, f"{fields}, {name} double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that score at least `least` under a model of the labels; columns as given."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return score(docs, fit(docs, labels)).where(F.col("quality_score") >= least).select(*names)
+    names, name = [F.col(f"`{c}`") for c in docs.columns], unused(docs.columns, "quality_score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= least).select(*names)

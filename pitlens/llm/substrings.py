@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlens.llm.chunking import bound_batches
+from pitlens.llm.chunking import bound_batches, unused
 from pitlens.llm.words import PLACE, Words, mix, slices, words
 
 WINDOW, ANCHOR = 20, 8
@@ -223,12 +223,13 @@ def deduplicate(docs: DataFrame, width: int = WINDOW, anchor: int = ANCHOR, grou
     """
     docs = docs.drop("n_words", "n_removed", "kept")
     names = docs.columns
-    keyed = bound_batches(docs).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_mark", F.xxhash64("text"))
+    id_, mark, found_id, found_mark, found_pos = (unused(names, c) for c in ("_id", "_mark", "_found_id", "_found_mark", "_found"))
+    keyed = bound_batches(docs).withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn(mark, F.xxhash64("text"))
     counts = word_counts(docs, width)
     first, split, groups = prefix_groups(counts, group)
     sparse = max(1, int(-(-counts.sum() * 2 // ((width - anchor + 2) * group))))
     deal = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = keyed.repartition(deal, "_id", "_mark")
+    parts = keyed.repartition(deal, id_, mark)
     text_at, id_at, mark_at = names.index("text"), len(names), len(names) + 1
 
     def sparse_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,13 +285,13 @@ def deduplicate(docs: DataFrame, width: int = WINDOW, anchor: int = ANCHOR, grou
     def gathered(rows: DataFrame, n: int, first_only: bool) -> DataFrame:
         found = rows.repartitionById(n, F.col("target")).mapInArrow(subtree(first_only, deal), "part int, ids array<long>, marks array<long>, pos array<int>")
         return found.repartitionById(deal, F.col("part")).mapInArrow(gather, "id long, mark long, pos array<int>").withColumnsRenamed(
-            {"id": "_found_id", "mark": "_found_mark", "pos": "_found"}).hint("shuffle_hash")
+            {"id": found_id, "mark": found_mark, "pos": found_pos}).hint("shuffle_hash")
 
-    shared = gathered(keyed.select("_id", "_mark", "text").mapInArrow(sparse_suffixes, _ROWS), sparse, False)
-    same = (F.col("_id") == F.col("_found_id")) & (F.col("_mark") == F.col("_found_mark"))
-    repeats = gathered(parts.join(shared, same).drop("_found_id", "_found_mark").mapInArrow(full_suffixes, _ROWS), groups, True)
+    shared = gathered(keyed.select(id_, mark, "text").mapInArrow(sparse_suffixes, _ROWS), sparse, False)
+    same = (F.col(id_) == F.col(found_id)) & (F.col(mark) == F.col(found_mark))
+    repeats = gathered(parts.join(shared, same).drop(found_id, found_mark).mapInArrow(full_suffixes, _ROWS), groups, True)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return parts.join(repeats, same, "left").drop("_found_id", "_found_mark").mapInArrow(remove, fields + ", n_words long, n_removed long, kept string")
+    return parts.join(repeats, same, "left").drop(found_id, found_mark).mapInArrow(remove, fields + ", n_words long, n_removed long, kept string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

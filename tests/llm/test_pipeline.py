@@ -14,6 +14,7 @@ import corpus_pipeline
 from conftest import SF
 from pitlens.llm import byte_pair, quality
 from pitlens.llm.words import slices
+from pitlens.session import cut_lineage
 from test_mixing import plain_targets
 from test_near_duplicates import plain as plain_groups
 from test_substrings import WORD
@@ -95,3 +96,17 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_extra_columns_with_any_names(spark):
+    """Columns that the stages might use themselves come through every stage that keeps columns, as given."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = ["_id", "_mark", "_Found", "_found_id", "_found_mark", "_key", "_copy", "_times", "_doc", "_mixed", "_stay_id", "_stay_mark", "_stay_at", "row", "id", "mark",
+             "which", "times", "order", "at", "k", "size", "target", "taken", "quality_score"]
+    wide = cut_lineage(docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in extra]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns or sorted(out.columns) == sorted(wide.columns)
+        rows = out.select("doc_id", *[F.col(f"`{c}`") for c in extra]).collect()
+        assert rows and all(r[k + 1] == f"{c}-{r[0]}" for r in rows for k, c in enumerate(extra))
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() == 60
