@@ -2,12 +2,13 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitlens.operators import graph
 from pitlens.plans.registry import query
 from pitlens.plans.views import R, view
-from pitlens.session import checkpoint_dir
+from pitlens.session import checkpoint_dir, cut_lineage
 from pitlens.sources.bindings import pick, WORDS_A, WORDS_B
 from pitlens.streaming import notices, scoring
 
@@ -71,17 +72,58 @@ def _live_events(batch):
     return d.selectExpr("external_id", "entity_id", "accession", "form", "accepted_at", "text", "CASE WHEN form = 'purchase' THEN value / 10 END AS eps_actual", "CASE WHEN form = 'signup' THEN value END AS revenue_actual")
 
 
-@query("notice_stream_state", "STR-01 STR-02 STR-03 STR-05 STR-06 STR-07 STR-09", """select entity_id, count(distinct event_type || strftime(occurred_at, '%Y%m%d%H')) assessments, true timed from findings where entity_id in (select entity_id from holders where tier <> 'FURNITURE') group by 1""", "findings holders")
-def _(t):
+def _watch(t, folder, pattern, root=None):
     # the graph is written once and read by every batch
     edges = f"{checkpoint_dir(t.spark)}/dependents-{uuid.uuid4().hex}"
     graph.dependents_array(t.exposures).write.parquet(edges)
-    out = notices.run_notices(t.spark, t.sf_dir, "events.parquet", lambda: t.holders.filter("tier <> 'FURNITURE'"), lambda: priors(t), _live_events,
-                              lambda: t.spark.read.parquet(edges), F.col("entity_id") % 25)
-    d = t.spark.read.parquet(out)
+    return notices.run_notices(t.spark, folder, pattern, lambda: t.holders.filter("tier <> 'FURNITURE'"), lambda: priors(t), _live_events,
+                               lambda: t.spark.read.parquet(edges), F.col("entity_id") % 25, root)
+
+
+@query("notice_stream_state", "STR-01 STR-02 STR-03 STR-05 STR-06 STR-07 STR-09", """select entity_id, count(distinct event_type || strftime(occurred_at, '%Y%m%d%H')) assessments, true timed from findings where entity_id in (select entity_id from holders where tier <> 'FURNITURE') group by 1""", "findings holders")
+def _(t):
+    d = t.spark.read.parquet(_watch(t, t.sf_dir, "events.parquet"))
     return d.groupBy("entity_id").agg(F.count(F.lit(1)).alias("assessments"), F.bool_and(F.col("latency_seconds") > 0).alias("timed"))
 
 
+# Notices land in slices of ten days. Of the last hours of a slice every fourth comes a slice late, within the day that is waited for;
+# of its middle a few come two slices late, and are too late.
+view("landed_notices", """select *, accession_slice from (select *, min(slice) over (partition by entity_id, event_type, strftime(occurred_at, '%Y%m%d%H')) accession_slice from (
+ select f.*, (day - date '2024-01-01')::int // 10 + case when hour(occurred_at) >= 14 and (day - date '2024-01-01')::int % 10 = 9 and k % 4 = 0 then 1 else 0 end slice
+ from findings f where not (hour(occurred_at) between 10 and 11 and (day - date '2024-01-01')::int % 10 = 4 and k % 9 = 0)))
+ where entity_id in (select entity_id from holders where tier <> 'FURNITURE')""", "findings holders")
+
+
+def _landed_in_slices(t, days=10):
+    """Runs the path once for each slice that lands, and then from the beginning again with its state lost; the folder of its store and ledger."""
+    root, folder = (f"{checkpoint_dir(t.spark)}/{k}-{uuid.uuid4().hex}" for k in ("notices", "landing"))
+    k = "cast(get_json_object(props, '$.k') AS int)"
+    day = "datediff(to_date(ts), date'2024-01-01')"
+    late = f"CASE WHEN hour(ts) >= 14 AND {day} % 10 = 9 AND {k} % 4 = 0 THEN 1 WHEN hour(ts) BETWEEN 10 AND 11 AND {day} % 10 = 4 AND {k} % 9 = 0 THEN 2 ELSE 0 END"
+    landing = cut_lineage(t.events.withColumn("slice", F.expr(f"{day} DIV {days} + {late}")))
+    slices = [r.slice for r in landing.select("slice").distinct().orderBy("slice").collect()]
+    for n in slices:
+        landing.filter(F.col("slice") == n).drop("slice").write.mode("append").parquet(folder)
+        _watch(t, folder, "*.parquet", root)
+    return root, folder
+
+
+@query("notice_stream_in_slices", "STR-01 STR-02 STR-05 STR-08", """select entity_id, count(distinct event_type || strftime(occurred_at, '%Y%m%d%H')) assessments from findings where entity_id in (select entity_id from holders where tier <> 'FURNITURE') group by 1""", "findings holders")
+def _(t):
+    # begun anew without its state the path meets every notice again: what is stored stays as it is, and what came too late is taken in
+    root, folder = _landed_in_slices(t, 16)
+    state = t.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state")
+    state.getFileSystem(t.spark._jsc.hadoopConfiguration()).delete(state, True)
+    return t.spark.read.parquet(_watch(t, folder, "*.parquet", root)).groupBy("entity_id").agg(F.count(F.lit(1)).alias("assessments"))
+
+
+@query("notice_stream_heartbeat", "STR-09", """select row_number() over (order by accession_slice) as cycle, count(distinct entity_id || event_type || strftime(occurred_at, '%Y%m%d%H')) notices,
+ count(distinct entity_id || event_type || strftime(occurred_at, '%Y%m%d%H')) written, min(day)::varchar first_day, true ended from landed_notices group by accession_slice""", "landed_notices")
+def _(t):
+    d = notices.heartbeat(t.spark, _landed_in_slices(t)[0]).filter("notices > 0")
+    return d.select(F.row_number().over(Window.orderBy("epoch")).cast("long").alias("cycle"), "notices", "written", "first_day", F.col("failure").isNull().alias("ended"))
+
+
 # ---- graph -------------------------------------------------------------------
 view("edges", "select hub, dependent, mention_count from exposures where mention_count >= 8 and hub <> dependent qualify row_number() over (partition by hub order by mention_count desc, dependent) <= 12", "exposures")
 

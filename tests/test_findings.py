@@ -4,6 +4,7 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pitlens.functions import stats
@@ -155,12 +156,37 @@ def test_basis_mismatch_is_set_aside_and_no_prior_scores_zero(spark):
     assert score(spark, "x", prior(entity_id=2, eps_estimate=1.0), eps=1.1).score == 0
 
 
-def test_sink_is_idempotent(spark, tmp_path):
-    d = spark.range(5).selectExpr("id AS entity_id", "id AS external_id")
-    path = str(tmp_path / "out")
-    notices.append_once(d, path, ["entity_id", "external_id"])
-    notices.append_once(d.union(spark.range(6, 7).selectExpr("id", "id")), path, ["entity_id", "external_id"])
-    assert spark.read.parquet(path).count() == 6
+def test_a_batch_replayed_changes_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    batch = spark.range(12).selectExpr("id % 3 AS entity_id", "string(id % 6) AS accession", "timestamp'2024-01-01 20:00:00' + make_interval(0, 0, 0, 0, int(id)) AS accepted_at", "id AS mark")
+    keys = ["entity_id", "accession"]
+    stored = lambda: sorted(map(tuple, spark.read.parquet(f"{root}/assessments").select("entity_id", "accession", "mark", "epoch").collect()))
+    assert notices.store_epoch(batch, root, "q", 0, keys, "accepted_at") == 6
+    first = stored()
+    assert notices.store_epoch(batch, root, "q", 0, keys, "accepted_at") is None and stored() == first
+    assert notices.store_epoch(batch, root, "other", 0, keys, "accepted_at") == 0 and stored() == first
+    more = batch.unionByName(spark.range(100, 102).selectExpr("9L AS entity_id", "string(id) AS accession", "timestamp'2024-01-02 00:00:00' AS accepted_at", "id AS mark"))
+    assert notices.store_epoch(more, root, "q", 1, keys, "accepted_at") == 2 and len(stored()) == 8
+    assert notices.store_epoch(more.filter("false"), root, "q", 2, keys, "accepted_at") == 0
+    beat = notices.heartbeat(spark, root).orderBy("query", "epoch").collect()
+    assert [(r.query, r.epoch, r.notices, r.written) for r in beat] == [("other", 0, 6, 0), ("q", 0, 6, 6), ("q", 1, 8, 2), ("q", 2, 0, 0)]
+    # an epoch that died between its rows and its entry is written over, not doubled
+    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/ledger/query=q/epoch=1")
+    fs.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs, True)
+    assert notices.store_epoch(more, root, "q", 1, keys, "accepted_at") == 2 and len(stored()) == 8
+
+
+def test_a_failed_cycle_is_in_the_heartbeat(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "purchase", 1.0, "{}")], "event_id long, user_id long, event_type string, value double, props string").selectExpr(
+        "event_id", "timestamp_ntz'2024-01-01 10:00:00' AS ts", "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "in"))
+
+    def fail(batch):
+        raise ValueError("no priors today")
+
+    with pytest.raises(Exception):
+        notices.run_notices(spark, str(tmp_path / "in"), "*.parquet", lambda: spark.range(5).withColumnRenamed("id", "entity_id"), lambda: None, fail, root=str(tmp_path / "out"))
+    beat = notices.heartbeat(spark, str(tmp_path / "out")).collect()
+    assert len(beat) == 1 and "no priors today" in beat[0].failure
 
 
 def test_word_forms_meet(spark):
