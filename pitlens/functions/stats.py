@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
@@ -160,6 +160,60 @@ def sign_flip(df: DataFrame, keys: Sequence[str], row: str, x: str, flips: int,
     return got.groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), (F.sum("hit") / F.lit(float(flips))).alias("p"))
 
 
+def mean_of(column: str) -> Callable[[str], str]:
+    """The mean of a field over an array of rows, for resample_statistics."""
+    return lambda rows: f"aggregate({rows}, 0D, (a, r) -> a + r.{column}) / size({rows})"
+
+
+def median_of(column: str) -> Callable[[str], str]:
+    def of(rows: str) -> str:
+        return (f"get(transform(array(array_sort(transform({rows}, r -> r.{column}))), v ->"
+                " (get(v, int((size(v) - 1) DIV 2)) + get(v, int(size(v) DIV 2))) / 2), 0)")
+    return of
+
+
+def ratio_of(top: str, bottom: str) -> Callable[[str], str]:
+    return lambda rows: f"aggregate({rows}, 0D, (a, r) -> a + r.{top}) / nullif(aggregate({rows}, 0D, (a, r) -> a + r.{bottom}), 0D)"
+
+
+def resample_statistics(series: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], statistics: dict[str, Callable[[str], str]],
+                        resamples: int = 10_000, block: int = 5, confidence: float = 0.95, seed: int = 7) -> DataFrame:
+    """keys, statistic, n, point, low, high, draws: stationary bootstrap intervals of any statistics of ordered series.
+
+    A statistic is a function from an array of rows, structs of `columns`, to an expression over it; all are taken of
+    the same resamples. A resample is a row, so resamples spread over tasks: blocks of geometric length begin at
+    random places of the packed series (one row per period, calendar-bounded) and run round its end. The bounds are
+    order statistics of the draws that are not null; series of fewer than three rows have a point alone.
+    """
+    fields = ", ".join(columns)
+    packed = series.groupBy(*keys).agg(F.expr(f"transform(array_sort(collect_list(struct({order} AS o, struct({fields}) AS x))), r -> r.x)").alias("_x"))
+    unit = lambda what: f"(pmod(xxhash64({', '.join([*keys, 'r'])}, i, '{what}', {seed}), 1000003) / 1000003D)"
+    begins = f"filter(sequence(0, size(_x) - 1), i -> i = 0 OR {unit('jump')} <= {1.0 / block})"
+    lengths = f"get(transform(array({begins}), b -> transform(b, (i, k) -> struct(i AS i, coalesce(get(b, k + 1), size(_x)) - i AS len))), 0)"
+    rows = f"flatten(transform({lengths}, c -> get(transform(array(c.i), i -> transform(sequence(0, c.len - 1), o -> get(_x, int((int(floor({unit('start')} * size(_x))) + o) % size(_x))))), 0)))"
+    told = lambda rows: "array(" + ", ".join(f"struct('{name}' AS statistic, double({of(rows)}) AS value)" for name, of in statistics.items()) + ")"
+    drawn = packed.filter("size(_x) >= 3").selectExpr(*keys, "_x", f"explode(sequence(1, {resamples})) AS r").repartition(*keys, "r").selectExpr(
+        *keys, f"{rows} AS _s").selectExpr(*keys, f"inline({told('_s')})")
+    bounds = drawn.groupBy(*keys, "statistic").agg(F.sort_array(F.collect_list("value")).alias("_d")).selectExpr(
+        *keys, "statistic", f"get(_d, int({(1 - confidence) / 2} * size(_d))) AS low", f"get(_d, least(size(_d) - 1, int({(1 + confidence) / 2} * size(_d)))) AS high", "size(_d) AS draws")
+    points = packed.selectExpr(*keys, "size(_x) AS n", f"inline({told('_x')})").withColumnRenamed("value", "point")
+    return points.join(bounds, [*keys, "statistic"], "left").withColumn("draws", F.coalesce("draws", F.lit(0)))
+
+
+def paired_effect(df: DataFrame, keys: Sequence[str], order: str, x: str, resamples: int = 10_000, seed: int = 11) -> DataFrame:
+    """keys, n, estimate, ci_low, ci_high, t, p_t, p_permutation, n_positive, median of paired differences `x`.
+
+    The interval resamples blocks of two; under the null the sign of each difference is exchangeable, which is what the permutation
+    asks of `resamples` sign flips. `order` tells the rows of a key apart.
+    """
+    plain = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("estimate"), F.expr(f"{t_of_mean(x, 2)} AS t"), F.count_if(F.col(x) > 0).alias("n_positive"),
+                                  F.median(x).alias("median")).withColumn("p_t", F.expr(student_p("t", "n - 1")))
+    bounds = resample_statistics(df, keys, order, [x], {"mean": mean_of(x)}, resamples, 2, seed=seed).select(*keys, F.col("low").alias("ci_low"), F.col("high").alias("ci_high"))
+    flips = sign_flip(df, keys, order, x, resamples, seed).select(*keys, F.col("p").alias("p_permutation"))
+    return plain.join(bounds, list(keys), "left").join(flips, list(keys), "left").select(
+        *keys, "n", "estimate", "ci_low", "ci_high", "t", "p_t", "p_permutation", "n_positive", "median")
+
+
 def stationary_lags(horizon: int) -> int:
     return max(1, round(horizon / 21))
 

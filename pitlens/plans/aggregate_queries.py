@@ -288,3 +288,25 @@ def _(t):
 def _(t):
     d = stats.sign_flip(agg.monthly_returns(t.bars), ["brand"], "month", "ret", flips=10_000)
     return d.select("brand", "n", F.round("mean", 8).alias("mean"), F.round("p", 6).alias("p"))
+
+
+# The bounds are random, so the twin says where they have to lie: a normal interval of the mean is near the bootstrap's.
+view("resampled", """select brand, count(*) n, avg(ret) mean, median(ret) mid, sum(ret) / sum(abs(ret)) ratio, stddev_samp(ret) / sqrt(count(*)) se from monthly group by 1""", "monthly")
+
+
+@query("resampled_statistics", "AGG-19 UDF-04", f"""select brand, statistic, n, {R('point', 8)} point, 10000 draws, true around, true width from resampled, lateral (select unnest(['mean', 'median', 'ratio']) statistic, unnest([mean, mid, ratio]) point)""", "resampled")
+def _(t):
+    m = agg.monthly_returns(t.bars).withColumn("size", F.abs("ret"))
+    d = stats.resample_statistics(m, ["brand"], "month", ["ret", "size"], {"mean": stats.mean_of("ret"), "median": stats.median_of("ret"), "ratio": stats.ratio_of("ret", "size")})
+    se = m.groupBy("brand").agg((F.stddev_samp("ret") / F.sqrt(F.count("ret"))).alias("se"))
+    width = (F.col("statistic") != "mean") | ((F.col("high") - F.col("low")) / (2 * 1.96 * F.col("se"))).between(0.5, 1.5)
+    return d.join(se, "brand").select("brand", "statistic", F.col("n").cast("long").alias("n"), F.round("point", 8).alias("point"), "draws",
+                                      ((F.col("low") <= F.col("point")) & (F.col("point") <= F.col("high"))).alias("around"), width.alias("width"))
+
+
+@query("paired_return_effects", "AGG-20", f"""select brand, n, {R('estimate', 8)} estimate, {R('t', 6)} t, {R(P_SQL, 8)} p_t, positive n_positive, {R('mid', 8)} median, true has_p, true around
+ from (select brand, count(*) n, avg(ret) estimate, avg(ret) / (stddev_samp(ret) / sqrt(count(*))) t, count(*) - 1 d, count(*) filter (ret > 0) positive, median(ret) mid from monthly group by 1)""", "monthly")
+def _(t):
+    d = stats.paired_effect(agg.monthly_returns(t.bars), ["brand"], "month", "ret")
+    return d.select("brand", "n", F.round("estimate", 8).alias("estimate"), F.round("t", 6).alias("t"), F.round("p_t", 8).alias("p_t"), "n_positive", F.round("median", 8).alias("median"),
+                    F.col("p_permutation").between(0, 1).alias("has_p"), ((F.col("ci_low") <= F.col("estimate")) & (F.col("estimate") <= F.col("ci_high"))).alias("around"))

@@ -242,3 +242,27 @@ def test_sign_flips_come_near_the_exact_share(spark):
     r = stats.sign_flip(d, ["k"], "i", "v", 10_000).first()
     exact = np.mean([abs(np.dot(s, x)) >= abs(sum(x)) - 1e-12 for s in product((1, -1), repeat=len(x))])
     assert r.n == 8 and abs(r.p - exact) < 0.01
+
+
+def test_resamples_of_any_statistic(spark):
+    from pitlens.functions import stats
+    rng = np.random.default_rng(5)
+    x = rng.normal(0.3, 1, 60)
+    rows = [("a", i, float(v), 2.0) for i, v in enumerate(x)] + [("same", i, 1.5, 3.0) for i in range(9)] + [("few", 0, 1.0, 1.0), ("few", 1, 2.0, 1.0)]
+    d = spark.createDataFrame(rows, "k string, i int, x double, y double")
+    told = {"mean": stats.mean_of("x"), "median": stats.median_of("x"), "ratio": stats.ratio_of("x", "y"), "spread": lambda r: f"array_max(transform({r}, v -> v.x)) - array_min(transform({r}, v -> v.x))"}
+    got = {(r.k, r.statistic): r for r in stats.resample_statistics(d, ["k"], "i", ["x", "y"], told, 4_000).collect()}
+    assert len(got) == 12 and np.isclose(got["a", "mean"].point, x.mean()) and np.isclose(got["a", "median"].point, np.median(x)) and np.isclose(got["a", "spread"].point, np.ptp(x))
+    assert got["same", "median"].low == got["same", "median"].high == 1.5 and got["same", "ratio"].low == 0.5 and got["few", "mean"].low is None and got["few", "mean"].draws == 0
+    draws = {"mean": [], "median": []}
+    for _ in range(4_000):  # a stationary bootstrap walked step by step
+        at, sample = rng.integers(60), []
+        for _ in range(60):
+            sample.append(x[at])
+            at = rng.integers(60) if rng.random() <= 0.2 else (at + 1) % 60
+        draws["mean"].append(np.mean(sample))
+        draws["median"].append(np.median(sample))
+    for name, values in draws.items():
+        low, high = np.quantile(values, [0.025, 0.975])
+        assert abs(got["a", name].low - low) < 0.08 and abs(got["a", name].high - high) < 0.08
+    assert np.isclose(got["a", "ratio"].low, got["a", "mean"].low / 2)
