@@ -29,6 +29,25 @@ def abnormal_outcomes(events: DataFrame, bars: DataFrame, market: DataFrame, dat
     return events.join(d.withColumnRenamed("_at", date_col), ["brand", date_col], "left")
 
 
+def outcomes_by_horizon(events: DataFrame, bars: DataFrame, market: DataFrame, date_col: str, horizons: Sequence[int]) -> DataFrame:
+    """abnormal_outcomes at every horizon: `events` with horizon and abnormal_pct, a row each; days are measured once for all horizons."""
+    days = events.select("brand", F.col(date_col).alias("_at")).distinct()
+    own = prices.forward_returns(days, bars, "_at", horizons, "own_pct")
+    at = days.select("_at").distinct().withColumn("brand", F.lit("benchmark"))
+    ref = prices.forward_returns(at, market.withColumn("brand", F.lit("benchmark")), "_at", horizons, "market_pct").drop("brand")
+    d = own.join(ref, ["_at", "horizon"]).select("brand", F.col("_at").alias(date_col), "horizon", F.round(F.col("own_pct") - F.col("market_pct"), 4).alias("abnormal_pct"))
+    return events.join(d, ["brand", date_col])
+
+
+def agreement_with_prices(calls: DataFrame, keys: Sequence[str], score: str, at_least: int = 10) -> DataFrame:
+    """Per subject and horizon: rank correlation of scores that lean with what followed, mean excess on either side, their spread."""
+    d = calls.filter(f"abnormal_pct IS NOT NULL AND abs({score}) >= 1e-9").withColumn("v", F.col(score).cast("double"))
+    side = lambda s: F.avg(F.when(F.signum("v") == s, F.col("abnormal_pct")))
+    g = d.groupBy(*keys).agg(F.round(side(1), 4).alias("mean_excess_positive"), F.round(side(-1), 4).alias("mean_excess_negative"), F.round(side(1) - side(-1), 4).alias("spread"))
+    rho = stats.spearman(d, keys, "v", "abnormal_pct", "spearman", digits=6)
+    return rho.filter(F.col("n") >= at_least).join(g, list(keys))
+
+
 def cluster_by_event(outcomes: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """One call per entity and day: a strength-weighted vote with a floor under each weight."""
     w = "greatest(strength, 0.05D)"

@@ -6,6 +6,8 @@ trading calendar no matter how many trades stand behind the bars.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,3 +118,20 @@ def forward_return(events: DataFrame, bars: DataFrame, date_col: str, sessions:
     firsts = bars.groupBy("brand").agg(F.date_sub(F.min("session_date"), 1).alias("_first"))
     probes = events.join(firsts, "brand", "left").withColumn("day", F.greatest(F.col(date_col), F.col("_first")))
     return probes.join(entries, ["brand", "day"], "left").drop("day", "_first")
+
+
+def forward_returns(events: DataFrame, bars: DataFrame, date_col: str, horizons: Sequence[int], out: str) -> DataFrame:
+    """forward_return at every horizon, a row each: the columns of `events`, horizon and `out`.
+
+    One pass over a series looks all its sessions ahead, and one join finds an event's entry, however many horizons are asked.
+    """
+    w = Window.partitionBy("brand").orderBy("session_date")
+    ahead = [F.struct(F.lit(h).alias("horizon"), F.lead("adjusted_close", h).over(w).alias("exit")) for h in horizons]
+    exits = bars.select("brand", (F.row_number().over(w) - 1).alias("idx"), F.array(*ahead).alias("exits"))
+    entries = session_days(bars).join(exits, ["brand", "idx"]).select("brand", "day", F.transform("exits", lambda e: F.struct(
+        e["horizon"].alias("horizon"), F.round((e["exit"] / F.when(F.col("price") != 0, F.col("price")) - 1) * 100, 4).alias(out))).alias("_outcomes"))
+    none = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(None).cast("double").alias(out)) for h in horizons])
+    firsts = bars.groupBy("brand").agg(F.date_sub(F.min("session_date"), 1).alias("_first"))
+    probes = events.join(firsts, "brand", "left").withColumn("day", F.greatest(F.col(date_col), F.col("_first")))
+    return probes.join(entries, ["brand", "day"], "left").drop("day", "_first").withColumn("_o", F.explode(F.coalesce("_outcomes", none))).select(
+        *events.columns, "_o.horizon", f"_o.{out}")

@@ -12,7 +12,7 @@ from pitlens.plans.scoring import QUARTERLY, factor_views, scored
 from pitlens.plans.views import R, view
 from pitlens.session import cut_lineage
 
-for h in (1, 2, 5, 21):
+for h in (1, 2, 5, 21, 63):
     view(f"fwd_{h}", f"""select d.brand, d.price_day, (round((x.adjusted_close / i.adjusted_close - 1) * 100, 4) + 0.0) own_pct from days_needed d
  join indexed i on i.brand=d.brand and i.session_date=(select min(session_date) from bars b where b.brand=d.brand and b.session_date > d.price_day)
  join indexed x on x.brand=d.brand and x.idx=i.idx+{h}""", "days_needed indexed bars")
@@ -65,8 +65,9 @@ for h in (1, 2, 5):
 
 @query("evaluate_findings", "EVT-05 EVT-06", _summary("(select 1 horizon, * from clustered_1 union all select 2, * from clustered_2 union all select 5, * from clustered_5)", "horizon"), "clustered_1 clustered_2 clustered_5")
 def _(t):
-    parts = [events.cluster_by_event(outcomes(t, h)).withColumn("horizon", F.lit(h)) for h in (1, 2, 5)]
-    return events.summarise(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["horizon"])
+    d = ranked(t).selectExpr("finding_id", "entity_id", "day", "finding_type", "brand", "price_day", "coalesce(direction, 'neutral') AS direction", "priority AS strength")
+    told = events.outcomes_by_horizon(d, t.bars, t.benchmark_bars, "price_day", (1, 2, 5))
+    return events.summarise(events.cluster_by_event(told, ["horizon"]), ["horizon"])
 
 
 view("by_type", _summary("(" + _vote(_calls.format(h=5), "finding_type,") + ")", "finding_type"), "ranked_findings outcome_5")
@@ -98,14 +99,65 @@ view("days_needed", "select distinct brand, price_day from findings union select
 
 @query("read_versus_number_calls", "EVT-09", _summary("(" + _vote("verdict_calls", "source,") + ")", "source"), "verdict_calls")
 def _(t):
+    d = events.abnormal_outcomes(verdict_calls(t), t.bars, t.benchmark_bars, "price_day", 5)
+    return events.summarise(events.cluster_by_event(d, ["source"]), ["source"])
+
+
+def verdict_calls(t):
+    """What briefs said and what the numbers said, a call each."""
     from pitlens.operators import composites
     b = briefs(t).filter("stance <> 'mixed'").selectExpr(
         "'read' AS source", "entity_id", "generated_on AS day", "concat('Brand#', entity_id % 25 + 1) AS brand", "date_sub(generated_on, 8766) AS price_day",
         "CASE WHEN stance LIKE '%negative' THEN 'negative' ELSE 'positive' END AS direction", "confidence AS strength")
     c = composites.weighted_composite(scored(t, QUARTERLY)).filter("score >= 0.6 OR score <= 0.4").join(t.entities.select("entity_id", "brand"), "entity_id").selectExpr(
         "'numbers' AS source", "entity_id", "as_of AS day", "brand", "as_of AS price_day", "CASE WHEN score >= 0.6 THEN 'positive' ELSE 'negative' END AS direction", "abs(score - 0.5) AS strength")
-    d = events.abnormal_outcomes(cut_lineage(b.unionByName(c)), t.bars, t.benchmark_bars, "price_day", 5)
-    return events.summarise(events.cluster_by_event(d, ["source"]), ["source"])
+    return cut_lineage(b.unionByName(c))
+
+
+_by_horizon = lambda calls, hs: "(" + " union all ".join(f"select {h} horizon, c.*, abnormal_pct from {calls} c left join outcome_{h} using (brand, price_day)" for h in hs) + ")"
+_outcomes = lambda hs: " ".join(f"outcome_{h}" for h in hs)
+
+
+def _keyed_summary(src, keys):
+    """A summary by source and horizon, as one key and told apart again."""
+    return f"select * exclude (k), split_part(k, '|', 1) source, split_part(k, '|', 2)::int horizon from ({_summary(f'(select *, source || chr(124) || horizon k from {src})', 'k')})"
+
+
+view("all_calls", "select * from read_calls union all select * from number_calls", "read_calls number_calls")
+
+
+@query("verdicts_by_horizon", "EVT-09", _keyed_summary("(" + _vote(_by_horizon("all_calls", (1, 5, 21)), "horizon, source,") + ")", "source"), "all_calls " + _outcomes((1, 5, 21)))
+def _(t):
+    d = events.outcomes_by_horizon(verdict_calls(t), t.bars, t.benchmark_bars, "price_day", (1, 5, 21))
+    return events.summarise(events.cluster_by_event(d, ["source", "horizon"]), ["source", "horizon"])
+
+
+view("assessment_calls", """select 'assessments' source, external_id, a.entity_id, a.day, f.brand, f.price_day, a.direction, a.score strength from assessed a join findings f on f.finding_id = a.external_id where a.score > 0
+ union all select 'findings', finding_id, entity_id, day, brand, price_day, coalesce(direction, 'neutral'), priority from ranked_findings""", "assessed findings ranked_findings")
+
+
+@query("evaluate_assessments", "EVT-06", _keyed_summary("(" + _vote(_by_horizon("assessment_calls", (1, 5, 21)), "horizon, source,") + ")", "source"), "assessment_calls " + _outcomes((1, 5, 21)))
+def _(t):
+    from pitlens.plans.stream_queries import assessed
+    f = t.findings.select(F.col("finding_id").alias("external_id"), "brand", "price_day")
+    a = assessed(t).filter("score > 0").select("external_id", "entity_id", "day", "direction", F.col("score").alias("strength")).join(f, "external_id").withColumn("source", F.lit("assessments"))
+    r = ranked(t).selectExpr("finding_id AS external_id", "entity_id", "day", "coalesce(direction, 'neutral') AS direction", "priority AS strength", "brand", "price_day", "'findings' AS source")
+    d = events.outcomes_by_horizon(cut_lineage(a.unionByName(r)), t.bars, t.benchmark_bars, "price_day", (1, 5, 21))
+    return events.summarise(events.cluster_by_event(d, ["source", "horizon"]), ["source", "horizon"])
+
+
+view("scored_briefs", """select entity_id, 'Brand#' || (entity_id % 25 + 1) brand, (generated_on - 8766)::date price_day, case stance when 'strong_negative' then -2.0 when 'negative' then -1.0 when 'positive' then 1.0 when 'strong_positive' then 2.0 else 0.0 end::double v,
+ case when n >= 4 then 'several' else 'few' end depth from briefs""", "briefs")
+
+
+@query("verdicts_versus_prices", "EVT-10", f"""select depth, horizon, count(*) n, {R('case when min(rv) < max(rv) and min(ra) < max(ra) then corr(rv, ra) end', 6)} spearman, {R('avg(a) filter (v > 0)', 4)} mean_excess_positive, {R('avg(a) filter (v < 0)', 4)} mean_excess_negative,
+ {R('avg(a) filter (v > 0) - avg(a) filter (v < 0)', 4)} spread from (select *, rank() over (partition by depth, horizon order by v) + (count(*) over (partition by depth, horizon, v) - 1) / 2.0 rv, rank() over (partition by depth, horizon order by a) + (count(*) over (partition by depth, horizon, a) - 1) / 2.0 ra
+ from (select *, abnormal_pct a from {_by_horizon('scored_briefs', (21, 63))} where abnormal_pct is not null and v <> 0)) group by 1, 2 having count(*) >= 10""", "scored_briefs " + _outcomes((21, 63)))
+def _(t):
+    b = briefs(t).selectExpr("entity_id", "concat('Brand#', entity_id % 25 + 1) AS brand", "date_sub(generated_on, 8766) AS price_day", "CASE WHEN n >= 4 THEN 'several' ELSE 'few' END AS depth",
+                             "CASE stance WHEN 'strong_negative' THEN -2D WHEN 'negative' THEN -1D WHEN 'positive' THEN 1D WHEN 'strong_positive' THEN 2D ELSE 0D END AS v")
+    d = events.outcomes_by_horizon(cut_lineage(b), t.bars, t.benchmark_bars, "price_day", (21, 63))
+    return events.agreement_with_prices(d, ["depth", "horizon"], "v")
 
 
 view("verdict_later", """select b.entity_id, b.generated_on, case when stance like '%negative' then -1.0 when stance like '%positive' then 1.0 else 0.0 end v, avg(s.sign) later, b.n,
