@@ -1,14 +1,13 @@
-"""Substring deduplication by prefix-partitioned suffix trees over words.
+"""Substring deduplication by windows of words, grouped by prefix.
 
-A text's suffixes begin at its words. Two rounds keep the trees small. First only sparse
+A text's windows begin at its words. Two rounds keep the groups small. First only sparse
 suffixes are looked at: each window of words has an anchor, its run of ANCHOR words with
-the least hash, so equal windows have equal anchors. An anchor met once in the corpus is a leaf
-below the root, and no repeat passes through its windows. Then the suffixes whose anchor
-is shared are split by prefix into groups of bounded size: by the first word, or by a longer
-prefix where many suffixes begin with that word. A group's suffixes in order are its subtree; the
-internal nodes at the depth of a window are the repeats, and what is repeated word after
-word is a maximal repeat. Within a task, equal prefixes are reduced before they move, so a
-passage found in very many documents sends a few rows a task.
+the least hash, so equal windows have equal anchors. An anchor met once in the corpus holds
+no repeat. Then the windows whose anchor is shared are split by prefix into groups of bounded
+size: by the first word, or by a longer prefix where many windows begin with that word. A group
+is sorted by the hashes of its windows, and equal ones are repeats; words are not compared
+and no tree is built (see the README). Within a task, equal windows are reduced before
+they move, so a passage found in very many documents sends a few rows a task.
 """
 
 from __future__ import annotations
