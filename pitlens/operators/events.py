@@ -48,6 +48,12 @@ def agreement_with_prices(calls: DataFrame, keys: Sequence[str], score: str, at_
     return rho.filter(F.col("n") >= at_least).join(g, list(keys))
 
 
+def agreement(calls: DataFrame, keys: Sequence[str], said: str, after: str) -> DataFrame:
+    """Per subject: calls that lean, how many what came after agreed with in sign, and the exact two-sided p against a fair coin."""
+    g = calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.signum(said) == F.signum(after)).alias("agree"))
+    return g.withColumn("agreement", F.col("agree") / F.col("n")).withColumn("p_vs_coinflip", F.expr(stats.binomial_p("agree", "n")))
+
+
 def cluster_by_event(outcomes: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """One call per entity and day: a strength-weighted vote with a floor under each weight."""
     w = "greatest(strength, 0.05D)"

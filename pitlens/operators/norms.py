@@ -129,15 +129,16 @@ def similar_sets(probes: DataFrame, index: DataFrame, keys: list[str], cell: int
     return met.filter(f"{jaccard('a', 'b')} >= {RECURRENCE_OVERLAP} AND get(filter(a, x -> array_contains(b, x)), 0) = tok")
 
 
-def restated(findings: DataFrame, scope: tuple[str, ...] = ("entity_id",)) -> DataFrame:
+def restated(findings: DataFrame, scope: tuple[str, ...] = ("entity_id",), asked: str = "true") -> DataFrame:
     """Findings already said earlier, in another document, with no new figure.
 
     What is compared are token sets, each once for a (scope, type), however many findings use its words. A finding without
     figures asks when a similar set was seen first, one with a figure when it was seen with that figure, one with more
     figures when with all of them; two earliest documents answer each of these, as one of them is another document.
+    All findings answer; those that meet the condition `asked` ask, so a window of findings costs its own sets.
     """
     keys = [*scope, "finding_type"]
-    d = findings.selectExpr("finding_id", "document_id", "occurred_at", *keys,
+    d = findings.selectExpr("finding_id", "document_id", "occurred_at", *keys, f"coalesce({asked}, false) AS asks",
                             f"array_sort({tokens('summary')}) AS toks", f"array_sort({figures('summary')}) AS figs").filter("size(toks) > 0")
     of = lambda c: f"sha2(concat_ws('|', {', '.join(f'string({k})' for k in keys)}, array_join(toks, ' '){c}), 256)"
     d = cut_lineage(d.withColumn("said", F.expr(of(""))).withColumn("stmt", F.expr(of(", array_join(figs, ' ')"))))
@@ -154,14 +155,14 @@ def restated(findings: DataFrame, scope: tuple[str, ...] = ("entity_id",)) -> Da
     kind = F.least(F.size("figs"), F.lit(2)).alias("kind")
     index = answers.join(ordered, "said").select(*keys, F.concat_ws(" ", "said", F.array_join("figs", " ")).alias("other"), "rare", "figs", "seen", kind,
                                                  F.explode(F.when(F.size("figs") == 0, F.array(F.lit(""))).otherwise(F.col("figs"))).alias("fig"))
-    probes = d.filter(~F.col("finding_type").isin(*ALWAYS_NEW)).select("stmt", "said", *keys, "figs").dropDuplicates(["stmt"]).join(ordered.select("said", "rare"), "said").select(
+    probes = d.filter(F.col("asks") & ~F.col("finding_type").isin(*ALWAYS_NEW)).select("stmt", "said", *keys, "figs").dropDuplicates(["stmt"]).join(ordered.select("said", "rare"), "said").select(
         *keys, F.struct("stmt", "figs").alias("this"), "rare", kind, F.coalesce(F.get("figs", F.lit(0)), F.lit("")).alias("fig"))
     met = similar_sets(probes, index.select(*asked, "other", "rare", F.struct("figs", "seen").alias("seen")), asked)
     first = met.filter("size(array_except(this.figs, seen.figs)) = 0").select(F.col("this.stmt").alias("stmt"), F.explode("seen.seen").alias("s")).groupBy(
         "stmt", "s.doc").agg(F.min("s.t").alias("t"))
     two = first.withColumn("r", F.row_number().over(Window.partitionBy("stmt").orderBy("t", "doc"))).filter("r <= 2").groupBy("stmt").agg(
         F.max(F.when(F.col("r") == 1, F.col("doc"))).alias("lead_doc"), F.max(F.when(F.col("r") == 1, F.col("t"))).alias("lead_at"), F.max(F.when(F.col("r") == 2, F.col("t"))).alias("outside_at"))
-    return d.join(two, "stmt").filter("CASE WHEN lead_doc <> document_id THEN lead_at ELSE outside_at END < occurred_at").select("finding_id")
+    return d.filter("asks").join(two, "stmt").filter("CASE WHEN lead_doc <> document_id THEN lead_at ELSE outside_at END < occurred_at").select("finding_id")
 
 
 def finding_weight(with_norms: DataFrame, restated_ids: DataFrame) -> DataFrame:

@@ -141,3 +141,31 @@ def changed_paragraphs(diffs: DataFrame, rarity: DataFrame | None = None) -> Dat
     d = d.withColumn("rank_score", 1 - F.col("similarity") + F.coalesce(F.col("rarity") * RARITY_WEIGHT, F.lit(0.0)))
     w = Window.partitionBy("current_id", "side").orderBy(F.col("rank_score").desc(), "pos")
     return d.withColumn("place", F.row_number().over(w))
+
+
+def similarity_to_prior(paragraphs: DataFrame, pairs: DataFrame, diffs: DataFrame) -> DataFrame:
+    """doc_id, pos, similarity of every paragraph of a filing whose filing before has paragraphs: 1 where it stands there word for word."""
+    held = paragraphs.select(F.col("doc_id").alias("prior_id")).distinct()
+    mine = paragraphs.select("doc_id", "pos").join(pairs.selectExpr("current_id AS doc_id", "prior_id"), "doc_id").join(held, "prior_id", "left_semi")
+    changed = diffs.filter("side = 'added'").select("doc_id", "pos", F.col("similarity").alias("_s"))
+    return mine.join(changed, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("_s", F.lit(1.0)).alias("similarity"))
+
+
+def quote_placements(quotes: DataFrame, paragraphs: DataFrame, similar: DataFrame) -> DataFrame:
+    """doc_id, pos, similarity, placed: the first paragraph of its document that holds each quote (doc_id, quote), and whether that
+    paragraph is new; null where no paragraph holds the quote or the filing before cannot be read.
+
+    A finding of new language is wrong where its paragraph already stood in the filing before, whatever the quote says.
+    """
+    norm = lambda c: F.expr(normalise(c))
+    held = quotes.select("doc_id", norm("quote").alias("_q")).join(paragraphs.select("doc_id", "pos", norm("paragraph").alias("_p")), "doc_id").filter(
+        F.contains("_p", F.col("_q"))).groupBy("doc_id", "_q").agg(F.min("pos").alias("pos"))
+    found = quotes.select("doc_id", norm("quote").alias("_q")).join(held, ["doc_id", "_q"], "left").join(similar, ["doc_id", "pos"], "left")
+    return found.select("doc_id", "pos", "similarity", (F.col("similarity") < SIMILARITY_THRESHOLD).alias("placed"))
+
+
+def revalidated(findings: DataFrame, similar: DataFrame) -> DataFrame:
+    """Findings of new language (doc_id, pos and what else they carry) with similarity and verdict: stale where their paragraph's twin
+    stands in the filing before, sound where it does not, unreconstructible where there is nothing to compare with."""
+    verdict = F.when(F.col("similarity").isNull(), "unreconstructible").when(F.col("similarity") >= SIMILARITY_THRESHOLD, "stale").otherwise("sound")
+    return findings.join(similar, ["doc_id", "pos"], "left").withColumn("verdict", verdict)

@@ -112,7 +112,7 @@ def read_findings(t):
     s = signed(t).withColumns({"dismissed": F.expr(fx.DISMISSED), "priority": F.expr(_PRIORITY),
                                "source": F.expr("CASE WHEN finding_type = 'insider_activity' THEN 'insider' ELSE genre END")})
     live = s.filter("NOT dismissed")
-    again = norms.restated(live).distinct().withColumn("is_restated", F.lit(True))
+    again = norms.restated(live, asked=f"datediff(date'2024-01-31', day) <= {FALLBACK}").distinct().withColumn("is_restated", F.lit(True))
     d = norms.with_expected(br.reading_window(s, "2024-01-31", WINDOW, FALLBACK), measured(t))
     return norms.parity_weights(d).join(again, "finding_id", "left").withColumn("is_restated", F.coalesce("is_restated", F.lit(False))).withColumn(
         "unusual", F.expr("value >= 200"))

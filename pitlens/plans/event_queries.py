@@ -167,16 +167,31 @@ view("verdict_later", """select b.entity_id, b.generated_on, case when stance li
 @query("verdict_versus_later_findings", "EVT-10", f"""select depth, count(*) n, count(*) filter (sign(v)=sign(later)) agree, {R('case when min(rv) < max(rv) then corr(rv, rl) end', 6)} spearman from (select *, rank() over (partition by depth order by v) + (count(*) over (partition by depth, v) - 1) / 2.0 rv,
  rank() over (partition by depth order by l) + (count(*) over (partition by depth, l) - 1) / 2.0 rl from (select *, round(later, 9) l from verdict_later)) group by 1 having count(*) >= 3""", "verdict_later")
 def _(t):
+    d = verdicts_and_later(t)
+    rho = stats.spearman(d, ["depth"], "v", "later", "spearman", digits=6)
+    agree = d.groupBy("depth").agg(F.count_if(F.signum("v") == F.signum("later")).alias("agree"))
+    return rho.filter("n >= 3").join(agree, "depth")
+
+
+def verdicts_and_later(t):
+    """v, later, depth: what each brief said, and the mean sign of the findings of the nine days after it."""
     from pitlens.operators.feeds import daily_window_sum
     daily = signed(t).filter("sign IS NOT NULL").groupBy("entity_id", "day").agg(F.sum("sign").alias("s"), F.count(F.lit(1)).alias("c"))
     b = briefs(t)
     later = daily_window_sum(b.select("entity_id", "generated_on"), daily, ["entity_id"], "generated_on", 9, ["s", "c"]).filter("c > 0")
-    d = b.join(later, ["entity_id", "generated_on"]).selectExpr(
+    return b.join(later, ["entity_id", "generated_on"]).selectExpr(
         "CASE WHEN stance LIKE '%negative' THEN -1D WHEN stance LIKE '%positive' THEN 1D ELSE 0D END AS v", "round(s / c, 9) AS later",
         "CASE WHEN n >= 8 THEN 'deep' WHEN n >= 4 THEN 'some' ELSE 'thin' END AS depth")
-    rho = stats.spearman(d, ["depth"], "v", "later", "spearman", digits=6)
-    agree = d.groupBy("depth").agg(F.count_if(F.signum("v") == F.signum("later")).alias("agree"))
-    return rho.filter("n >= 3").join(agree, "depth")
+
+
+_log_choose = "lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0)"
+
+
+@query("verdict_agreement", "EVT-10", f"""select depth, n, agree, {R('agree / n::double', 6)} agreement, {R(f'case when 2 * m = n then 1.0::double else least(1.0, 2 * list_sum(list_transform(range(0, m + 1), lambda j: exp({_log_choose} - n * ln(2.0::double))))) end', 8)} p_vs_coinflip
+ from (select depth, count(*) n, count(*) filter (sign(v)=sign(later)) agree, least(count(*) filter (sign(v)=sign(later)), count(*) filter (sign(v)<>sign(later))) m from verdict_later where v <> 0 group by 1)""", "verdict_later")
+def _(t):
+    d = events.agreement(verdicts_and_later(t).filter("v <> 0"), ["depth"], "v", "later")
+    return d.select("depth", "n", "agree", F.round("agreement", 6).alias("agreement"), F.round("p_vs_coinflip", 8).alias("p_vs_coinflip"))
 
 
 # ---- sector moves and precedents ------------------------------------------------

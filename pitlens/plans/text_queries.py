@@ -292,6 +292,37 @@ def _(t):
     return d.groupBy("entity", "subtype").agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.col("similarity") >= sections.SIMILARITY_THRESHOLD).alias("stale"))
 
 
+_norm = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+view("para_norms", f"select doc_id, pos, {_norm('paragraph')} norm from paras", "paras")
+view("para_priors", """select p.doc_id, p.pos, p.norm, exists (select 1 from para_norms q where q.doc_id=f.prior_id and q.norm=p.norm) verbatim from para_norms p
+ join (select doc_id, lag(doc_id) over (partition by entity, subtype order by published) prior_id from filings) f using (doc_id) where prior_id in (select doc_id from para_norms)""", "para_norms filings")
+
+
+# How alike two paragraphs are has no twin; who is compared, and that a paragraph standing word for word is no new one, has.
+@query("quote_placements", "DQ-03", f"""select c.doc_id, h.pos, p.doc_id is not null decided, coalesce(p.verbatim, false) verbatim, case when p.verbatim then false end placed_verbatim from cited c
+ left join (select c.doc_id, min(n.pos) pos from cited c join para_norms n on n.doc_id=c.doc_id and contains(n.norm, {_norm('c.quote')}) group by 1) h on h.doc_id=c.doc_id left join para_priors p on p.doc_id=h.doc_id and p.pos=h.pos""", "cited para_norms para_priors")
+def _(t):
+    p, d = diffs(t)
+    got = sections.quote_placements(cited(t).select("doc_id", "quote"), p, sections.similarity_to_prior(p, sections.filing_pairs(t.filings), d))
+    return got.select("doc_id", "pos", F.col("placed").isNotNull().alias("decided"), F.coalesce(F.col("similarity") == 1, F.lit(False)).alias("verbatim"),
+                      F.when(F.col("similarity") == 1, F.col("placed")).alias("placed_verbatim"))
+
+
+@query("revalidated_paragraphs", "DQ-04", """select n.doc_id, n.pos, case when p.doc_id is null then 'unreconstructible' when p.verbatim then 'stale' else 'compared' end verdict from para_norms n left join para_priors p using (doc_id, pos)""", "para_norms para_priors")
+def _(t):
+    p, d = diffs(t)
+    got = sections.revalidated(p.select("doc_id", "pos"), sections.similarity_to_prior(p, sections.filing_pairs(t.filings), d))
+    return got.select("doc_id", "pos", F.when((F.col("verdict") == "unreconstructible") | (F.col("similarity") == 1), F.col("verdict")).otherwise("compared").alias("verdict"))
+
+
+@query("direction_checks", "DQ-03", "select finding_id, sign is not distinct from -1.0 consistent from signed where finding_type = 'new_risk_factor'", "signed")
+def _(t):
+    from pitlens.plans.finding_queries import signed
+    # the sign that a kind of finding must have
+    want = F.when(F.col("finding_type") == "new_risk_factor", -1.0).when(F.col("finding_type") == "resolved_risk_factor", 1.0)
+    return signed(t).withColumn("_want", want).filter("_want IS NOT NULL").select("finding_id", F.col("sign").eqNullSafe(F.col("_want")).alias("consistent"))
+
+
 @query("text_date_audit", "DQ-02", r"""select doc_id, bool_or(d > published) future_dated, count(*) dates from (select doc_id, published, try_cast(unnest(regexp_extract_all(stamped, '\b\d{4}-\d{2}-\d{2}\b')) as date) d
  from (select *, text || ' filed ' || (published + ((doc_id % 5)::int - 3))::date stamped from filings)) where d is not null group by 1""", "filings")
 def _(t):
