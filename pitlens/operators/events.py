@@ -43,9 +43,13 @@ def agreement_with_prices(calls: DataFrame, keys: Sequence[str], score: str, at_
     """Per subject and horizon: rank correlation of scores that lean with what followed, mean excess on either side, their spread."""
     d = calls.filter(f"abnormal_pct IS NOT NULL AND abs({score}) >= 1e-9").withColumn("v", F.col(score).cast("double"))
     side = lambda s: F.avg(F.when(F.signum("v") == s, F.col("abnormal_pct")))
-    g = d.groupBy(*keys).agg(F.round(side(1), 4).alias("mean_excess_positive"), F.round(side(-1), 4).alias("mean_excess_negative"), F.round(side(1) - side(-1), 4).alias("spread"))
-    rho = stats.spearman(d, keys, "v", "abnormal_pct", "spearman", digits=6)
-    return rho.filter(F.col("n") >= at_least).join(g, list(keys))
+    g = d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), ((F.min("v") < F.max("v")) & (F.min("abnormal_pct") < F.max("abnormal_pct"))).alias("_varied"),
+        F.round(side(1) + 1e-9, 4).alias("mean_excess_positive"), F.round(side(-1) + 1e-9, 4).alias("mean_excess_negative"), F.round(side(1) - side(-1) + 1e-9, 4).alias("spread"))
+    g = g.filter(F.col("n") >= at_least)
+    varied = d.join(g.filter("_varied").select(*keys), list(keys), "left_semi")
+    rho = stats.spearman(varied, keys, "v", "abnormal_pct", "spearman", digits=6).drop("n")
+    return g.drop("_varied").join(rho, list(keys), "left")
 
 
 def agreement(calls: DataFrame, keys: Sequence[str], said: str, after: str) -> DataFrame:
@@ -77,7 +81,8 @@ def summarise(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("evaluated"), F.expr(f"count_if({directional}) AS directional"),
         F.expr(f"round(count_if({right}) / nullif(count_if({directional}), 0), 4) AS hit_rate"),
         F.expr(f"round(greatest({down}, 1 - {down}), 4) AS baseline"),
-        *[F.expr(f"round({mean(x)}, 4) AS mean_{x}") for x in ("positive", "negative", "neutral")],
+        # outcomes have four digits, so a mean can lie half-way between two; the last bit of a sum is not to decide it
+        *[F.expr(f"round({mean(x)} + 1e-9, 4) AS mean_{x}") for x in ("positive", "negative", "neutral")],
         F.expr(f"round({stats.welch_t('a', POSITIVE, NEGATIVE)}, 3) AS t"))
     ic = stats.spearman(d, keys, "signed", "a", "ic", digits=4).drop("n")
     return g.join(ic, list(keys), "left").withColumn("spread", F.round(F.col("mean_positive") - F.col("mean_negative"), 4)).withColumn(

@@ -33,8 +33,8 @@ def _vote(src: str, keys: str) -> str:
 def _summary(src: str, key: str) -> str:
     return f"""select *, (round(mean_positive - mean_negative, 4) + 0.0) spread, case when directional < 30 then 'too few' when mean_positive - mean_negative is null then 'no spread' when t is null then 'one-sided' when abs(t) < 2 then 'chance' when mean_positive - mean_negative > 0 then 'as predicted' else 'opposite' end verdict
  from (select {key}, count(*) evaluated, count(*) filter (dir) directional, (round(count(*) filter (ok) / nullif(count(*) filter (dir), 0)::double, 4) + 0.0) hit_rate,
- (round(greatest(count(*) filter (a < 0) / count(*)::double, 1 - count(*) filter (a < 0) / count(*)::double), 4) + 0.0) baseline, {R("avg(a) filter (direction='positive')", 4)} mean_positive,
- {R("avg(a) filter (direction='negative')", 4)} mean_negative, {R("avg(a) filter (direction='neutral')", 4)} mean_neutral,
+ (round(greatest(count(*) filter (a < 0) / count(*)::double, 1 - count(*) filter (a < 0) / count(*)::double), 4) + 0.0) baseline, {R("avg(a) filter (direction='positive') + 1e-9", 4)} mean_positive,
+ {R("avg(a) filter (direction='negative') + 1e-9", 4)} mean_negative, {R("avg(a) filter (direction='neutral') + 1e-9", 4)} mean_neutral,
  {R("case when count(*) filter (direction='positive') >= 2 and count(*) filter (direction='negative') >= 2 then (avg(a) filter (direction='positive') - avg(a) filter (direction='negative')) / sqrt(var_samp(a) filter (direction='positive') / count(*) filter (direction='positive') + var_samp(a) filter (direction='negative') / count(*) filter (direction='negative')) end", 3)} t,
  {R('case when count(*) >= 3 and min(rs) < max(rs) and min(ra) < max(ra) then corr(rs, ra) end', 4)} ic from (select *, rank() over (partition by {key} order by s) + (count(*) over (partition by {key}, s) - 1) / 2.0 rs,
  rank() over (partition by {key} order by a) + (count(*) over (partition by {key}, a) - 1) / 2.0 ra from (select *, abnormal_pct a, direction <> 'neutral' dir, (direction='positive' and abnormal_pct > 0) or (direction='negative' and abnormal_pct < 0) ok,
@@ -150,8 +150,8 @@ view("scored_briefs", """select entity_id, 'Brand#' || (entity_id % 25 + 1) bran
  case when n >= 4 then 'several' else 'few' end depth from briefs""", "briefs")
 
 
-@query("verdicts_versus_prices", "EVT-10", f"""select depth, horizon, count(*) n, {R('case when min(rv) < max(rv) and min(ra) < max(ra) then corr(rv, ra) end', 6)} spearman, {R('avg(a) filter (v > 0)', 4)} mean_excess_positive, {R('avg(a) filter (v < 0)', 4)} mean_excess_negative,
- {R('avg(a) filter (v > 0) - avg(a) filter (v < 0)', 4)} spread from (select *, rank() over (partition by depth, horizon order by v) + (count(*) over (partition by depth, horizon, v) - 1) / 2.0 rv, rank() over (partition by depth, horizon order by a) + (count(*) over (partition by depth, horizon, a) - 1) / 2.0 ra
+@query("verdicts_versus_prices", "EVT-10", f"""select depth, horizon, count(*) n, {R('case when min(rv) < max(rv) and min(ra) < max(ra) then corr(rv, ra) end', 6)} spearman, {R('avg(a) filter (v > 0) + 1e-9', 4)} mean_excess_positive, {R('avg(a) filter (v < 0) + 1e-9', 4)} mean_excess_negative,
+ {R('avg(a) filter (v > 0) - avg(a) filter (v < 0) + 1e-9', 4)} spread from (select *, rank() over (partition by depth, horizon order by v) + (count(*) over (partition by depth, horizon, v) - 1) / 2.0 rv, rank() over (partition by depth, horizon order by a) + (count(*) over (partition by depth, horizon, a) - 1) / 2.0 ra
  from (select *, abnormal_pct a from {_by_horizon('scored_briefs', (21, 63))} where abnormal_pct is not null and v <> 0)) group by 1, 2 having count(*) >= 10""", "scored_briefs " + _outcomes((21, 63)))
 def _(t):
     b = briefs(t).selectExpr("entity_id", "concat('Brand#', entity_id % 25 + 1) AS brand", "date_sub(generated_on, 8766) AS price_day", "CASE WHEN n >= 4 THEN 'several' ELSE 'few' END AS depth",
