@@ -120,6 +120,19 @@ def sector_move_after(probes: DataFrame, bars: DataFrame, market: DataFrame, mem
         "moved_together", F.abs("peers_percent") >= F.abs("versus_peers_percent"))
 
 
+def position_blocks(cells: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """What finds the value at a position of a record from its distinct values and counts (keys, move, c): the width of a record's
+    blocks of positions, and its values by the blocks they reach into, with positions start <= pos < upto.
+
+    A block is as wide as a value has rows on average, so values and blocks come to at most three rows a distinct value, whatever
+    the counts.
+    """
+    width = cells.groupBy(*keys).agg(F.expr("sum(c) DIV count(1)").alias("width"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("move"))
+    placed = cells.withColumn("upto", upto).join(width, list(keys)).selectExpr(*keys, "move AS at_move", "width", "upto - c AS start", "upto")
+    return width, placed.selectExpr(*keys, "at_move", "start", "upto", "explode(sequence(start DIV width, (upto - 1) DIV width)) AS block")
+
+
 def precedent_lookup(cases: DataFrame, min_cases: int = 12, min_companies: int = 8, min_sector: int = 20) -> DataFrame:
     """For each (topic, entity) the record of everyone else: its sector's when large enough, else all.
 
@@ -127,7 +140,8 @@ def precedent_lookup(cases: DataFrame, min_cases: int = 12, min_companies: int =
     statistics: between two neighbours of an entity's own moves the number of own moves
     below is fixed, k, and there the value at position i without them is the value at
     i + k of the whole record. One of those places lies inside its own stretch. Moves
-    carry two decimals, so a record is its distinct values with counts.
+    carry two decimals, so a record is its distinct values with counts; a position finds
+    its value through a block of positions, and no row stands for a position alone.
     """
     keys = ["topic", "scope"]
     scoped = cases.selectExpr("topic", "ticker", "move", "inline(array(struct(sector AS scope), struct('*' AS scope)))").filter("scope IS NOT NULL")
@@ -135,19 +149,18 @@ def precedent_lookup(cases: DataFrame, min_cases: int = 12, min_companies: int =
     own = held.groupBy(*keys, "ticker").agg(F.sum("c").alias("n"), F.sum(F.col("move") * F.col("c")).alias("s"), F.sum(F.expr("move * move * c")).alias("q"),
                                             F.sum(F.expr("CASE WHEN move < 0 THEN c ELSE 0 END")).alias("neg"), F.min("move").alias("least"))
     total = own.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "s", "q", "neg")], F.count(F.lit(1)).alias("entities"))
-    cells = held.groupBy(*keys, "move").agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("move")))
-    positions = cells.selectExpr(*keys, "move AS at_move", "explode(sequence(upto - c, upto - 1)) AS pos")
-    left = own.join(total, keys).selectExpr(
-        *keys, "ticker", "least", "t_n - n AS cases", "entities - 1 AS companies", "t_s - s AS s", "t_q - q AS q", "t_neg - neg AS neg")
+    width, blocks = position_blocks(held.groupBy(*keys, "move").agg(F.sum("c").alias("c")), keys)
+    left = own.join(total, keys).join(width, keys).selectExpr(
+        *keys, "ticker", "least", "width", "t_n - n AS cases", "entities - 1 AS companies", "t_s - s AS s", "t_q - q AS q", "t_neg - neg AS neg")
     left = left.filter(f"cases >= {min_cases} AND companies >= {min_companies} AND (scope = '*' OR cases >= {min_sector})")
     mine = Window.partitionBy(*keys, "ticker").orderBy("move")
     stretches = held.select(*keys, "ticker", F.sum("c").over(mine).alias("k"), F.col("move").alias("low"), F.lead("move").over(mine).alias("below"))
-    stretches = left.select(*keys, "ticker", "cases").join(stretches, [*keys, "ticker"]).unionByName(
-        left.select(*keys, "ticker", "cases", F.lit(0).cast("long").alias("k"), F.lit(None).cast("double").alias("low"), F.col("least").alias("below")))
-    probes = stretches.selectExpr(*keys, "ticker", "low", "below", "k", "inline(array(struct('m1' AS what, (cases - 1) DIV 2 AS i), struct('m2' AS what, cases DIV 2 AS i),"
+    stretches = left.select(*keys, "ticker", "cases", "width").join(stretches, [*keys, "ticker"]).unionByName(
+        left.select(*keys, "ticker", "cases", "width", F.lit(0).cast("long").alias("k"), F.lit(None).cast("double").alias("low"), F.col("least").alias("below")))
+    probes = stretches.selectExpr(*keys, "ticker", "low", "below", "k", "width", "inline(array(struct('m1' AS what, (cases - 1) DIV 2 AS i), struct('m2' AS what, cases DIV 2 AS i),"
                                   " struct('low' AS what, bigint(floor(cases * 0.1)) AS i), struct('high' AS what, bigint(floor(cases * 0.9)) AS i)))")
-    probes = probes.withColumn("pos", F.col("i") + F.col("k")).join(positions, [*keys, "pos"])
-    hit = probes.filter("(low IS NULL OR at_move >= low) AND (below IS NULL OR at_move < below)").groupBy(*keys, "ticker").agg(
+    probes = probes.withColumn("pos", F.col("i") + F.col("k")).withColumn("block", F.expr("pos DIV width")).join(blocks, [*keys, "block"])
+    hit = probes.filter("pos >= start AND pos < upto AND (low IS NULL OR at_move >= low) AND (below IS NULL OR at_move < below)").groupBy(*keys, "ticker").agg(
         *[F.min(F.expr(f"CASE WHEN what = '{w}' THEN at_move END")).alias(w) for w in ("m1", "m2", "low", "high")])
     g = left.join(hit, [*keys, "ticker"])
     sd = "sqrt(greatest(q / cases - power(s / cases, 2), 0D))"

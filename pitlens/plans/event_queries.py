@@ -219,7 +219,8 @@ view("cases", """select distinct x.topic, h.sector, f.entity_id ticker, f.day, m
 def cases(t):
     f = t.findings.select("entity_id", "brand", "day", "price_day", F.expr(f"explode({tx.topics_of('summary')})").alias("topic")).dropDuplicates(["entity_id", "day", "topic"])
     m = prices.move_after(t.findings, t.bars, t.benchmark_bars, "price_day").select("brand", F.col("at_date").alias("price_day"), F.col("abnormal_percent").alias("move"))
-    return f.join(m, ["brand", "price_day"]).join(t.holders.select("entity_id", "sector"), "entity_id").select("topic", "sector", F.col("entity_id").alias("ticker"), "day", "move")
+    # topics multiply findings, which the size estimate of a broadcast does not see
+    return f.hint("merge").join(m, ["brand", "price_day"]).join(t.holders.select("entity_id", "sector"), "entity_id").select("topic", "sector", F.col("entity_id").alias("ticker"), "day", "move")
 
 
 @query("precedent_cases", "EVT-11", "select topic, sector, ticker, day::varchar as day, move from cases", "cases")
