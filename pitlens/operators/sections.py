@@ -36,24 +36,23 @@ def extract_section(docs: DataFrame, item: str, out: str = "section") -> DataFra
     Only header positions are materialised: each header of the item looks to the
     first later header of another item.
     """
-    lines = r"split(text, '\\r\\n|\\n|\\r')"
-    d = docs.withColumn("_l", F.expr(lines))
+    # every step is bound once, however often a filter or a later column repeats the whole
+    let = lambda value, name, body: f"get(transform(array({value}), {name} -> {body}), 0)"
     heads = f"filter(transform(_l, (x, i) -> struct(i AS at, upper(regexp_extract(x, '{ITEM_HEADER}', 1)) AS item)), h -> h.item <> '')"
-    d = d.withColumn("_h", F.expr(heads))
     end = f"coalesce(get(filter(_h, g -> g.at > h.at AND g.item <> '{item.upper()}'), 0).at, size(_l))"
     spans = f"transform(filter(_h, h -> h.item = '{item.upper()}'), h -> struct({end} - h.at AS lines, -h.at AS back))"
-    d = d.withColumn("_s", F.expr(f"array_max({spans})"))
     keep = f"trim(x) <> '' AND NOT x RLIKE '{PAGE_FOOTER}' AND NOT x RLIKE '{BARE_NUMBER}' AND NOT x RLIKE '{TABLE_OF_CONTENTS}'"
     body = f"array_join(filter(slice(_l, int(2 - _s.back), int(_s.lines - 1)), x -> {keep}), '\\n')"
-    return d.withColumn(out, F.expr(f"CASE WHEN _s.lines >= {MIN_SECTION_LINES} THEN nullif({body}, '') END")).drop("_l", "_h", "_s")
+    found = f"CASE WHEN _s.lines >= {MIN_SECTION_LINES} THEN nullif({body}, '') END"
+    return docs.withColumn(out, F.expr(let(r"split(text, '\\r\\n|\\n|\\r')", "_l", let(heads, "_h", let(f"array_max({spans})", "_s", found)))))
 
 
 def split_paragraphs(text: str, min_chars: int = MIN_PARAGRAPH) -> str:
     """Join lines until one ends a sentence; keep paragraphs of at least `min_chars`."""
     lines = rf"filter(transform(split({text}, '\\n'), x -> trim(x)), x -> x <> '')"
-    joined = (f"aggregate({lines}, '', (a, x) -> concat(a, CASE WHEN a = '' OR a RLIKE '\\u0001$' THEN '' ELSE ' ' END, x,"
-              f" CASE WHEN x RLIKE '{SENTENCE_END}' THEN '\\u0001' ELSE '' END))")
-    return f"filter(split({joined}, '\\u0001'), p -> length(p) >= {min_chars})"
+    # a line says itself what follows it, so a text costs its length
+    ended = rf"CASE WHEN x RLIKE '{SENTENCE_END}' THEN '\u0001' WHEN endswith(x, '\u0001') THEN '' ELSE ' ' END"
+    return rf"filter(split(rtrim(array_join(transform({lines}, x -> concat(x, {ended})), '')), '\u0001'), p -> length(p) >= {min_chars})"
 
 
 def prepare_text(docs: DataFrame, items: tuple[str, ...] = ("1A", "7")) -> DataFrame:
