@@ -60,3 +60,14 @@ def test_search_queries_match_their_twins_on_more_documents(spark):
     for name in ("text_search", "phrase_search", "search_snippets"):
         rows = runner(QUERIES[name])(spark, "/root/testdata/sf0.01")
         assert check(con, rows, QUERIES[name].sql) is None and rows.count() > 0
+
+
+def test_forms_of_words_are_those_of_the_expression_and_places_stand_in_order(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aesidngxzhtyé9") for _ in range(rng.randint(1, 7))) + rng.choice(["", "s", "es", "ies", "ed", "ing", "e", "sses", "zzes"]) for _ in range(3000)]
+    got = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", f"{search.stem('w')} AS s").collect()
+    assert all(search.form(r.w) == r.s for r in got)
+    docs = spark.createDataFrame([(7, "e", "s", None, " ".join(words)), (8, "e", "s", "", None)], "doc_id long, entity string, subtype string, title string, text string")
+    rows = search.postings(docs, "title", "text").collect()
+    assert sorted((p, r.term) for r in rows for p in r.positions) == [(k, search.form(w)) for k, w in enumerate(words) if search.form(w)]
+    assert all(r.tf == len(r.positions) and r.positions == sorted(r.positions) and (r.doc_id, r.field) == (7, "B") for r in rows)
