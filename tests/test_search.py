@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from compare import check, connect
 from pitlens.operators import search
 from pitlens.plans import QUERIES
@@ -62,6 +64,23 @@ def test_search_queries_match_their_twins_on_more_documents(spark):
         assert check(con, rows, QUERIES[name].sql) is None and rows.count() > 0
 
 
+def test_equal_scores_go_to_the_newer_document_in_whatever_order_postings_come(spark):
+    words = ["cost", "margin", "demand", "price", "tariff"]
+    body = lambda n: " ".join(w for w, k in zip(words, (1, 2, 4, 6, n)) for _ in range(k))
+    docs = spark.createDataFrame([(k, "e", "s", f"2020-01-{k + 1:02d}", f"{words[k % 5]}\n" + body(9)) for k in range(0, 30, 5)], "doc_id long, entity string, subtype string, published string, text string")
+    index = search.postings(docs.selectExpr("*", r"substring_index(text, '\n', 1) AS title"), "title", "text")
+    for seed in range(4):
+        dealt = index.withColumn("_r", F.rand(seed)).repartitionByRange(7, "_r").sortWithinPartitions("_r").drop("_r")
+        got = search.search(dealt, docs, " or ".join(words), None).collect()
+        assert [r.doc_id for r in got] == [25, 20, 15, 10, 5, 0] and len({r.score for r in got}) == 1
+
+
+def test_scores_that_differ_in_their_last_bits_alone_are_a_tie(spark):
+    index = spark.createDataFrame([("aa", 1, "A", 1), ("bb", 1, "A", 4), ("aa", 2, "A", 9), ("aa", 3, "A", 4), ("bb", 3, "A", 1)], "term string, doc_id long, field string, tf long")
+    docs = spark.createDataFrame([(1, "2020-01-01"), (2, "2020-01-02"), (3, "2020-01-03")], "doc_id long, published string")
+    assert [r.doc_id for r in search.search(index, docs, "aa or bb", None).collect()] == [3, 2, 1]
+
+
 def test_forms_of_words_are_those_of_the_expression_and_places_stand_in_order(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("aesidngxzhtyé9") for _ in range(rng.randint(1, 7))) + rng.choice(["", "s", "es", "ies", "ed", "ing", "e", "sses", "zzes"]) for _ in range(3000)]
