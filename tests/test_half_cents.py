@@ -22,3 +22,18 @@ def test_half_cents_settle_as_in_the_twin(spark, tmp_path, name):
     os.symlink(next((tmp_path / "written").glob("part-*.parquet")), tmp_path / "orders.parquet")
     rows = runner(QUERIES[name])(spark, str(tmp_path))
     assert check(connect(str(tmp_path)), rows, QUERIES[name].sql) is None and rows.count() > 0
+
+
+def test_half_way_percents_settle_on_the_product(spark, tmp_path):
+    """(244.41 / 160 - 1) * 100 is 52.756249999999994 in doubles and 527562.5 in ten-thousandths: the twin says 52.7563."""
+    import datetime as dt
+
+    import duckdb
+    rows = [(k, dt.datetime(2024, 1, 30, 10, k), 1, v, "view", '{"k": 1}') for k, v in enumerate((160.0, 244.41))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double, event_type string, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    from compare import check
+    from pitlens.plans import QUERIES
+    from pitlens.plans.registry import runner
+    assert check(con, runner(QUERIES["intraday_change"])(spark, str(tmp_path)), QUERIES["intraday_change"].sql) is None
