@@ -298,7 +298,7 @@ view("resampled", """select brand, count(*) n, avg(ret) mean, median(ret) mid, s
 def _(t):
     m = agg.monthly_returns(t.bars).withColumn("size", F.abs("ret"))
     d = stats.resample_statistics(m, ["brand"], "month", ["ret", "size"], {"mean": stats.mean_of("ret"), "median": stats.median_of("ret"), "ratio": stats.ratio_of("ret", "size")})
-    se = m.groupBy("brand").agg((F.stddev_samp("ret") / F.sqrt(F.count("ret"))).alias("se"))
+    se = stats.block_error(m, ["brand"], "month", "ret")
     width = (F.col("statistic") != "mean") | ((F.col("high") - F.col("low")) / (2 * 1.96 * F.col("se"))).between(0.5, 1.5)
     return d.join(se, "brand").select("brand", "statistic", F.col("n").cast("long").alias("n"), F.round("point", 8).alias("point"), "draws",
                                       ((F.col("low") <= F.col("point")) & (F.col("point") <= F.col("high"))).alias("around"), width.alias("width"))
