@@ -26,8 +26,8 @@ def books(t):
         t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     v = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
     g = li.groupBy(F.col("o_custkey").alias("cust"), F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("arm"), F.col("p_brand").alias("brand")).agg(F.sum(v).alias("v"))
-    total = g.groupBy("cust", "y", "arm").agg(F.sum(F.abs("v")).alias("total"))
-    return g.join(total, ["cust", "y", "arm"]).selectExpr("cust", "y", "arm", "brand", "v / total AS w")
+    # a book holds a row a brand at most
+    return g.selectExpr("cust", "y", "arm", "brand", "v / sum(abs(v)) OVER (PARTITION BY cust, y, arm) AS w")
 
 
 def windows(t):
@@ -45,7 +45,7 @@ def year_returns(t):
 
 def scored_books(t):
     cal, win = windows(t)
-    return cut_lineage(bt.measure_books(books(t).join(win, "y"), bt.indexed_returns(monthly(t.bars, "brand"), cal), HORIZON, ["cust", "y", "arm"], 12))
+    return cut_lineage(bt.measure_books(books(t).join(F.broadcast(win), "y"), bt.indexed_returns(monthly(t.bars, "brand"), cal), HORIZON, ["cust", "y", "arm"], 12))
 
 
 view("book_names", "select b.*, entry, bench from books b join year_win using (y)", "books year_win")
