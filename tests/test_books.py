@@ -1,6 +1,7 @@
 """Measures of books from arrays of sessions against those from rows."""
 
 import random
+import re
 
 from pitlens.operators import aggregates as agg
 from pitlens.operators import backtest as bt
@@ -31,3 +32,30 @@ def test_a_book_meets_its_sessions_in_one_exchange(spark):
     assert (got["a"].hit_rate, got["b"].hit_rate, got["b"].gross) == (1.0, 0.0, 2.0)
     plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(book") == 1
+
+
+def test_weights_are_worked_out_once(spark):
+    rows = [("a", "x", 0.6, 0, 0.1), ("a", "y", -0.4, 0, 0.1), ("b", "x", 1.0, 1, 0.2), ("c", "gone", 1.0, 0, 0.1)]
+    schema = "book string, brand string, w double, entry int, bench double"
+    met = spark.sparkContext.accumulator(0)
+
+    def count(r):
+        met.add(1)
+        return r
+
+    weights = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(count), schema, verifySchema=False)
+    indexed = spark.createDataFrame([(b, k, r) for b, rs in (("x", (None, 0.1, 0.2, 0.3)), ("y", (None, 0.1, -0.3, None))) for k, r in enumerate(rs)], "brand string, idx int, ret double")
+    # one entry more than the books have
+    entries = spark.createDataFrame([(0,), (1,), (2,), (1,)], "entry int")
+    got = {r.book: r for r in bt.measure_books(weights, indexed, 2, KEYS, 12, entries).collect()}
+    assert met.value == len(rows)
+    want = {r.book: r for r in bt.measure_books(spark.createDataFrame(rows, schema), indexed, 2, KEYS, 12).collect()}
+    assert got == want and set(got) == {"a", "b"} and abs(got["b"].ret - (1.2 * 1.3 - 1)) < 1e-12
+
+
+def test_lines_are_dealt_by_book_once(tables):
+    from pitlens.plans.experiment_queries import books, measured_books
+    for d in (books(tables), measured_books(tables)):
+        d.collect()
+        plan = d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert len(re.findall(r"Exchange hashpartitioning\(\w*cust", plan)) == 1
