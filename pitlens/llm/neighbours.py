@@ -9,12 +9,13 @@ before its k are found. Prefixes are taken whole, so vectors alike in their stri
 measured, however many they are.
 
 The index is split by vec_id into shards of bounded size, each a forest of its own. Queries come
-in blocks of bounded size; every block visits every shard, and a query keeps its nearest of each.
+in blocks of bounded size; every block visits every shard, and a query keeps its nearest of all the shards of a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 
 from pitlens.session import cut_lineage
 
-TREES, STRING_BITS, SHARD_ROWS, BLOCK_QUERIES = 128, 32, 8_192, 1_024
+TREES, STRING_BITS, SHARD_ROWS, BLOCK_QUERIES, TASK_BLOCKS = 128, 32, 8_192, 1_024, 32
 #: How many vectors, repeats over trees counted, the ascent gathers beside the k + 1 it meets most: this share of the shard and at least this many a neighbour.
 SHARE, LEAST = 0.5, 50
 
@@ -111,13 +112,14 @@ def search(index: DataFrame, fitted: tuple[np.ndarray, np.ndarray], queries: Dat
     """
     centre, turns = fitted
     dim = len(centre)
-    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     blocks = max(1, -(-queries.count() // block))
+    # tasks are parts of the index by parts of the blocks: as many of these as give every core two tasks, and none of more than TASK_BLOCKS
+    parts = max(-(-blocks // TASK_BLOCKS), min(blocks, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // max(1, index.rdd.getNumPartitions()))))
     asked = queries.groupBy(F.pmod(F.xxhash64(F.lit(4), "vec_id"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct(F.col("vec_id").cast("long").alias("vec_id"), "vector")).alias("asked")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        F.collect_list(F.struct(F.col("vec_id").cast("long").alias("vec_id"), "vector")).alias("asked")).select("asked").coalesce(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {}  # of each query the nearest of the shards met so far in this task
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, data, keys, order = (batch.column(c)[row] for c in range(4))
@@ -132,12 +134,17 @@ def search(index: DataFrame, fitted: tuple[np.ndarray, np.ndarray], queries: Dat
                     found = gather(keys, order, strings(q[a:a + 64], centre, turns, trees), max(least * k, int(share * len(ids))), k)
                     for i, rows in enumerate(found, a):
                         rows = rows[ids[rows] != who[i]]
-                        score = np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
-                        best = np.lexsort((ids[rows], score))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), who[i])), pa.array(ids[rows][best]), pa.array(score[best])],
-                                                         ["query_id", "vec_id", "score"])
-
-    near = asked.join(index, "shard").select("ids", "vectors", "keys", "order", "asked").mapInArrow(run, "query_id long, vec_id long, score double")
+                        near, score = ids[rows], np.sqrt(((x[rows] - q[i]) ** 2).sum(axis=1))
+                        if who[i] in best:
+                            near, score = np.concatenate([best[who[i]][0], near]), np.concatenate([best[who[i]][1], score])
+                        first = np.lexsort((near, score))[:k]
+                        best[who[i]] = near[first], score[first]
+        for some in batched(best.items(), block):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([w for w, _ in some], [len(near) for _, (near, _) in some])),
+                                              *(pa.array(np.concatenate([found[c] for _, found in some])) for c in (0, 1))], ["query_id", "vec_id", "score"])
+
+    # every pair of a shard and a block, from where the two lie: no copies of either are dealt out, and neither is sent through the driver
+    near = index.select("ids", "vectors", "keys", "order").hint("shuffle_replicate_nl").crossJoin(asked).mapInArrow(run, "query_id long, vec_id long, score double")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(
         F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

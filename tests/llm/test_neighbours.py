@@ -78,3 +78,14 @@ def test_many_neighbours_beside_copies(spark):
     df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], SHAPE)
     got = found(neighbours.nearest(df, "embedding", F.col("vec_id") == 0, k=40).collect())
     assert len(got[0]) == 40 and got[0][:33] == [(i, 0.0) for i in range(1, 34)]
+
+
+def test_blocks_and_shards_meet_without_the_driver(spark):
+    # every block goes to every shard: a few queries on many shards are large, however small they are before that
+    x = np.random.default_rng(6).normal(size=(900, 16)).astype(np.float32)
+    rows = neighbours.usable(spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], SHAPE), "embedding")
+    index, fitted = neighbours.build(rows, shard_rows=30)
+    near = neighbours.search(index, fitted, rows.where("vec_id % 10 = 0"), block=20)
+    got, want = found(near.collect()), exact(np.arange(900), x, range(0, 900, 10))
+    assert set(got) == set(want) and np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 10 for q in want]) >= 0.9
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
