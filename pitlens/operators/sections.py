@@ -7,6 +7,7 @@ that share words with it; nothing is compared across a whole group.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -71,6 +72,41 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def _grams(paragraph: str) -> set[tuple[str, str]]:
+    words = paragraph.split(" ")
+    return set(zip(words, words[1:]))
+
+
+def _best_matches(mine: list[str], theirs: list[str]) -> list[float | None]:
+    """Of each normalised paragraph its best matching-block ratio with the other side: 0 without a near one, null where it stands there word for word."""
+    held, by_gram, out = set(theirs), defaultdict(list), []
+    for at, other in enumerate(theirs):
+        for gram in _grams(other):
+            by_gram[gram].append(at)
+    for norm in mine:
+        if norm in held:
+            out.append(None)
+        elif norm == "":
+            out.append(1.0)
+        else:
+            near = {theirs[at] for gram in _grams(norm) for at in by_gram.get(gram, ())}
+            matcher, best = SequenceMatcher(None, "", norm), 0.0
+            for other in near:
+                if min(len(norm), len(other)) >= MIN_LENGTH_RATIO * max(len(norm), len(other)):
+                    matcher.set_seq1(other)
+                    if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+                        best = max(best, matcher.ratio())
+            out.append(best)
+    return out
+
+
+@F.pandas_udf(T.StructType([T.StructField(side, T.ArrayType(T.DoubleType())) for side in ("added", "removed")]))
+def best_matches(current: pd.Series, prior: pd.Series) -> pd.DataFrame:
+    """How alike the paragraphs of two filings are, both ways."""
+    pairs = [(list(c), list(p)) for c, p in zip(current, prior)]
+    return pd.DataFrame({"added": [_best_matches(c, p) for c, p in pairs], "removed": [_best_matches(p, c) for c, p in pairs]})
+
+
 def build_vocabulary(paragraphs: DataFrame, min_entities: int = 2) -> DataFrame:
     """Terms with the number of entities using them; one row per (entity, term) is shuffled."""
     terms = paragraphs.select("entity", F.expr(f"explode({vocabulary_terms('paragraph')})").alias("term"))
@@ -102,32 +138,19 @@ def filing_pairs(filings: DataFrame, bucket: str = "unix_date(published) DIV 90"
 def diff_filings(paragraphs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Paragraphs of each side of a pair with their best similarity to the other side.
 
-    Paragraphs found word for word on the other side leave by equi-join first. The rest
-    meet paragraphs of the other document that share two words in a row and whose length
-    lets the ratio reach the threshold; the ratio is taken for those pairs alone and the best
-    kept, 0 where there is none. Shingles travel without the text.
+    A filing's paragraphs meet those of the one before in one row, which two filings bound. Paragraphs found
+    word for word on the other side leave first; the rest are measured against those that share two words
+    in a row with them and whose length lets the ratio reach the threshold, 0 where there is none. A text moves
+    twice: to its own number and to that of the filing after it; what its words share is found where the two lie.
     """
-    p = paragraphs.select("doc_id", "pos", "paragraph", F.expr(normalise("paragraph")).alias("norm"))
-    sides = pairs.selectExpr("entity", "subtype", "current_id", "prior_id", "inline(array(struct('added' AS side, current_id AS doc_id, prior_id AS against),"
-                             " struct('removed' AS side, prior_id AS doc_id, current_id AS against)))")
-    held = p.select(F.col("doc_id").alias("against")).distinct()
-    rows = sides.join(p, "doc_id").join(held, "against", "left_semi")
-    same = p.select(F.col("doc_id").alias("against"), "norm").distinct()
-    new = rows.join(same, ["against", "norm"], "left_anti")
-    grams = lambda d, key: d.select(*key, F.length("norm").alias("size"), F.expr("split(norm, ' ')").alias("w")).selectExpr(
-        *key, "size", "explode(array_distinct(transform(slice(sequence(1, size(w)), 1, greatest(size(w) - 1, 0)), i -> xxhash64(w[i - 1], w[i])))) AS gram")
-    mine = grams(new.select("doc_id", "against", "pos", "norm").distinct(), ["doc_id", "against", "pos"])
-    theirs = grams(p, ["doc_id", "pos"]).selectExpr("doc_id AS against", "pos AS other", "size AS other_size", "gram")
-    near = mine.join(theirs, ["against", "gram"]).filter(
-        f"least(size, other_size) >= {MIN_LENGTH_RATIO} * greatest(size, other_size)").select("doc_id", "against", "pos", "other").distinct()
-    met = near.join(p.select("doc_id", "pos", F.col("norm").alias("_a")), ["doc_id", "pos"]).join(
-        p.select(F.col("doc_id").alias("against"), F.col("pos").alias("other"), F.col("norm").alias("_b")), ["against", "other"])
-    # the ratio is the cost here: pairs are dealt over every task
-    tasks = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    best = met.repartition(tasks, "doc_id", "pos", "other").withColumn("_r", matching_ratio.asNondeterministic()("_a", "_b")).groupBy(
-        "doc_id", "against", "pos").agg(F.max("_r").alias("_best"))
-    scored = new.join(best, ["doc_id", "against", "pos"], "left").withColumn("similarity", F.expr("CASE WHEN norm = '' THEN 1D ELSE coalesce(_best, 0D) END"))
-    return scored.select("entity", "subtype", "current_id", "prior_id", "side", "doc_id", "pos", "paragraph", "similarity")
+    packed = paragraphs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "paragraph"))).alias("held"))
+    back = pairs.select(F.col("prior_id").alias("doc_id"), "current_id").join(packed, "doc_id").select("current_id", F.col("held").alias("before"))
+    both = packed.withColumnRenamed("doc_id", "current_id").join(back.hint("merge"), "current_id")
+    norms = lambda c: F.expr(f"transform({c}, x -> {normalise('x.paragraph')})")
+    both = both.withColumn("best", best_matches.asNondeterministic()(norms("held"), norms("before"))).join(pairs, "current_id")
+    side = lambda name, doc, held: f"transform({held}, (x, i) -> struct('{name}' AS side, {doc} AS doc_id, x.pos AS pos, x.paragraph AS paragraph, best.{name}[i] AS similarity))"
+    rows = f"concat({side('added', 'current_id', 'held')}, {side('removed', 'prior_id', 'before')})"
+    return both.selectExpr("entity", "subtype", "current_id", "prior_id", f"inline(filter({rows}, x -> x.similarity IS NOT NULL))")
 
 
 def changed_paragraphs(diffs: DataFrame, rarity: DataFrame | None = None) -> DataFrame:
