@@ -1,8 +1,8 @@
 """Filing text: sections, paragraphs, diffs between successive filings, rare language.
 
 Sections and paragraphs of one document are array expressions over its own lines, so
-they need no shuffle.  A paragraph is compared with those paragraphs of one other document
-that share words with it; nothing is compared across a whole group.
+they need no shuffle.  Two filings meet in one row, and a paragraph is compared with those of the
+other filing that share words with it; nothing is compared across a whole group.
 """
 
 from __future__ import annotations
