@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 
 from pitlens.functions.text import normalise, vocabulary_terms
 from pitlens.operators.feeds import previous_in_order
+from pitlens.session import cut_lineage
 
 SIMILARITY_THRESHOLD = 0.75
 MIN_LENGTH_RATIO = SIMILARITY_THRESHOLD / (2 - SIMILARITY_THRESHOLD)
 MIN_SECTION_LINES, MIN_PARAGRAPH = 20, 120
-RARITY_WEIGHT, RAREST_TERMS, MIN_VOCABULARY_ENTITIES = 0.5, 5, 20
+RARITY_WEIGHT, RAREST_TERMS, MIN_VOCABULARY_ENTITIES, COMMON_TERMS = 0.5, 5, 20, 20_000
 
 # Line patterns of filings.
 ITEM_HEADER = r"(?i)^\\s*item\\s+(\\d+[A-C]?)\\s*[.\\-–—:]?\\s*.*$"
@@ -113,11 +114,16 @@ def build_vocabulary(paragraphs: DataFrame, min_entities: int = 2) -> DataFrame:
     return terms.groupBy("term").agg(F.countDistinct("entity").alias("entities")).filter(F.col("entities") >= min_entities)
 
 
-def term_rarity(paragraphs: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """(paragraph, term, rarity): log(N / df) / log N, one when never seen, nothing under twenty entities."""
-    n = paragraphs.agg(F.countDistinct("entity").alias("n"))
+def term_rarity(paragraphs: DataFrame, vocabulary: DataFrame, key: str, common: int = COMMON_TERMS) -> DataFrame:
+    """(paragraph, term, rarity): log(N / df) / log N, one when never seen, nothing under twenty entities.
+
+    The terms that most entities use are looked up where the paragraph lies; only the others are dealt out to meet the vocabulary.
+    """
+    n, vocabulary = paragraphs.agg(F.countDistinct("entity").alias("n")), cut_lineage(vocabulary)
     terms = paragraphs.select(key, F.expr(f"explode({vocabulary_terms('paragraph')})").alias("term"))
-    d = terms.join(vocabulary, "term", "left").join(F.broadcast(n)).filter(F.col("n") >= MIN_VOCABULARY_ENTITIES)
+    known = F.broadcast(vocabulary.orderBy(F.desc("entities"), "term").limit(common))
+    rest = terms.join(known.select("term"), "term", "left_anti").join(vocabulary, "term", "left")
+    d = terms.join(known, "term").unionByName(rest).join(F.broadcast(n)).filter(F.col("n") >= MIN_VOCABULARY_ENTITIES)
     return d.withColumn("rarity", F.expr("CASE WHEN entities IS NULL THEN 1D ELSE greatest(0D, least(1D, ln(n / entities) / ln(n))) END")).select(key, "term", "rarity")
 
 

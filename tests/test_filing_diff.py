@@ -57,3 +57,15 @@ def test_texts_are_dealt_not_their_words(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
     assert written() - begun < 3.5 * sum(len(r[2]) for r in rows)
+
+
+def test_rarities_are_the_same_wherever_terms_are_looked_up(spark):
+    """Terms that most entities use do not leave their paragraph; the result does not depend on how many these are."""
+    rng = random.Random(9)
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    rows = [(f"e{k % 25}", k, " ".join(words[min(299, int(rng.expovariate(1 / 40)))] for _ in range(30))) for k in range(200)]
+    p = spark.createDataFrame(rows, "entity string, key long, paragraph string")
+    got = [sorted(map(tuple, sections.term_rarity(p, sections.build_vocabulary(p), "key", common).collect())) for common in (0, 10, 20_000)]
+    used = {w: len({e for e, _, text in rows if w in text.split(" ")}) for w in words}
+    assert got[0] == got[1] == got[2] and len(got[0]) == sum(len(set(text.split(" "))) for _, _, text in rows)
+    assert all((r == 1.0) == (used[w] < 2) and (r == 0.0) == (used[w] == 25) for _, w, r in got[0])
